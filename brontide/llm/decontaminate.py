@@ -99,7 +99,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     key = [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(29), "text").alias("_k2")]
     both = let(_words(False), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(F.lit(None).cast("bigint")), _fingerprints(w, short)).alias("f")))
-    seen = docs.select("doc_id", *key, both.alias("_s")).select("doc_id", "_k1", "_k2", F.col("_s.n").alias("n_words"), F.explode("_s.f").alias("_f"))
+    seen = docs.select("doc_id", *key, both.alias("_s")).select("doc_id", "_k1", "_k2", F.col("_s.n").alias("n_words"), F.col("_s.f").alias("_fs"))
+    seen = seen.select("doc_id", "_k1", "_k2", "n_words", F.explode("_fs").alias("_f"))
     # The first row of each document has no fingerprint and stays, so one scan serves both; a join key of its own keeps those rows spread out.
     seen = seen.withColumn("_row", F.col("_f").isNull()).withColumn("_f", F.coalesce("_f", "_k1"))
     marked = seen.join(prints.withColumn("_hit", F.lit(True)), "_f", "left").where("_row OR _hit")
@@ -126,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a window of ``benchmark``; rows without doc_id stay."""
+    """``docs`` without the documents whose text holds a window of ``benchmark``: all rows of their doc_id go; rows without doc_id stay."""
     (gone,) = fresh(docs.columns, "_gone")
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(bad, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
