@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import read_file, write_file
-from .shared import as_bytes, chunks_by_bytes, materialize, shared_path
+from .shared import as_bytes, chunks_by_bytes, materialize, shared_path, word_spans
 
 END_ID = 2
 #: Bytes of text for each range of doc_ids, about; a range is one task.
 RANGE_CHARS = 8_000_000
 #: Words kept with their ids by a worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Words that the tokenizer gets in one line, and what parts them there.
+LINE_WORDS, _MARK = 512, "\x01"
 MAGIC = b"BTOK0001"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
 
@@ -86,7 +88,67 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_known: dict[bytes, np.ndarray] = {}
+class _Known:
+    """Ids of the words a worker has met, by the words' 64-bit hash; emptied when there are more than CACHE_WORDS."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.used = 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.begin = np.zeros(1 << 14, np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many of each word). Words go through the tokenizer in lines, a mark between them; a line that holds the mark otherwise goes word by word."""
+        flat, sizes = [], []
+        for i in range(0, len(words), LINE_WORDS):
+            some = words[i : i + LINE_WORDS]
+            line = f" {_MARK} ".join(some)
+            if self.mark is None or line.count(_MARK) != len(some) - 1:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                flat.append(np.array([x for ids in got for x in ids], np.uint32))
+                sizes.append(np.array([len(ids) for ids in got], np.int64))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+            mark = ids == self.mark
+            flat.append(ids[~mark])
+            sizes.append(np.diff(np.flatnonzero(mark), prepend=-1, append=len(ids)) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def rows(self, hashes: np.ndarray, spell) -> np.ndarray:
+        """Rows of distinct hashes; ``spell(i)`` gives the i-th word."""
+        keys = hashes.tolist()
+        if len(self.place) + len(keys) > CACHE_WORDS:
+            self.clear()
+        got = [self.place.get(k, -1) for k in keys]
+        new = [i for i, g in enumerate(got) if g < 0]
+        if new:
+            ids, size = self.encode([spell(i) for i in new])
+            n, top = len(self.place), self.used
+            self.flat = _grown(self.flat, top + len(ids))
+            self.size, self.begin = _grown(self.size, n + len(new)), _grown(self.begin, n + len(new))
+            self.flat[top : top + len(ids)] = ids
+            self.size[n : n + len(new)] = size
+            self.begin[n : n + len(new)] = top + np.cumsum(size) - size
+            self.used += len(ids)
+            for row, i in enumerate(new, n):
+                self.place[keys[i]] = got[i] = row
+        return np.array(got, np.int64)
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+@lru_cache(1)
+def _known(path: str) -> _Known:
+    return _Known(path)
 
 
 def encode_texts(texts: list[str | None], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
@@ -95,32 +157,28 @@ def encode_texts(texts: list[str | None], tokenizer: str) -> tuple[np.ndarray, n
     The tokenizer drops white space and splits there, so a text's ids are those
     of its white-space-parted words end to end; each distinct word is encoded once.
     """
-    split = [t.split() for t in as_bytes(texts)]
-    n_words = np.array([len(w) for w in split])
-    words = list(dict.fromkeys(w for ws in split for w in ws)) if len(split) else []
-    new = [w for w in words if w not in _known]
-    if len(_known) + len(new) > CACHE_WORDS:
-        _known.clear()
-        new = words
-    if new:
-        got = _tokenizer(tokenizer).encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        _known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(new, got))
-    place = {w: i for i, w in enumerate(words)}
-    pieces = [_known[w] for w in words]
-    size = np.array([len(p) for p in pieces] + [1])
-    flat = np.concatenate([*pieces, np.array([END_ID], np.uint32)])
-    begin = np.cumsum(size) - size
-    end = len(words)
-    which = np.empty(int(n_words.sum()) + len(split), np.int64)
-    is_end = np.zeros(len(which), bool)
+    data = as_bytes(texts)
+    if not data:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    h, at, start, end = word_spans(data)
+    n_words = np.diff(at)
+    base = np.repeat(np.cumsum([0] + [len(t) + 1 for t in data])[:-1], n_words)
+    whole = b" ".join(data)
+    distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    begin, stop = (start + base)[first], (end + base)[first]
+    known = _known(tokenizer)
+    row = known.rows(distinct, lambda i: whole[begin[i] : stop[i]].decode("utf-8", "replace"))
+    row = row[inverse]
+    # The end id is one more piece behind each text's words.
     ends = np.cumsum(n_words + 1) - 1
+    is_end = np.zeros(len(h) + len(data), bool)
     is_end[ends] = True
-    which[is_end] = end
-    which[~is_end] = np.fromiter((place[w] for ws in split for w in ws), np.int64, int(n_words.sum()))
-    sizes = size[which]
-    at = np.cumsum(sizes) - sizes
-    ids = flat[np.arange(int(sizes.sum())) - np.repeat(at - begin[which], sizes)]
-    return ids, np.add.reduceat(sizes, ends - n_words) if len(split) else sizes
+    sizes, source = np.ones(len(is_end), np.int64), np.zeros(len(is_end), np.int64)
+    sizes[~is_end], source[~is_end] = known.size[row], known.begin[row]
+    to = np.cumsum(sizes)
+    out = known.flat[np.arange(int(to[-1])) + np.repeat(source - (to - sizes), sizes)]
+    out[to[ends] - 1] = END_ID
+    return out, np.add.reduceat(sizes, ends - n_words)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
