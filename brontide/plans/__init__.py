@@ -1,0 +1,15 @@
+"""Queries by family."""
+
+from __future__ import annotations
+
+from . import observation_queries
+
+FAMILIES = (observation_queries,)
+
+
+def all_queries() -> dict:
+    return {n: q for f in FAMILIES for n, q in f.R.queries.items()}
+
+
+def all_sql() -> dict[str, str]:
+    return {n: q for f in FAMILIES for n, q in f.R.sql.items()}
