@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import observation_queries
+from . import evidence_queries, observation_queries, verification_queries
 
-FAMILIES = (observation_queries,)
+FAMILIES = (observation_queries, verification_queries, evidence_queries)
 
 
 def all_queries() -> dict:
