@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, observation_queries, verification_queries
+from . import corpus_queries, evidence_queries, model_queries, observation_queries, verification_queries
 
-FAMILIES = (observation_queries, verification_queries, evidence_queries)
+FAMILIES = (observation_queries, verification_queries, evidence_queries, corpus_queries, model_queries)
 
 
 def all_queries() -> dict:

@@ -83,12 +83,12 @@ def _(s, d):
 
 
 @add("j13_neighbourhood", f"""WITH {GRID}, b AS (SELECT max(row) AS mr, max(col) AS mc FROM grid WHERE row < (SELECT max(row) FROM grid)), i AS (SELECT g.* FROM grid g, b WHERE row <= mr), n AS (SELECT i.row, i.col, least(greatest(i.row + dr, 0), mr) AS r, least(greatest(i.col + dc, 0), 39) AS c FROM i, b, range(-1, 2) x(dr), range(-1, 2) y(dc))
-    SELECT n.row, n.col, round(avg(i.v), 5) AS nb_mean, max(i.v) AS nb_max, min(i.v) AS nb_min, round(stddev_pop(i.v), 4) AS nb_sd, round(avg(CASE WHEN i.v >= 30 THEN 1.0 ELSE 0.0 END), 5) AS nb_share FROM n JOIN i ON i.row = n.r AND i.col = n.c GROUP BY n.row, n.col""")
+    SELECT n.row, n.col, round(avg(i.v), 5) AS nb_mean, max(i.v) AS nb_max, min(i.v) AS nb_min, round(stddev_pop(i.v), 2) AS nb_sd, round(avg(CASE WHEN i.v >= 30 THEN 1.0 ELSE 0.0 END), 5) AS nb_share FROM n JOIN i ON i.row = n.r AND i.col = n.c GROUP BY n.row, n.col""")
 def _(s, d):
     g = grid(s, d)
     top = g.agg(F.max("row").alias("_m"))
     whole = g.join(F.broadcast(top)).where("row < _m").drop("_m")  # one row; the last line may be short
-    return rounded(G.neighbourhood(whole, [], "v", 3, 30.0), 5).withColumn("nb_sd", F.round("nb_sd", 4))
+    return rounded(G.neighbourhood(whole, [], "v", 3, 30.0), 5).withColumn("nb_sd", F.round("nb_sd", 2))
 
 
 @add("j14_kinematics", f"""WITH {GRID}, g AS (SELECT row, col, u, v, lead(v) OVER h AS ve, lag(v) OVER h AS vw, lead(u) OVER h AS ue, lag(u) OVER h AS uw, lead(v) OVER k AS vs, lag(v) OVER k AS vn, lead(u) OVER k AS us, lag(u) OVER k AS un, 6371000.0 * pi() / 180 * 0.25 AS m, 6371000.0 * pi() / 180 * 0.25 * cos(radians(38 - row * 0.25)) AS dx FROM grid WINDOW h AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row)),

@@ -263,11 +263,11 @@ def _(s, d):
     return X.wide_to_long_lead(w, ["loc"])
 
 
-@add("j16_full_outer_merge", f"""WITH {FC}, t AS (SELECT loc, run_date, max(truth) AS truth FROM fc GROUP BY ALL), x AS (SELECT loc, run_date, round(max(a), 2) AS a FROM fc WHERE lead_h < 100 GROUP BY ALL), y AS (SELECT loc, run_date, round(max(b), 2) AS b FROM fc WHERE lead_h > 50 GROUP BY ALL)
-    SELECT loc, run_date, a, b, round(truth, 2) AS truth FROM (x FULL JOIN y USING (loc, run_date)) JOIN t USING (loc, run_date)""")
+@add("j16_full_outer_merge", f"""WITH {FC}, t AS (SELECT loc, run_date, max(truth) AS truth FROM fc GROUP BY ALL), x AS (SELECT loc, run_date, round(max(a), 6) AS a FROM fc WHERE lead_h < 100 GROUP BY ALL), y AS (SELECT loc, run_date, round(max(b), 6) AS b FROM fc WHERE lead_h > 50 GROUP BY ALL)
+    SELECT loc, run_date, a, b, round(truth, 6) AS truth FROM (x FULL JOIN y USING (loc, run_date)) JOIN t USING (loc, run_date)""")
 def _(s, d):
     f = forecasts(s, d)
-    g = lambda df, c: df.groupBy("loc", "run_date").agg(F.round(F.max(c), 2).alias(c))
+    g = lambda df, c: df.groupBy("loc", "run_date").agg(F.round(F.max(c), 6).alias(c))
     return g(f.where("lead_h < 100"), "a").join(g(f.where("lead_h > 50"), "b"), ["loc", "run_date"], "full_outer").join(g(f, "truth"), ["loc", "run_date"])
 
 

@@ -27,7 +27,7 @@ def hourly_payload(df: DataFrame, payload: str, source: str = "OPEN_METEO", evid
     names = [f[0] for f in fields]
     schema = "hourly struct<time:array<string>, " + ", ".join(f"{n}:array<double>" for n in names) + ">"
     p = df.select("payload_id", F.from_json(payload, schema).alias("p"))
-    zipped = F.arrays_zip(F.col("p.hourly.time").alias("time"), *[F.col(f"p.hourly.{n}").alias(n) for n in names])
+    zipped = F.arrays_zip(F.col("p.hourly.time").alias("time"), *[F.coalesce(F.col(f"p.hourly.{n}"), F.array().cast("array<double>")).alias(n) for n in names])
     rows = p.select("payload_id", F.posexplode(zipped).alias("_i", "_x"))
     rows = rows.where(F.col("_i") < most) if most is not None else rows
     rows = rows.withColumn("_t", F.coalesce(any_time(F.col("_x.time"), 0))).where("_t IS NOT NULL")
