@@ -199,7 +199,7 @@ def fit(docs: DataFrame) -> Model:
             before, word, _ = _tokens(texts)
             _, x, y, c = _added(before, word, np.ones(len(word), np.uint32))
             order = np.argsort(x, kind="stable")  # runs of one first word compress well
-            x, y, c = x[order], y[order], c[order]
+            x, y, c = x[order], y[order], c[order].astype(np.uint32)  # sums come as 64 bits
             yield _dealt(_shard(x, y, heavy, shards), shards, a=x, b=y, n=c)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
