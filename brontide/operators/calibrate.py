@@ -232,3 +232,9 @@ def fit_bias(df: DataFrame, features: Sequence[str], observed: str, forecast: st
 def correct_bias(scaler, model, df: DataFrame, features: Sequence[str], forecast: str) -> DataFrame:
     out = model.transform(scaler.transform(assembled(df, features)))
     return out.withColumn("corrected", F.col(forecast) + F.col("prediction")).drop("features", "scaled", "prediction")
+
+
+def top_features(spark, model, features: Sequence[str], k: int = 12) -> DataFrame:
+    """(feature, share): the k features with the largest share of a tree model's gain; ties by name."""
+    rows = [(f, float(x)) for f, x in zip(features, model.featureImportances.toArray())]
+    return spark.createDataFrame(rows, "feature string, share double").orderBy(F.desc("share"), "feature").limit(k)

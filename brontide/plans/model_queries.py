@@ -25,6 +25,13 @@ def _(s, d):
     return M.brier(scored, "p", "y", ["lead_bucket"]).join(M.auc(scored, "p", "y", ["lead_bucket"]).drop("n"), "lead_bucket")
 
 
+@add("k3_top_features")
+def _(s, d):
+    e = events_of(s, d)
+    model, _ = K.fit_event(e.where(TRAIN), e.where(VAL), FEATURES, "y", trees=3, depth=3)
+    return K.top_features(s, model, FEATURES, 2)
+
+
 @add("f2_fractional_model")
 def _(s, d):
     f = forecasts(s, d).groupBy("l_orderkey", "run_date").agg(F.avg((F.col("quantity") >= 25).cast("double")).alias("share"), F.avg("truth").alias("price"), F.count(F.lit(1)).cast("double").alias("lines"))
