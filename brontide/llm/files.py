@@ -39,7 +39,7 @@ def read_file(path: str) -> bytes:
 def mapped(path: str) -> np.ndarray | None:
     """The file's bytes, memory-mapped where the shared folder is mounted, read once by each worker elsewhere; None if there is no such file."""
     if path not in _open:
-        if len(_open) > 4096:
+        if len(_open) > 400:  # each keeps a file open
             _open.clear()
         fs, name = _place(path)
         if fs.get_file_info(name).type == pafs.FileType.NotFound:
