@@ -24,6 +24,8 @@ from .shared import as_bytes, chunks_by_bytes, materialize, shared_path, word_sp
 END_ID = 2
 #: Bytes of text for each range of doc_ids, about; a range is one task.
 RANGE_CHARS = 8_000_000
+#: Characters encoded at once, a row of the intermediate table.
+RUN_CHARS = 8_000_000
 #: Words kept with their ids by a worker.
 CACHE_WORDS = 1_200_000
 #: Words that the tokenizer gets in one line, and what parts them there.
@@ -34,15 +36,23 @@ _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).as
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    size = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.uint8) + (values > 0xFFFFFF)
-    size = size.astype(np.uint8)
+    values = values.astype(np.uint32, copy=False)
+    size = np.ones(len(values), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += values > limit
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     code[: len(values)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8)[None] < size[:, None]
-    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    end = np.cumsum(size, dtype=np.int64)
+    at = end - size
+    data = np.empty(int(end[-1]) if len(values) else 0, np.uint8)
+    data[at] = values & np.uint32(0xFF)
+    for k in (1, 2, 3):
+        i = np.flatnonzero(size > k)
+        if len(i):
+            data[at[i] + k] = values[i] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -104,14 +114,14 @@ class _Known:
         self.size = np.zeros(1 << 14, np.int64)
         self.begin = np.zeros(1 << 14, np.int64)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, how many of each word). Words go through the tokenizer in lines, a mark between them; a line that holds the mark otherwise goes word by word."""
         flat, sizes = [], []
         for i in range(0, len(words), LINE_WORDS):
             some = words[i : i + LINE_WORDS]
-            line = f" {_MARK} ".join(some)
+            line = f" {_MARK} ".encode().join(some).decode("utf-8", "replace")
             if self.mark is None or line.count(_MARK) != len(some) - 1:
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)]
                 flat.append(np.array([x for ids in got for x in ids], np.uint32))
                 sizes.append(np.array([len(ids) for ids in got], np.int64))
                 continue
@@ -121,15 +131,15 @@ class _Known:
             sizes.append(np.diff(np.flatnonzero(mark), prepend=-1, append=len(ids)) - 1)
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def rows(self, hashes: np.ndarray, spell) -> np.ndarray:
-        """Rows of distinct hashes; ``spell(i)`` gives the i-th word."""
+    def rows(self, hashes: np.ndarray, text: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Rows of distinct hashes, whose words are text[begin:stop]."""
         keys = hashes.tolist()
         if len(self.place) + len(keys) > CACHE_WORDS:
             self.clear()
         got = [self.place.get(k, -1) for k in keys]
         new = [i for i, g in enumerate(got) if g < 0]
         if new:
-            ids, size = self.encode([spell(i) for i in new])
+            ids, size = self.encode([text[b:e] for b, e in zip(begin[new].tolist(), stop[new].tolist())])
             n, top = len(self.place), self.used
             self.flat = _grown(self.flat, top + len(ids))
             self.size, self.begin = _grown(self.size, n + len(new)), _grown(self.begin, n + len(new))
@@ -165,10 +175,8 @@ def encode_texts(texts: list[str | None], tokenizer: str) -> tuple[np.ndarray, n
     base = np.repeat(np.cumsum([0] + [len(t) + 1 for t in data])[:-1], n_words)
     whole = b" ".join(data)
     distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    begin, stop = (start + base)[first], (end + base)[first]
     known = _known(tokenizer)
-    row = known.rows(distinct, lambda i: whole[begin[i] : stop[i]].decode("utf-8", "replace"))
-    row = row[inverse]
+    row = known.rows(distinct, whole, (start + base)[first], (end + base)[first])[inverse]
     # The end id is one more piece behind each text's words.
     ends = np.cumsum(n_words + 1) - 1
     is_end = np.zeros(len(h) + len(data), bool)
@@ -209,7 +217,7 @@ def write_tokens(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, str]:
         seq = 0
         for b in batches:
             texts = b["text"].tolist()
-            for at in chunks_by_bytes([len(t or "") for t in texts], 2_000_000):
+            for at in chunks_by_bytes([len(t or "") for t in texts], RUN_CHARS):
                 ids, n = encode_texts(texts[at], tokenizer)
                 ids_of = b["doc_id"].iloc[at]
                 yield pd.DataFrame([{
