@@ -270,9 +270,9 @@ def _(s, d):
     return X.bucket_rain(steps(s, d).withColumn("width_h", F.lit(6)), ["point_id", "run_date"], "rain", least=2).withColumn("rain_mm", F.round("rain_mm", 5))
 
 
-@add("a7_extension_aggregates", f"WITH {STEPS} SELECT run_date, round(avg(t2m), 5) AS t2m_mean, round(avg(gust), 5) AS gust_mean, max(t2m) AS t2m_max, max(rain) AS rain_max, min(gust) AS gust_min FROM steps GROUP BY 1")
+@add("a7_extension_aggregates", f"WITH {STEPS} SELECT run_date, round(avg(t2m), 3) AS t2m_mean, round(avg(gust), 3) AS gust_mean, max(t2m) AS t2m_max, max(rain) AS rain_max, min(gust) AS gust_min FROM steps GROUP BY 1")
 def _(s, d):
-    return X.aggregates(steps(s, d), ["run_date"], X.family(["t2m", "gust"], "mean") | X.family(["t2m", "rain"], "max") | X.family(["gust"], "min")).withColumns({c: F.round(c, 5) for c in ("t2m_mean", "gust_mean")})
+    return X.aggregates(steps(s, d), ["run_date"], X.family(["t2m", "gust"], "mean") | X.family(["t2m", "rain"], "max") | X.family(["gust"], "min")).withColumns({c: F.round(c, 3) for c in ("t2m_mean", "gust_mean")})
 
 
 @add("a8_ensemble_days", f"WITH {STEPS} SELECT point_id, run_date, round(sum(rain), 5) AS ens_mean, round(sqrt(sum(gust * gust)), 5) AS ens_spread FROM steps GROUP BY ALL")

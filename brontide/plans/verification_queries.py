@@ -316,10 +316,10 @@ def _(s, d):
 
 
 @add("k6_tier_sample", f"""WITH t AS (SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 12 WHEN o_totalprice > 200000 THEN 4 ELSE 1 END AS w FROM orders), c AS (SELECT sum(w) AS s, sum(CASE WHEN w = 12 THEN 1 ELSE 0 END) AS n12, sum(CASE WHEN w < 12 THEN w ELSE 0 END) AS s2 FROM t),
-    p AS (SELECT o_orderkey, least(1.0, CASE WHEN 2000.0 / s * 12 < 1 THEN 2000.0 / s ELSE (2000.0 - n12) / s2 END * w) AS p FROM t, c) SELECT o_orderkey, round(1 / p, 6) AS weight FROM p WHERE {U.format(k='o_orderkey')} < p""")
+    p AS (SELECT o_orderkey, least(1.0, CASE WHEN 300.0 / s * 12 < 1 THEN 300.0 / s ELSE (300.0 - n12) / s2 END * w) AS p FROM t, c) SELECT o_orderkey, round(1 / p, 6) AS weight FROM p WHERE {U.format(k='o_orderkey')} < p""")
 def _(s, d):
     w = F.when(F.col("o_totalprice") > 400000, 12).when(F.col("o_totalprice") > 200000, 4).otherwise(1)
-    return S.tier_sample(table(s, d, "orders"), w, 2000, "o_orderkey").select("o_orderkey", F.round("weight", 6).alias("weight"))
+    return S.tier_sample(table(s, d, "orders"), w, 300, "o_orderkey").select("o_orderkey", F.round("weight", 6).alias("weight"))
 
 
 @add("k7_group_cap", "WITH g AS (SELECT DISTINCT o_orderpriority, o_custkey FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_custkey AS VARCHAR)), o_custkey) AS i FROM g) SELECT o_orderkey, o_orderpriority FROM orders JOIN r USING (o_orderpriority, o_custkey) WHERE i <= 50")
@@ -418,10 +418,10 @@ def _(s, d):
 
 
 @add("m11_curve_report", f"""WITH {MONO}, x AS (SELECT top, unnest([10.0, 20.0, 30.0, 40.0]) AS t, unnest([s1, s2, s3, s4]) AS p FROM m), g AS (SELECT t, count(*) AS n, avg(CAST(top >= t AS INT)) AS base_rate, avg((p - CAST(top >= t AS INT)) * (p - CAST(top >= t AS INT))) AS brier FROM x GROUP BY 1)
-    SELECT t AS threshold, n, round(base_rate, 6) AS base_rate, round(brier, 6) AS brier, CAST(0 AS BIGINT) AS violations, round(CASE WHEN base_rate * (1 - base_rate) > 0 THEN 1 - brier / (base_rate * (1 - base_rate)) END, 5) AS bss FROM g""")
+    SELECT t AS threshold, n, round(base_rate, 6) AS base_rate, round(brier, 6) AS brier, CAST(0 AS BIGINT) AS violations, round(CASE WHEN base_rate * (1 - base_rate) > 0 THEN 1 - brier / (base_rate * (1 - base_rate)) END, 4) AS bss FROM g""")
 def _(s, d):
     c = curves(s, d).withColumn("c", P.monotone("raw"))
-    return rounded(M.curve_report(c, "c", "top", list(THR))).withColumn("bss", F.round("bss", 5))
+    return rounded(M.curve_report(c, "c", "top", list(THR))).withColumn("bss", F.round("bss", 4))
 
 
 @add("m20_amount_errors", f"WITH {FC} SELECT zone, count(*) AS n, round(avg(abs(log10(greatest(c, 0.1)) - log10(greatest(truth, 0.1)))), 6) AS log_mae, round(avg(log10(greatest(c, 0.1)) - log10(greatest(truth, 0.1))), 6) AS log_bias, round(avg(CASE WHEN abs(log10(greatest(c, 0.1)) - log10(greatest(truth, 0.1))) <= log10(2) THEN 1.0 ELSE 0.0 END), 6) AS within_factor_2, round(avg(abs(log10(greatest(d, 0.1)) - log10(greatest(truth, 0.1)))), 6) AS raw_log_mae FROM fc WHERE truth >= 0.1 GROUP BY 1")
