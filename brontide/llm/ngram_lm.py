@@ -25,8 +25,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Characters of training text for each shard; a shard holds about a million bigrams.
 SHARD_CHARS = 8_000_000
 HEAVY_SHARE = 1000
-#: Characters that a task counts at once.
-PORTION_CHARS = 12_000_000
+#: Characters that a task counts at once, and scores at once.
+PORTION_CHARS, SCORE_CHARS = 8_000_000, 3_000_000
 BEGIN, END = np.uint64(0x51ED270B0F0E0D0C), np.uint64(0xA3C59AC2B1D0E0F1)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -252,7 +252,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b.pop("text").tolist()
-            for at in chunks_by_bytes([len(t or "") for t in texts], PORTION_CHARS):
+            for at in chunks_by_bytes([len(t or "") for t in texts], SCORE_CHARS):
                 part = b.iloc[at].reset_index(drop=True)
                 got = model.score(texts[at])
                 yield pd.concat([part, got], axis=1).assign(train_tokens=model.tokens)
