@@ -26,7 +26,7 @@ FOLDS, HELD_OUT = 7, 2
 SHARD_CHARS = 8_000_000
 HEAVY_SHARE = 1000
 #: Characters that a task counts at once, and scores at once.
-PORTION_CHARS, SCORE_CHARS = 8_000_000, 3_000_000
+PORTION_CHARS, SCORE_CHARS = 5_000_000, 2_000_000
 BEGIN, END = np.uint64(0x51ED270B0F0E0D0C), np.uint64(0xA3C59AC2B1D0E0F1)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
