@@ -9,9 +9,10 @@ such pair. At a similarity of 0.8 a pair escapes all keys with probability
 
 Texts with equal shingle sets are one class before anything is joined. Links are
 confirmed on full sets. In a key's bucket every member is first linked to the
-smallest one; only members that the components of these links leave apart are
-then compared with each other, block by block, so a bucket of copies costs its
-size and no link between components is lost.
+smallest one; only in buckets that the components of these links leave apart are
+members then compared with each other, block by block and each pair under the
+first key it shares, on sets that the rows carry. So a bucket of copies costs its
+size, only links leave a task, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PER_CHUNK = SYMBOLS // CHUNKS
 FOUND_WITHIN = 2 * CHUNKS - 1
 #: Members of a bucket that one block holds.
 BLOCK = 512
+#: Runs up to this long are compared many at a time; pairs compared at once.
+SMALL_RUN, PAIRS_AT_ONCE = 64, 1 << 20
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -104,55 +107,95 @@ def _sets(k: int):
             ids = batch["doc_id"].to_numpy()
             for first, s, at in shingle_sets(batch["text"].tolist(), k):
                 s = s.view(np.int64)
-                yield pd.DataFrame({"node": ids[first : first + len(at) - 1], "shingles": [s[a:b] for a, b in zip(at, at[1:])]})
+                cut = [s[a:b] for a, b in zip(at, at[1:])]
+                yield pd.DataFrame({"node": ids[first : first + len(cut)], "shingles": cut})
 
     return run
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     sizes = nodes.select("node", "n")
-    fits = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    fits = materialize(fits.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "pairs")
-    wanted = fits.select(F.col("a").alias("doc_id")).unionByName(fits.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInPandas(_sets(k), "node bigint, shingles array<bigint>"), "sets")
-    both = fits.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    fits = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    both = fits.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs within FOUND_WITHIN and of different components, for each run of (key, i, j); runs may cross batches."""
-    held: list[pd.DataFrame] = []
+def _pairs_of_runs(edges: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (x, y) of all pairs inside runs of at most ``most`` rows, for all runs of one length together."""
+    size = np.diff(edges)
+    for m in np.unique(size[(size > 1) & (size <= most)]):
+        begin = edges[:-1][size == m]
+        x, y = np.triu_indices(m, 1)
+        for part in np.array_split(begin, max(1, len(begin) * len(x) // PAIRS_AT_ONCE + 1)):
+            yield (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
 
-    def runs(frame: pd.DataFrame):
+
+def _first_shared(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the first key that two signatures share, 0 if they share none."""
+    out = np.zeros(len(x), np.int64)
+    for c in range(CHUNKS - 1, -1, -1):
+        other = sig[x, c * PER_CHUNK : (c + 1) * PER_CHUNK] != sig[y, c * PER_CHUNK : (c + 1) * PER_CHUNK]
+        n = other.sum(1)
+        out = np.where(n <= 1, c * PER_CHUNK + np.where(n == 1, other.argmax(1), 0) + 1, out)
+    return out
+
+
+def _links(percent: int):
+    """Confirmed links (a, b) of different components, for each run of (key, i, j); runs may cross batches.
+
+    Every pair is looked at once, under the first key that it shares, and compared
+    on the full sets that the rows carry if its signatures are near enough.
+    """
+
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
         code = frame[["key", "i", "j"]].to_numpy()
-        edge = np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1
-        return np.concatenate([[0], edge, [len(frame)]])
-
-    def pairs(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        left, right = (f, f) if i == j else (f[f["block"] == i], f[f["block"] == j])
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        a, b = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, SYMBOLS) for x in (left, right))
-        near = np.zeros((len(a), len(b)), np.int16)
-        for s in range(SYMBOLS):
-            near += a[:, s, None] != b[None, :, s]
-        x, y = np.nonzero((near <= FOUND_WITHIN) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None]))
-        p, q = left["node"].to_numpy()[x], right["node"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+        edges = np.concatenate([[0], np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1, [len(frame)]])
+        sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(-1, SYMBOLS)
+        node, component, block = (frame[c].to_numpy() for c in ("node", "component", "block"))
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in frame["shingles"]]
+        size = np.array([len(x) for x in sets])
+
+        def checked(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+            fits = (component[x] != component[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            x, y = x[fits], y[fits]
+            k = (_first_shared(sig, x, y) == code[x, 0] >> 48) & ((sig[x] != sig[y]).sum(1) <= FOUND_WITHIN)
+            out = []
+            for p, q in zip(x[k].tolist(), y[k].tolist()):
+                a, b = (sets[p], sets[q]) if size[p] <= size[q] else (sets[q], sets[p])
+                same = int((b[np.minimum(b.searchsorted(a), len(b) - 1)] == a).sum()) if len(a) else 0
+                if 100 * same >= percent * (len(a) + len(b) - same):
+                    out.append((node[p], node[q]))
+            return out
+
+        got: list[tuple[int, int]] = []
+        for x, y in _pairs_of_runs(edges, SMALL_RUN):
+            got += checked(x, y)
+        for s, e in zip(edges[:-1], edges[1:]):
+            if e - s > SMALL_RUN:  # a block, or two that meet
+                rows = np.arange(s, e)
+                left, right = rows[block[rows] == code[s, 1]], rows[block[rows] == code[s, 2]]
+                for some in np.array_split(left, max(1, len(left) * len(right) // PAIRS_AT_ONCE + 1)):
+                    x, y = np.repeat(some, len(right)), np.tile(right, len(some))
+                    once = x < y if code[s, 1] == code[s, 2] else np.ones(len(x), bool)
+                    got += checked(x[once], y[once])
+        return pd.DataFrame({"a": [min(g) for g in got], "b": [max(g) for g in got]}).drop_duplicates()
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        frame = pd.concat([*held, batch], ignore_index=True)
-        at = runs(frame)
-        for s, e in zip(at[:-2], at[1:-1]):
-            yield pairs(frame.iloc[s:e])
-        held = [frame.iloc[at[-2] :]]
-    if held:
-        yield pairs(held[0])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            if len(batch):
+                frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                last = frame[["key", "i", "j"]].iloc[-1]
+                same = (frame["key"] == last["key"]) & (frame["i"] == last["i"]) & (frame["j"] == last["j"])
+                held = frame[same].reset_index(drop=True)
+                if not same.all():
+                    yield found(frame[~same].reset_index(drop=True))
+        if held is not None:
+            yield found(held)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -177,24 +220,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     keys = nodes.select("node", "sig").mapInPandas(_keys, f"key bigint, node {kind}")
     keys = materialize(keys, "keys")
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head < _last").drop("_last")
-    buckets = materialize(keys.join(heads, "key"), "buckets")
+    # Keys with the same members need one bucket only, the first one's.
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_n"), F.expr("bit_xor(xxhash64(node))").alias("_x"), F.expr("bit_xor(xxhash64(node, 1L))").alias("_y"))
+    heads = heads.where("head < _last").groupBy("head", "_last", "_n", "_x", "_y").agg(F.min("key").alias("key"))
+    buckets = materialize(keys.join(heads.select("key", "head", F.col("_n").alias("members")), "key"), "buckets")
+    # Sets of all members of buckets, made once. A shuffle join at any size, so that costs grow evenly.
+    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
+    sets = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInPandas(_sets(k), f"node {kind}, shingles array<bigint>"), "sets")
     star = materialize(buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
     # Rows of one doc_id in several classes tie those classes together.
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_hi")).where("a < _hi").drop("_hi")
     tied = members.distinct().join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    links = materialize(confirmed(star, nodes, docs, k, percent).unionByName(tied), "confirmed")
+    links = materialize(confirmed(star, nodes, sets, percent).unionByName(tied), "confirmed")
     found = materialize(connected_components(links), "components")
 
-    named = buckets.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = buckets.select("key", "node", "members").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi")
-    rest = named.join(open_keys.select("key", F.expr(f"(_n - 1) div {BLOCK} + 1").alias("_blocks")), "key")
+    open_keys = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
+    rest = named.join(open_keys, "key").withColumn("_blocks", F.expr(f"(members - 1) div {BLOCK} + 1"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    rest = rest.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "component").join(nodes.select("node", "sig").distinct(), "node")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "node", "component", "sig")
-    more = rest.mapInPandas(_compare, f"a {kind}, b {kind}").distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(more, "more"), nodes, docs, k, percent), "confirmed")
+    rest = rest.select("key", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "component")
+    carried = sets.join(nodes.select("node", "sig").dropDuplicates(["node"]), "node")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few rows: not to be coalesced by size
+    rest = rest.join(carried, "node").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "node", "component", "sig", "shingles")
+    more = materialize(rest.mapInPandas(_links(percent), f"a {kind}, b {kind}").distinct(), "confirmed")
     found = connected_components(links.unionByName(more))
 
     named = members.select("doc_id", "node").distinct().join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
