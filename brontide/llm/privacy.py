@@ -5,7 +5,7 @@ discloses: a protected entity e (one value of one kind) and a term t near it
 have PMI(t; e) = log2(p(t, e) / (p(t) p(e))), at most the entity's information
 content IC(e) = -log2 p(e). A term whose PMI reaches the share REMOVE of IC(e) for
 some e is removed, from GENERALISE on it is generalised, wherever it stands.
-Equal texts and equal contexts count once, so copies disclose nothing by themselves.
+Equal contexts count once, so copies disclose nothing by themselves.
 """
 
 from __future__ import annotations
@@ -96,20 +96,24 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = SUPPORT,
     """(term, share): the largest share PMI(t; e) / IC(e) of each term, where it reaches ``generalise``.
 
     ``spans`` holds, for each text (_k1, _k2) with base spans, its _context array.
+    Entities and pairs are counted by distinct contexts, terms by documents. The
+    documents whose contexts hold a term are a lower bound of the latter, so pairs
+    that it already rules out are dropped before all documents are read.
     """
     near = spans.select("_k1", "_k2", F.explode("_context").alias("_c")).select("_k1", "_k2", "_c.*")
     contexts = near.select("entity", F.xxhash64("words").alias("_h"), "words").dropDuplicates(["entity", "_h"])
     entities = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("_ne")).where(F.col("_ne") >= support)
+    least = near.select("_k1", "_k2", F.explode("words").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_nt"))
     pairs = contexts.join(entities, "entity").select("entity", "_ne", F.explode("words").alias("term"))
-    pairs = materialize(pairs.groupBy("entity", "_ne", "term").agg(F.count(F.lit(1)).alias("_nte")).where(F.col("_nte") >= support), "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
-    texts = docs.select(*_keys()).distinct().count()
-    seen = docs.select(*_keys(), F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
-    seen = seen.groupBy("term", "_k1", "_k2").agg(F.lit(1).alias("_one")).groupBy("term").agg(F.count(F.lit(1)).alias("_nt"))
-    n = F.lit(float(max(texts, 1)))
+    pairs = pairs.groupBy("entity", "_ne", "term").agg(F.count(F.lit(1)).alias("_nte")).where(F.col("_nte") >= support)
+    n = F.lit(float(max(docs.count(), 1)))
     content = F.log2(n / F.col("_ne"))
     pmi = F.log2(F.col("_nte") * n / (F.greatest("_nt", "_nte") * F.greatest("_ne", "_nte")))
     share = F.when(content > 0, F.least(pmi / content, F.lit(1.0))).otherwise(0.0)
+    pairs = materialize(pairs.join(least, "term").where(share >= generalise).drop("_nt"), "pairs")
+    terms = materialize(pairs.select("term").distinct(), "terms")
+    seen = docs.select(F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
+    seen = seen.groupBy("term").agg(F.count(F.lit(1)).alias("_nt"))
     return pairs.join(seen, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
 
 
