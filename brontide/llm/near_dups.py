@@ -49,7 +49,7 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[tuple[int, np.ndar
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), n)
         out = np.zeros(len(h), np.uint64)
-        for j in range(k):
+        for j in range(min(k, len(h))):
             out[: len(h) - j] += h[j:] * _PLACES[j] if j else h * _PLACES[0]
         keep = np.arange(len(h)) <= at[doc + 1] - k if len(h) else np.zeros(0, bool)
         out = mix64(out)

@@ -223,6 +223,18 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, k, monkeypatch):
     assert near_dups.near_duplicates(empty, k).collect() == []
 
 
+@pytest.mark.parametrize("text", ["one two", "one two three"])
+@pytest.mark.parametrize("k", [4, 5])
+def test_a_slice_of_fewer_words_than_a_shingle(spark, text, k):
+    """The only text of a table, and one that stands alone before a text as large as a slice."""
+    ((_, alone, at),) = near_dups.shingle_sets([text], k)
+    _, beside, _ = next(near_dups.shingle_sets([text, prose(4, 50)], k))
+    assert at.tolist() == [0, 1] and alone[0] == beside[0]
+    assert [len(s) for _, s, _ in near_dups.shingle_sets([text, "word " * 420_000], k)] == [1, 1]
+    got = rows(near_dups.near_duplicates(spark.createDataFrame([(3, text)], "doc_id long, text string"), k), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == [(3, 1, 3, True)]
+
+
 def test_links_between_components_of_one_bucket_are_found(spark):
     """A chain in which neighbours link and others do not, besides many copies of its middle."""
     base = prose(9, 200)
