@@ -29,8 +29,6 @@ from .shared import as_bytes, chunks_by_bytes, materialize, mix64, word_hashes
 
 SYMBOLS, CHUNKS = 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
-#: Signatures this far apart or nearer are found for certain.
-FOUND_WITHIN = 2 * CHUNKS - 1
 #: Members of a bucket that one block holds.
 BLOCK = 512
 #: Runs up to this long are compared many at a time; pairs compared at once.
@@ -146,7 +144,7 @@ def _links(percent: int):
     """Confirmed links (a, b) of different components, for each run of (key, i, j); runs may cross batches.
 
     Every pair is looked at once, under the first key that it shares, and compared
-    on the full sets that the rows carry if its signatures are near enough.
+    on the full sets that the rows carry, however far apart its signatures are.
     """
 
     def found(frame: pd.DataFrame) -> pd.DataFrame:
@@ -160,7 +158,7 @@ def _links(percent: int):
         def checked(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
             fits = (component[x] != component[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
             x, y = x[fits], y[fits]
-            k = (_first_shared(sig, x, y) == code[x, 0] >> 48) & ((sig[x] != sig[y]).sum(1) <= FOUND_WITHIN)
+            k = _first_shared(sig, x, y) == code[x, 0] >> 48
             out = []
             for p, q in zip(x[k].tolist(), y[k].tolist()):
                 a, b = (sets[p], sets[q]) if size[p] <= size[q] else (sets[q], sets[p])

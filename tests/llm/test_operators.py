@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -247,6 +248,18 @@ def test_links_between_components_of_one_bucket_are_found(spark):
     assert got == components(data, 4, 80)
 
 
+def test_pairs_that_share_a_key_are_checked_on_their_sets_at_any_distance():
+    """Signatures that agree in one chunk alone; 8 of 10 shingles shared is a link, 7 of 10 is none."""
+    one = np.arange(near_dups.SYMBOLS, dtype=np.uint16)
+    other = one + np.uint16(100)
+    other[: near_dups.PER_CHUNK] = one[: near_dups.PER_CHUNK]
+    rest = {"key": 1 << 48, "i": 0, "j": 0, "block": 0}
+    for shared, links in ((8, [(1, 2)]), (7, [])):
+        sets = [np.arange(9), np.r_[np.arange(shared), 100 : 109 - shared]]
+        frame = pd.DataFrame([{**rest, "node": n, "component": n, "sig": sig.tobytes(), "shingles": s} for n, sig, s in zip((1, 2), (one, other), sets)])
+        assert [tuple(r) for out in near_dups._links(80)(iter([frame])) for r in out.to_numpy().tolist()] == links
+
+
 def test_without_near_duplicates_keeps_one_each(spark, docs):
     out = near_dups.without_near_duplicates(docs, 5)
     assert out.columns == docs.columns
