@@ -2,12 +2,13 @@
 
 The inverted index maps the fingerprint hash of GRAM words to the places where
 templates hold it. A document's fingerprints that it holds give candidate
-regions, one for each template and stretch of document; each is aligned with the
-template inside a band of BAND words around its diagonal.
+diagonals (document place minus template place); around each of them the template
+is aligned inside a band of BAND words, and the stretches that do not overlap are kept.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,56 +92,81 @@ class Index:
         return which, np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best alignment of the template with a stretch of ``words``.
+def stretches(template: np.ndarray, words: np.ndarray, shift: int, least: int, band: int = BAND) -> list[tuple[int, int, int]]:
+    """(end, first, matched) of the stretches of ``words`` that match ``least`` or more words of the template around one diagonal.
 
     Template word i may match words i + shift - band .. i + shift + band; gaps are
-    free inside the band, so the score is the longest common subsequence there.
-    Among the best the shortest stretch is taken.
+    free inside the band, so the score of a stretch is the longest common
+    subsequence there. For each score come the stretches that hold no shorter one of it.
     """
-    width = 2 * band + 1
-    score = np.zeros(width, np.int64)
-    first = np.full(width, np.iinfo(np.int64).min)  # latest start of a best alignment
-    end_of = np.full(width, -1)
-    for i in range(len(template)):
-        at = i + shift - band + np.arange(width)
-        inside = (at >= 0) & (at < len(words))
-        equal = np.zeros(width, bool)
-        equal[inside] = words[at[inside]] == template[i]
-        # Offsets move by one with i: staying on a word means one offset more.
-        up_s, up_f, up_e = np.append(score[1:], 0), np.append(first[1:], first[0] * 0 + np.iinfo(np.int64).min), np.append(end_of[1:], -1)
-        new_s, new_f, new_e = up_s.copy(), up_f.copy(), up_e.copy()
-        for b in range(width):
-            if equal[b]:
-                s, f = score[b] + 1, (first[b] if score[b] else at[b])
-                if (s, f) > (new_s[b], new_f[b]):
-                    new_s[b], new_f[b], new_e[b] = s, f, at[b] + 1
-            if b and (new_s[b - 1], new_f[b - 1]) > (new_s[b], new_f[b]):
-                new_s[b], new_f[b], new_e[b] = new_s[b - 1], new_f[b - 1], new_e[b - 1]
-        score, first, end_of = new_s, new_f, new_e
-    best = max(range(width), key=lambda b: (score[b], first[b], -end_of[b]))
-    return int(score[best]), int(first[best]), int(end_of[best])
+    n = len(template)
+    lo, hi = max(shift - band, 0), min(shift + n + band, len(words))
+    least = max(least, 1)
+    if hi - lo < least:
+        return []
+    off = np.arange(lo - shift, hi - shift)[:, None] - np.arange(n)
+    match = (words[lo:hi, None] == template) & (np.abs(off) <= band)
+    if match.any(0).sum() < least:
+        return []
+    at = np.flatnonzero(match.any(1))
+    # score[a, j]: the best of the template's first j words and the words from the a-th of ``at`` on.
+    score = np.zeros((len(at), n + 1), np.int32)
+    reached = np.zeros((len(at), len(at)), np.int32)
+    for e, w in enumerate(at):
+        old = score[: e + 1]
+        new = np.maximum(old[:, 1:], np.where(match[w], old[:, :-1] + 1, 0))
+        score[: e + 1, 1:] = np.maximum.accumulate(new, axis=1)
+        reached[e] = score[:, n]
+    out = []
+    for m in range(least, int(reached[-1].max()) + 1):
+        a = np.flatnonzero(reached[-1] >= m)
+        e = (reached[:, a] >= m).argmax(0)
+        last = np.append(e[1:] != e[:-1], True)  # of one end the latest start
+        out += [(lo + int(at[y]) + 1, lo + int(at[x]), m) for x, y in zip(a[last], e[last])]
+    return out
+
+
+def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
+    """(matched words, first, end) of the best alignment around one diagonal; among the best the shortest stretch, then the first."""
+    found = [(m, a - e, -a, e) for e, a, m in stretches(template, words, shift, 1, band)]
+    m, _, a, e = max(found, default=(0, 0, 0, 0))
+    return m, -a, e
+
+
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (end, first, matched) those without overlap that match most words in all; then the fewest, the shortest, the first."""
+    ends, best, back = [0], [(0, 0, 0)], [(0, (0, 0, 0))]
+    for one in sorted(found):
+        e, a, m = one
+        i = bisect_right(ends, a) - 1
+        value = (best[i][0] + m, best[i][1] - 1, best[i][2] - (e - a))
+        if value > best[-1]:
+            if ends[-1] == e:
+                best[-1], back[-1] = value, (i, one)
+            else:
+                ends.append(e), best.append(value), back.append((i, one))
+    out, i = [], len(ends) - 1
+    while i:
+        i, one = back[i]
+        out.append(one)
+    return out[::-1]
 
 
 def scan_text(words: np.ndarray, index: Index, coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, end word) of the reports in one text; equal stretches of one template once."""
+    """(template, matched, first word, end word) of the reports in one text.
+
+    Every diagonal with a fingerprint is aligned. Stretches of one template do not
+    overlap: of all that cover it, those are kept that match most words in all.
+    """
     g = _grams(words)
     at = _winnowed(g)
     which, entry = index.hits(g[at])
-    found: dict[tuple[int, int, int], int] = {}
-    if len(which):
-        template = index.template[entry]
-        shift = at[which] - index.place[entry]
-        order = np.lexsort((shift, template))
-        template, shift = template[order], shift[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (template[1:] != template[:-1]) | (shift[1:] - shift[:-1] > BAND // 2)
-        for i in np.flatnonzero(new):
-            t = int(template[i])
-            matched, first, end = align(index.words[t], words, int(shift[i]))
-            if matched >= coverage * len(index.words[t]):
-                found[t, first, end] = max(matched, found.get((t, first, end), 0))
-    return sorted((t, m, a, b) for (t, a, b), m in found.items())
+    found: dict[int, set[tuple[int, int, int]]] = {}
+    for t, shift in set(zip(index.template[entry].tolist(), (at[which] - index.place[entry]).tolist())):
+        n = len(index.words[t])
+        least = next(m for m in range(n + 2) if m >= coverage * n or m > n)
+        found.setdefault(t, set()).update(stretches(index.words[t], words, shift, least))
+    return sorted((t, m, a, e) for t, some in found.items() for e, a, m in apart(some))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -149,7 +175,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     Words are runs of ASCII letters and digits, A-Z lower-cased, and non-ASCII
     characters. start and end are code points of the text, end exclusive. Null
     and empty texts, and texts without a stretch, give no row; rows that repeat
-    report each. Templates are a parameter and go to every task.
+    report each. Stretches of one license in one text do not overlap. Templates are a parameter and go to every task.
     """
     index = Index.of(TEMPLATES if templates is None else templates)
 

@@ -180,6 +180,41 @@ def test_license_scan(spark, docs):
     assert licenses.license_scan(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("gap", range(14))
+def test_every_notice_of_a_run_is_found(gap):
+    """Whole notices any number of words apart, also beside notices of four of their five words."""
+    index = licenses.Index.of(licenses.TEMPLATES)
+    whole, part = "released under the mit license".split(), "released under the mit".split()
+    for notices in ([whole] * 9, [part, whole, part, part, whole]):
+        words, spans = ["start"], []
+        for w in notices:
+            spans.append((len(w), len(words), len(words) + len(w)))
+            words += w + [f"gap{i}" for i in range(gap)]
+        h = word_spans([" ".join(words).encode()])[0]
+        got = [r[1:] for r in licenses.scan_text(h, index, 0.8) if index.names[r[0]] == "MIT-notice"]
+        assert sorted(got, key=lambda r: r[1]) == spans
+
+
+def test_stretches_apart_match_most_words_of_all():
+    """Beside every choice of stretches without overlap, by brute force."""
+    r = random.Random(8)
+    for _ in range(20):
+        t = np.array([r.randrange(4) for _ in range(5)], np.uint64)
+        d = np.array([r.randrange(4) for _ in range(14)], np.uint64)
+        best = [0] * 15
+        for e in range(1, 15):
+            best[e] = best[e - 1]
+            for a in range(e):
+                m = [[0] * (e - a + 1) for _ in range(6)]
+                for i in range(5):
+                    for j in range(e - a):
+                        m[i + 1][j + 1] = m[i][j] + 1 if t[i] == d[a + j] else max(m[i][j + 1], m[i + 1][j])
+                if m[5][-1] >= 4:
+                    best[e] = max(best[e], best[a] + m[5][-1])
+        got = licenses.apart(set(licenses.stretches(t, d, 0, 4, 20)))
+        assert sum(m for _, _, m in got) == best[14] and all(x[0] <= y[1] for x, y in zip(got, got[1:]))
+
+
 def test_banded_alignment_is_the_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(30):
