@@ -126,19 +126,32 @@ def kinematics(grid: DataFrame, keys: list[str], u: str, v: str, step: float, to
     return g.withColumns(out).select(*grid.columns, *out).drop("_qu", "_qv")
 
 
-def coast_distance(cells: DataFrame, land: str = "land", reach: int = 8) -> DataFrame:
-    """Distance of every cell, in cells, to the nearest cell of the other kind; null beyond ``reach``.
+def coast_distance(cells: DataFrame, land: str = "land") -> DataFrame:
+    """Distance of every cell, in cells, to the nearest cell of the other kind, however far; null only if there is none.
 
-    Only cells with a neighbour of the other kind are targets; each spreads over
-    the box of its reach, so the join is on (row, col).
+    An exact transform in two passes: along each row the distance to the nearest
+    cell of either kind, by windows over all columns that the grid has; then along
+    each column the least sum of squares.
     """
-    near = Window.partitionBy("row").orderBy("col")
-    down = Window.partitionBy("col").orderBy("row")
-    other = lambda w: F.coalesce(F.lag(land).over(w) != F.col(land), F.lit(False)) | F.coalesce(F.lead(land).over(w) != F.col(land), F.lit(False))
-    edge = cells.withColumn("_edge", other(near) | other(down)).where("_edge")
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    spread = edge.select(F.col(land).alias("_kind"), F.col("row").alias("_er"), F.col("col").alias("_ec"), F.explode(around).alias("_dr")).withColumn("_dc", F.explode(around))
-    spread = spread.select("_kind", (F.col("_er") + F.col("_dr")).alias("row"), (F.col("_ec") + F.col("_dc")).alias("col"), (F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc")).alias("_d2"))
-    got = spread.groupBy("row", "col", "_kind").agg(F.min("_d2").alias("_d2"))
-    out = cells.join(got, (cells["row"] == got["row"]) & (cells["col"] == got["col"]) & (cells[land] != got["_kind"]), "left")
-    return out.select(*[cells[c] for c in cells.columns], F.sqrt("_d2").alias("coast_cells"))
+    known = cells.where(F.col("row").isNotNull() & F.col("col").isNotNull() & F.col(land).isNotNull())
+    lines = known.select("row").distinct().crossJoin(F.broadcast(known.agg(F.collect_set("col").alias("_cs"))))  # one row
+    kinds = known.groupBy("row", "col").agg(F.max(F.col(land)).alias("_l"), F.max(~F.col(land)).alias("_s"))
+    full = lines.select("row", F.explode("_cs").alias("col")).join(kinds, ["row", "col"], "left")
+    along = Window.partitionBy("row").orderBy("col")
+    before, after = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
+
+    def square(kind: str):
+        at = F.when(F.col(kind), F.col("col"))
+        d = F.least(F.col("col") - F.last(at, True).over(before), F.first(at, True).over(after) - F.col("col")).cast("long")
+        return d * d
+
+    line = full.select("row", "col", square("_l").alias("l"), square("_s").alias("s")).groupBy("col").agg(F.collect_list(F.struct("row", "l", "s")).alias("_q"))
+
+    def least(x, kind: str):
+        return F.array_min(F.transform("_q", lambda y: (x["row"] - y["row"]).cast("long") * (x["row"] - y["row"]).cast("long") + y[kind]))
+
+    both = F.transform("_q", lambda x: F.struct(x["row"].alias("row"), least(x, "l").alias("_dl"), least(x, "s").alias("_ds")))
+    got = line.select("col", F.explode(both).alias("_x")).select("col", "_x.*")
+    out = cells.join(got, (cells["row"] == got["row"]) & (cells["col"] == got["col"]), "left")
+    d2 = F.when(cells[land], F.col("_ds")).when(~cells[land], F.col("_dl"))
+    return out.select(*[cells[c] for c in cells.columns], F.sqrt(d2).alias("coast_cells"))

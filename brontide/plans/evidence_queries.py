@@ -102,7 +102,7 @@ def _(s, d):
 
 @add("j15_coast_distance", f"WITH {GRID}, l AS (SELECT row, col, v >= 25 AS land FROM grid) SELECT a.row, a.col, a.land, round(sqrt(min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col))), 5) AS coast_cells FROM l a LEFT JOIN l b ON b.land <> a.land AND abs(a.row - b.row) <= 6 AND abs(a.col - b.col) <= 6 GROUP BY ALL")
 def _(s, d):
-    return rounded(G.coast_distance(grid(s, d).select("row", "col", (F.col("v") >= 25).alias("land")), reach=6), 5)
+    return rounded(G.coast_distance(grid(s, d).select("row", "col", (F.col("v") >= 25).alias("land"))), 5)
 
 
 # --- evidence -----------------------------------------------------------------------

@@ -207,3 +207,16 @@ def test_spans_to_tags_and_back(spark):
 def test_unit_of_thickness_is_a_column(spark):
     r = one(spark, C.lapse_rate(F.lit(20.0), F.lit(-10.0), F.lit(4.4)).alias("a"), C.dew_point(F.lit(30.0), F.lit(50.0)).alias("b"))
     assert r["a"] == pytest.approx(30 / 4.4) and r["b"] == pytest.approx(18.4, abs=0.3)
+
+
+def test_coast_distance_is_exact_at_any_distance(spark):
+    """One sea cell in a corner, its nearest row and column neighbours beyond a box of 6; a line with gaps; unknown and no other kind."""
+    cells = [(r, c, not (r == 0 and c == 0)) for r in range(12) for c in range(30) if (r + c) % 5 or c % 3 == 0]
+    cells += [(20, 40, False), (13, 47, False), (25, 3, None)]
+    got = {(r["row"], r["col"]): r["coast_cells"] for r in G.coast_distance(spark.createDataFrame(cells, "row int, col int, land boolean")).collect()}
+    assert len(got) == len(cells)
+    for r, c, kind in cells:
+        far = [(r - y) ** 2 + (c - x) ** 2 for y, x, k in cells if kind is not None and k is not None and k != kind]
+        assert got[r, c] == (pytest.approx(math.sqrt(min(far))) if far else None)
+    alone = G.coast_distance(spark.createDataFrame([(0, 0, True), (0, 1, True)], "row int, col int, land boolean"))
+    assert [r["coast_cells"] for r in alone.collect()] == [None, None]
