@@ -146,8 +146,11 @@ def personal_spans(docs: DataFrame, support: int = SUPPORT, generalise: float =
     text = F.coalesce("text", F.lit(""))
 
     def around(s):
-        left = F.regexp_replace(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))), r"^" + NOT_SPACE, "")
-        right = F.regexp_replace(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), NOT_SPACE + "$", "")
+        # One character more on each side tells whether the word at the edge is whole; at the ends of the text it is.
+        left = F.substring(text, F.greatest(s["start"] - CONTEXT - 1, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT + 1)))
+        left = F.when(s["start"] > CONTEXT, F.regexp_replace(left, r"^" + NOT_SPACE, "")).otherwise(left)
+        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT + 1))
+        right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, NOT_SPACE + r"\z", "")).otherwise(right)
         words = F.array_sort(_terms(F.concat_ws(" ", left, right)))
         return F.struct(F.concat_ws(":", s["kind"].cast("string"), s["value"]).alias("entity"), words.alias("words"))
 

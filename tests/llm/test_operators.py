@@ -359,6 +359,17 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert out[90] == "who runs  today" and "[EMAIL]" in out[0] and "boss" not in out[0] and out[10] == data[6][1] and out[91] is None
 
 
+def test_words_at_the_edges_of_a_context_count_if_they_are_whole(spark):
+    """First and last words of texts, words that end with the 80 characters, and words that these cut."""
+    fill = lambda i, n: f"{'-' * (n - 5)} n{i} "
+    data = [(i, f"firstly n{i} a@x.example n{i} lastly") for i in range(4)] + [(10 + i, f"u wholly {fill(i, 74)}b@x.example {fill(i, 74)}entire u") for i in range(4)]
+    data += [(20 + i, f"u prefix {fill(i, 75)}c@x.example {fill(i, 75)}suffix u") for i in range(4)] + [(30 + i, prose(i, 20)) for i in range(60)]
+    probes = {"firstly": True, "lastly": True, "wholly": True, "entire": True, "prefix": False, "refix": False, "suffix": False, "suffi": False}
+    data += [(100 + i, f"see {w} here") for i, w in enumerate(probes)]
+    got = {r["doc_id"]: r["spans"] for r in privacy.personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {w: got[100 + i] for i, w in enumerate(probes)} == {w: f"removed:4:{4 + len(w)}" if yes else "" for w, yes in probes.items()}
+
+
 # --- 6 ---------------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
