@@ -95,7 +95,7 @@ def _(s, d):
 
 def _stream(s, d, name="events"):
     schema = table(s, d, name).schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return s.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")  # as a pattern it may be a file or a folder of files
 
 
 def _place(s) -> str:
@@ -113,12 +113,12 @@ def _flagged_stream(s, d):
 
 @add("x1_stream_hourly_labels")
 def _(s, d):
-    return J.run_once(J.hourly_labels(_flagged_stream(s, d), "point_id", "valid", ["ts_any", "fog"], "0 seconds"), "hourly", _place(s))
+    return J.run_whole(J.hourly_labels(_flagged_stream(s, d), "point_id", "valid", ["ts_any", "fog"], "0 seconds"), "hourly", _place(s))
 
 
 @add("x2_stream_window_labels")
 def _(s, d):
-    return J.run_once(J.window_labels(_flagged_stream(s, d), "point_id", "valid", ["ts_any", "fog"], "0 seconds"), "windows", _place(s))
+    return J.run_whole(J.window_labels(_flagged_stream(s, d), "point_id", "valid", ["ts_any", "fog"], "0 seconds"), "windows", _place(s))
 
 
 @add("x3_stream_distinct_reports")

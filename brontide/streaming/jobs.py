@@ -69,3 +69,15 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/{name}-state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def run_whole(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over what its source holds now and return every group, those of windows still open too."""
+    out = f"{checkpoint}/{name}-out"
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    query = stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{checkpoint}/{name}-state").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
