@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the word contracts use it: space, tab, LF, VT, FF, CR.
@@ -52,6 +52,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
 
 
+#: Numbers of a run in prefix_sums.
+PREFIX_RUN = 1024
+
+
+def prefix_sums(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` over the rows of its key with a smaller ``order`` (whole numbers from 0, each once a key).
+
+    Sums go by runs of numbers first and then inside each run, so that a task
+    sorts a run or one row for each run, not all rows of a key.
+    """
+    run = F.expr(f"{order} div {PREFIX_RUN}")
+    runs = df.withColumn("_run", run)
+    upto = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = runs.groupBy(key, "_run").agg(F.sum(value).alias("_s")).select(key, "_run", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return runs.join(before, [key, "_run"]).withColumn(out, F.col("_before") + F.col("_in")).drop("_run", "_before", "_in")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads the bits of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

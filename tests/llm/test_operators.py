@@ -166,6 +166,51 @@ def test_mixed_documents_hold_what_is_taken(spark, docs):
     assert {d: n for d, n in wanted.items() if n} == dict(by)
 
 
+def test_shard_counts_follow_the_multinomial_law(spark):
+    """Counts of 400 shards of 100 slots: means n p, variances n p (1 - p), covariances -n p q, whole shards and whole totals."""
+    quota = {"a": 22000, "b": 12000, "c": 6000}
+    first, rows_ = 0, []
+    for s, n in quota.items():
+        rows_.append((s, first, n))
+        first += n
+    got = mixing.shard_counts(spark.createDataFrame(rows_, "source_key string, _first long, _count long"), 5, 100).collect()
+    count = np.zeros((400, 3))
+    for r in got:
+        count[r["shard"], "abc".index(r["source_key"])] += r["n"]
+    p = np.array([0.55, 0.3, 0.15])
+    assert (count.sum(1) == 100).all()
+    assert np.abs(count.mean(0) - 100 * p).max() < 4 * np.sqrt(100 * 0.25 / 400)
+    want = 100 * (np.diag(p) - np.outer(p, p))
+    assert np.abs(np.cov(count.T) - want).max() < 0.25 * want.max()
+
+
+def test_slots_meet_their_quotas_and_shards_keep_what_was_drawn(spark, docs):
+    """Every (shard, slot) once, every source's words to the word, and counts a shard within what was moved."""
+    _, slots, _ = mixing.mix_plan(docs, block_words=4)
+    got = slots.collect()
+    places = sorted((r["shard"], r["slot"]) for r in got)
+    assert places == [(i // mixing.SHARD_SLOTS, i % mixing.SHARD_SLOTS) for i in range(len(got))]
+    assert len({(r["source_key"], r["block"]) for r in got}) < len(got)
+    words = Counter()
+    for r in got:
+        words[r["source_key"]] += r["words"]
+    sizes = Counter()
+    for _, t, _, s, _ in documents():
+        sizes[s] += len(SPACE_WORD.findall(t or ""))
+    want = shares(sizes)
+    assert {k: n for k, n in words.items()} == {"n" if s is None else "s" + s: round(x) for s, x in want.items() if round(x)}
+
+
+def test_prefix_sums(spark, monkeypatch):
+    from brontide.llm import shared
+
+    monkeypatch.setattr(shared, "PREFIX_RUN", 4)
+    r = random.Random(2)
+    data = [(k, i, r.randrange(9)) for k in "ab" for i in range(30) if r.random() < 0.6]
+    got = shared.prefix_sums(spark.createDataFrame(data, "k string, i long, v long"), "k", "i", "v", "s")
+    assert rows(got, "k", "i", "v", "s") == sorted(((k, i, v, sum(y for a, j, y in data if a == k and j < i)) for k, i, v in data), key=repr)
+
+
 # --- 3 ---------------------------------------------------------------------------
 def test_license_scan(spark, docs):
     a, b = licenses.TEMPLATES["MIT"], "Released under the MIT License."
