@@ -404,6 +404,82 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert out[90] == "who runs  today" and "[EMAIL]" in out[0] and "boss" not in out[0] and out[10] == data[6][1] and out[91] is None
 
 
+def brute_terms(data, near=privacy.CONTEXT):
+    """Terms and shares by the module's definition, counted in documents."""
+    n, words, ne, nte, contexts = len(data), Counter(), Counter(), Counter(), {}
+    for _, t in data:
+        t = t or ""
+        words.update({w.lower() for w in SPACE_WORD.findall(t)})
+        mine = {}
+        for span in base_spans(t):
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            left, right = t[max(0, a - near - 1) : a], t[b : b + near + 1]
+            if a > near:
+                left = re.sub(r"^[^\x20\x09-\x0D]+", "", left)
+            if len(right) > near:
+                right = re.sub(r"[^\x20\x09-\x0D]+\Z", "", right)
+            by = sorted(w.lower() for w in SPACE_WORD.findall(left + " " + right) if re.search(r"[^\W\d_]", w))
+            mine.setdefault((kind, t[a:b]), set()).update(by)
+            contexts.setdefault((kind, t[a:b]), set()).add(tuple(by))
+        ne.update(mine.keys())
+        nte.update((e, w) for e, by in mine.items() for w in by)
+    best = {}
+    for (e, w), c in nte.items():
+        if sum(w in x for x in contexts[e]) >= 3:
+            content = math.log2(n / ne[e])
+            best[w] = max(best.get(w, 0.0), math.log2(c * n / (words[w] * ne[e])) / content if content > 0 else 0.0)
+    return {w: s for w, s in best.items() if s >= 0.5}
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    r = random.Random(12)
+    people = [f"p{i}@corp{i % 3}.example" for i in range(6)]
+    data = []
+    for i in range(160):
+        t = prose(1000 + i, 30)
+        for _ in range(r.randrange(3)):
+            who = r.randrange(6)
+            t += f" {r.choice(['Desk', 'near', 'by'])} room{who} {people[who]} (Team-{who % 3}) " + prose(r.randrange(9), 6)
+        data.append((i, t))
+    data += [(200 + i, data[5][1]) for i in range(8)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_terms(data)
+    assert any(s >= 0.8 for s in want.values()) and any(s < 0.8 for s in want.values())
+    expect = {}
+    for d, t in data:
+        spans = [(s.split(":")[0], int(s.split(":")[1]), int(s.split(":")[2])) for s in base_spans(t or "")]
+        more = sorted((want[m[0].lower()] < 0.8, m.start(), m.end()) for m in SPACE_WORD.finditer(t or "") if m[0].lower() in want)
+        expect[d] = ",".join([f"{k}:{a}:{b}" for k, a, b in spans] + [f"{'generalised' if g else 'removed'}:{a}:{b}" for g, a, b in more])
+    assert {r["doc_id"]: r["spans"] for r in privacy.personal_data(df).collect()} == expect
+
+
+def test_privacy_of_empty_tables_and_rows_without_id(spark, empty):
+    assert privacy.personal_data(empty).collect() == [] and privacy.sanitised(empty).collect() == []
+    two = spark.createDataFrame([(None, "a@b.example"), (None, None), (None, "a@b.example")], "doc_id long, text string")
+    assert sorted(r["spans"] for r in privacy.personal_data(two).collect()) == ["", "email:0:11", "email:0:11"]
+    assert sorted(map(repr, (r["text"] for r in privacy.sanitised(two).collect()))) == ["'[EMAIL]'", "'[EMAIL]'", "None"]
+
+
+def test_privacy_of_very_long_texts(spark):
+    """100,000 addresses in one text, a blob of a million letters beside an address, and a million words."""
+    logs = " ".join(f"10.{i // 65536 % 256}.{i // 256 % 256}.{i % 256}" for i in range(100_000))
+    blob = "Q" * 1_000_000 + " a@b.example " + "7" * 300_000 + ".1"
+    data = [(1, logs), (2, blob), (3, "x y " * 500_000 + "c@d.example")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in privacy.personal_data(df).collect()}
+    assert [got[i]["n_ip"] for i in (1, 2, 3)] == [100_000, 0, 0] and [got[i]["n_email"] for i in (1, 2, 3)] == [0, 1, 1]
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(base_spans(logs)).encode()).hexdigest()
+    out = {r["doc_id"]: r["text"] for r in privacy.sanitised(df).collect()}
+    assert out[1] == " ".join(["[IP]"] * 100_000) and out[2] == blob.replace("a@b.example", "[EMAIL]") and out[3].endswith("x y [EMAIL]")
+
+
+def test_regions_of_overlapping_spans_are_replaced_whole(spark):
+    text = "t " * 600 + "id 10.0.0.1@host.example and +4915112345678@x.example " + "u " * 600
+    got = privacy.sanitised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert got == "t " * 600 + "id [EMAIL] and [EMAIL] " + "u " * 600
+
+
 def test_words_at_the_edges_of_a_context_count_if_they_are_whole(spark):
     """First and last words of texts, words that end with the 80 characters, and words that these cut."""
     fill = lambda i, n: f"{'-' * (n - 5)} n{i} "
