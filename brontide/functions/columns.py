@@ -105,35 +105,43 @@ def lapse_rate(t_low, t_high, thickness_km) -> Column:
     return F.when(col(thickness_km) > 0, (col(t_low) - col(t_high)) / col(thickness_km))
 
 
-def storm_features(df: DataFrame, temp="t2m_c", dew="dpt2m_c", wind="wind10", gust="gust", cape="cape", shear="shear") -> DataFrame:
-    """Dew-point spread, gust factor, log1p of CAPE (not below zero), and a storm index CAPE x shear."""
-    safe = F.greatest(col(cape), F.lit(0.0))
+def storm_features(df: DataFrame, temp="t2m_c", dew="dpt2m_c", wind="wind10", gust="gust", cape="cape", cape_ml="cape_ml", pwat="pwat", lifted="lftx") -> DataFrame:
+    """Dew-point spread, gust over wind + 1, log1p of surface and mixed-layer CAPE (not below zero), storm index log CAPE x precipitable water / 50, negated lifted index."""
+    log_cape = lambda c: F.log1p(F.when(col(c).isNotNull(), F.greatest(col(c), F.lit(0.0))))
     return df.withColumns({
         "td_spread": col(temp) - col(dew),
-        "gust_factor": F.when(col(wind) > 0, col(gust) / col(wind)),
-        "log_cape": F.log1p(F.when(col(cape).isNotNull(), safe)),
-        "storm_index": F.sqrt(F.when(col(cape).isNotNull(), safe)) * col(shear),
+        "gust_factor": col(gust) / (col(wind) + 1.0),
+        "log_cape": log_cape(cape),
+        "log_cape_ml": log_cape(cape_ml),
+        "storm_index": log_cape(cape) * col(pwat) / 50.0,
+        "neg_lifted": -col(lifted),
     })
 
 
 # --- present weather ---------------------------------------------------------
 def weather_flags(codes: Column | str) -> dict[str, Column]:
-    """Flags of present-weather tokens. VC* tokens are in the vicinity; + marks only heavy rain; null codes give false."""
-    tokens = F.split(F.upper(F.trim(F.coalesce(col(codes), F.lit("")))), r"\s+")
+    """Flags of present-weather tokens; null codes give false.
+
+    Signs do not count, but + marks heavy rain. VC* tokens are in the vicinity:
+    of them only thunder has a flag. Fog is FG or FZFG alone, so shallow and
+    partial fog (MIFG, BCFG, PRFG) is none; squalls count wherever they are.
+    """
+    tokens = F.split(F.trim(F.coalesce(col(codes), F.lit(""))), r"\s+")
+    here = r"^[+-]*+(?!VC).*"
 
     def any_token(pattern: str) -> Column:
         return F.exists(tokens, lambda t: t.rlike(pattern))
 
-    here = r"^(?!VC)[+-]?"
+    at, near = any_token(here + "TS"), any_token(r"^[+-]*+VC.*TS")
     return {
-        "ts_at": any_token(here + r"[A-Z]*TS"),
-        "ts_vc": any_token(r"^VC[A-Z]*TS"),
-        "rain_any": any_token(here + r"[A-Z]*(?:RA|DZ|UP)"),
-        "rain_heavy": any_token(r"^\+[A-Z]*RA"),
-        "fog_code": any_token(here + r"[A-Z]*FG"),
-        "dust": any_token(here + r"[A-Z]*(?:DU|SA|DS|SS|PO)"),
-        "squall": any_token(here + r"[A-Z]*SQ"),
-        "snow": any_token(here + r"[A-Z]*(?:SN|SG|GS)"),
+        "ts_at": at,
+        "ts_vc": near,
+        "ts_any": at | near,
+        "rain_any": any_token(here + "(?:RA|DZ)"),
+        "rain_heavy": any_token(r"^\+.*RA"),
+        "dust": any_token(here + "(?:DU|SA|SS|DS|PO)"),
+        "squall": any_token("SQ"),
+        "fog_code": any_token(r"^[+-]*(?:FZ)?FG$"),
     }
 
 
@@ -146,7 +154,7 @@ def cyclic_time(ts: Column | str, lon: Column | str | None = None) -> dict[str,
     """sin and cos of hour, local solar hour (UTC hour + longitude / 15) and day of year."""
     ts = col(ts).cast("timestamp")
     hour = F.hour(ts) + F.minute(ts) / 60.0
-    year = (F.dayofyear(ts) - 1) / 365.25
+    year = F.dayofyear(ts) / 365.25
     parts = {"hour": hour / 24, "doy": year}
     if lon is not None:
         parts["solar"] = F.pmod(hour + col(lon) / 15.0, F.lit(24.0)) / 24

@@ -16,6 +16,9 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicR
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .metrics import quantiles
+
 
 @dataclass(frozen=True)
 class Target:
@@ -89,9 +92,11 @@ def predict_ranges(tree, leaves: DataFrame, df: DataFrame, features: Sequence[st
 
 
 def conformal_margin(val: DataFrame, y: str, lo: str, hi: str, share: float = 0.8) -> DataFrame:
-    """One row: the share-quantile of how far the truth lies outside the range (negative inside)."""
-    outside = F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi))
-    return val.agg(F.percentile(outside, F.lit(share)).alias("margin"))
+    """One row: of n values of how far the truth lies outside the range (negative inside), the quantile at share * (1 + 1 / n), at most 1."""
+    outside = val.select(F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi)).alias("_o")).where("_o IS NOT NULL")
+    n = outside.count()
+    level = min(1.0, share * (1 + 1 / n)) if n else share
+    return quantiles(outside, "_o", [level]).select(F.col("quantiles")[0].alias("margin"))
 
 
 def calibrated_interval(df: DataFrame, lo: str, mid: str, hi: str, margin: Column | str) -> DataFrame:
@@ -102,8 +107,8 @@ def calibrated_interval(df: DataFrame, lo: str, mid: str, hi: str, margin: Colum
 
 def static_interval(train: DataFrame, y: str, f: str, taus: tuple[float, float] = (0.1, 0.9)) -> DataFrame:
     """One row: residual quantiles of training rows, the range a forecast has without a model."""
-    q = F.percentile(F.col(y) - F.col(f), F.array(*[F.lit(t) for t in taus]))
-    return train.agg(q.alias("_q")).select(F.col("_q")[0].alias("r_lo"), F.col("_q")[1].alias("r_hi"))
+    q = quantiles(train, F.col(y) - F.col(f), list(taus))
+    return q.select(F.col("quantiles")[0].alias("r_lo"), F.col("quantiles")[1].alias("r_hi"))
 
 
 def stack_thresholds(df: DataFrame, amount: str, thresholds: Sequence[float]) -> DataFrame:
@@ -188,41 +193,56 @@ def rank_sources(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return model.transform(assembled(df, features)).withColumnRenamed("prediction", "rank_score").drop("features")
 
 
-def map_by_vectors(rows: DataFrame, labels: DataFrame, key: str, vector: str, label: str, threshold: float, allowed: Column | None = None) -> DataFrame:
-    """(key, label or unknown, similarity, runner_up, margin): nearest label vector by cosine; vetoed labels are out, a similarity below ``threshold`` abstains.
+#: Labels that one slice holds; a row meets one slice at a time.
+LABEL_SLICE = 1000
+
+
+def map_by_vectors(rows: DataFrame, labels: DataFrame, key: str, vector: str, label: str, threshold: float, family: str | None = None, families: str | None = None) -> DataFrame:
+    """(key, label or unknown, nearest, similarity, runner_up, margin): nearest label vector by cosine; a similarity below ``threshold`` abstains.
 
-    Labels are a fixed short list; their table is broadcast.
+    With ``family`` (a column of rows) and ``families`` (an array column of labels),
+    labels whose families leave out a row's known family are vetoed. Each row
+    meets slices of the labels and keeps the best two of each; a row all of
+    whose labels are vetoed is unknown.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with(F.col(vector), F.col("_lv"), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    lab = labels.select(F.col(label).alias("_l"), F.col("vector").alias("_lv"))
-    pairs = rows.join(F.broadcast(lab), allowed if allowed is not None else F.lit(True)).withColumn("_s", F.round(dot / (norm(F.col(vector)) * norm(F.col("_lv"))), 9))
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("_s", F.col("_l").cast("string").alias("l"))))), 1, 2)
-    top = pairs.groupBy(key).agg(best.alias("_b"))
+    dot = lambda v, w: F.aggregate(F.zip_with(v, w, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    n = labels.count()
+    slices = max(1, -(-n // LABEL_SLICE))
+    fams = F.col(families) if families else F.lit(None).cast("array<string>")
+    one = F.struct(F.col(label).cast("string").alias("l"), F.col("vector").alias("v"), norm(F.col("vector")).alias("n"), fams.alias("f"))
+    table = labels.groupBy(F.pmod(F.xxhash64(label), F.lit(slices)).cast("int").alias("_slice")).agg(F.collect_list(one).alias("_labels"))
+    allowed = (lambda x: F.coalesce(F.col(family).isNull() | F.array_contains(x["f"], F.col(family)), F.lit(True))) if family else (lambda x: F.lit(True))
+    pairs = rows.withColumn("_norm", norm(F.col(vector))).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(table, "_slice")
+    scored = F.transform(F.filter("_labels", allowed), lambda x: F.struct(F.round(dot(F.col(vector), x["v"]) / (F.col("_norm") * x["n"]), 9).alias("_s"), x["l"].alias("l")))
+    two = lambda c: F.slice(F.reverse(F.array_sort(c)), 1, 2)
+    top = pairs.select(key, two(scored).alias("_b")).groupBy(key).agg(two(F.flatten(F.collect_list("_b"))).alias("_b"))
     s, r = F.get("_b", 0), F.get("_b", 1)
     return top.select(key, F.when(s["_s"] >= threshold, s["l"]).otherwise("unknown").alias("mapped"), s["l"].alias("nearest"), s["_s"].alias("similarity"), r["l"].alias("runner_up"), (s["_s"] - r["_s"]).alias("margin"))
 
 
 def abstention_threshold(df: DataFrame, truth: str, nearest: str, similarity: str, steps: int = 71) -> DataFrame:
-    """(threshold, macro_f1): the similarity quantile with the highest macro-F1 over the true labels.
+    """(threshold, macro_f1): the similarity quantile with the highest macro-F1 over the true labels; ties to the smaller one.
 
-    Each row adds to the thresholds at or below its similarity; counts by (label,
-    threshold) are small.
+    Rows are first added up by true label, nearest label and how many thresholds
+    they reach; only these sums meet the thresholds.
     """
-    cuts = df.agg(F.percentile(F.col(similarity).cast("double"), F.array(*[F.lit(i / (steps - 1)) for i in range(steps)])).alias("_c"))
-    rows = df.join(F.broadcast(cuts)).withColumn("_t", F.explode(F.array_distinct("_c")))  # one row of cuts; steps rows for each row
-    said = F.col(similarity) >= F.col("_t")
-    each = rows.select("_t", F.explode(F.array(F.struct(F.col(truth).cast("string").alias("c"), F.lit(1).alias("support"), F.lit(0).alias("said"), (said & (F.col(truth).cast("string") == F.col(nearest).cast("string"))).cast("int").alias("tp")), F.struct(F.col(nearest).cast("string").alias("c"), F.lit(0).alias("support"), said.cast("int").alias("said"), F.lit(0).alias("tp")))).alias("m")).select("_t", "m.*")
-    per = each.groupBy("_t", "c").agg(F.sum("support").alias("s"), F.sum("said").alias("d"), F.sum("tp").alias("tp")).where("s > 0")
-    macro = per.groupBy("_t").agg(F.round(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("s") + F.col("d")), F.lit(0.0))), 9).alias("macro_f1"))
-    best = macro.agg(F.max(F.struct("macro_f1", (-F.col("_t")).alias("t"))).alias("_b"))
+    cuts = materialize(quantiles(df, similarity, [i / (steps - 1) for i in range(steps)]).select(F.array_distinct("quantiles").alias("_c")), "cuts")
+    rows = df.join(F.broadcast(cuts)).select(F.col(truth).cast("string").alias("_t"), F.col(nearest).cast("string").alias("_p"), F.size(F.filter("_c", lambda c: c <= F.col(similarity))).alias("_k"))  # one row of cuts
+    sums = rows.groupBy("_t", "_p", "_k").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(cuts))
+    each = sums.select("_t", "_p", "_k", "_n", F.posexplode("_c").alias("_i", "_cut")).withColumn("_said", F.when(F.col("_i") < F.col("_k"), F.col("_n")).otherwise(0))
+    hit = F.when(F.col("_t") == F.col("_p"), F.col("_said")).otherwise(0)
+    marks = F.array(F.struct(F.col("_t").alias("c"), F.col("_n").alias("support"), F.lit(0).cast("long").alias("said"), hit.alias("tp")), F.struct(F.col("_p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("_said").alias("said"), F.lit(0).cast("long").alias("tp")))
+    per = each.select("_cut", F.explode(marks).alias("m")).select("_cut", "m.*").groupBy("_cut", "c").agg(F.sum("support").alias("s"), F.sum("said").alias("d"), F.sum("tp").alias("tp")).where("s > 0")
+    macro = per.groupBy("_cut").agg(F.round(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("s") + F.col("d")), F.lit(0.0))), 9).alias("macro_f1"))
+    best = macro.agg(F.max(F.struct("macro_f1", (-F.col("_cut")).alias("t"))).alias("_b"))
     return best.select((-F.col("_b.t")).alias("threshold"), F.col("_b.macro_f1").alias("macro_f1"))
 
 
 def fit_bias(df: DataFrame, features: Sequence[str], observed: str, forecast: str, time: str, train_share: float = 0.8):
     """(scaler, model, cut): linear model of observed - forecast on standardised features, fitted on rows before the time quantile."""
     seconds = F.unix_seconds(F.col(time).cast("timestamp")).cast("double")
-    cut = df.agg(F.percentile(seconds, F.lit(train_share))).first()[0]  # one number
+    cut = quantiles(df, seconds, [train_share]).first()[0][0]  # one number
     rows = assembled(df.withColumns({"_y": F.col(observed) - F.col(forecast), "_s": seconds}).where("_y IS NOT NULL"), features)
     train = rows.where(F.col("_s") <= cut)
     scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(train)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+
 # Margins of the gates.
 COVERAGE_BAND, AUC_TOLERANCE, LEAST_BSS, LEAST_AUC, LEAST_MAE_GAIN, LEAST_N = (0.70, 0.90), 0.01, 0.005, 0.55, 0.01, 500
 
@@ -54,12 +56,11 @@ def no_contradiction(df: DataFrame, label: str, family: str, allowed: dict[str,
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null rate, least, median and largest of each numeric column, in one pass."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.avg(x.isNull().cast("double")).alias("null_rate"), F.min(x).alias("least"), F.percentile(x, F.lit(0.5)).alias("median"), F.max(x).alias("largest")).alias(f"_{c}"))
-    return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("_p")).select("_p.*")
+    """Null rate, least, median and largest of each numeric column: rows as (column, value), added up by value for the median."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_p")).select("_p.*")
+    base = long.groupBy("column").agg(F.avg(F.col("x").isNull().cast("double")).alias("null_rate"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    middle = quantiles(long, "x", [0.5], ["column"]).select("column", F.col("quantiles")[0].alias("median"))
+    return base.join(middle, "column", "left").select("column", "null_rate", "least", "median", "largest")
 
 
 def absences(df: DataFrame, key: str, field: str, expected: list[str]) -> DataFrame:
@@ -106,33 +107,57 @@ def unskilled_thresholds(m: DataFrame, target: str = "target") -> DataFrame:
     return bad.groupBy(target).agg(F.sort_array(F.collect_set("threshold")).alias("unskilled"))
 
 
-def zone_lead_validity(answers: DataFrame, zones: DataFrame, leads: DataFrame) -> DataFrame:
-    """valid and note of each answer from held-out skill by zone and by lead; the number of an invalid answer is withheld.
+def zone_lead_validity(answers: DataFrame, zones: DataFrame, leads: DataFrame, curves: DataFrame) -> DataFrame:
+    """valid and note of each answer (target, kind, zone, lead_bucket, value) from held-out skill; the number of an invalid answer is withheld.
 
-    zones: target, zone, zone_n, zone_bss. leads: target, lead_bucket, lead_n, lead_bss.
+    zones: target, zone, zone_n, zone_bss, zone_coverage. leads: target, lead_bucket,
+    lead_n, lead_bss. curves: target, threshold, zone, n, bss at key thresholds.
+    An event needs skill in the zone and none against it at the lead, a range
+    coverage within the band, a curve skill at one key threshold at least.
     """
-    a = answers.join(zones, ["target", "zone"], "left").join(leads, ["target", "lead_bucket"], "left")
-    note = (
-        F.when(F.coalesce(F.col("zone_n"), F.lit(0)) < LEAST_N, "no held-out evidence for the zone")
+    keys = curves.groupBy("target").agg(F.countDistinct("threshold").alias("_keys"))
+    good = curves.where((F.col("n") >= LEAST_N) & (F.col("bss") > 0)).groupBy("target", "zone").agg(F.countDistinct("threshold").alias("_good"))
+    a = answers.join(zones, ["target", "zone"], "left").join(leads, ["target", "lead_bucket"], "left").join(keys, "target", "left").join(good, ["target", "zone"], "left")
+    few = F.coalesce(F.col("zone_n"), F.lit(0)) < LEAST_N
+    at_some = F.lit("skill in the zone only at some thresholds")
+    event = (
+        F.when(few, "no held-out evidence for the zone")
         .when(F.coalesce(F.col("zone_bss") <= 0, F.lit(True)), "no skill in the zone")
         .when((F.col("lead_n") >= LEAST_N) & (F.col("lead_bss") <= 0), "no skill at the lead")
         .otherwise("ok")
     )
-    a = a.withColumn("note", note).withColumn("valid", F.col("note") == "ok")
-    return a.withColumn("value", F.when(F.col("valid"), F.col("value"))).drop("zone_n", "zone_bss", "lead_n", "lead_bss")
+    ranged = F.when(few, "no held-out evidence for the zone").when(~F.coalesce(F.col("zone_coverage").between(*COVERAGE_BAND), F.lit(False)), "range under- or over-covers in the zone").otherwise("ok")
+    curve = (
+        F.when(F.col("_keys").isNull(), "no held-out zone breakdown")
+        .when(F.col("_good").isNull(), "no skill in the zone at any key threshold")
+        .when(F.col("_good") < F.col("_keys"), at_some)
+        .otherwise("ok")
+    )
+    a = a.withColumn("note", F.when(F.col("kind") == "quantile", ranged).when(F.col("kind") == "curve", curve).otherwise(event))
+    a = a.withColumn("valid", F.col("note").isin("ok") | (F.col("note") == at_some))
+    return a.withColumn("value", F.when(F.col("valid"), F.col("value"))).drop("zone_n", "zone_bss", "zone_coverage", "lead_n", "lead_bss", "_keys", "_good")
 
 
 def layer_gates(m: DataFrame) -> DataFrame:
-    """passed of the five model kinds: mapping, intent, bias, calibration, ranking, each against its baseline."""
+    """passed and the parts that failed of each model (model, kind), from one row for each part: part, value, baseline, limit.
+
+    A mapping or an intent model beats its baseline with at most 0.05 of its fields
+    wrong, or a slot F1 of at least 0.5 (``limit``; a missing one is no fault). A
+    bias model has CRPS skill (value) in every variable, a calibration a Brier
+    score no worse than the baseline's at every threshold, a ranking a smaller
+    error than the baseline for one variable at least. A missing value fails.
+    """
     c = F.col
     ok = (
-        F.when(c("kind") == "mapping", (c("macro_f1") > c("baseline")) & (c("misassigned") <= 0.05))
-        .when(c("kind") == "intent", (c("macro_f1") > c("baseline")) & (c("slot_f1") >= 0.5))
-        .when(c("kind") == "bias", c("crps_skill") > 0)
-        .when(c("kind") == "calibration", c("brier") < c("baseline"))
-        .when(c("kind") == "ranking", (c("rmse") < c("baseline")) & (c("wins") >= 1))
+        F.when(c("kind") == "mapping", (c("value") > c("baseline")) & F.coalesce(c("limit") <= 0.05, F.lit(True)))
+        .when(c("kind") == "intent", (c("value") > c("baseline")) & F.coalesce(c("limit") >= 0.5, F.lit(True)))
+        .when(c("kind") == "bias", c("value") > 0)
+        .when(c("kind") == "calibration", c("value") <= c("baseline"))
+        .when(c("kind") == "ranking", c("value") < c("baseline"))
     )
-    return m.withColumn("passed", F.coalesce(ok, F.lit(False)))
+    t = m.withColumn("_ok", F.coalesce(ok, F.lit(False))).groupBy("model", "kind")
+    t = t.agg(F.bool_and("_ok").alias("_every"), F.bool_or("_ok").alias("_some"), F.sort_array(F.collect_set(F.when(~F.col("_ok"), F.col("part")))).alias("failed"))
+    return t.select("model", "kind", F.when(F.col("kind") == "ranking", F.col("_some")).otherwise(F.col("_every")).alias("passed"), "failed")
 
 
 def answer_structure(df: DataFrame) -> DataFrame:
@@ -144,10 +169,13 @@ def answer_structure(df: DataFrame) -> DataFrame:
     return df.withColumns({"probability_ok": p, "ordered_ok": q, "inside_ok": r, "curve_ok": s, "passed": p & q & r & s})
 
 
-def catalogue(gates: DataFrame, zones: DataFrame, targets: DataFrame) -> DataFrame:
-    """Served targets with horizon and the zones in which they have skill."""
-    good = zones.where((F.col("zone_n") >= LEAST_N) & (F.col("zone_bss") > 0)).groupBy("target").agg(F.sort_array(F.collect_set("zone")).alias("zones"))
-    return gates.where("passed").select("target").join(targets, "target").join(good, "target", "left").withColumn("zones", F.coalesce("zones", F.array().cast("array<string>")))
+def catalogue(gates: DataFrame, zones: DataFrame, curves: DataFrame) -> DataFrame:
+    """Every target (target, kind, passed, reason, horizon_days) with whether and why not it is served and, if it is, the zones for which its answers are valid at some lead."""
+    asked = gates.join(zones.select("target", "zone").unionByName(curves.select("target", "zone")).distinct(), "target").select("target", "kind", "zone", F.lit(None).cast("string").alias("lead_bucket"), F.lit(None).cast("double").alias("value"))
+    none = asked.select("target", "lead_bucket", F.lit(None).cast("long").alias("lead_n"), F.lit(None).cast("double").alias("lead_bss")).limit(0)
+    valid = zone_lead_validity(asked, zones, none, curves).where("valid").groupBy("target").agg(F.sort_array(F.collect_set("zone")).alias("_z"))
+    served = F.when(F.col("passed"), F.col("_z"))
+    return gates.join(valid, "target", "left").select("target", F.col("passed").alias("available"), F.when(~F.col("passed"), F.col("reason")).alias("why_not"), "kind", "horizon_days", F.coalesce(served, F.array().cast("array<string>")).alias("zones"))
 
 
 def majority_and_duplicates(df: DataFrame, label: str, key: str) -> DataFrame:

@@ -276,7 +276,7 @@ def bio_spans(df: DataFrame, key: str, tokens: str = "tokens", tags: str = "tags
 
 
 def from_templates(templates: DataFrame, fillers: DataFrame, per_template: int, key: str = "template_id") -> DataFrame:
-    """Each template filled with ``per_template`` filler rows, in hash order of (template, filler): a sampling operator.
+    """Each template filled with ``per_template`` filler rows (filler_id and the slots' columns: place, time, crop ...), in hash order of (template, filler): a sampling operator.
 
     Fillers are dealt to hash buckets; every template reads as many buckets as
     hold the fillers it needs, so no template meets all fillers.
@@ -288,8 +288,10 @@ def from_templates(templates: DataFrame, fillers: DataFrame, per_template: int,
     pairs = t.join(f, "_b").withColumn("_u", uniform(key, "filler_id"))
     order = Window.partitionBy(key).orderBy("_u", "filler_id")
     pairs = pairs.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= per_template)
-    text = F.replace(F.replace(F.col("template"), F.lit("{place}"), F.col("place")), F.lit("{time}"), F.col("time"))
-    return pairs.select(key, "filler_id", text.alias("text"), "place", "time")
+    names, text = [c for c in fillers.columns if c != "filler_id"], F.col("template")
+    for c in names:
+        text = F.replace(text, F.lit("{" + c + "}"), F.coalesce(F.col(c), F.lit("")))
+    return pairs.select(key, "filler_id", text.alias("text"), *names)
 
 
 def dedup_normalised(df: DataFrame, text: str, order: Sequence[str], first: Column | None = None) -> DataFrame:

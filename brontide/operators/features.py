@@ -135,7 +135,7 @@ def anomalies(df: DataFrame, clim: DataFrame, on: list[str], fields: list[str],
 
 
 def ensemble_summary(df: DataFrame, members: str, wet: float | None = None) -> DataFrame:
-    """Mean, population sd, least, largest, median, spread ratio and (with ``wet``) wet share of an array column; null members do not count."""
+    """Mean, population sd, least, largest, median, spread ratio sd / (|mean| + 1) and wet share (members above ``wet``; 0 without ``wet`` or members) of an array column; null members do not count."""
     live = F.filter(members, lambda x: x.isNotNull() & ~F.isnan(x))
     n = F.size(live)
     total = F.aggregate(live, F.lit(0.0), lambda a, x: a + x)
@@ -145,10 +145,8 @@ def ensemble_summary(df: DataFrame, members: str, wet: float | None = None) -> D
     out = df.withColumns({"ens_n": n, "ens_mean": mean, "ens_min": F.array_min(live), "ens_max": F.array_max(live), "ens_median": median})
     sd = F.when(n > 0, F.sqrt(F.aggregate(live, F.lit(0.0), lambda a, x: a + (x - F.col("ens_mean")) * (x - F.col("ens_mean"))) / n))
     out = out.withColumn("ens_sd", sd)
-    out = out.withColumn("ens_spread_ratio", F.when(F.abs("ens_mean") > 1e-9, F.col("ens_sd") / F.abs("ens_mean")))
-    if wet is not None:
-        out = out.withColumn("ens_wet", F.when(n > 0, F.size(F.filter(live, lambda x: x > wet)) / n))
-    return out
+    share = F.lit(0.0) if wet is None else F.size(F.filter(live, lambda x: x > wet)) / F.greatest(n, F.lit(1))
+    return out.withColumns({"ens_spread_ratio": F.col("ens_sd") / (F.abs("ens_mean") + 1.0), "ens_wet": share})
 
 
 def impute_members(df: DataFrame, members: list[str], least: int = 2) -> DataFrame:

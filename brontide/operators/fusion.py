@@ -26,22 +26,24 @@ def _lookup(table: dict, *keys: str, default: float) -> Column:
 
 
 def overlaps(start: str, end: str, issued: str, observed: str, q_from: str, q_to: str) -> Column:
-    """Evidence meets the query's window; without a validity window its issue or observation time must lie in it; timeless evidence stays."""
+    """Evidence meets the query's window; if either end of its validity is missing, its issue or observation time must lie in the window; evidence without these stays."""
     point = F.coalesce(F.col(issued), F.col(observed))
-    ranged = F.col(start).isNotNull() | F.col(end).isNotNull()
-    meets = F.coalesce(F.col(end) >= F.col(q_from), F.lit(True)) & F.coalesce(F.col(start) <= F.col(q_to), F.lit(True))
+    ranged = F.col(start).isNotNull() & F.col(end).isNotNull()
+    meets = (F.col(end) >= F.col(q_from)) & (F.col(start) <= F.col(q_to))
     return F.when(ranged, meets).when(point.isNotNull(), point.between(F.col(q_from), F.col(q_to))).otherwise(F.lit(True))
 
 
 def in_window(queries: DataFrame, evidence: DataFrame, place: str = "place", hours: int = 24) -> DataFrame:
     """Evidence of a query's place that meets its window. Both sides are cut into ``hours`` slices, so the join is on (place, slice); every pair comes out once.
 
-    Evidence without validity window joins in the slice of its time; timeless
-    evidence joins on the place alone.
+    Evidence without both ends of a validity window joins in the slice of its
+    time; evidence without that as well joins on the place alone.
     """
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     slot = lambda c: F.floor(c / (3600 * hours))
-    e = evidence.withColumns({"_a": F.coalesce(seconds("valid_from"), seconds("valid_to"), seconds("issued_at"), seconds("observed_at")), "_z": F.coalesce(seconds("valid_to"), seconds("valid_from"), seconds("issued_at"), seconds("observed_at"))})
+    ranged = F.col("valid_from").isNotNull() & F.col("valid_to").isNotNull()
+    point = F.coalesce(seconds("issued_at"), seconds("observed_at"))
+    e = evidence.withColumns({"_a": F.when(ranged, seconds("valid_from")).otherwise(point), "_z": F.when(ranged, seconds("valid_to")).otherwise(point)})
     q = queries.withColumn("_slot", F.explode(F.sequence(slot(seconds("q_from")), slot(seconds("q_to")))))
     q = q.withColumn("_first", slot(seconds("q_from")))
     timed = e.where("_a IS NOT NULL").withColumn("_slot", F.explode(F.sequence(slot(F.col("_a")), slot(F.greatest("_z", "_a")))))

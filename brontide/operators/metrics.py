@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..session import materialize
 
 
 def _grouped(df: DataFrame, by: list[str], **out: Column) -> DataFrame:
@@ -28,19 +29,25 @@ def brier(df: DataFrame, p: str, y: str, by: list[str] = (), ref: str | None = N
     return _grouped(df, by, **out)
 
 
-def score_table(df: DataFrame, score: str, y: str, by: list[str] = (), buckets: int = 64) -> DataFrame:
+def score_table(df: DataFrame, score: str, y: str, by: list[str] = (), buckets: int | None = None) -> DataFrame:
     """Distinct scores of each group with n, pos and how many of all and of the positive rows score lower.
 
     Rows are first added up by score. Running sums go in two levels, buckets of
-    scores and scores inside a bucket, so that no task sorts a whole group.
+    scores and scores inside a bucket, so that no task sorts a whole group. There
+    are as many buckets as the session's shuffles have partitions, 4096 at most.
     """
     by = list(by)
     d = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score"))
     d = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
     if not by:
         d, by = d.withColumn("_all", F.lit(0)), ["_all"]
-    cuts = d.groupBy(*by).agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    d = d.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    # Cuts in steps: a score looks among every step-th cut and then among the few that follow it.
+    step = max(2, math.isqrt(min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096)))
+    shares = [i / (step * step) for i in range(1, step * step)]
+    cuts = d.groupBy(*by).agg(F.percentile_approx("score", shares, 10 * len(shares)).alias("_cuts"))
+    cuts = cuts.withColumn("_every", F.filter("_cuts", lambda c, i: i % step == step - 1))
+    d = d.join(cuts, by).withColumn("_at", F.size(F.filter("_every", lambda c: c < F.col("score"))) * step)
+    d = d.withColumn("_b", F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(step)), lambda c: c < F.col("score")))).drop("_cuts", "_every", "_at")
     sums = d.groupBy(*by, "_b").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
     lower = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_p").over(lower), F.lit(0.0)).alias("_bp"))
@@ -105,19 +112,42 @@ def contingency(df: DataFrame, predicted: Column | str, observed: Column | str,
     return t.withColumns({"pod": F.try_divide(h, h + m), "far": F.try_divide(f, h + f), "csi": F.try_divide(h, h + m + f)})
 
 
-def best_threshold(df: DataFrame, score: str, y: str, steps: int = 200) -> DataFrame:
-    """The score percentile with the highest CSI (the lowest such threshold) and that CSI.
+def quantiles(df: DataFrame, value: str | Column, levels: list[float], by: list[str] = ()) -> DataFrame:
+    """(by, quantiles): exact quantiles with linear interpolation, null and NaN left out, from counts of distinct values and their running sums, so that no task holds all values."""
+    x = F.nanvl(col(value).cast("double"), F.lit(None).cast("double"))
+    return _quantiles_of(score_table(df.select(*by, x.alias("_x"), F.lit(1).alias("_y")), "_x", "_y", by), levels, list(by))
 
-    Scores are added up by value first; each threshold's hits and alarms come
-    from running sums, so thresholds are not joined to rows.
+
+def _quantiles_of(t: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
+    totals = t.groupBy(*by).agg(F.sum("n").alias("_n"))
+    t = t.join(totals, by) if by else t.join(F.broadcast(totals))  # one row
+    # The rows at the two places around each level, with their weights.
+    at = F.transform(F.array(*[F.lit(float(q)) for q in levels]), lambda q: q * (F.col("_n") - 1))
+    low = F.transform(at, lambda h, i: F.struct(i.alias("i"), F.floor(h).alias("k"), (1 - (h - F.floor(h))).alias("w")))
+    high = F.transform(at, lambda h, i: F.struct(i.alias("i"), F.ceil(h).alias("k"), (h - F.floor(h)).alias("w")))
+    places = F.concat(low, high)
+    mine = F.filter(places, lambda p: (p["w"] > 0) & (p["k"] >= F.col("n_below")) & (p["k"] < F.col("n_below") + F.col("n")))
+    one = t.select(*by, "score", F.explode(mine).alias("_p")).groupBy(*by, F.col("_p.i").alias("_i")).agg(F.sum(F.col("score") * F.col("_p.w")).alias("_q"))
+    return one.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda p: p["_q"]).alias("quantiles"))
+
+
+def best_threshold(df: DataFrame, score: str, y: str, steps: int = 200, low: float = 0.5, high: float = 0.999) -> DataFrame:
+    """Of ``steps`` score percentiles from ``low`` to ``high`` the one with the highest CSI (the lowest such threshold), and that CSI.
+
+    Scores are added up by value first. A threshold's hits and alarms follow from
+    the running sums at the smallest score that reaches it.
     """
-    t = score_table(df, score, y)
-    cuts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).agg(F.percentile(F.col(score).cast("double"), F.array(*[F.lit(i / (steps - 1)) for i in range(steps)])).alias("_c"))
-    cuts = cuts.select(F.explode(F.array_distinct("_c")).alias("threshold"))  # at most ``steps`` rows
-    total = t.agg(F.sum("pos").alias("_p"))
-    got = t.join(F.broadcast(cuts), F.col("score") >= F.col("threshold")).groupBy("threshold").agg(F.sum("n").alias("alarms"), F.sum("pos").alias("hits"))
-    got = got.join(F.broadcast(total)).withColumn("csi", F.try_divide(F.col("hits"), F.col("alarms") + F.col("_p") - F.col("hits")))
-    return got.agg(F.max(F.struct("csi", -F.col("threshold"))).alias("_b")).select((-F.col("_b.col2")).alias("threshold"), F.col("_b.csi").alias("csi"))
+    t = materialize(score_table(df, score, y), "scores")
+    total = t.agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
+    cuts = materialize(_quantiles_of(t, [low + (high - low) * i / (steps - 1) for i in range(steps)], []), "cuts")
+    # How many thresholds a score reaches: the smallest score that reaches one is the one that counts for it.
+    first = t.join(F.broadcast(cuts)).withColumn("_k", F.size(F.filter("quantiles", lambda q: q <= F.col("score")))).where("_k > 0")  # one row of cuts
+    first = first.groupBy("_k").agg(F.min(F.struct("score", "n_below", "pos_below")).alias("_f")).select("_k", F.col("_f.n_below").alias("n_below"), F.col("_f.pos_below").alias("pos_below"))
+    first = first.withColumn("_from", F.coalesce(F.lag("_k").over(Window.orderBy("_k")), F.lit(0)))  # at most ``steps`` rows
+    got = first.join(F.broadcast(cuts)).select("n_below", "pos_below", F.explode(F.array_distinct(F.slice("quantiles", F.col("_from") + 1, F.col("_k") - F.col("_from")))).alias("threshold"))
+    got = got.join(F.broadcast(total)).withColumns({"_h": F.col("_p") - F.col("pos_below"), "_a": F.col("_n") - F.col("n_below")})
+    got = got.withColumn("csi", F.try_divide(F.col("_h"), F.col("_a") + F.col("_p") - F.col("_h")))
+    return got.agg(F.max(F.struct("csi", (-F.col("threshold")).alias("t"))).alias("_b")).select((-F.col("_b.t")).alias("threshold"), F.col("_b.csi").alias("csi"))
 
 
 def pinball(df: DataFrame, y: str, quantiles: dict[float, str], by: list[str] = ()) -> DataFrame:
@@ -187,13 +217,16 @@ def rank_histogram(df: DataFrame, y: str, members: str, by: list[str] = ()) -> D
 
 
 def flatness(df: DataFrame, y: str, members: str, n_members: int, by: list[str] = ()) -> DataFrame:
-    """Largest departure of a rank's share from 1 / (members + 1), and mean and sd of the rank as a share (PIT)."""
+    """How far a rank histogram is from flat, K * sum((share - 1 / K) ** 2) over its K = members + 1 ranks, and mean and sd of the share of members below the observation (PIT).
+
+    A null member is not below.
+    """
+    k = n_members + 1
     r = F.size(F.filter(members, lambda m: m < F.col(y)))
-    d = df.withColumn("_r", r)
-    pit = (F.col("_r") + 0.5) / (n_members + 1)
-    base = d.groupBy(*by).agg(F.avg(pit).alias("pit_mean"), F.stddev_pop(pit).alias("pit_sd"), F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_r") == k).alias(f"_c{k}") for k in range(n_members + 1)])
-    worst = F.greatest(*[F.abs(F.col(f"_c{k}") / F.col("_n") - 1 / (n_members + 1)) for k in range(n_members + 1)])
-    return base.select(*by, worst.alias("worst_gap"), "pit_mean", "pit_sd")
+    pit = F.col("_r") / n_members
+    base = df.withColumn("_r", r).groupBy(*by).agg(F.avg(pit).alias("pit_mean"), F.stddev_pop(pit).alias("pit_sd"), F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_r") == i).alias(f"_c{i}") for i in range(k)])
+    gaps = [F.pow(F.col(f"_c{i}") / F.col("_n") - 1 / k, F.lit(2.0)) for i in range(k)]
+    return base.select(*by, (k * sum(gaps[1:], gaps[0])).alias("flatness"), "pit_mean", "pit_sd")
 
 
 def source_ranks(long: DataFrame, group: list[str], error: str, authority: str) -> DataFrame:
@@ -204,21 +237,25 @@ def source_ranks(long: DataFrame, group: list[str], error: str, authority: str)
 
 
 def ndcg(long: DataFrame, group: list[str], score: str, relevance: str, k: int) -> DataFrame:
-    """Mean NDCG@k over groups with gain 2^relevance - 1, and the share of groups whose top pick is the best."""
+    """Mean NDCG@k over groups, the gain being the relevance (0 for a group without any), and the share of groups whose top pick is the best."""
     by_score = Window.partitionBy(*group).orderBy(F.desc(score), "source")
     by_rel = Window.partitionBy(*group).orderBy(F.desc(relevance), "source")
     t = long.withColumns({"_s": F.row_number().over(by_score), "_r": F.row_number().over(by_rel)})
-    gain = F.pow(F.lit(2.0), F.col(relevance)) - 1
-    part = lambda rank: F.sum(F.when(F.col(rank) <= k, gain / F.log2(F.col(rank) + 1)))
-    g = t.groupBy(*group).agg(F.try_divide(part("_s"), part("_r")).alias("ndcg"), F.max(F.when((F.col("_s") == 1) & (F.col("_r") == 1), 1).otherwise(0)).alias("top"))
+    part = lambda rank: F.sum(F.when(F.col(rank) <= k, F.col(relevance) / F.log2(F.col(rank) + 1)))
+    g = t.groupBy(*group).agg(F.when(part("_r") > 0, part("_s") / part("_r")).otherwise(0.0).alias("ndcg"), F.max(F.when((F.col("_s") == 1) & (F.col("_r") == 1), 1).otherwise(0)).alias("top"))
     return g.agg(F.count(F.lit(1)).alias("groups"), F.avg("ndcg").alias("ndcg"), F.avg("top").alias("top1_best"))
 
 
 def pairwise_accuracy(long: DataFrame, group: list[str], score: str, relevance: str) -> DataFrame:
-    """Share of a group's pairs of sources of unequal relevance that the score orders rightly; groups are a few sources."""
-    arr = long.groupBy(*group).agg(F.collect_list(F.struct(F.col(score).alias("s"), F.col(relevance).alias("r"))).alias("_a"))
-    pairs = arr.select(F.explode("_a").alias("x"), "_a").select("x", F.explode("_a").alias("z")).where("x.r > z.r")
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.when(F.col("x.s") > F.col("z.s"), 1.0).when(F.col("x.s") == F.col("z.s"), 0.5).otherwise(0.0)).alias("accuracy"))
+    """Share of a group's pairs of sources of unequal relevance that the score orders rightly; groups are a few sources.
+
+    Pairs are taken in the order of the sources' names; equal scores count as the
+    second of a pair ahead.
+    """
+    arr = long.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("source", F.col(score).alias("s"), F.col(relevance).alias("r")))).alias("_a"))
+    pairs = arr.select(F.posexplode("_a").alias("i", "x"), "_a").select("i", "x", F.posexplode("_a").alias("j", "z")).where("i < j AND x.r <> z.r")
+    agree = (F.col("x.r") > F.col("z.r")) == (F.col("x.s") > F.col("z.s"))
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg(agree.cast("double")).alias("accuracy"))
 
 
 def following_errors(long: DataFrame, group: list[str], score: str, value: str, truth: str, order: list[str]) -> DataFrame:

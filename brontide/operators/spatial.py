@@ -7,30 +7,59 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+
+#: Slices of the nodes for places that no ring of cells settles.
+NODE_SLICES = 64
+
 
 def nearest_node(places: DataFrame, nodes: DataFrame, degrees: float = 1.0, key="point_id", node="node_id") -> DataFrame:
     """(key, node, dist2): the nearest node of each place by equirectangular squared distance, ties to the smaller id.
 
     Places look in their own and the eight neighbouring cells of a lat-lon grid.
     Those whose best hit there is farther than the cells reach, or that have
-    none, are given to a second round with cells four times as wide.
+    none, go on to a round with cells four times as wide; every round starts from
+    a written table. Places that are still left when cells are wider than the
+    map (near a pole, where longitudes crowd) are compared with all nodes, slice
+    by slice of the nodes, keeping the nearest of each. Longitudes do not wrap.
     """
     lat, lon = F.col("lat"), F.col("lon")
-    left, found = places.select(key, lat.alias("_plat"), lon.alias("_plon")), None
-    for _ in range(6):
-        cell = lambda x: F.floor(x / degrees).cast("long")
+    cos = F.cos(F.radians("_plat"))
+    d2 = F.pow(F.col("_nlat") - F.col("_plat"), F.lit(2.0)) + F.pow((F.col("_nlon") - F.col("_plon")) * cos, F.lit(2.0))
+    all_nodes = nodes.where(lat.isNotNull() & lon.isNotNull()).select(F.col(node), lat.alias("_nlat"), lon.alias("_nlon"))
+    left = places.where(lat.isNotNull() & lon.isNotNull()).select(key, lat.alias("_plat"), lon.alias("_plon"))
+    best_of = F.min(F.struct(d2.alias("dist2"), F.col(node)))
+    found: list[DataFrame] = []
+    while degrees < 360:
+        cell = lambda x, d=degrees: F.floor(x / d).cast("long")
         near = F.sequence(F.lit(-1), F.lit(1))
         p = left.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
         p = p.withColumns({"_cy": cell(F.col("_plat")) + F.col("_dy"), "_cx": cell(F.col("_plon")) + F.col("_dx")})
-        n = nodes.select(F.col(node), lat.alias("_nlat"), lon.alias("_nlon"), cell(lat).alias("_cy"), cell(lon).alias("_cx"))
-        cos = F.cos(F.radians("_plat"))
-        d2 = F.pow(F.col("_nlat") - F.col("_plat"), F.lit(2.0)) + F.pow((F.col("_nlon") - F.col("_plon")) * cos, F.lit(2.0))
-        best = p.join(n, ["_cy", "_cx"]).groupBy(key).agg(F.min(F.struct(d2.alias("dist2"), F.col(node))).alias("_b")).select(key, f"_b.{node}", "_b.dist2")
-        sure = best.join(left, key).where(F.sqrt("dist2") <= degrees * F.least(F.lit(1.0), F.cos(F.radians("_plat")))).select(key, node, "dist2")
-        found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure, key, "left_anti")
+        n = all_nodes.withColumns({"_cy": cell(F.col("_nlat")), "_cx": cell(F.col("_nlon"))})
+        best = p.join(n, ["_cy", "_cx"]).groupBy(key).agg(best_of.alias("_b"))
+        sure = F.sqrt("_b.dist2") <= degrees * F.least(F.lit(1.0), cos)
+        tried = materialize(left.join(best, key, "left").withColumn("_sure", F.coalesce(sure, F.lit(False))), "nearest")
+        found.append(tried.where("_sure").select(key, f"_b.{node}", "_b.dist2"))
+        left = tried.where("NOT _sure").select(key, "_plat", "_plon")
+        if left.isEmpty():
+            break
         degrees *= 4
-    return found
+    else:
+        slices = F.sequence(F.lit(0), F.lit(NODE_SLICES - 1))
+        p = left.withColumn("_s", F.explode(slices)).join(all_nodes.withColumn("_s", F.pmod(F.xxhash64(node), F.lit(NODE_SLICES)).cast("int")), "_s")
+        found.append(p.groupBy(key).agg(best_of.alias("_b")).select(key, f"_b.{node}", "_b.dist2"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def reference_nodes(points: DataFrame, is_node: str, degrees: float = 1.0, key="point_id") -> DataFrame:
+    """(key, ref_id): the node whose climatology a point uses: its own for a node, the nearest one's for any other point."""
+    nodes = points.where(is_node).select(F.col(key).alias("ref_id"), "lat", "lon")
+    nearest = nearest_node(points.where(f"NOT {is_node}"), nodes, degrees, key, "ref_id").select(key, "ref_id")
+    return nearest.unionByName(points.where(is_node).select(key, F.col(key).alias("ref_id")))
 
 
 def box_pixels(points: DataFrame, step: float, top: float, west: float, half: int, lat="lat", lon="lon") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, md5_mod, sha1_percent
+from .metrics import quantiles
 
 
 def is_holdout(key: Column | str, fraction: float = 0.2) -> Column:
@@ -13,17 +14,31 @@ def is_holdout(key: Column | str, fraction: float = 0.2) -> Column:
 
 
 def block_of(lat, lon, degrees: float = 4.0) -> Column:
-    return F.concat_ws("_", F.lit("B"), F.floor(col(lat) / degrees).cast("string"), F.floor(col(lon) / degrees).cast("string"))
+    """Name of the block of ``degrees`` that a place lies in: B, row and column, as in B5_18."""
+    return F.concat(F.lit("B"), F.floor(col(lat) / degrees).cast("string"), F.lit("_"), F.floor(col(lon) / degrees).cast("string"))
 
 
 def holdout_blocks(points: DataFrame, zone: str = "zone", block: str = "block", fraction: float = 0.2) -> DataFrame:
-    """(zone, block) held out: in each zone of two blocks or more, max(1, round(fraction * n)) blocks with the smallest md5."""
+    """The blocks held out: of each zone of two blocks or more the max(1, round(fraction * n)) with the smallest md5.
+
+    A block that any zone holds out is held out for all of its places, whatever
+    their zone, so that no block has places on both sides of the split.
+    """
     blocks = points.select(zone, block).distinct()
     by_hash = Window.partitionBy(zone).orderBy(F.md5(F.col(block)), block)
     n = F.count(F.lit(1)).over(Window.partitionBy(zone))
     turn = F.row_number().over(by_hash)
     keep = (n >= 2) & (turn <= F.greatest(F.lit(1.0), F.bround(fraction * n, 0)))
-    return blocks.withColumn("_keep", keep).where("_keep").drop("_keep")
+    return blocks.withColumn("_keep", keep).where("_keep").select(block).distinct()
+
+
+def block_holdout(points: DataFrame, lat: str = "lat", lon: str = "lon", zone: str | None = None, fraction: float = 0.2, degrees: float = 4.0) -> DataFrame:
+    """``points`` with held_out: whole blocks, by zone as in ``holdout_blocks`` or, without zones, by hash of the block."""
+    if zone is None:
+        return points.withColumn("held_out", is_holdout(block_of(lat, lon, degrees), fraction))
+    named = points.withColumn("_block", block_of(lat, lon, degrees))
+    held = holdout_blocks(named, zone, "_block", fraction).withColumn("_held", F.lit(True))
+    return named.join(held, "_block", "left").withColumn("held_out", F.coalesce("_held", F.lit(False))).drop("_block", "_held")
 
 
 def split_label(day: Column | str, held: Column | str, train_end: str, val_start: str, val_end: str, test_start: str) -> Column:
@@ -43,7 +58,7 @@ def hash_split(key: Column | str, train: int = 80, val: int = 10, force_test: Co
 def quantile_split(df: DataFrame, time: str, key: str, share: float = 0.7, fraction: float = 0.2) -> DataFrame:
     """split: places held out by hash are test_space; else train before the time quantile and test_time after it."""
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000
-    cut = df.agg(F.percentile(seconds, F.lit(share)).alias("_cut"))
+    cut = quantiles(df, seconds, [share]).select(F.col("quantiles")[0].alias("_cut"))
     held = is_holdout(F.col(key).cast("string"), fraction)
     out = df.join(F.broadcast(cut))  # one row
     return out.withColumn("split", F.when(held, "test_space").when(seconds <= F.col("_cut"), "train").otherwise("test_time")).drop("_cut")
@@ -70,10 +85,13 @@ def uniform(*key: Column | str, seed: int = 0) -> Column:
 
 
 def keep_positives(df: DataFrame, positive: Column, most: int, *key: str) -> DataFrame:
-    """All positive rows up to ``most``, then negatives in hash order: the sample's bound is the feature."""
-    order = Window.orderBy(F.col("_p").desc(), "_u", *key)
-    out = df.withColumns({"_p": positive.cast("int"), "_u": uniform(*key)})
-    return out.orderBy(F.col("_p").desc(), "_u", *key).limit(most).drop("_p", "_u")
+    """All rows if they are at most ``most``; else all positives and, in hash order, as many negatives as are left of ``most`` or half of it, if that is more. The bound is the feature; a null label is negative."""
+    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("p")).first()
+    if counts["n"] <= most:
+        return df
+    yes = F.coalesce(positive, F.lit(False))
+    negatives = df.where(~yes).withColumn("_u", uniform(*key)).orderBy("_u", *key).limit(max(most - counts["p"], most // 2)).drop("_u")
+    return df.where(yes).unionByName(negatives)
 
 
 def tier_sample(df: DataFrame, tier_weight: Column, budget: float, *key: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import calibrate as K
 from ..operators import metrics as M
+from ..session import shared_path
 from ..streaming import jobs as J
 from .registry import Registry, events_of, flagged, forecasts, observations, table
 
@@ -99,12 +98,7 @@ def _stream(s, d, name="events"):
 
 
 def _place(s) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/brontide-stream-{uuid.uuid4().hex}"
+    return shared_path(s, "stream")
 
 
 def _flagged_stream(s, d):
@@ -130,9 +124,9 @@ def _(s, d):
 def _(s, d):
     place = _place(s)
     w = _stream(s, d).select(F.col("user_id").alias("identifier"), F.col("ts").cast("timestamp").alias("sent"), F.when(F.col("event_type") == "error", "Cancel").otherwise("Alert").alias("kind"), F.timestamp_add("DAY", F.lit(5), F.col("ts").cast("timestamp")).alias("expires"))
-    q = w.writeStream.foreachBatch(J.warning_lifecycle(w, f"{place}/table", "identifier", "sent", "kind", "expires")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    q = w.writeStream.foreachBatch(J.warning_lifecycle(f"{place}/table", "identifier", "sent", "kind", "expires")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = s.read.parquet(f"{place}/table/*")
+    last = J.newest_table(s, f"{place}/table")
     return J.latest_warnings(last, "identifier", "sent", "kind", "expires", "2024-01-31 00:00:00")
 
 

@@ -8,8 +8,9 @@ from ..functions import columns as C
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import metrics as M
+from ..operators import spatial as G
 from ..sources import tables as S
-from .registry import FLAGS, FC, HOURLY, OBS, Registry, flagged, forecasts, hourly, observations, table
+from .registry import FC, FLAGS, HOURLY, OBS, POINTS, Registry, flagged, forecasts, hourly, observations, points, table
 
 R = Registry()
 add = R.add
@@ -67,7 +68,9 @@ def _(s, d):
     return C.mask_fields(observations(s, d), {"value": (None, 100), "k": (5, 95)}).select("point_id", "valid", "value", "k")
 
 
-CODES = "CASE event_type WHEN 'error' THEN '+TSRA BR' WHEN 'view' THEN 'VCTS' WHEN 'click' THEN '-RA' WHEN 'purchase' THEN 'FG BLDU' END"
+#: Reports in turn by event.
+REPORTS = ("+TSRA BR", "VCTS", "-RA", "FG BLDU", "MIFG BCFG", "FZFG", "UP", "-SHSN VCSH", "SQ +DZ", "DS HZ", "VCSQ PRFG", "+SHRA", "")
+CODES = f"CASE WHEN event_id % 14 < 13 THEN ({list(REPORTS)})[1 + event_id % 14] END"
 
 
 @add("p4_clean_observations", f"""WITH r AS (SELECT DISTINCT ON (user_id, date_trunc('minute', ts)) CAST(user_id AS VARCHAR) AS point_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS valid FROM events)
@@ -89,15 +92,23 @@ def _(s, d):
     return table(s, d, "events").select("event_id", F.round(C.dew_point(F.col("value") / 5, F.get_json_object("props", "$.k").cast("double")), 5).alias("dew"))
 
 
-@add("p7_weather_codes", f"""WITH c AS (SELECT event_id, coalesce({CODES}, '') AS c FROM events), t AS (SELECT event_id, string_split(c, ' ') AS t FROM c)
-    SELECT event_id, len(list_filter(t, lambda x: regexp_matches(x, '^[+-]?[A-Z]*TS') AND NOT starts_with(x, 'VC'))) > 0 AS ts_at, len(list_filter(t, lambda x: regexp_matches(x, '^VC[A-Z]*TS'))) > 0 AS ts_vc,
-      len(list_filter(t, lambda x: regexp_matches(x, '^[+-]?[A-Z]*(RA|DZ|UP)') AND NOT starts_with(x, 'VC'))) > 0 AS rain_any, len(list_filter(t, lambda x: regexp_matches(x, '^[+][A-Z]*RA'))) > 0 AS rain_heavy,
-      len(list_filter(t, lambda x: regexp_matches(x, '^[+-]?[A-Z]*FG') AND NOT starts_with(x, 'VC'))) > 0 AS fog_code, len(list_filter(t, lambda x: regexp_matches(x, '^[+-]?[A-Z]*(DU|SA|DS|SS|PO)') AND NOT starts_with(x, 'VC'))) > 0 AS dust
-    FROM t""")
+@add("p7_weather_codes", f"""
+    WITH t AS (SELECT event_id, list_transform(string_split(coalesce({CODES}, ''), ' '), lambda x: {{'raw': x, 's': ltrim(x, '+-')}}) AS t FROM events),
+    f AS (
+      SELECT event_id,
+        len(list_filter(t, lambda x: contains(x.s, 'TS') AND NOT starts_with(x.s, 'VC'))) > 0 AS ts_at,
+        len(list_filter(t, lambda x: contains(x.s, 'TS') AND starts_with(x.s, 'VC'))) > 0 AS ts_vc,
+        len(list_filter(t, lambda x: NOT starts_with(x.s, 'VC') AND (contains(x.s, 'RA') OR contains(x.s, 'DZ')))) > 0 AS rain_any,
+        len(list_filter(t, lambda x: starts_with(x.raw, '+') AND contains(x.raw, 'RA'))) > 0 AS rain_heavy,
+        len(list_filter(t, lambda x: NOT starts_with(x.s, 'VC') AND (contains(x.s, 'DU') OR contains(x.s, 'SA') OR contains(x.s, 'SS') OR contains(x.s, 'DS') OR contains(x.s, 'PO')))) > 0 AS dust,
+        len(list_filter(t, lambda x: contains(x.s, 'SQ'))) > 0 AS squall,
+        len(list_filter(t, lambda x: x.s IN ('FG', 'FZFG'))) > 0 AS fog_code
+      FROM t)
+    SELECT *, ts_at OR ts_vc AS ts_any FROM f""")
 def _(s, d):
-    codes = F.expr(CODES)
-    flags = C.weather_flags(codes)
-    return table(s, d, "events").select("event_id", *[flags[f].alias(f) for f in ("ts_at", "ts_vc", "rain_any", "rain_heavy", "fog_code", "dust")])
+    i = F.col("event_id") % 14
+    codes = F.when(i < 13, F.element_at(F.array(*[F.lit(x) for x in REPORTS]), (i + 1).cast("int")))
+    return table(s, d, "events").select("event_id", *[c.alias(n) for n, c in C.weather_flags(codes).items()])
 
 
 @add("p8_peak_wind", f"WITH {OBS} SELECT point_id, valid, greatest(CASE WHEN kind <> 'view' THEN value END, k) AS peak FROM obs")
@@ -127,14 +138,20 @@ def _(s, d):
     return p.select("p_partkey", F.round(C.k_index("t850", "t700", "t500", "td850", "td700"), 4).alias("k_index"), F.round(C.total_totals("t850", "t500", "td850"), 4).alias("total_totals"), F.round(C.lapse_rate("t850", "t500", F.col("p_retailprice") / 400), 6).alias("lapse"))
 
 
-@add("p12_storm_features", """SELECT event_id, round(value - value * 0.8, 6) AS td_spread, round((value + 3) / value, 6) AS gust_factor, round(ln(1 + greatest(CAST(props->>'$.k' AS DOUBLE) - 20, 0)), 6) AS log_cape,
-    round(sqrt(greatest(CAST(props->>'$.k' AS DOUBLE) - 20, 0)) * value, 5) AS storm_index FROM events WHERE value > 0""")
+@add("p12_storm_features", """
+    WITH e AS (SELECT event_id, value, CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
+    c AS (SELECT *, ln(1 + greatest(k - 20, 0)) AS lc FROM e)
+    SELECT event_id, round(value - value * 0.8, 6) AS td_spread, round((value + 3) / (value + 1.0), 6) AS gust_factor, round(lc, 6) AS log_cape,
+      round(ln(1 + greatest(k - 60, 0)), 6) AS log_cape_ml, round(lc * value / 50.0, 6) AS storm_index, round(10 - k, 6) AS neg_lifted FROM c""")
 def _(s, d):
-    e = table(s, d, "events").where("value > 0").select("event_id", F.col("value").alias("t2m_c"), (F.col("value") * 0.8).alias("dpt2m_c"), F.col("value").alias("wind10"), (F.col("value") + 3).alias("gust"), (F.get_json_object("props", "$.k").cast("double") - 20).alias("cape"), F.col("value").alias("shear"))
-    return C.storm_features(e).select("event_id", F.round("td_spread", 6).alias("td_spread"), F.round("gust_factor", 6).alias("gust_factor"), F.round("log_cape", 6).alias("log_cape"), F.round("storm_index", 5).alias("storm_index"))
+    k = F.get_json_object("props", "$.k").cast("double")
+    value = F.col("value")
+    columns = {"t2m_c": value, "dpt2m_c": value * 0.8, "wind10": value, "gust": value + 3, "cape": k - 20, "cape_ml": k - 60, "pwat": value, "lftx": k - 10}
+    e = table(s, d, "events").select("event_id", *[c.alias(n) for n, c in columns.items()])
+    return C.storm_features(e).select("event_id", *[F.round(c, 6).alias(c) for c in ("td_spread", "gust_factor", "log_cape", "log_cape_ml", "storm_index", "neg_lifted")])
 
 
-@add("p13_cyclic_time", """WITH t AS (SELECT event_id, hour(ts) + minute(ts) / 60.0 AS h, (dayofyear(ts) - 1) / 365.25 AS y, (67 + user_id % 30) / 15.0 AS shift FROM events)
+@add("p13_cyclic_time", """WITH t AS (SELECT event_id, hour(ts) + minute(ts) / 60.0 AS h, dayofyear(ts) / 365.25 AS y, (67 + user_id % 30) / 15.0 AS shift FROM events)
     SELECT event_id, round(sin(2 * pi() * h / 24), 6) AS hour_sin, round(cos(2 * pi() * y), 6) AS doy_cos, round(sin(2 * pi() * fmod(h + shift, 24) / 24), 6) AS solar_sin FROM t""")
 def _(s, d):
     t = C.cyclic_time("ts", 67 + F.col("user_id") % 30)
@@ -237,11 +254,26 @@ def _(s, d):
     return X.tendencies(steps(s, d), ["t2m"]).select("point_id", "run_date", "lead_h", "step_h", F.round("d_t2m_prev", 5).alias("d_t2m_prev"), F.round("d_t2m_next", 5).alias("d_t2m_next"))
 
 
-DAYS = STEPS + """, days AS (SELECT point_id, run_date, CAST(run_date + to_hours(lead_h) + INTERVAL 330 MINUTE AS DATE) AS local_day, max(t2m) AS t2m_max, min(t2m) AS t2m_min, avg(gust) AS gust_mean, sum(rain) AS rain_sum, count(lead_h) AS n_steps FROM steps GROUP BY ALL)"""
+# Runs that start every fourth day of a month, with leads up to 96 hours.
+LONG_STEPS = OBS + """,
+  steps AS (
+    SELECT point_id, CAST(date_trunc('day', valid) AS DATE) - CAST(day(valid) % 4 AS INTEGER) AS run_date, CAST(24 * (day(valid) % 4) + 6 * (1 + hour(valid) // 6) AS INTEGER) AS lead_h,
+      round(avg(value), 6) AS t2m, round(max(k), 6) AS gust, round(sum(value) / 10, 6) AS rain FROM obs GROUP BY ALL)"""
 
 
-def days(s, d):
-    return X.local_day_aggregates(steps(s, d), X.family(["t2m"], "max") | X.family(["t2m"], "min") | X.family(["gust"], "mean") | X.family(["rain"], "sum"))
+def long_steps(s, d):
+    o = observations(s, d)
+    age = F.dayofmonth("valid") % 4
+    keys = [F.col("point_id"), F.date_sub(F.to_date("valid"), age).alias("run_date"), (24 * age + 6 * (1 + F.floor(F.hour("valid") / 6))).cast("int").alias("lead_h")]
+    return o.groupBy(*keys).agg(F.round(F.avg("value"), 6).alias("t2m"), F.round(F.max("k"), 6).alias("gust"), F.round(F.sum("value") / 10, 6).alias("rain"))
+
+
+DAYS_OF = """, days AS (SELECT point_id, run_date, CAST(run_date + to_hours(lead_h) + INTERVAL 330 MINUTE AS DATE) AS local_day, max(t2m) AS t2m_max, min(t2m) AS t2m_min, avg(gust) AS gust_mean, sum(rain) AS rain_sum, count(lead_h) AS n_steps FROM steps GROUP BY ALL)"""
+DAYS = STEPS + DAYS_OF
+
+
+def days(s, d, of=steps):
+    return X.local_day_aggregates(of(s, d), X.family(["t2m"], "max") | X.family(["t2m"], "min") | X.family(["gust"], "mean") | X.family(["rain"], "sum"))
 
 
 @add("a3_local_day_aggregates", f"WITH {DAYS} SELECT point_id, run_date, local_day, t2m_max, t2m_min, round(gust_mean, 5) AS gust_mean, round(rain_sum, 5) AS rain_sum, n_steps, date_diff('day', run_date, local_day) AS day_k FROM days")
@@ -249,9 +281,11 @@ def _(s, d):
     return days(s, d).withColumns({"gust_mean": F.round("gust_mean", 5), "rain_sum": F.round("rain_sum", 5), "day_k": F.col("day_k").cast("long")})
 
 
-@add("p20_complete_days", f"WITH {DAYS}, k AS (SELECT *, date_diff('day', run_date, local_day) AS day_k FROM days) SELECT point_id, run_date, day_k, n_steps FROM k WHERE day_k BETWEEN 1 AND 9 AND n_steps >= CASE WHEN day_k <= 2 THEN 2 ELSE 1 END")
+@add("p20_complete_days", f"""
+    WITH {LONG_STEPS}{DAYS_OF}, k AS (SELECT *, date_diff('day', run_date, local_day) AS day_k FROM days)
+    SELECT point_id, run_date, day_k, n_steps FROM k WHERE day_k BETWEEN 1 AND 9 AND n_steps >= CASE WHEN day_k <= 2 THEN 4 ELSE 2 END""")
 def _(s, d):
-    return X.complete_days(days(s, d), 2, 1).select("point_id", "run_date", F.col("day_k").cast("long").alias("day_k"), "n_steps")
+    return X.complete_days(days(s, d, long_steps), 4, 2).select("point_id", "run_date", F.col("day_k").cast("long").alias("day_k"), "n_steps")
 
 
 @add("a4_window_extremes", f"WITH {STEPS} SELECT point_id, run_date, max(CASE WHEN lead_h % 12 = 0 THEN t2m END) AS window_max, min(CASE WHEN lead_h % 12 = 0 THEN t2m END) AS window_min FROM steps GROUP BY ALL")
@@ -293,11 +327,15 @@ def _(s, d):
     return X.merge(t.select("point_id", "run_date", "lead_h", "t2m"), extra, ["point_id", "run_date", "lead_h"])
 
 
-@add("j7_day_anomaly_on_steps", f"WITH {STEPS}, m AS (SELECT point_id, run_date, avg(t2m) AS mean FROM steps GROUP BY ALL) SELECT point_id, run_date, lead_h, CAST(floor((lead_h - 1) / 24.0) AS INTEGER) AS day_k, round(t2m - mean, 3) AS anomaly FROM steps JOIN m USING (point_id, run_date)")
+# Eight digits: means of a few values with six digits have no ties there, so both engines round alike.
+@add("j7_day_anomaly_on_steps", f"""
+    WITH {LONG_STEPS}, k AS (SELECT *, CAST(floor((lead_h - 1) / 24.0) AS INTEGER) AS day_k FROM steps),
+    m AS (SELECT point_id, run_date, day_k, avg(t2m) AS mean FROM k WHERE day_k > 0 GROUP BY ALL)
+    SELECT point_id, run_date, lead_h, day_k, round(t2m - mean, 8) AS anomaly FROM k LEFT JOIN m USING (point_id, run_date, day_k)""")
 def _(s, d):
-    t = X.step_day(steps(s, d))
-    m = t.groupBy("point_id", "run_date", "day_k").agg(F.avg("t2m").alias("mean"))
-    return t.join(m, ["point_id", "run_date", "day_k"], "left").select("point_id", "run_date", "lead_h", "day_k", F.round(F.col("t2m") - F.col("mean"), 3).alias("anomaly"))
+    t = X.step_day(long_steps(s, d))
+    m = t.where("day_k > 0").groupBy("point_id", "run_date", "day_k").agg(F.avg("t2m").alias("mean"))
+    return t.join(m, ["point_id", "run_date", "day_k"], "left").select("point_id", "run_date", "lead_h", "day_k", F.round(F.col("t2m") - F.col("mean"), 8).alias("anomaly"))
 
 
 @add("w6_day_windows", f"""WITH {OBS}, t AS (SELECT point_id, date_diff('day', DATE '2024-01-01', CAST(valid AS DATE)) AS day_k, round(sum(value), 4) AS rain FROM obs GROUP BY ALL),
@@ -363,6 +401,22 @@ def _(s, d):
     return X.anomalies(o, clim, ["point_id", "kind"], ["value"]).select("point_id", "valid", F.round("value_anom", 3).alias("value_anom"))
 
 
+# Stations use the climatology of their nearest node, nodes their own; latitudes are moved apart so that no two nodes are equally near.
+@add("j8_anomalies_of_reference_nodes", f"""
+    WITH {OBS}, {POINTS}, p AS (SELECT point_id, lat + id * id / 1000000.0 AS lat, lon, id % 4 = 0 AS node FROM points WHERE point_id IN (SELECT point_id FROM obs)),
+    x AS (SELECT s.point_id, n.point_id AS ref_id, row_number() OVER (PARTITION BY s.point_id ORDER BY round(pow(n.lat - s.lat, 2) + pow((n.lon - s.lon) * cos(radians(s.lat)), 2), 9), n.point_id) AS i
+      FROM p s, p n WHERE n.node AND (NOT s.node OR s.point_id = n.point_id)),
+    c AS (SELECT point_id AS ref_id, kind, avg(value) AS c FROM obs WHERE valid < TIMESTAMP '2024-01-20' GROUP BY ALL)
+    SELECT o.point_id, x.ref_id, o.valid, round(value - c, 8) AS value_anom FROM obs o LEFT JOIN x ON x.point_id = o.point_id AND x.i = 1 LEFT JOIN c ON c.ref_id = x.ref_id AND c.kind = o.kind""")
+def _(s, d):
+    o = observations(s, d)
+    p = points(s, d).join(o.select("point_id").distinct(), "point_id", "left_semi").withColumns({"node": F.col("id") % 4 == 0, "lat": F.col("lat") + F.col("id") * F.col("id") / 1000000.0})
+    ref = G.reference_nodes(p, "node", 4.0)
+    clim = X.fit_climatology(o.where("valid < timestamp'2024-01-20'"), ["point_id", "kind"], ["value"])
+    out = X.anomalies(o.join(ref.withColumnRenamed("ref_id", "_r"), "point_id", "left"), clim, ["point_id", "kind"], ["value"], ref)
+    return out.select("point_id", F.col("_r").alias("ref_id"), "valid", F.round("value_anom", 8).alias("value_anom"))
+
+
 @add("a20_station_record", f"WITH {HOURLY} SELECT point_id, sum(n_obs) AS reports, count(*) AS hours, count(*) FILTER (ts_any) AS ts_hours, count(DISTINCT CAST(hour_utc AS DATE)) AS days, min(hour_utc) AS first, max(hour_utc) AS last FROM hourly GROUP BY 1")
 def _(s, d):
     return hourly(s, d).groupBy("point_id").agg(F.sum("n_obs").alias("reports"), F.count(F.lit(1)).alias("hours"), F.count_if("ts_any").alias("ts_hours"), F.countDistinct(F.to_date("hour_utc")).alias("days"), F.min("hour_utc").alias("first"), F.max("hour_utc").alias("last"))

@@ -68,8 +68,10 @@ def _(s, d):
     return rounded(M.contingency(events_of(s, d), F.col("p") >= 0.6, F.col("y") == 1, ["zone"]))
 
 
-@add("f7_best_threshold", f"""WITH {EVENT}, c AS (SELECT DISTINCT unnest(list_transform(range(200), lambda i: quantile_cont_i)) AS t FROM (SELECT 0 AS quantile_cont_i) WHERE FALSE), q AS (SELECT DISTINCT unnest(quantile_cont(p, list_transform(range(200), lambda i: i / 199.0))) AS t FROM ev),
-    g AS (SELECT t, count(*) FILTER (p >= t) AS alarms, count(*) FILTER (p >= t AND y = 1) AS hits, sum(y) AS pos FROM ev, q GROUP BY 1), s AS (SELECT t, hits / nullif(alarms + pos - hits, 0) AS csi FROM g) SELECT round(t, 6) AS threshold, round(csi, 6) AS csi FROM s ORDER BY csi DESC, t LIMIT 1""".replace("c AS (SELECT DISTINCT unnest(list_transform(range(200), lambda i: quantile_cont_i)) AS t FROM (SELECT 0 AS quantile_cont_i) WHERE FALSE), ", ""))
+@add("f7_best_threshold", f"""
+    WITH {EVENT}, q AS (SELECT DISTINCT unnest(quantile_cont(p, list_transform(range(200), lambda i: (50 + 49.9 * i / 199.0) / 100))) AS t FROM ev),
+    g AS (SELECT t, count(*) FILTER (p >= t) AS alarms, count(*) FILTER (p >= t AND y = 1) AS hits, sum(y) AS pos FROM ev, q GROUP BY 1),
+    s AS (SELECT t, hits / nullif(alarms + pos - hits, 0) AS csi FROM g) SELECT round(t, 6) AS threshold, round(csi, 6) AS csi FROM s ORDER BY csi DESC, t LIMIT 1""")
 def _(s, d):
     return rounded(M.best_threshold(events_of(s, d), "p", "y"))
 
@@ -122,9 +124,12 @@ def _(s, d):
     return rounded(M.rank_histogram(forecasts(s, d).withColumn("m", F.array("a", "b", "c", "d")), "truth", "m", ["zone"]))
 
 
-@add("m15_pit_flatness", f"""WITH {FC}, r AS (SELECT zone, CAST(a < truth AS INT) + CAST(b < truth AS INT) + CAST(c < truth AS INT) + CAST(d < truth AS INT) AS r FROM fc), g AS (SELECT zone, r, count(*) AS n FROM r GROUP BY ALL),
-    f AS (SELECT zone, greatest(max(abs(n / t - 0.2)), CASE WHEN count(*) < 5 THEN 0.2 ELSE 0 END) AS worst FROM (SELECT *, sum(n) OVER (PARTITION BY zone) AS t FROM g) GROUP BY 1), p AS (SELECT zone, avg((r + 0.5) / 5) AS m, stddev_pop((r + 0.5) / 5) AS sd FROM r GROUP BY 1)
-    SELECT zone, round(worst, 6) AS worst_gap, round(m, 6) AS pit_mean, round(sd, 6) AS pit_sd FROM f JOIN p USING (zone)""")
+@add("m15_pit_flatness", f"""
+    WITH {FC}, r AS (SELECT zone, CAST(a < truth AS INT) + CAST(b < truth AS INT) + CAST(c < truth AS INT) + CAST(d < truth AS INT) AS r FROM fc),
+    k AS (SELECT DISTINCT zone, i FROM r, range(5) t(i)), g AS (SELECT k.zone, k.i, count(r.r) AS n FROM k LEFT JOIN r ON r.zone = k.zone AND r.r = k.i GROUP BY ALL),
+    f AS (SELECT zone, 5 * sum(pow(n / t - 1 / 5, 2)) AS flat FROM (SELECT *, sum(n) OVER (PARTITION BY zone) AS t FROM g) GROUP BY 1),
+    p AS (SELECT zone, avg(r / 4) AS m, stddev_pop(r / 4) AS sd FROM r GROUP BY 1)
+    SELECT zone, round(flat, 6) AS flatness, round(m, 6) AS pit_mean, round(sd, 6) AS pit_sd FROM f JOIN p USING (zone)""")
 def _(s, d):
     return rounded(M.flatness(forecasts(s, d).withColumn("m", F.array("a", "b", "c", "d")), "truth", "m", 4, ["zone"]))
 
@@ -154,15 +159,24 @@ def _(s, d):
     return ranked(s, d).groupBy("source", F.col("relevance").cast("long").alias("relevance")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("m16_ndcg", f"""WITH {RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY authority DESC, source) AS si, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY relevance DESC, source) AS ri FROM ranked),
-    g AS (SELECT sum(CASE WHEN si <= 3 THEN (pow(2, relevance) - 1) / log2(si + 1) END) / sum(CASE WHEN ri <= 3 THEN (pow(2, relevance) - 1) / log2(ri + 1) END) AS ndcg, max(CASE WHEN si = 1 AND ri = 1 THEN 1 ELSE 0 END) AS top FROM o GROUP BY l_orderkey, l_linenumber, l_partkey) SELECT count(*) AS groups, round(avg(ndcg), 6) AS ndcg, round(avg(top), 6) AS top1_best FROM g""")
+@add("m16_ndcg", f"""
+    WITH {RANKED}, o AS (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY authority DESC, source) AS si, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY relevance DESC, source) AS ri FROM ranked),
+    g AS (
+      SELECT sum(CASE WHEN si <= 3 THEN relevance / log2(si + 1) END) / sum(CASE WHEN ri <= 3 THEN relevance / log2(ri + 1) END) AS ndcg, max(CASE WHEN si = 1 AND ri = 1 THEN 1 ELSE 0 END) AS top
+      FROM o GROUP BY l_orderkey, l_linenumber, l_partkey)
+    SELECT count(*) AS groups, round(avg(ndcg), 6) AS ndcg, round(avg(top), 6) AS top1_best FROM g""")
 def _(s, d):
     return rounded(M.ndcg(ranked(s, d), GROUP, "authority", "relevance", 3))
 
 
-@add("m16_pairwise_accuracy", f"WITH {RANKED} SELECT count(*) AS pairs, round(avg(CASE WHEN x.authority > z.authority THEN 1.0 WHEN x.authority = z.authority THEN 0.5 ELSE 0.0 END), 6) AS accuracy FROM ranked x JOIN ranked z ON x.l_orderkey = z.l_orderkey AND x.l_linenumber = z.l_linenumber AND x.l_partkey = z.l_partkey AND x.relevance > z.relevance")
+# The first decimal of the authority, so that scores tie.
+@add("m16_pairwise_accuracy", f"""
+    WITH {RANKED}, r AS (SELECT *, floor(authority * 10) AS score FROM ranked)
+    SELECT count(*) AS pairs, round(avg(CASE WHEN (x.relevance > z.relevance) = (x.score > z.score) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+    FROM r x JOIN r z ON x.l_orderkey = z.l_orderkey AND x.l_linenumber = z.l_linenumber AND x.l_partkey = z.l_partkey AND x.source < z.source AND x.relevance <> z.relevance""")
 def _(s, d):
-    return rounded(M.pairwise_accuracy(ranked(s, d), GROUP, "authority", "relevance"))
+    return rounded(M.pairwise_accuracy(ranked(s, d).withColumn("score", F.floor(F.col("authority") * 10)), GROUP, "score", "relevance"))
 
 
 @add("m16_following_errors", f"""WITH {LONG}, g AS (SELECT max(CASE WHEN source = 'b' THEN (value - truth) * (value - truth) END) AS pick, max(CASE WHEN source = 'a' THEN (value - truth) * (value - truth) END) AS fix, avg(value - truth) AS m, min((value - truth) * (value - truth)) AS best FROM long GROUP BY l_orderkey, l_linenumber, l_partkey)
@@ -201,12 +215,16 @@ def _(s, d):
 
 
 # --- ranges and residuals --------------------------------------------------------
-@add("f5_conformal_margin", f"WITH {FC} SELECT round(quantile_cont(greatest(a - truth, truth - c), 0.8), 4) AS margin FROM fc")
+MARGIN = """o AS (SELECT *, greatest(a - truth, truth - {hi}) AS o FROM fc), i AS (SELECT *, row_number() OVER (ORDER BY o) - 1 AS i, count(*) OVER () AS n FROM o), h AS (SELECT *, least(1.0, 0.8 * (1 + 1.0 / n)) * (n - 1) AS h FROM i),
+    m AS (SELECT sum(o * (CASE WHEN i = floor(h) THEN 1 - (h - floor(h)) WHEN i = floor(h) + 1 THEN h - floor(h) ELSE 0 END)) AS m FROM h)"""
+
+
+@add("f5_conformal_margin", f"WITH {FC}, {MARGIN.format(hi='c')} SELECT round(m, 4) AS margin FROM m")
 def _(s, d):
     return rounded(K.conformal_margin(forecasts(s, d), "truth", "a", "c"), 4)
 
 
-@add("f5_calibrated_interval", f"WITH {FC}, m AS (SELECT quantile_cont(greatest(a - truth, truth - b), 0.8) AS m FROM fc) SELECT lead_h, round(avg(least(a - m, c)), 3) AS lo, round(avg(greatest(b + m, c)), 3) AS hi FROM fc, m GROUP BY 1")
+@add("f5_calibrated_interval", f"WITH {FC}, {MARGIN.format(hi='b')} SELECT lead_h, round(avg(least(a - m, c)), 3) AS lo, round(avg(greatest(b + m, c)), 3) AS hi FROM fc, m GROUP BY 1")
 def _(s, d):
     f = forecasts(s, d)
     out = K.calibrated_interval(f.join(F.broadcast(K.conformal_margin(f, "truth", "a", "b"))), "a", "c", "b", "margin")  # one row
@@ -237,11 +255,11 @@ def _(s, d):
     return X.impute_members(f, ["a", "b", "c"]).groupBy("loc").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 3).alias("a"), F.round(F.avg("c"), 3).alias("c"), F.sum("a_missing").alias("a_missing"), F.sum("c_missing").alias("c_missing"))
 
 
-@add("a19_ensemble_summary", f"""WITH {FC}, m AS (SELECT zone, list_filter([a, b, CASE WHEN quantity > 40 THEN NULL ELSE c END, d], lambda x: x IS NOT NULL) AS m FROM fc) SELECT zone, count(*) AS n, round(avg(list_avg(m)), 3) AS mean, round(avg(list_stddev_pop(m)), 3) AS sd, round(avg(list_median(m)), 3) AS median, round(avg(list_min(m)), 3) AS low, round(avg(list_max(m)), 3) AS high, round(avg(len(list_filter(m, lambda x: x > 50000)) / len(m)), 6) AS wet FROM m GROUP BY 1""")
+@add("a19_ensemble_summary", f"""WITH {FC}, m AS (SELECT zone, list_filter([a, b, CASE WHEN quantity > 40 THEN NULL ELSE c END, d], lambda x: x IS NOT NULL) AS m FROM fc) SELECT zone, count(*) AS n, round(avg(list_avg(m)), 3) AS mean, round(avg(list_stddev_pop(m)), 3) AS sd, round(avg(list_median(m)), 3) AS median, round(avg(list_min(m)), 3) AS low, round(avg(list_max(m)), 3) AS high, round(avg(len(list_filter(m, lambda x: x > 50000)) / len(m)), 6) AS wet, round(avg(list_stddev_pop(m) / (abs(list_avg(m)) + 1)), 6) AS spread_ratio FROM m GROUP BY 1""")
 def _(s, d):
     f = forecasts(s, d).withColumn("m", F.array("a", "b", F.when(F.col("quantity") <= 40, F.col("c")), "d"))
     e = X.ensemble_summary(f, "m", 50000.0)
-    return e.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 3).alias(a) for c, a in (("ens_mean", "mean"), ("ens_sd", "sd"), ("ens_median", "median"), ("ens_min", "low"), ("ens_max", "high"))], F.round(F.avg("ens_wet"), 6).alias("wet"))
+    return e.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 3).alias(a) for c, a in (("ens_mean", "mean"), ("ens_sd", "sd"), ("ens_median", "median"), ("ens_min", "low"), ("ens_max", "high"))], F.round(F.avg("ens_wet"), 6).alias("wet"), F.round(F.avg("ens_spread_ratio"), 6).alias("spread_ratio"))
 
 
 @add("f13_member_exceedance", f"WITH {FC} SELECT lead_h, round(avg((CAST(a > 50000 AS INT) + CAST(b > 50000 AS INT) + CAST(c > 50000 AS INT) + CAST(d > 50000 AS INT)) / 4.0), 6) AS p, round(avg(CAST(truth > 50000 AS INT)), 6) AS rate FROM fc GROUP BY 1")
@@ -310,7 +328,9 @@ def _(s, d):
 U = "('0x' || substr(md5('0|' || CAST({k} AS VARCHAR)), 1, 13))::UBIGINT / 4503599627370496.0"
 
 
-@add("k5_positives_first", f"SELECT doc_id, quality FROM labels ORDER BY quality = 0 DESC, {U.format(k='doc_id')}, doc_id LIMIT 100")
+@add("k5_positives_first", f"""
+    WITH n AS (SELECT doc_id, quality FROM labels WHERE quality <> 0 ORDER BY {U.format(k='doc_id')}, doc_id LIMIT (SELECT greatest(100 - count(*) FILTER (quality = 0), 50) FROM labels))
+    SELECT doc_id, quality FROM labels WHERE quality = 0 UNION ALL SELECT * FROM n""")
 def _(s, d):
     return S.keep_positives(table(s, d, "labels"), F.col("quality") == 0, 100, "doc_id").select("doc_id", "quality")
 

@@ -1,10 +1,12 @@
-"""Session settings that jobs, tests and the bench share."""
+"""Session settings that jobs, tests and the bench share, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -25,3 +27,36 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The application's folder under spark.checkpoint.dir, which driver and executors can read and write.
+
+    Where the setting is missing, a local session gets a temporary folder; on a
+    cluster that would be each machine's own, so there it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/brontide-{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends in a table that outlives executors, with known sizes."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; results that still read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,23 +46,40 @@ def latest_warnings(rows: DataFrame, key: str, sent: str, kind: str, expires: st
     return out.where((F.lower(kind) != "cancel") & (F.col(expires).isNull() | (F.col(expires) > F.lit(now).cast("timestamp"))))
 
 
-def warning_lifecycle(stream: DataFrame, path: str, key: str, sent: str, kind: str, expires: str) -> Callable:
+def warning_lifecycle(path: str, key: str, sent: str, kind: str, expires: str, late_hours: int = 24) -> Callable:
     """A foreachBatch writer that merges each batch into a table of the latest message of each warning.
 
-    Tables are numbered by batch, so a batch that runs again replaces its own result.
+    Cancelled and expired warnings leave the table ``late_hours`` of event time
+    after their end, so that it grows with the open warnings alone and a late
+    older message cannot open one again before. Tables are numbered by batch: a
+    batch that runs again replaces its own result, and those before the last
+    two are deleted.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.select(key, sent, kind, expires)
         if epoch:
-            new = new.unionByName(spark.read.parquet(f"{path}/{epoch - 1:08d}"))
-        last = new.groupBy(key).agg(F.max(F.struct(F.col(sent), F.col(kind), F.col(expires))).alias("_m"))
-        last.select(key, f"_m.{sent}", f"_m.{kind}", f"_m.{expires}").write.mode("overwrite").parquet(f"{path}/{epoch:08d}")
+            new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/{epoch - 1:08d}"))
+        last = new.groupBy(key).agg(F.max(F.struct(F.col(sent), F.col(kind), F.col(expires))).alias("_m")).select(key, f"_m.{sent}", f"_m.{kind}", f"_m.{expires}")
+        seen = new.agg(F.max(sent).alias("_now"))
+        end = F.when(F.lower(kind) == "cancel", F.col(sent)).otherwise(F.col(expires))
+        over = F.coalesce(F.timestamp_add("HOUR", F.lit(late_hours), end) <= F.col("_now"), F.lit(False))
+        last.join(F.broadcast(seen)).where(~over).drop("_now").write.mode("overwrite").parquet(f"{path}/{epoch:08d}")  # seen is one row
+        if epoch > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 2:08d}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return merge
 
 
+def newest_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the last batch that ``warning_lifecycle`` wrote."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    return spark.read.parquet(f"{path}/{max(names)}")
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now and return what it wrote, as parquet in the checkpoint's folder."""
     out = f"{checkpoint}/{name}-out"
