@@ -278,12 +278,12 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     """``docs`` with base spans replaced by their kind in brackets, generalised terms by [TERM] and removed terms gone.
 
     Spans that overlap are one region, replaced by the mark of the one that starts
-    first. A null text stays null; an empty table gives an empty one.
+    first, of those the longest. A null text stays null; an empty table gives an empty one.
     """
     k1, k2, spans = fresh(docs.columns, "_a1", "_a2", "_spans")
     found = personal_spans(docs, support, generalise).where(F.size("_all") > 0).dropDuplicates(["_k1", "_k2"])
     # Regions: spans by start, a new one wherever a span starts at or after the largest end so far.
-    ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("_longest"), s["kind"].alias("kind"), s["end"].alias("end"))))
     found = found.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), ordered.alias("_o"))
     found = found.withColumn("_e", running(F.transform("_o", lambda s: s["end"]), lambda a, b: F.greatest(a, b)))
     before = lambda i: F.when(i > 0, F.get("_e", i - 1)).otherwise(0)
