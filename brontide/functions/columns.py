@@ -50,8 +50,16 @@ def within(x: Column | str, low: float | None, high: float | None) -> Column:
     return F.when(ok, x)
 
 
-def mask_fields(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
-    """Sentinels and impossible values of many fields to null, before anything is interpolated."""
+# Physically possible ranges of derived forecast fields.
+FIELD_BOUNDS: dict[str, tuple[float | None, float | None]] = {
+    "soilw": (0.0, 1.0), "avg_soilw": (0.0, 1.0), "lcc": (0, 100), "mcc": (0, 100), "hcc": (0, 100), "rh850": (0, 100), "rh700": (0, 100), "rh500": (0, 100), "avg_rh2m": (0, 100), "spr_rh2m": (0, 60),
+    "tskin_c": (-90, 95), "k_index": (-80, 100), "q2m_gkg": (0, 60), "q850_gkg": (0, 40), "prate_mmh": (0, 1000), "hlcy": (-3000, 5000), "cape255": (0, 12000), "cape90": (0, 12000),
+    "cin180": (-5000, 1), "lftx4": (-30, 30), "avg_tcc": (0, 100), "spr_tcc": (0, 100),
+}
+
+
+def mask_fields(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]] = FIELD_BOUNDS) -> DataFrame:
+    """Sentinels and impossible values of the fields that are there to null, before anything is interpolated."""
     return df.withColumns({c: within(number(c), *b) for c, b in bounds.items() if c in df.columns})
 
 

@@ -18,6 +18,39 @@ def family(columns: list[str], how: str) -> dict[str, tuple[str, str]]:
     return {f"{c}_{how}": (c, how) for c in columns}
 
 
+# Daily columns of a forecast day, each with its step column and reducer.
+DAILY_REDUCERS = {
+    "t2m_max": ("t2m_c", "max"), "t2m_min": ("t2m_c", "min"), "t2m_mean": ("t2m_c", "mean"), "rh_mean": ("rh2m", "mean"), "rh_min": ("rh2m", "min"), "dpt_mean": ("dpt2m_c", "mean"),
+    "wind_mean": ("wind10", "mean"), "gust_max": ("gust", "max"), "cape_max": ("cape", "max"), "cape_ml_max": ("cape_ml", "max"), "cin_mean": ("cin", "mean"), "lftx_min": ("lftx", "min"),
+    "vis_min_km": ("vis_km", "min"), "tcc_mean": ("tcc", "mean"), "pwat_mean": ("pwat", "mean"), "pwat_max": ("pwat", "max"), "mslp_mean": ("mslp_hpa", "mean"), "hpbl_max": ("hpbl", "max"),
+    "refc_max": ("refc", "max"), "cwat_max": ("cwat", "max"),
+}
+# Fields of the extension whose daily mean, maximum and minimum are kept.
+EXTENSION_MEAN = """wind850 wind200 shear_850_200 shear_850_500 rh850 rh700 rh500 t850_c t500_c z500 lapse_850_500 thickness_850_500 k_index total_totals vort850_e5 div850_e5 mfc850_e7 q850_gkg upslope10
+    pgrad_hpa100km t2m_nb9_std tskin_c q2m_gkg soilw dswrf lcc mcc hcc absv500 wdir10_sin wdir10_cos wdir850_sin wdir850_cos dpt_depr_700 avg_t2m_c spr_t2m_c avg_rh2m spr_rh2m avg_pwat spr_pwat avg_tcc
+    spr_tcc avg_prmsl_hpa spr_prmsl_hpa avg_wind10 avg_dswrf avg_soilw lhtfl shtfl""".split()
+EXTENSION_MAX = """wind850 k_index total_totals mfc850_e7 vort850_e5 upslope10 pgrad_hpa100km cape255 cape90 hlcy prate_mmh tskin_c absv500 avg_cape spr_cape avg_cape_ml avg_crain avg_gust spr_gust avg_hlcy
+    spr_hlcy apcp_nb5_max apcp_nb9_max cape_nb5_max cape_nb9_max refc_nb5_max gust_nb5_max spr_apcp lftx4""".split()
+EXTENSION_MIN = "w850 w700 w500 rh700 cin180 lftx4 avg_cin div850_e5 lapse_850_500".split()
+
+
+def _with_fields(steps: DataFrame, spec: dict[str, tuple[str, str]]) -> DataFrame:
+    """The steps with nulls for columns that a specification wants and they lack."""
+    lacking = sorted({c for c, _ in spec.values()} - set(steps.columns))
+    return steps.withColumns({c: F.lit(None).cast("double") for c in lacking}) if lacking else steps
+
+
+def utc_day_aggregates(steps: DataFrame, keys: list[str], lead="lead_h") -> DataFrame:
+    """The twenty daily columns of DAILY_REDUCERS and n_steps; a column whose field the steps lack is null."""
+    return aggregates(_with_fields(steps, DAILY_REDUCERS), keys, DAILY_REDUCERS | {"n_steps": (lead, "count")})
+
+
+def extension_day_aggregates(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """The daily means, maxima and minima of the extension fields, named field_mean, field_max and field_min."""
+    spec = family(EXTENSION_MEAN, "mean") | family(EXTENSION_MAX, "max") | family(EXTENSION_MIN, "min")
+    return aggregates(_with_fields(steps, spec), keys, spec)
+
+
 def local_day_aggregates(steps: DataFrame, spec: dict[str, tuple[str, str]], minutes: int = 330, key="point_id", run="run_date", lead="lead_h") -> DataFrame:
     """Aggregates of a run's steps by local day, with day_k, the local day after the run's, and n_steps."""
     valid = F.timestamp_add("HOUR", F.col(lead).cast("int"), F.col(run).cast("timestamp"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as K
 from ..operators import corpus as O
 from ..operators import metrics as M
+from ..operators.fields import FIELD_SPECS, classify_fields, field_corpus
+from ..sources import fields as H
 from .registry import Registry, table
 from .verification_queries import rounded
 
@@ -41,15 +43,46 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", O.unit_family(unit).alias("family"))
 
 
-# Specs for the words of part names: canonical, families, pattern, anti-pattern, priority.
-SPECS = [("moving_part", "length|unknown", r"gear|widget", r"old", 1), ("fastener", "length|temperature", r"bolt|ring", None, 2), ("hot_part", "temperature", r"\bhot\b", None, 3), ("coloured_part", "length|temperature|unknown", r"red|blue|green", None, 1)]
-
-
-@add("p25_field_classification", r"""WITH t AS (SELECT p_partkey, lower(p_name) AS t, CASE WHEN p_size % 3 = 0 THEN 'length' WHEN p_size % 3 = 1 THEN 'temperature' ELSE 'unknown' END AS family FROM part)
-    SELECT p_partkey, family, CASE WHEN regexp_matches(t, '\bhot\b') AND family IN ('temperature', 'unknown') THEN 'hot_part' WHEN regexp_matches(t, 'bolt|ring') THEN 'fastener' WHEN regexp_matches(t, 'red|blue|green') THEN 'coloured_part' WHEN regexp_matches(t, 'gear|widget') AND NOT regexp_matches(t, 'old') AND family IN ('length', 'unknown') THEN 'moving_part' END AS canonical FROM t""")
+DESCRIPTIONS = [
+    "Total precipitation", "Probability of precipitation", "precipitation rate at surface", "Snow depth", "Maximum temperature at 2 m", "TMIN daily", "Dew point at 2 metre", "heat index", "Soil temperature 0-7 cm", "Sea surface temperature",
+    "2 metre temperature", "potential temperature", "Wind gust at 10 m", "U-component of wind at 10 m", "northward wind", "wind direction", "Wind speed at 850 hPa", "Relative humidity at 2 m", "specific humidity", "Pressure reduced to MSL",
+    "Surface pressure", "downward short-wave radiation", "sunshine duration", "Total cloud cover", "visibility", "Volumetric soil water", "evaporation", "CAPE at surface", "convective inhibition", "lightning flash density",
+    "thunderstorm probability", "significant height of wind wave", "very heavy rain and thunderstorm", "dense fog and mist", "Cyclone over sea, very rough", "Widespread rain", "6 hour acc rain", "nothing known", "", "rain and hail, river above danger level",
+]
+HINTS = "CASE p_partkey % 3 WHEN 0 THEN 'warning' END"
+
+
+def raw_fields(s, d):
+    """Parts as raw fields: the key picks a description, the size a unit and a processing code."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    p = table(s, d, "part").select(
+        F.lit("part").alias("source_table"), F.lit("x").alias("raw_field"), pick(DESCRIPTIONS, k % len(DESCRIPTIONS)).alias("description"), pick(UNITS, z % len(UNITS)).alias("unit"), F.lit("").alias("level_text"), F.lit("").alias("time_range_text"),
+        F.when(z % 4 == 0, z % 12).cast("int").alias("grib_statistical_processing"), F.expr(HINTS).alias("evidence_class_hint"), k.cast("string").alias("source_record_id"))
+    return p
+
+
+strings = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+SPEC_ROWS = ", ".join(f"({i}, '{x.variable}', {strings(x.families)}, '{x.statistic}', {strings(x.keywords)}, {strings(x.anti)}, {strings(x.classes)}, {x.priority})" for i, x in enumerate(FIELD_SPECS))
+
+
+@add("p25_field_classification", f"""
+    WITH spec(i, variable, families, statistic, keywords, without, classes, priority) AS (VALUES {SPEC_ROWS}),
+    f AS (
+      SELECT p_partkey, trim(({strings(DESCRIPTIONS)})[p_partkey % {len(DESCRIPTIONS)} + 1] || ' x') AS text, {arr(FAMILY)}[p_size % {len(UNITS)} + 1] AS family, {HINTS} AS hint, CASE WHEN p_size % 4 = 0 THEN p_size % 12 END AS code FROM part),
+    c AS (
+      SELECT f.*, spec.*, list_filter(keywords, lambda w: regexp_matches(text, '(?i)' || w))[1] AS matched FROM f, spec
+      WHERE (list_contains(families, family) OR family = 'unknown') AND len(list_filter(without, lambda w: regexp_matches(text, '(?i)' || w))) = 0
+        AND CASE WHEN hint = 'warning' THEN list_contains(classes, 'warning') ELSE classes <> ['warning'] END),
+    r AS (
+      SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY priority DESC, length(matched) DESC, i) AS turn, count(*) OVER (PARTITION BY p_partkey, priority) AS rivals FROM c WHERE matched IS NOT NULL),
+    b AS (SELECT * FROM r WHERE turn = 1)
+    SELECT f.p_partkey, coalesce(b.variable, 'other') AS canonical_variable, coalesce(CASE WHEN b.statistic IN ('probability', 'categorical') THEN b.statistic ELSE CASE b.code WHEN 0 THEN 'mean' WHEN 4 THEN 'instant' WHEN 8 THEN 'instant' ELSE b.statistic END END, 'instant') AS statistic,
+      b.family AS unit_family, CASE WHEN b.rivals > 1 THEN greatest(0.55, round(1 - 0.15 * (b.rivals - 1), 3)) ELSE 1.0 END AS label_confidence, coalesce(b.matched, '') AS matched_on, coalesce(f.hint, 'forecast') AS evidence_class
+    FROM f LEFT JOIN b ON b.p_partkey = f.p_partkey""")
 def _(s, d):
-    p = table(s, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 3 == 0, "mm").when(F.col("p_size") % 3 == 1, "K").otherwise("furlong").alias("unit"))
-    return O.classify(p, "p_name", "unit", SPECS, "p_partkey").select("p_partkey", "family", "canonical")
+    out = classify_fields(raw_fields(s, d))
+    return out.select(F.col("source_record_id").cast("long").alias("p_partkey"), "canonical_variable", "statistic", "unit_family", "label_confidence", "matched_on", "evidence_class")
 
 
 @add("p26_accumulation_and_level", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN CAST(6 AS DOUBLE) WHEN 1 THEN CAST(l_linenumber * 3 AS DOUBLE) WHEN 2 THEN 24.0 END AS hours, CASE l_linenumber % 4 WHEN 0 THEN '2m' WHEN 1 THEN 'mean_sea_level' WHEN 2 THEN 'pressure_level' ELSE 'surface' END AS level FROM lineitem""")
@@ -126,13 +159,52 @@ def _(s, d):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
-@add("t6_s17_field_corpus", f"""WITH {NAMES}, l AS (SELECT p_partkey, nm.name, canonical FROM nm LEFT JOIN {FIELDS} ON f.name = nm.name), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS i FROM l) SELECT p_partkey, canonical IS NULL AS abstain, CASE WHEN ('0x' || substr(sha1(name), 1, 8))::UBIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha1(name), 1, 8))::UBIGINT % 100 < 90 THEN 'val' ELSE 'test' END AS split FROM k WHERE i = 1""")
+def harvested(s, d):
+    """Parts written as published tables of eight forms, some dozens to a file, and read back."""
+    k = F.col("p_partkey")
+    p = table(s, d, "part").select(k, F.format_string("f%d", k).alias("f"), F.format_string("%s part %d", "p_name", k).alias("long"), F.when(k % 3 != 0, "K").otherwise("").alias("u"), (k % 4 == 0).alias("rare"))
+
+    def files(rows, line, head="", tail="", sep="\n"):
+        """One text for each 97th of the keys, lines in order of the key."""
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"])
+        one = rows.groupBy((k % 97).alias("_f")).agg(lines.alias("_l")).withColumn("doc", F.format_string("%05d", "_f"))
+        return one.select("doc", F.concat(F.lit(head), F.array_join("_l", sep), F.lit(tail)).alias("text"))
+
+    block = lambda key, body="": files(p, F.concat(F.lit("# note\n'"), key, F.lit("' = {"), body if not isinstance(body, str) else F.lit(body), F.lit("\n\t}")))
+    body = F.concat(F.lit("\n\t discipline = 0 ;\n\t typeOfFirstFixedSurface = "), F.when(F.col("rare"), "103").otherwise("101"), F.lit(" ;\n\t scaledValueOfFirstFixedSurface = 2 ;\n\t typeOfStatisticalProcessing = 1 ;"))
+    grid = H.grid_definitions(block(F.col("f"), body), block(F.col("long")), block(F.col("u")), block(k.cast("string")))
+    xml = files(p, F.concat(F.lit('<entry id="'), F.col("f"), F.lit('"><canonical_units>'), F.col("u"), F.lit("</canonical_units><description>"), F.when(F.col("rare"), "").otherwise(F.col("long")), F.lit("</description></entry>")), '<?xml version="1.0"?><table>', "</table>")
+    state = files(p, F.concat(F.lit("state real "), F.col("f"), F.lit(' ij misc 1 - - "'), F.upper("f"), F.lit('" "'), F.when(F.col("rare"), "").otherwise(F.col("long")), F.lit('" "'), F.col("u"), F.lit('"')), "# registry\n")
+    cells = files(p, F.concat(F.lit("<tr><td>1</td><td>"), F.col("long"), F.lit("</td><td>"), F.when(F.col("u") == "", "-").otherwise(F.col("u")), F.lit("</td><td><a>"), F.when(F.col("rare"), "two words").otherwise(F.col("f")), F.lit("</a></td></tr>")), "<table><tr><th>Number</th><th>Parameter</th><th>Units</th><th>Abbrev</th></tr>", "</table>")
+    lines = files(p, F.concat(F.lit("1:0:d=2024010100:"), F.col("f"), F.lit(":2 m above ground:0-6 hour acc fcst:"), F.lit("\n2:9:d=2024010100:"), F.col("f"), F.lit(":2 m above ground:0-6 hour acc fcst:")), "no line\n")
+    element = files(p, F.concat(F.lit("001|"), F.when(F.col("rare"), "").otherwise(F.col("f")), F.lit("|table|"), F.upper("long"), F.lit("|"), F.when(F.col("u") == "", "Code Table").otherwise(F.col("u")), F.lit("|0")), "# code|abbreviation|type|name|unit\n")
+    alert = p.select(F.concat(F.lit("<cap:alert><cap:sender>s</cap:sender><cap:info><cap:event>"), F.format_string("event %d", k % 50), F.lit("</cap:event><cap:headline>"), F.col("long"), F.lit("</cap:headline></cap:info></cap:alert>")).alias("text"))
+    own = p.where("rare").select(F.col("f").alias("name"), F.col("long").alias("description"), F.col("u").alias("unit"), F.when(k % 8 == 0, "warning").alias("hint"))
+    return H.harvest(grid, H.standard_names(xml), H.model_registry(state), H.inventories(lines, H.parameter_pages(cells)), H.element_tables(element), H.alert_events(alert), H.provider_fields(own, "open_meteo"), H.provider_fields(own, "imd_products"))
+
+
+HARVEST = """p AS (SELECT p_partkey AS k, 'f' || p_partkey AS f, p_name || ' part ' || p_partkey AS long, CASE WHEN p_partkey % 3 <> 0 THEN 'K' END AS u, p_partkey % 4 = 0 AS rare FROM part),
+  raw AS (
+    SELECT 'grib2_eccodes' AS source_table, f AS raw_field, long AS description, u AS unit, CASE WHEN rare THEN '2 m above ground' ELSE 'mean_sea_level' END AS level_text, '' AS time_range_text, 1 AS grib_statistical_processing, NULL AS evidence_class_hint, CAST(k AS VARCHAR) AS source_record_id FROM p
+    UNION ALL SELECT 'cf_standard_names', f, CASE WHEN rare THEN f ELSE long END, u, '', '', NULL, NULL, f FROM p
+    UNION ALL SELECT 'wrf_registry', f, long, u, '', '', NULL, NULL, f FROM p WHERE NOT rare
+    UNION ALL SELECT 'ncep_gfs_idx', f, CASE WHEN rare THEN '' ELSE long END, CASE WHEN NOT rare THEN u END, '2 m above ground', '0-6 hour acc fcst', NULL, NULL, f || '|2 m above ground|0-6 hour acc fcst' FROM p
+    UNION ALL SELECT 'bufr_wmo', f, array_to_string(list_transform(string_split(lower(long), ' '), lambda w: upper(w[1]) || w[2:]), ' '), u, '', '', NULL, NULL, f FROM p WHERE NOT rare
+    UNION ALL SELECT 'cap_sachet', 'event ' || e, long, NULL, '', '', NULL, 'warning', 'cap:event ' || e FROM (SELECT k % 50 AS e, long, row_number() OVER (PARTITION BY k % 50 ORDER BY length(long) DESC, long) AS i FROM p) WHERE i = 1
+    UNION ALL SELECT s, f, long, CASE WHEN u IS NULL THEN '' ELSE u END, '', long, NULL, CASE WHEN k % 8 = 0 THEN 'warning' END, f FROM p, (VALUES ('open_meteo'), ('imd_products')) t(s) WHERE rare)"""
+
+
+@add("s17_field_harvest", f"WITH {HARVEST} SELECT * FROM raw")
 def _(s, d):
-    from ..operators.splits import hash_split
+    return harvested(s, d)
 
-    f = O.look_up_fields(native_names(s, d), "name").withColumn("field", O.native_field("name"))
-    one = O.dedup_normalised(f, "field", ["p_partkey"])
-    return one.select("p_partkey", F.col("canonical").isNull().alias("abstain"), hash_split("norm").alias("split"))
+
+@add("t6_s17_field_corpus", f"""
+    WITH {HARVEST}, k AS (SELECT *, lower(raw_field) || '|' || lower(coalesce(unit, '')) || '|' || lower(level_text) || '|' || lower(time_range_text) AS key FROM raw)
+    SELECT source_table, raw_field, source_record_id, CASE WHEN source_table IN ('cf_standard_names', 'grib2_eccodes', 'cap_sachet') THEN CASE WHEN ('0x' || substr(sha1(key), 1, 8))::UBIGINT % 100 < 12 THEN 'val' ELSE 'train' END
+      WHEN source_table IN ('bufr_wmo', 'open_meteo', 'imd_products') THEN 'dev_zeroshot' ELSE 'test_zeroshot' END AS split FROM k""")
+def _(s, d):
+    return field_corpus(harvested(s, d)).select("source_table", "raw_field", "source_record_id", "split")
 
 
 SLOT = r"""sl AS (SELECT conv_id, turn, text, regexp_extract(text, '\S+\s+(\S+)', 1) AS w FROM conversations)"""

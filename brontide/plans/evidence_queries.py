@@ -476,13 +476,34 @@ def _(s, d):
     return V.keyed_payload(p, "payload", {"T2M": ("temperature_2m", "C")}).select("payload_id", "variable", "value", "valid_from")
 
 
-@add("s13_national_records", "SELECT event_id AS payload_id, 'precipitation_amount' AS variable, value, CASE WHEN event_type = 'view' THEN 'forecast' ELSE 'observation' END AS evidence_class, CASE WHEN event_type = 'view' THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 330 MINUTE END AS valid_from, NULL AS severity FROM events WHERE event_type IN ('view', 'click') UNION ALL SELECT event_id, 'heavy_rain_warning', NULL, 'warning', NULL, 'orange' FROM events WHERE event_type = 'error'")
+# All five products in turn, with times as ISO with offset, as ISO in UTC, local without zone, and as a date.
+@add("s13_national_records", """
+    WITH t AS (SELECT event_id, value, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, event_id % 5 AS p, event_id % 4 AS f FROM events),
+    u AS (SELECT *, CASE f WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN ts - INTERVAL 330 MINUTE ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 330 MINUTE END AS tm FROM t)
+    SELECT event_id AS payload_id, 'precipitation_amount' AS variable, value, 'forecast' AS evidence_class, tm AS valid_from, NULL AS observed_at, NULL AS issued_at, NULL AS severity, NULL AS raw_value FROM u WHERE p = 0
+    UNION ALL SELECT event_id, 'temperature_max', value + 1, 'forecast', tm, NULL, NULL, NULL, NULL FROM u WHERE p = 0
+    UNION ALL SELECT event_id, 'temperature_2m', value, 'observation', NULL, tm, NULL, NULL, NULL FROM u WHERE p = 1
+    UNION ALL SELECT event_id, 'heavy_rain_warning', NULL, 'warning', tm, NULL, NULL, 'orange', 'very heavy' FROM u WHERE p = 2
+    UNION ALL SELECT event_id, 'thunderstorm_probability', NULL, 'nowcast', tm, NULL, NULL, NULL, 'c' || f FROM u WHERE p = 3
+    UNION ALL SELECT event_id, 'precipitation_amount', value, 'observation', NULL, tm, NULL, NULL, NULL FROM u WHERE p = 4""")
 def _(s, d):
-    e = table(s, d, "events").where("event_type IN ('view', 'click', 'error')")
-    t = F.col("event_type")
-    body = F.when(t == "view", F.format_string('{"city":"x","rainfall":%s,"forecast_date":"%s"}', F.col("value").cast("string"), F.to_date("ts").cast("string"))).when(t == "click", F.format_string('{"station":"x","rainfall":%s}', F.col("value").cast("string"))).otherwise('{"district":"y","colour":"Orange","hazard":"heavy rainfall"}')
-    p = e.select(F.col("event_id").alias("payload_id"), F.when(t == "view", "forecast").when(t == "click", "current").otherwise("warning").alias("product"), body.alias("payload"))
-    return V.national_record(p, "payload").select("payload_id", "variable", "value", "evidence_class", "valid_from", "severity")
+    e = table(s, d, "events")
+    p, f = F.col("event_id") % 5, F.col("event_id") % 4
+    t = F.date_trunc("second", "ts")
+    plus = F.timestamp_add("MINUTE", F.lit(330), t.cast("timestamp"))
+    text = lambda x, form: F.date_format(x, form)
+    at = F.when(f == 0, F.concat(text(plus, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0530"))).when(f == 1, F.concat(text(t, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(f == 2, text(t, "yyyy-MM-dd HH:mm:ss")).otherwise(text(t, "yyyy-MM-dd"))
+    v = F.col("value").cast("string")
+    body = (
+        F.when(p == 0, F.format_string('{"city":"x","rainfall":%s,"temp_max":%s,"forecast_date":"%s"}', v, (F.col("value") + 1).cast("string"), at))
+        .when(p == 1, F.format_string('{"station":"x","temperature":%s,"time":"%s"}', v, at))
+        .when(p == 2, F.format_string('{"district":"y","color":"Orange","event":"very heavy","valid_from":"%s"}', at))
+        .when(p == 3, F.format_string('{"station":"z","code":"c%d","valid_from":"%s"}', f, at))
+        .otherwise(F.format_string('{"district":"w","actual":%s,"date":"%s"}', v, at))
+    )
+    product = F.element_at(F.array(*[F.lit(x) for x in ("city_forecast", "observation", "district_warning", "nowcast", "rainfall")]), (p + 1).cast("int"))
+    out = V.national_record(e.select(F.col("event_id").alias("payload_id"), product.alias("product"), body.alias("payload")), "payload")
+    return out.select("payload_id", "variable", F.round("value", 6).alias("value"), "evidence_class", "valid_from", "observed_at", "issued_at", "severity", "raw_value")
 
 
 @add("s14_cap_alerts", "SELECT event_id AS payload_id, CASE WHEN event_id % 3 = 0 THEN 'cancelled' ELSE ['green', 'yellow', 'orange', 'red'][1 + event_id % 4] END AS severity, CASE WHEN event_id % 2 = 0 THEN 'cyclone_warning' ELSE 'flood_warning' END AS variable, 'P, Q' AS reference FROM events WHERE event_type = 'signup'")

@@ -63,9 +63,14 @@ def _(s, d):
     return table(s, d, "events").select("event_id", C.within("value", 1, 60).alias("value"))
 
 
-@add("p3_validity_mask", f"WITH {OBS} SELECT point_id, valid, CASE WHEN value <= 100 THEN value END AS value, CASE WHEN k >= 5 AND k <= 95 THEN k END AS k FROM obs")
+# A fifth of each field's values lies outside its range.
+BOUNDED = {f: f"{lo} + ({hi} - ({lo})) * (k * 1.2 - 10) / 100.0" for f, (lo, hi) in C.FIELD_BOUNDS.items()}
+
+
+@add("p3_validity_mask", f"WITH {OBS} SELECT point_id, valid, " + ", ".join(f"round(CASE WHEN {x} BETWEEN {lo} AND {hi} THEN {x} END, 6) AS {f}" for (f, x), (lo, hi) in zip(BOUNDED.items(), C.FIELD_BOUNDS.values())) + " FROM obs")
 def _(s, d):
-    return C.mask_fields(observations(s, d), {"value": (None, 100), "k": (5, 95)}).select("point_id", "valid", "value", "k")
+    o = C.mask_fields(observations(s, d).select("point_id", "valid", *[F.expr(x).alias(f) for f, x in BOUNDED.items()]))
+    return o.select("point_id", "valid", *[F.round(f, 6).alias(f) for f in BOUNDED])
 
 
 #: Reports in turn by event.
@@ -293,10 +298,14 @@ def _(s, d):
     return X.window_extremes(steps(s, d).withColumn("width_h", F.lit(12)), ["point_id", "run_date"], "t2m", "t2m", hours=12)
 
 
-@add("a5_utc_day_aggregates", f"WITH {STEPS} SELECT point_id, run_date, round(avg(t2m), 5) AS t2m_mean, max(t2m) AS t2m_max, min(t2m) AS t2m_min, round(avg(gust), 5) AS gust_mean, max(gust) AS gust_max, round(sum(rain), 5) AS rain_sum, count(lead_h) AS n_steps FROM steps GROUP BY ALL")
+@add("a5_utc_day_aggregates", f"""
+    WITH {STEPS} SELECT point_id, run_date, max(t2m) AS t2m_max, min(t2m) AS t2m_min, round(avg(t2m), 8) AS t2m_mean, round(avg(gust), 8) AS rh_mean, min(gust) AS rh_min, max(gust) AS gust_max, min(rain) AS vis_min_km,
+      round(avg(rain), 8) AS pwat_mean, max(rain) AS pwat_max, min(t2m) AS lftx_min, count(lead_h) AS n_steps FROM steps GROUP BY ALL""")
 def _(s, d):
-    spec = X.family(["t2m", "gust"], "mean") | X.family(["t2m", "gust"], "max") | X.family(["t2m"], "min") | X.family(["rain"], "sum") | {"n_steps": ("lead_h", "count")}
-    return X.aggregates(steps(s, d), ["point_id", "run_date"], spec).withColumns({c: F.round(c, 5) for c in ("t2m_mean", "gust_mean", "rain_sum")})
+    t = steps(s, d).select("point_id", "run_date", "lead_h", "gust", F.col("t2m").alias("t2m_c"), F.col("gust").alias("rh2m"), F.col("rain").alias("vis_km"), F.col("rain").alias("pwat"), F.col("t2m").alias("lftx"))
+    out = X.utc_day_aggregates(t, ["point_id", "run_date"])
+    kept = ("t2m_max", "t2m_min", "t2m_mean", "rh_mean", "rh_min", "gust_max", "vis_min_km", "pwat_mean", "pwat_max", "lftx_min")
+    return out.select("point_id", "run_date", *[F.round(c, 8).alias(c) if c.endswith("mean") else c for c in kept], "n_steps")
 
 
 @add("a6_bucket_rain", f"WITH {STEPS} SELECT point_id, run_date, count(rain) AS rain_buckets, round(CASE WHEN count(rain) >= 2 THEN sum(rain) END, 5) AS rain_mm, max(rain) AS rain_max_mm FROM steps GROUP BY ALL")
@@ -304,9 +313,13 @@ def _(s, d):
     return X.bucket_rain(steps(s, d).withColumn("width_h", F.lit(6)), ["point_id", "run_date"], "rain", least=2).withColumn("rain_mm", F.round("rain_mm", 5))
 
 
-@add("a7_extension_aggregates", f"WITH {STEPS} SELECT run_date, round(avg(t2m), 3) AS t2m_mean, round(avg(gust), 3) AS gust_mean, max(t2m) AS t2m_max, max(rain) AS rain_max, min(gust) AS gust_min FROM steps GROUP BY 1")
+@add("a7_extension_aggregates", f"""
+    WITH {STEPS} SELECT run_date, round(avg(gust), 3) AS wind850_mean, max(gust) AS wind850_max, round(avg(t2m), 3) AS k_index_mean, max(t2m) AS k_index_max, min(rain) AS w850_min, max(t2m) AS lftx4_max, min(t2m) AS lftx4_min,
+      round(avg(gust), 3) AS rh700_mean, min(gust) AS rh700_min FROM steps GROUP BY 1""")
 def _(s, d):
-    return X.aggregates(steps(s, d), ["run_date"], X.family(["t2m", "gust"], "mean") | X.family(["t2m", "rain"], "max") | X.family(["gust"], "min")).withColumns({c: F.round(c, 3) for c in ("t2m_mean", "gust_mean")})
+    t = steps(s, d).select("run_date", F.col("gust").alias("wind850"), F.col("t2m").alias("k_index"), F.col("rain").alias("w850"), F.col("t2m").alias("lftx4"), F.col("gust").alias("rh700"))
+    kept = ("wind850_mean", "wind850_max", "k_index_mean", "k_index_max", "w850_min", "lftx4_max", "lftx4_min", "rh700_mean", "rh700_min")
+    return X.extension_day_aggregates(t, ["run_date"]).select("run_date", *[F.round(c, 3).alias(c) if c.endswith("mean") else c for c in kept])
 
 
 @add("a8_ensemble_days", f"WITH {STEPS} SELECT point_id, run_date, round(sum(rain), 5) AS ens_mean, round(sqrt(sum(gust * gust)), 5) AS ens_spread FROM steps GROUP BY ALL")

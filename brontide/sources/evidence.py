@@ -18,7 +18,7 @@ def _shaped(df: DataFrame) -> DataFrame:
 def any_time(x: Column, zone_minutes: int = 330) -> Column:
     """A time in one of several forms; one without a zone is local, ``zone_minutes`` ahead of UTC."""
     naive = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "dd-MM-yyyy HH:mm", "yyyy-MM-dd", "dd-MM-yyyy")])
-    zoned = F.coalesce(F.try_to_timestamp(x, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(x, F.lit("yyyy-MM-dd'T'HH:mmXXX")))
+    zoned = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mmXXX")])
     return F.coalesce(zoned, F.timestamp_add("MINUTE", F.lit(-zone_minutes), naive))
 
 
