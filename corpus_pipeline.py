@@ -45,7 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written and read again."""
+    """All stages over ``documents``; each one's result is written and read again.
+
+    Null and empty texts, which no stage can hold against a document, drop out in
+    the mix, as they have no words to take. Rows without doc_id are filtered by
+    their text alone and stay; of rows that share a doc_id the near-duplicate stage
+    keeps one. Extra columns travel along up to the token files, whatever their
+    names; texts of any length are read whole; empty tables give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         out, path = stage(spark, docs, sf_dir), shared_path(spark, f"stage-{name}")
