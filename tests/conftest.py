@@ -8,8 +8,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from brontide.session import local_session
+    from brontide.session import clear_intermediate, local_session
 
     session = local_session(4, 4, "4g")
     yield session
+    clear_intermediate(session)
     session.stop()
