@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, shared_path
+
+__all__ = ["as_bytes", "chunks_by_bytes", "fresh", "let", "materialize", "mix64", "prefix_sums", "shared_path", "word_hashes", "word_spans"]
+
 #: ASCII white space as the word contracts use it: space, tab, LF, VT, FF, CR.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Bytes of text hashed at once; bounds the temporary arrays to about 100 MB.
 PIECE_BYTES = 2 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor can read and write, from spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/brontide-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends in a table that outlives executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
     """Names near ``wanted`` that do not clash (in any letter case) with ``columns``."""
     taken, out = {c.lower() for c in columns}, []
