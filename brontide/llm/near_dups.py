@@ -32,7 +32,7 @@ PER_CHUNK = SYMBOLS // CHUNKS
 #: Members of a bucket that one block holds.
 BLOCK = 512
 #: Runs up to this long are compared many at a time; pairs compared at once.
-SMALL_RUN, PAIRS_AT_ONCE = 64, 1 << 20
+SMALL_RUN, PAIRS_AT_ONCE = 64, 1 << 18
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)

@@ -14,8 +14,8 @@ __all__ = ["as_bytes", "chunks_by_bytes", "fresh", "let", "materialize", "mix64"
 
 #: ASCII white space as the word contracts use it: space, tab, LF, VT, FF, CR.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
-#: Bytes of text hashed at once; bounds the temporary arrays to about 100 MB.
-PIECE_BYTES = 2 << 20
+#: Bytes of text hashed at once; bounds the temporary arrays to about 25 MB.
+PIECE_BYTES = 1 << 19
 
 
 def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
