@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": list(x)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInPandas(run, f"doc_id {kind}, y double, x array<float>").orderBy("doc_id", "y", "x").limit(2 * max_labelled).toPandas()
+    got = rows.mapInPandas(run, f"doc_id {kind}, y double, x array<float>").orderBy("doc_id", "y", "x").limit(max_labelled).toPandas()
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)), np.float32)
     return fit_trees(x.astype(np.float32), got["y"].to_numpy())
 

@@ -103,6 +103,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, column: str = "embe
     fewer candidates all are returned. Vectors that are null or hold null or
     non-finite components, and rows without vec_id, take no part. Rows that repeat
     a vec_id are each a candidate; of those that are queries the smallest vector asks. A shorter vector counts as ending in zeros.
+    Scaled components beyond 64 bits stop at the ends of a long, and sums of products beyond 64 bits wrap. Other
+    columns are not read; an empty table gives an empty one.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = materialize(usable(vectors.select("vec_id", column), column), "vectors")
