@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and read from memory-mapped files.
 
 Words are 64-bit hashes. Tasks count the bigrams of their texts and deal them,
-packed, to shards: by the first word, or for words that begin more than one in
-HEAVY_SHARE bigrams by both, so that no shard gathers one word's bigrams. A shard
+packed, to shards: by the first word, or for words that begin a quarter of a shard's
+bigrams or more by both, so that no shard gathers one word's bigrams. A shard
 sorts and adds its bigrams and writes them as arrays to the shared folder; what
 words have as a context and as a continuation is added up in shards of words.
 Workers map the files they need and look sorted queries up in them.
@@ -24,7 +24,8 @@ from .shared import as_bytes, chunks_by_bytes, materialize, mix64, shared_path,
 FOLDS, HELD_OUT = 7, 2
 #: Characters of training text for each shard; a shard holds about a million bigrams.
 SHARD_CHARS = 8_000_000
-HEAVY_SHARE = 1000
+#: Characters for each bigram, about, and the part of a shard's bigrams from which a first word is split.
+BIGRAM_CHARS, HEAVY_PART = 6, 4
 #: Characters that a task counts at once, and scores at once.
 PORTION_CHARS, SCORE_CHARS = 5_000_000, 2_000_000
 BEGIN, END = np.uint64(0x51ED270B0F0E0D0C), np.uint64(0xA3C59AC2B1D0E0F1)
@@ -180,18 +181,19 @@ def fit(docs: DataFrame) -> Model:
     shards = max(1, ((size[0] or 0) + 8 * size[1]) // SHARD_CHARS)
     path = shared_path(spark, "ngrams")
 
+    heavy_from = SHARD_CHARS // (BIGRAM_CHARS * HEAVY_PART)
+    most = (size[0] or 0) // 2 + 2 * size[1] + 1  # a word takes two characters at least, but for the last of a text
+
     def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words that begin more than one in HEAVY_SHARE bigrams of the rows of a batch."""
+        """Words that begin a share of the bigrams of a portion, so small that what is left out adds up to half of heavy_from at most."""
         for texts in _portions(batches):
             before, _, _ = _tokens(texts)
             words, n = np.unique(before, return_counts=True)
-            keep = n * HEAVY_SHARE * 2 > len(before)
-            yield pd.DataFrame({"h": words[keep].view(np.int64), "n": n[keep], "of": len(before)})
+            keep = n * (2 * most) >= heavy_from * len(before)
+            yield pd.DataFrame({"h": words[keep].view(np.int64), "n": n[keep]})
 
-    # A word that heavy over all is that heavy in one batch at least, so nothing is missed; at most 2 * HEAVY_SHARE words a batch are added up.
-    counted = materialize(texts.mapInPandas(first_words, "h long, n long, of long"), "heavy")
-    tokens_seen = (size[0] or 0) / 6 + size[1]
-    heavy_rows = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY_SHARE > tokens_seen).orderBy("h").limit(16 * HEAVY_SHARE).collect()
+    # Every word that begins heavy_from bigrams is found. The list is shorter than 2 * tokens / heavy_from, some words for each shard.
+    heavy_rows = texts.mapInPandas(first_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(2 * F.col("n") >= heavy_from).select("h").orderBy("h").collect()
     heavy = np.array([r["h"] for r in heavy_rows], np.int64).view(np.uint64)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
