@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from .shared import as_bytes, chunks_by_bytes, mix64, word_spans
 
 PORTION_CHARS = 6_000_000
+#: Words that are walked one by one once all others of a portion have ended.
+FEW = 16
 
 
 class Automaton:
@@ -61,6 +63,7 @@ class Automaton:
             level = below
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
         self._edges(child)
+        self._plain: tuple[dict[int, int], list[int], list[int]] | None = None
 
     def _edges(self, child: list[dict[int, int]]) -> None:
         key = np.array([node << 8 | byte for node, out in enumerate(child) for byte in out], np.int64)
@@ -111,22 +114,49 @@ class Automaton:
             left = left[to[left] < 0]
         return to
 
+    def _walk(self, node: int, count: int, data: bytes) -> int:
+        """Pieces of one word from a state on, byte by byte; 1 if a byte can nowhere be read."""
+        if self._plain is None:
+            free = self.key >= 0
+            self._plain = dict(zip(self.key[free].tolist(), self.to[free].tolist())), self.fail.tolist(), self.pops.tolist()
+        edge, fail, pops = self._plain
+        for byte in data:
+            while (to := edge.get(node << 8 | byte, -1)) < 0:
+                count += pops[node]
+                node = fail[node]
+                if node < 0:
+                    return 1
+            node = to
+        while node:
+            count += pops[node]
+            node = fail[node]
+            if node < 0:
+                return 1
+        return count
+
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Pieces of the words data[start:end]; words in order of length drop out as they end."""
+        """Pieces of the words data[start:end]; words in order of length drop out as they end, and the last FEW are walked one by one."""
         order = np.argsort(start - end, kind="stable")
         s, length = start[order], (end - start)[order]
         count = np.zeros(len(s), np.int64)
         node = np.zeros(len(s), np.int64)
         dead = np.zeros(len(s), bool)
         alive = np.searchsorted(-length, -np.arange(1, (int(length[0]) if len(s) else 0) + 1), side="right")
+        long = 0
         for i, n in enumerate(alive):
+            if n <= FEW:
+                long = int(n)
+                break
             ok = np.flatnonzero(~dead[:n])
             at, c = node[ok], count[ok]
             to = self._settle(at, c, data[s[ok] + i].astype(np.int64))
             count[ok] = c
             node[ok] = to
             dead[ok[to < 0]] = True
-        ok = np.flatnonzero(~dead)
+        for j in range(long):
+            if not dead[j]:
+                count[j] = self._walk(int(node[j]), int(count[j]), data[s[j] + i : s[j] + length[j]].tobytes())
+        ok = long + np.flatnonzero(~dead[long:])
         at, c = node[ok], count[ok]
         dead[ok[self._settle(at, c, None) < 0]] = True
         count[ok] = c
@@ -178,7 +208,10 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens for every row of ``docs`` (doc_id, text).
 
     Words are parted by ASCII white space; each is cut, behind a space, into the
-    longest pieces of the vocabulary from the left. Null and empty texts have none.
+    longest pieces of the vocabulary from the left; a word that cannot be cut counts
+    as one. Null and empty texts have none. Rows that repeat are counted each, an
+    empty table gives an empty one, other columns are not read, and single words
+    of any length take time in proportion to it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
