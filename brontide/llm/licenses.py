@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .shared import as_bytes, mix64, word_spans
+from .shared import as_bytes, chunks_by_bytes, mix64, word_spans
 
 GRAM, WINNOW, BAND = 3, 2, 12
 #: Share of a template's words that a report needs.
@@ -175,7 +175,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
     Words are runs of ASCII letters and digits, A-Z lower-cased, and non-ASCII
     characters. start and end are code points of the text, end exclusive. Null
     and empty texts, and texts without a stretch, give no row; rows that repeat
-    report each. Stretches of one license in one text do not overlap. Templates are a parameter and go to every task.
+    report each. Stretches of one license in one text do not overlap; of equally good
+    choices the fewest, the shortest and then the first stretches are reported. Texts
+    of any length are scanned whole, a portion of bytes or one text at a time; other
+    columns are not read. Templates are a parameter and go to every task.
     """
     index = Index.of(TEMPLATES if templates is None else templates)
 
@@ -184,18 +187,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, cover
             out = []
             texts = b["text"].tolist()
             ids = b["doc_id"].tolist()
-            for i in range(0, len(texts), 1000):
-                data = as_bytes(texts[i : i + 1000], ascii_lower=True)
+            for part in chunks_by_bytes([len(t or "") for t in texts]):
+                i = part.start
+                data = as_bytes(texts[part], ascii_lower=True)
                 h, at, start, end = word_spans(data, _PARTS)
                 g = _grams(h)
                 known = np.isin(g, index.hashes)  # texts without any indexed run are done
                 doc = np.searchsorted(at, np.flatnonzero(known), "right") - 1
                 for d in np.unique(doc):
                     s = slice(at[d], at[d + 1])
-                    for t, matched, first, last in scan_text(h[s], index, coverage):
-                        x, y = start[s][first], end[s][last - 1]
+                    found = scan_text(h[s], index, coverage)
+                    # Code points before each byte: all bytes but those that continue a character.
+                    before = np.concatenate([[0], np.cumsum((np.frombuffer(data[d], np.uint8) & 0xC0) != 0x80)]) if found else None
+                    for t, matched, first, last in found:
                         n = len(index.words[t])
-                        out.append((ids[i + d], index.names[t], matched, n, matched / n, len(data[d][:x].decode("utf-8", "replace")), len(data[d][:y].decode("utf-8", "replace"))))
+                        out.append((ids[i + d], index.names[t], matched, n, matched / n, int(before[start[s][first]]), int(before[end[s][last - 1]])))
             yield pd.DataFrame(out, columns=["doc_id", "license", "matched", "template_words", "coverage", "start", "end"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
