@@ -88,6 +88,19 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert few.count() == 2
 
 
+def test_topk_of_clashing_columns_and_large_components(spark):
+    data = [(i, [float(i % 7), 1e3 * i, -3.25]) for i in range(0, 300, 20)] + [(100, [0.0, 0.0, 0.0])]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({c: F.lit(7) for c in ("v", "d", "block", "q_block", "score", "rank", "query_id")})
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in data]
+    want = []
+    for q, v in ((0, ints[0][1]), (100, min(v for i, v in ints if i == 100)), (200, ints[10][1])):
+        s = sorted((-sum(a * b for a, b in zip(v, y)), i) for i, y in ints if i != q)[:10]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert rows(topk.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_topk_stops_early_on_clustered_vectors():
     r = np.random.default_rng(1)
     x = np.concatenate([r.integers(-20, 20, (2000, 8)), r.integers(-20, 20, (60, 8)) + 4000])
@@ -225,6 +238,47 @@ def test_license_scan(spark, docs):
     assert licenses.license_scan(docs.limit(0)).collect() == []
 
 
+def test_license_scan_of_odd_tables(spark, docs):
+    """Clashing columns, rows that repeat or lack an id, ties of two templates, and a text of two million characters."""
+    same = {"one": "alpha beta gamma delta epsilon", "two": "alpha beta gamma delta epsilon", "far": "omega omega omega one two three"}
+    filler = "münze " * 330_000
+    texts = [(1, "x alpha beta gamma delta epsilon y"), (1, "x alpha beta gamma delta epsilon y"), (None, "alpha beta gamma delta epsilon"), (2, filler + "alpha beta gamma delta epsilon. " + filler), (3, None)]
+    df = with_clashes(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = rows(licenses.license_scan(df, same), "doc_id", "license", "matched", "start", "end")
+    at = len(filler)
+    want = [(1, n, 5, 2, 32) for n in ("one", "two")] * 2 + [(None, n, 5, 0, 30) for n in ("one", "two")] + [(2, n, 5, at, at + 30) for n in ("one", "two")]
+    assert got == sorted(want, key=repr)
+    assert licenses.license_scan(docs, {}).collect() == []
+
+
+def longest_common(a, b):
+    m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            m[i + 1][j + 1] = m[i][j] + 1 if x == y else max(m[i][j + 1], m[i + 1][j])
+    return m[-1][-1]
+
+
+def test_license_scan_finds_what_brute_force_finds(spark):
+    """Edited and whole copies of templates in prose: a report for each that still holds a run of fingerprints, none elsewhere, matches as counted by brute force."""
+    r = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(400)]
+    templates = {f"t{i}": " ".join(r.choice(vocabulary) for _ in range(40)) for i in range(5)}
+    texts, want = [], {}
+    for d in range(60):
+        words = [f"p{r.randrange(900)}" for _ in range(60)]
+        if d % 3:
+            name = f"t{r.randrange(5)}"
+            copy = templates[name].split()
+            for i in r.sample(range(40), d % 7):
+                copy[i] = f"edit{i}"
+            words[20:20] = copy
+            want[d] = (name, longest_common(templates[name].split(), copy))
+        texts.append((d, " ".join(words)))
+    got = {x["doc_id"]: (x["license"], x["matched"]) for x in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string"), templates).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("gap", range(14))
 def test_every_notice_of_a_run_is_found(gap):
     """Whole notices any number of words apart, also beside notices of four of their five words."""
@@ -514,6 +568,30 @@ def test_quality_odd_cases(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(documents())
 
 
+def plain_features(text):
+    b = (text or "").encode()
+    if not b:
+        return [0.0] * len(quality.FEATURES)
+    groups = ["", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",;:", "!?", "|", "#$%&*+=~^_@\\/<>", "'\"()[]{}-`"]
+    of = lambda x: next((i for i, g in enumerate(groups) if chr(x) in g), 0)
+    w, lines, n = re.findall(rb"[^ \t\n\x0b\x0c\r]+", b), b.split(b"\n"), len(b)
+    k = max(len(w), 1)
+    rows_ = [sum(of(x) == c for x in b) / n for c in range(12)]
+    rows_ += [math.log1p(n), math.log1p(len(w)), sum(map(len, w)) / k, len(set(w)) / k, len(set(zip(w, w[1:]))) / max(len(w) - 1, 1), len(set(zip(w, w[1:], w[2:]))) / max(len(w) - 2, 1)]
+    rows_ += [sum(x == y for x, y in zip(w, w[1:])) / k, n / len(lines), len(set(lines)) / len(lines), sum(of(x[-1]) in (8, 10) for x in w) / k, len(w) / (b.count(b".") + 1), sum(len(x) <= 2 for x in w) / k, sum(len(x) >= 16 for x in w) / k]
+    return rows_
+
+
+def test_features_equal_a_plain_reading(monkeypatch):
+    from brontide.llm import shared
+
+    monkeypatch.setattr(shared, "PIECE_BYTES", 700)
+    r = random.Random(14)
+    texts = [None, "", " ", "a", "a a a", "one\ntwo\n\ntwo", "x" * 40 + "! ümläut. 東京 a|b #", prose(3, 400)] + ["".join(r.choice("aAbé1 .,!?|#'\n\t ") for _ in range(r.randrange(90))) for _ in range(60)]
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality.features(texts), want, rtol=1e-5, atol=1e-6)
+
+
 def test_flat_trees_equal_a_walk():
     r = np.random.default_rng(0)
     x = r.normal(size=(500, 5)).astype(np.float32)
@@ -620,6 +698,21 @@ def test_lm_equals_brute_force(spark, docs, empty, monkeypatch):
     assert none and all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
 
 
+def test_words_that_begin_many_bigrams_are_split(spark, monkeypatch):
+    """Every first word of a quarter of a shard's bigrams or more, also one that is rare in each portion; scores do not change."""
+    monkeypatch.setattr(ngram_lm, "SHARD_CHARS", 4800)
+    monkeypatch.setattr(ngram_lm, "PORTION_CHARS", 2000)
+    data = [(i, " ".join(["often"] * 20 + [f"x{i}y{j}" + (" rare" if j == 7 else "") for j in range(60)]), None, None, None) for i in range(260)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    model = ngram_lm.fit(df)
+    h = lambda w: np.uint64(word_spans([w])[0][0])
+    assert model.shards > 10 and h(b"often") in model.heavy and h(b"rare") in model.heavy and ngram_lm.BEGIN in model.heavy and len(model.heavy) < 8
+    texts = [data[0][1], "rare often x1y1", "unseen"]
+    got = model.score(texts)
+    monkeypatch.setattr(ngram_lm, "SHARD_CHARS", 10**9)
+    assert np.allclose(got["score"], ngram_lm.fit(df).score(texts)["score"])
+
+
 def test_lm_probabilities_add_up(spark):
     """After a word, all known words, the end and the unknown word have probability one together."""
     data = [(i, prose(i, 60, ["a", "b", "c", "d", "e"]), None, None, None) for i in range(30)]
@@ -683,6 +776,26 @@ def test_automaton_on_small_vocabularies():
         assert got.tolist() == [greedy(w, pieces, 4) for w in words]
 
 
+def test_very_long_words_take_linear_time():
+    """A blob of 300,000 characters beside others, in a second or so; a word that cannot be cut."""
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    machine = token_counts.automaton(path)
+    r = random.Random(3)
+    blob = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(300_000))
+    short = [blob[:n] for n in (1, 50, 999)]
+    begin = time.time()
+    words, pieces = token_counts.count_texts([blob, " ".join(short), None, ""], machine)
+    assert time.time() - begin < 15 and words.tolist() == [1, 3, 0, 0]
+    known = set(token_counts.byte_pieces(path))
+    longest = max(map(len, known))
+    assert pieces.tolist() == [greedy(b" " + blob.encode(), known, longest), sum(greedy(b" " + w.encode(), known, longest) for w in short), 0, 0]
+    few = token_counts.Automaton([b"a", b"ab", b"b"])
+    data = np.frombuffer(b"ababcab", np.uint8)
+    assert few.counts(data, np.array([0, 4]), np.array([4, 7])).tolist() == [2, 1]
+
+
 # --- 10 --------------------------------------------------------------------------
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -757,3 +870,26 @@ def test_pipeline_stage_by_stage(spark):
     starts = [r["start"] for r in end]
     assert starts == [0, *np.cumsum([r["n_tokens"] for r in end]).tolist()][:-1] and bisect.bisect(starts, -1) == 0
     assert corpus_pipeline.run(spark, sf).count() == seen["tokens"]
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, ties and clashing columns, then an empty table."""
+    import corpus_pipeline
+
+    data = [*documents(), (70, prose(61, 30000), "en", "s1", None), (71, "blob " + "Q" * 200_000, None, None, 3)]
+    bench = [(1, " ".join(prose(2, 300).split()[40:60])), (2, None), (None, "one two")]
+    df = with_clashes(spark.createDataFrame(data, SCHEMA))
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, None), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, SCHEMA_B).write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {r[0] for r in components(data, 5, 80) if r[3]}
+    bad = {r[0] for r in contamination(data, bench) if r[5]}
+    words = {d for d, t, *_ in data if SPACE_WORD.findall(t or "")}
+    allowed = (kept - bad) & words
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and set(ids) <= allowed and 70 in ids and len(got) - len(ids) <= 1 and 6 not in ids
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()][:-1]
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
