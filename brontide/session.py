@@ -56,6 +56,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_table(df: DataFrame) -> None:
+    """Delete an intermediate table that ``materialize`` made and that nothing reads any more."""
+    spark = df.sparkSession
+    root = shared_root(spark)
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_intermediate(spark: SparkSession) -> None:
     """Delete the application's intermediate tables; results that still read them must have been written before."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
