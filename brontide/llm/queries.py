@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .clusters import centroid_clusters, clusters_sql
 from .decontaminate import contamination
 from .licenses import license_scan
 from .mixing import taken_words
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_lm": lambda s, d: lm_scores(_table(s, d, "documents")),
         "op9_token_counts": lambda s, d: token_counts(_table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op10_token_files": lambda s, d: token_files(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+        "op11_centroid_clusters": lambda s, d: centroid_clusters(_table(s, d, "embeddings"), k=40, rounds=5),
     }
 
 
@@ -90,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
               sha256(coalesce(i.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
             FROM w LEFT JOIN p ON p.id = w.id LEFT JOIN i ON i.id = w.id WHERE w.k = 'd'""",
+        "op11_centroid_clusters": clusters_sql(k=40, rounds=5),
     }

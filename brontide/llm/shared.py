@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_path
+from ..session import materialize, remove_table, shared_path
 
-__all__ = ["as_bytes", "chunks_by_bytes", "fresh", "let", "materialize", "mix64", "prefix_sums", "shared_path", "word_hashes", "word_spans"]
+__all__ = ["as_bytes", "chunks_by_bytes", "fresh", "let", "materialize", "mix64", "prefix_sums", "remove_table", "shared_path", "word_hashes", "word_spans"]
 
 #: ASCII white space as the word contracts use it: space, tab, LF, VT, FF, CR.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
