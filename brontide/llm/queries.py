@@ -15,6 +15,7 @@ from .near_dups import near_duplicates
 from .ngram_lm import lm_scores
 from .privacy import personal_data
 from .quality import quality_scores
+from .ranked import RANKED_SQL, ranked_search
 from .token_counts import token_counts
 from .token_files import token_files
 from .topk import top_k
@@ -37,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": lambda s, d: token_counts(_table(s, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
         "op10_token_files": lambda s, d: token_files(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
         "op11_centroid_clusters": lambda s, d: centroid_clusters(_table(s, d, "embeddings"), k=40, rounds=5),
+        "op12_ranked_search": lambda s, d: ranked_search(_table(s, d, "documents"), _table(s, d, "benchmark"), k=20),
     }
 
 
@@ -93,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
               sha256(coalesce(i.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
             FROM w LEFT JOIN p ON p.id = w.id LEFT JOIN i ON i.id = w.id WHERE w.k = 'd'""",
         "op11_centroid_clusters": clusters_sql(k=40, rounds=5),
+        "op12_ranked_search": RANKED_SQL,
     }
