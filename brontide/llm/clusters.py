@@ -32,7 +32,9 @@ LIMIT = 1 << 27
 PAIRS_AT_ONCE = 1 << 15
 #: Share by which bounds are widened, above all rounding of square roots, sums and 32-bit storage.
 SLACK = 1e-6
-_STATE = "vec_id {kind}, v binary, cluster int, upper double, upper_round short, lower binary, lower_round binary, sums array<long>"
+#: Stands for a null vec_id inside, so that ids stay whole numbers in tasks.
+_NULL_ID = (1 << 63) - 1
+_STATE = "vec_id long, v binary, cluster int, upper double, upper_round short, lower binary, lower_round binary, sums array<long>"
 
 
 def kept_vectors(vectors: DataFrame, width: int, column: str = "embedding") -> DataFrame:
@@ -40,12 +42,12 @@ def kept_vectors(vectors: DataFrame, width: int, column: str = "embedding") -> D
     x = F.col(column)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     v = F.transform(x, lambda c: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.lit(SCALE) * c.cast("double")).cast("long"))).cast("int"))
-    return vectors.where(x.isNotNull() & (F.size(x) == width) & fine).select("vec_id", v.alias("v"))
+    return vectors.where(x.isNotNull() & (F.size(x) == width) & fine).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(_NULL_ID)).alias("vec_id"), v.alias("v"))
 
 
 def first_centroids(kept: DataFrame, k: int, seed: int) -> np.ndarray:
     """The k vectors whose sha256 of ``seed:vec_id`` come first; rows without vec_id come last, equal ids by their vectors."""
-    order = [F.col("vec_id").isNull(), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256), F.col("v")]
+    order = [F.col("vec_id") == _NULL_ID, F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256), F.col("v")]
     rows = kept.orderBy(*order).limit(k).collect()  # k rows
     return np.array([r["v"] for r in rows], np.int64)
 
@@ -173,34 +175,32 @@ def centroid_clusters(vectors: DataFrame, k: int = 40, rounds: int = 5, width: i
     if not 0 <= rounds <= 255:
         raise ValueError("rounds must lie in 0..255")
     kept = kept_vectors(vectors.select("vec_id", column), width, column)
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    schema = _STATE.format(kind=kind)
     history = [first_centroids(kept, k, seed)]
     spark = vectors.sparkSession
     if not len(history[0]):
         return kept.select("vec_id", F.lit(0).alias("cluster"), *[F.lit(0).cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")], F.lit("").alias("centroid_sha256")).where("false")
-    state = materialize(kept.mapInPandas(_pass(history, width), schema), "clusters")
+    state = materialize(kept.mapInPandas(_pass(history, width), _STATE), "clusters")
     for _ in range(rounds):
         history.append(_next_centroids(state, history[-1]))
-        old, state = state, materialize(state.where("sums IS NULL").drop("sums").mapInPandas(_pass(history, width), schema), "clusters")
+        old, state = state, materialize(state.where("sums IS NULL").drop("sums").mapInPandas(_pass(history, width), _STATE), "clusters")
         remove_table(old)  # the new state and the centroids are all that a lost executor needs
-    return _report(spark, state.where("sums IS NULL"), history[-1], kind)
+    return _report(spark, state.where("sums IS NULL"), history[-1])
 
 
-def _report(spark: SparkSession, state: DataFrame, centroids: np.ndarray, kind: str) -> DataFrame:
+def _report(spark: SparkSession, state: DataFrame, centroids: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             if len(f):
                 x = np.frombuffer(b"".join(f["v"]), np.int32).reshape(len(f), -1)
                 yield pd.DataFrame({"vec_id": f["vec_id"], "cluster": f["cluster"], "distance": squared(x, centroids[f["cluster"].to_numpy()])})
 
-    found = materialize(state.select("vec_id", "v", "cluster").mapInPandas(run, f"vec_id {kind}, cluster int, distance long"), "assigned")
+    found = materialize(state.select("vec_id", "v", "cluster").mapInPandas(run, "vec_id long, cluster int, distance long"), "assigned")
     most = (1 << 63) - 1
     each = {r["cluster"]: int(r["s"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # k rows
     whole = min(most, sum(each.values()))
     named = [Row(cluster=j, cluster_inertia=min(most, each.get(j, 0)), inertia=whole, centroid_sha256=hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for j, c in enumerate(centroids.tolist())]
     table = spark.createDataFrame(named, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    return found.join(F.broadcast(table), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # k rows
+    return found.join(F.broadcast(table), "cluster").select(F.nullif("vec_id", F.lit(_NULL_ID)).alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # k rows
 
 
 def clusters_sql(k: int = 40, rounds: int = 5, width: int = 64, seed: int = 2) -> str:

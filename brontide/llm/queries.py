@@ -16,6 +16,7 @@ from .ngram_lm import lm_scores
 from .privacy import personal_data
 from .quality import quality_scores
 from .ranked import RANKED_SQL, ranked_search
+from .substrings import SUBSTRINGS_SQL, repeated_substrings
 from .token_counts import token_counts
 from .token_files import token_files
 from .topk import top_k
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_files": lambda s, d: token_files(_table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
         "op11_centroid_clusters": lambda s, d: centroid_clusters(_table(s, d, "embeddings"), k=40, rounds=5),
         "op12_ranked_search": lambda s, d: ranked_search(_table(s, d, "documents"), _table(s, d, "benchmark"), k=20),
+        "op13_repeated_substrings": lambda s, d: repeated_substrings(_table(s, d, "documents")),
     }
 
 
@@ -96,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
             FROM w LEFT JOIN p ON p.id = w.id LEFT JOIN i ON i.id = w.id WHERE w.k = 'd'""",
         "op11_centroid_clusters": clusters_sql(k=40, rounds=5),
         "op12_ranked_search": RANKED_SQL,
+        "op13_repeated_substrings": SUBSTRINGS_SQL,
     }

@@ -36,7 +36,8 @@ FIRST_READ = 64
 PORTION_CHARS = 2_000_000
 _NO_TERM = np.ones(256, bool)
 _NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-_NULL_ID = np.iinfo(np.int64).max
+#: Stands for a null doc_id inside, so that ids stay whole numbers in tasks.
+_NULL_ID = (1 << 63) - 1
 
 
 def _terms(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +186,7 @@ def _search(items_path: str, weights_path: str, item_ids: list, docs: int, terms
             order = np.lexsort((-x, term))
             doc, x = doc[order], x[order]
             start = np.searchsorted(term[order], np.arange(len(w) + 1))
-            ids = b["doc_id"].astype("Int64").fillna(_NULL_ID).to_numpy(np.int64)
+            ids = b["doc_id"].to_numpy(np.int64)
             for i, mine in enumerate(best):
                 lists = [(doc[start[t] : start[t + 1]], x[start[t] : start[t + 1]], int(n)) for t, n in rest[:, edges[i] : edges[i + 1]].T if start[t] < start[t + 1]]
                 if lists:
@@ -193,7 +194,7 @@ def _search(items_path: str, weights_path: str, item_ids: list, docs: int, terms
                     mine.add(ids[rows], scores, k)
         for item, mine in zip(item_ids, best):
             if len(mine.id):
-                yield pd.DataFrame({"item_id": item, "doc_id": pd.array(mine.id, "Int64").astype("object"), "score": mine.score}).replace({"doc_id": {_NULL_ID: None}})
+                yield pd.DataFrame({"item_id": item, "doc_id": mine.id, "score": mine.score})
 
     return run
 
@@ -216,7 +217,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     asked = materialize(wanted.mapInPandas(_asked, f"item_id {kind}, terms array<long>, times array<long>").where(F.size("terms") > 0), "asked")
     total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = -(-total // BLOCK_TERMS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
     found = None
     for block in range(blocks):  # one, unless items have more than BLOCK_TERMS terms together
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # a block of items
@@ -226,9 +227,9 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = spark.createDataFrame([], f"item_id {kind}, doc_id long, score long")
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("item_id"), "rank", "doc_id", "score")
+    return ranked.select("item_id", "rank", F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "score")
 
 
 def _block_search(texts: DataFrame, rows: list, kind: str, k: int) -> DataFrame:
