@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +80,76 @@ def fractional(df: DataFrame, share: str, weight: str | None = None) -> DataFram
     return df.where(F.col(share).isNotNull()).withColumn("_b", F.explode(both)).select(*[c for c in df.columns if c not in ("label", "weight")], "_b.*").where("weight > 0")
 
 
-def fit_ranges(train: DataFrame, features: Sequence[str], label: str, taus: Sequence[float], depth: int = 5, least: int = 50):
-    """(tree, leaf table): percentiles of the label in each leaf of a regression tree, sorted."""
-    rows = assembled(train.where(F.col(label).isNotNull()), features)
-    tree = DecisionTreeRegressor(labelCol=label, maxDepth=depth, minInstancesPerNode=least, leafCol="leaf", seed=1).fit(rows)
-    leaves = tree.transform(rows).groupBy("leaf").agg(F.array_sort(F.percentile(F.col(label).cast("double"), F.array(*[F.lit(t) for t in taus]))).alias("quantiles"))
-    return tree, leaves
+#: Shares of a leaf's labels that a prediction reads from its sketch.
+LEAF_POINTS = 33
 
 
-def predict_ranges(tree, leaves: DataFrame, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows with quantiles; leaves are at most 2 ** depth rows."""
-    return tree.transform(assembled(df, features)).join(F.broadcast(leaves), "leaf", "left").drop("features", "prediction", "leaf")
+@dataclass
+class RangeForest:
+    """A regression forest, for each leaf of each tree a sketch of its labels, and the quantiles that predictions use."""
+
+    forest: RandomForestRegressionModel
+    features: tuple[str, ...]
+    taus: tuple[float, ...]
+    cube_root: bool
+    leaves: DataFrame  # tree, leaf, rows, sketch
+
+    def points(self) -> list[np.ndarray]:
+        """For each tree, (leaf, LEAF_POINTS) label quantiles: trees * 2 ** depth * LEAF_POINTS numbers, whatever the rows."""
+        at = F.array(*[F.lit((i + 0.5) / LEAF_POINTS) for i in range(LEAF_POINTS)])
+        rows = self.leaves.select("tree", "leaf", F.kll_sketch_get_quantile_double("sketch", at).alias("q")).collect()
+        of: dict[int, dict[int, list[float]]] = {}
+        for r in rows:
+            of.setdefault(r["tree"], {})[r["leaf"]] = r["q"]
+        return [np.array([of[t].get(i, [np.nan] * LEAF_POINTS) for i in range(max(of[t]) + 1)]) for t in sorted(of)]
+
+
+def leaf_states(forest: RandomForestRegressionModel, rows: DataFrame, label: str, size: int = 200) -> DataFrame:
+    """(tree, leaf, rows, sketch): what each leaf holds of the label. States of further rows merge with them (``merge_leaves``)."""
+    each = forest.transform(rows).select(F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"), F.col(label).cast("double").alias("_y"))
+    return each.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(F.count(F.lit(1)).alias("rows"), F.kll_sketch_agg_double("_y", size).alias("sketch"))
+
+
+def merge_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("tree", "leaf").agg(F.sum("rows").alias("rows"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def fit_ranges(train: DataFrame, features: Sequence[str], label: str, taus: Sequence[float], depth: int = 6, least: int = 50, trees: int = 20, cube_root: bool = False) -> RangeForest:
+    """Quantile forest: trees of bootstrapped rows and feature subsets whose leaves keep mergeable sketches of the label.
+
+    A row's distribution is the even mixture of its leaves' over the trees. With
+    ``cube_root`` splits look at the cube root of the label, so that rare large
+    amounts do not rule them; ranges are those of the label itself. One tree sees all
+    rows and features.
+    """
+    y = F.col(label).cast("double")
+    rows = train.where(F.col(label).isNotNull()).withColumn("_t", F.signum(y) * F.cbrt(F.abs(y)) if cube_root else y)
+    rows = materialize(assembled(rows, features).select("features", "_t", y.alias("_y")), "ranges")
+    one = trees == 1
+    forest = RandomForestRegressor(
+        labelCol="_t", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, leafCol="leaf", seed=1, bootstrap=not one,
+        subsamplingRate=1.0 if one else 0.7, featureSubsetStrategy="all" if one else "0.7",
+    ).fit(rows)
+    leaves = materialize(leaf_states(forest, rows, "_y"), "leaves")
+    return RangeForest(forest, tuple(features), tuple(taus), cube_root, leaves)
+
+
+def predict_ranges(model: RangeForest, df: DataFrame) -> DataFrame:
+    """``df`` with ``quantiles``: of the mixture of each row's leaves, at the model's taus, never falling."""
+    points, taus = model.points(), model.taus
+
+    @F.pandas_udf("array<double>")
+    def ranges(leaf: pd.Series) -> pd.Series:
+        at = np.stack(leaf).astype(int) if len(leaf) else np.zeros((0, len(points)), int)
+        out = np.zeros((len(at), len(taus)))
+        for i in range(0, len(at), 4096):
+            some = at[i : i + 4096]
+            held = np.concatenate([p[some[:, t]] for t, p in enumerate(points)], axis=1)
+            out[i : i + 4096] = np.nanquantile(held, taus, axis=1).T
+        return pd.Series(list(out))
+
+    scored = model.forest.transform(assembled(df, model.features))
+    return scored.withColumn("quantiles", ranges(vector_to_array("leaf"))).drop("features", "prediction", "leaf")
 
 
 def conformal_margin(val: DataFrame, y: str, lo: str, hi: str, share: float = 0.8) -> DataFrame:
@@ -186,6 +247,7 @@ def source_history(long: DataFrame, error: str) -> DataFrame:
 
 
 def fit_ranker(train: DataFrame, features: Sequence[str], relevance: str = "relevance", trees: int = 20, depth: int = 4):
+    """A pointwise ranker, the baseline of ``boosting.fit_lambda_ranker``."""
     return GBTRegressor(labelCol=relevance, maxIter=trees, maxDepth=depth, seed=1).fit(assembled(train, features))
 
 

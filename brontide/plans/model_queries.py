@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import calibrate as K
 from ..operators import metrics as M
 from ..session import shared_path
 from ..streaming import jobs as J
+from ..streaming import warnings as L
 from .registry import Registry, events_of, flagged, forecasts, observations, table
 
 R = Registry()
@@ -42,8 +44,8 @@ def _(s, d):
 @add("f3_quantile_ranges")
 def _(s, d):
     f = forecasts(s, d)
-    tree, leaves = K.fit_ranges(f.where(TRAIN), FEATURES, "truth", (0.1, 0.5, 0.9))
-    r = K.predict_ranges(tree, leaves, f.where(TEST), FEATURES).select("zone", "truth", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[2].alias("hi"))
+    model = K.fit_ranges(f.where(TRAIN), FEATURES, "truth", (0.1, 0.5, 0.9), depth=5, trees=8)
+    r = K.predict_ranges(model, f.where(TEST)).select("zone", "truth", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[2].alias("hi"))
     return M.interval(r, "truth", "lo", "hi", ["zone"])
 
 
@@ -69,8 +71,8 @@ def _(s, d):
 
     r = ranked(s, d).withColumns({"is_a": (F.col("source") == "a").cast("int"), "is_b": (F.col("source") == "b").cast("int"), "is_d": (F.col("source") == "d").cast("int")})
     features = ["is_a", "is_b", "is_d", "authority", "lead_h"]
-    model = K.fit_ranker(r.where("l_orderkey % 2 = 0"), features, trees=4, depth=3)
-    return M.ndcg(K.rank_sources(model, r.where("l_orderkey % 2 = 1"), features), GROUP, "rank_score", "relevance", 3)
+    model = B.fit_lambda_ranker(r.where("l_orderkey % 2 = 0"), GROUP, features, trees=4, depth=3)
+    return M.ndcg(B.rank_by_trees(model, r.where("l_orderkey % 2 = 1")), GROUP, "rank_score", "relevance", 3)
 
 
 @add("f18_bias_model")
@@ -85,9 +87,9 @@ def _(s, d):
 def _(s, d):
     e = events_of(s, d)
     model, knots = K.fit_event(e.where(TRAIN), e.where(VAL), FEATURES, "y", trees=3, depth=3)
-    tree, leaves = K.fit_ranges(e.where(TRAIN), FEATURES, "truth", (0.1, 0.5, 0.9))
+    ranges = K.fit_ranges(e.where(TRAIN), FEATURES, "truth", (0.1, 0.5, 0.9), depth=5, trees=4)
     latest = e.join(e.groupBy("loc").agg(F.max("run_date").alias("run_date")), ["loc", "run_date"])
-    out = K.predict_ranges(tree, leaves, K.score_event(model, knots, latest, FEATURES), FEATURES)
+    out = K.predict_ranges(ranges, K.score_event(model, knots, latest, FEATURES))
     each = F.array(F.struct(F.lit("p_event").alias("statistic"), F.col("p").alias("value")), *[F.struct(F.lit(n).alias("statistic"), F.col("quantiles")[i].alias("value")) for i, n in enumerate(("p10", "p50", "p90"))])
     return out.withColumn("_e", F.explode(each)).groupBy("loc", "run_date", "_e.statistic").agg(F.avg("_e.value").alias("value"))
 
@@ -107,12 +109,14 @@ def _flagged_stream(s, d):
 
 @add("x1_stream_hourly_labels")
 def _(s, d):
-    return J.run_whole(J.hourly_labels(_flagged_stream(s, d), "point_id", "valid", ["ts_any", "fog"], "0 seconds"), "hourly", _place(s))
+    job = lambda x: J.hourly_labels(x, "point_id", "valid", ["ts_any", "fog"], "0 seconds")
+    return J.run_closed(_flagged_stream(s, d), job, "valid", "hourly", _place(s))
 
 
 @add("x2_stream_window_labels")
 def _(s, d):
-    return J.run_whole(J.window_labels(_flagged_stream(s, d), "point_id", "valid", ["ts_any", "fog"], "0 seconds"), "windows", _place(s))
+    job = lambda x: J.window_labels(x, "point_id", "valid", ["ts_any", "fog"], "0 seconds")
+    return J.run_closed(_flagged_stream(s, d), job, "valid", "windows", _place(s))
 
 
 @add("x3_stream_distinct_reports")
@@ -122,12 +126,14 @@ def _(s, d):
 
 @add("x4_stream_warnings")
 def _(s, d):
-    place = _place(s)
-    w = _stream(s, d).select(F.col("user_id").alias("identifier"), F.col("ts").cast("timestamp").alias("sent"), F.when(F.col("event_type") == "error", "Cancel").otherwise("Alert").alias("kind"), F.timestamp_add("DAY", F.lit(5), F.col("ts").cast("timestamp")).alias("expires"))
-    q = w.writeStream.foreachBatch(J.warning_lifecycle(f"{place}/table", "identifier", "sent", "kind", "expires")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = J.newest_table(s, f"{place}/table")
-    return J.latest_warnings(last, "identifier", "sent", "kind", "expires", "2024-01-31 00:00:00")
+    w = _stream(s, d).select(
+        F.col("user_id").alias("identifier"), F.col("ts").cast("timestamp").alias("sent"),
+        F.when(F.col("event_type") == "error", "Cancel").otherwise("Alert").alias("kind"),
+        F.timestamp_add("DAY", F.lit(5), F.col("ts").cast("timestamp")).alias("expires"),
+    )
+    names = ("identifier", "sent", "kind", "expires")
+    L.with_rocksdb(s)
+    return L.open_warnings(J.run_once(L.warning_changes(w, *names), "warnings", _place(s)), *names, "2024-01-31 00:00:00")
 
 
 @add("x5_stream_forecast_join")

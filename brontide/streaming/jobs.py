@@ -46,40 +46,6 @@ def latest_warnings(rows: DataFrame, key: str, sent: str, kind: str, expires: st
     return out.where((F.lower(kind) != "cancel") & (F.col(expires).isNull() | (F.col(expires) > F.lit(now).cast("timestamp"))))
 
 
-def warning_lifecycle(path: str, key: str, sent: str, kind: str, expires: str, late_hours: int = 24) -> Callable:
-    """A foreachBatch writer that merges each batch into a table of the latest message of each warning.
-
-    Cancelled and expired warnings leave the table ``late_hours`` of event time
-    after their end, so that it grows with the open warnings alone and a late
-    older message cannot open one again before. Tables are numbered by batch: a
-    batch that runs again replaces its own result, and those before the last
-    two are deleted.
-    """
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(key, sent, kind, expires)
-        if epoch:
-            new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/{epoch - 1:08d}"))
-        last = new.groupBy(key).agg(F.max(F.struct(F.col(sent), F.col(kind), F.col(expires))).alias("_m")).select(key, f"_m.{sent}", f"_m.{kind}", f"_m.{expires}")
-        seen = new.agg(F.max(sent).alias("_now"))
-        end = F.when(F.lower(kind) == "cancel", F.col(sent)).otherwise(F.col(expires))
-        over = F.coalesce(F.timestamp_add("HOUR", F.lit(late_hours), end) <= F.col("_now"), F.lit(False))
-        last.join(F.broadcast(seen)).where(~over).drop("_now").write.mode("overwrite").parquet(f"{path}/{epoch:08d}")  # seen is one row
-        if epoch > 1:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 2:08d}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-    return merge
-
-
-def newest_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table of the last batch that ``warning_lifecycle`` wrote."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    names = [f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
-    return spark.read.parquet(f"{path}/{max(names)}")
-
-
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now and return what it wrote, as parquet in the checkpoint's folder."""
     out = f"{checkpoint}/{name}-out"
@@ -88,13 +54,24 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def run_whole(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Run an aggregating stream over what its source holds now and return every group, those of windows still open too."""
-    out = f"{checkpoint}/{name}-out"
+#: Event time of the row that closes what is open when a finite source ends.
+END_OF_TIME = "9999-01-01 00:00:00"
 
-    def replace(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    query = stream.writeStream.foreachBatch(replace).option("checkpointLocation", f"{checkpoint}/{name}-state").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+def run_closed(source: DataFrame, job: Callable[[DataFrame], DataFrame], time: str, name: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating ``job`` in append mode over what ``source`` holds now, and close the windows that its end leaves open.
+
+    Windows come out, and leave the state, as the watermark passes them, so state
+    is bounded by the watermark's delay. A second, one-row source that joins the
+    first carries the watermark past every window once the first has been read; its own
+    row has no key and opens a window that never closes. Going on later with more
+    rows of ``source`` needs a new checkpoint, as all that came before it is late then.
+    """
+    spark, end = source.sparkSession, f"{checkpoint}/{name}-end"
+    empty = spark.createDataFrame([], source.schema)
+    empty.write.mode("overwrite").parquet(f"{end}/0")
+    both = source.unionByName(spark.readStream.schema(source.schema).parquet(f"{end}/[01]"))
+    run_once(job(both), name, checkpoint)
+    columns = [F.to_timestamp(F.lit(END_OF_TIME)).cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+    spark.range(1).select(*columns).write.mode("overwrite").parquet(f"{end}/1")
+    return run_once(job(both), name, checkpoint)

@@ -34,8 +34,8 @@ def parts(frame):
 
 def test_ranges_cover_what_they_say(frame):
     train, val, test = parts(frame)
-    tree, leaves = K.fit_ranges(train, ["x2", "noise"], "temp", (0.1, 0.5, 0.9))
-    named = lambda d: K.predict_ranges(tree, leaves, d, ["x2", "noise"]).withColumns({"lo": F.col("quantiles")[0], "mid": F.col("quantiles")[1], "hi": F.col("quantiles")[2]})
+    model = K.fit_ranges(train, ["x2", "noise"], "temp", (0.1, 0.5, 0.9))
+    named = lambda d: K.predict_ranges(model, d).withColumns({"lo": F.col("quantiles")[0], "mid": F.col("quantiles")[1], "hi": F.col("quantiles")[2]})
     margin = K.conformal_margin(named(val), "temp", "lo", "hi").first()["margin"]
     out = K.calibrated_interval(named(test), "lo", "mid", "hi", F.lit(margin))
     for r in M.interval(out, "temp", "lo_cal", "hi_cal", ["zone"]).collect():
@@ -47,6 +47,36 @@ def test_ranges_cover_what_they_say(frame):
     assert (static["r_lo"], static["r_hi"]) == pytest.approx(tuple(np.quantile(res, [0.1, 0.9])))
 
 
+def test_a_forest_of_ranges_beats_one_tree_and_its_leaves_merge(frame):
+    train, _, test = parts(frame)
+    taus = (0.1, 0.5, 0.9)
+    losses, models = [], []
+    for trees in (1, 12):
+        model = K.fit_ranges(train, ["x1", "x2", "noise"], "temp", taus, depth=6, least=30, trees=trees)
+        out = K.predict_ranges(model, test).withColumns({f"q{i}": F.col("quantiles")[i] for i in range(3)})
+        loss = M.pinball(out, "temp", {t: f"q{i}" for i, t in enumerate(taus)}).first()
+        losses.append(sum(loss[c] for c in loss.asDict() if c != "n"))
+        models.append(model)
+        assert out.where("q0 > q1 OR q1 > q2").isEmpty()
+    assert losses[1] < losses[0]
+    out = out.withColumns({"lo": F.col("q0"), "hi": F.col("q2")})
+    assert 0.74 < M.interval(out, "temp", "lo", "hi").first()["coverage"] < 0.86
+    # Leaves of two halves, kept apart and merged later, hold what leaves of all rows hold.
+    model = models[1]
+    rows = K.assembled(train, model.features)
+    half = lambda k: K.leaf_states(model.forest, rows.where(F.col("id") % 2 == k), "temp")
+    merged = {(r["tree"], r["leaf"]): r["rows"] for r in K.merge_leaves(half(0), half(1)).collect()}
+    assert merged == {(r["tree"], r["leaf"]): r["rows"] for r in model.leaves.collect()}
+    assert max(len(bytes(r["sketch"])) for r in model.leaves.collect()) < 20_000
+
+
+def test_cube_root_ranges_stay_in_the_label_units(frame):
+    train, _, test = parts(frame.withColumn("mm", F.pow(F.abs("x1"), F.lit(3.0)) * 10))
+    model = K.fit_ranges(train, ["x1"], "mm", (0.1, 0.5, 0.9), trees=4, cube_root=True)
+    out = K.predict_ranges(model, test).withColumn("mid", F.col("quantiles")[1])
+    assert out.stat.corr("mid", "mm") > 0.8 and out.where("mid < 0").isEmpty()
+
+
 def test_curves_are_calibrated_and_fall(frame):
     train, val, test = parts(frame.withColumn("mm", F.exp("x1")))
     thresholds = (0.5, 1.0, 2.0)
@@ -169,16 +199,3 @@ def test_forecast_stream_equals_a_batch_join(spark, tmp_path):
     out = J.run_once(J.forecast_with_observations(read("f"), read("o"), "place", "valid_at", "valid", 30), "join", f"{tmp_path}/state")
     got = sorted((r["place"], r["valid_at"], r["valid"], r["fog"]) for r in out.collect())
     assert got == sorted((p, a, b, g) for p, a, _ in f for q, b, g in o if p == q and abs((a - b).total_seconds()) <= 1800)
-
-
-def test_closed_warnings_leave_the_table(spark, tmp_path):
-    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
-    merge = J.warning_lifecycle(f"{tmp_path}/w", "id", "sent", "kind", "expires", 24)
-    schema = "id string, sent timestamp, kind string, expires timestamp"
-    batches = [[("a", t(0), "Alert", t(10)), ("b", t(1), "Alert", t(500))], [("b", t(30), "Cancel", t(500)), ("c", t(40), "Alert", None)], [("b", t(2), "Alert", t(500)), ("d", t(60), "Alert", t(400))]]
-    for i, rows in enumerate(batches):
-        merge(spark.createDataFrame(rows, schema), i)
-    ids = lambda d: sorted(r["id"] for r in d.collect())
-    last = J.newest_table(spark, f"{tmp_path}/w")
-    assert ids(last) == ["c", "d"]
-    assert ids(spark.read.parquet(f"{tmp_path}/w/00000001")) == ["b", "c"] and ids(J.latest_warnings(last, "id", "sent", "kind", "expires", "2024-01-03 00:00:00")) == ["c", "d"]
