@@ -26,6 +26,8 @@ FOLDS, HELD_OUT = 7, 2
 SHARD_CHARS = 8_000_000
 #: Characters for each bigram, about, and the part of a shard's bigrams from which a first word is split.
 BIGRAM_CHARS, HEAVY_PART = 6, 4
+#: Shards whose split words share a file; a shard has a few.
+HEAVY_SHARDS = 1024
 #: Characters that a task counts at once, and scores at once.
 PORTION_CHARS, SCORE_CHARS = 5_000_000, 2_000_000
 BEGIN, END = np.uint64(0x51ED270B0F0E0D0C), np.uint64(0xA3C59AC2B1D0E0F1)
@@ -40,12 +42,20 @@ def _slot(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _shard(a: np.ndarray, b: np.ndarray, heavy: np.ndarray, n: int) -> np.ndarray:
+def heavy_words(path: str, shards: int) -> list[np.ndarray]:
+    """Sorted words whose bigrams are split, by slot of a file; workers map the files."""
+    raw = [mapped(f"{path}/heavy-{i}") for i in range(-(-shards // HEAVY_SHARDS))]
+    return [np.zeros(0, np.uint64) if x is None else x.view(np.uint64) for x in raw]
+
+
+def _shard(a: np.ndarray, b: np.ndarray, heavy: list[np.ndarray], n: int) -> np.ndarray:
     """Shard of each bigram."""
     out = _slot(a, n)
-    if len(heavy):
-        i = np.isin(a, heavy)
-        out[i] = _slot(pair_hash(a[i], b[i]), n)
+    split = np.zeros(len(a), bool)
+    for words in heavy:
+        if len(words):
+            split |= words[np.minimum(np.searchsorted(words, a), len(words) - 1)] == a
+    out[split] = _slot(pair_hash(a[split], b[split]), n)
     return out
 
 
@@ -100,7 +110,6 @@ class Model:
 
     path: str
     shards: int
-    heavy: np.ndarray
     tokens: int
     words: int
     pairs: int
@@ -108,9 +117,14 @@ class Model:
     word_discount: tuple[float, float, float]
     word_backoff: float
 
+    @property
+    def heavy(self) -> np.ndarray:
+        """All words whose bigrams are split."""
+        return np.concatenate(heavy_words(self.path, self.shards))
+
     def _rows(self, kind: str, shard: np.ndarray, key: np.ndarray, fields: tuple[str, ...]) -> np.ndarray:
         """Rows of a table's arrays for keys, zero where absent; each shard's keys are looked up in order."""
-        out = np.zeros((len(key), len(fields)), np.uint32)
+        out = np.zeros((len(key), len(fields)), np.uint64)
         order = np.lexsort((key, shard))
         edge = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edge)):
@@ -118,11 +132,12 @@ class Model:
             raw = mapped(f"{self.path}/{kind}-{s}")
             if raw is None or not len(raw):
                 continue
-            n = len(raw) // (8 + 4 * len(fields))
-            keys, values = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32).reshape(len(fields), n)
-            at = np.minimum(np.searchsorted(keys, key[mine]), n - 1)
-            hit = keys[at] == key[mine]
-            out[mine[hit]] = values[:, at[hit]].T
+            keys, values = _read(raw, len(fields))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+                hit = keys[at] == key[mine]
+                for j, v in enumerate(values):
+                    out[mine[hit], j] = v[at[hit]]
         return out
 
     def score(self, texts: list) -> pd.DataFrame:
@@ -138,7 +153,7 @@ class Model:
         key, first, inverse = np.unique(pair_hash(a, b), return_index=True, return_inverse=True)
         pa, pb = a[first], b[first]
         ia, ib = of[: len(a)][first], of[len(a) :][first]
-        c = self._rows("pairs", _shard(pa, pb, self.heavy, self.shards), key, ("count",))[:, 0].astype(np.float64)
+        c = self._rows("pairs", _shard(pa, pb, heavy_words(self.path, self.shards), self.shards), key, ("count",))[:, 0].astype(np.float64)
         p = np.where(total[ia] > 0, np.maximum(c - _discount(c, d), 0) / np.maximum(total[ia], 1) + back[ia] * low[ib], low[ib])
         n = len(texts)
         ib = of[len(a) :]
@@ -170,7 +185,23 @@ def _arrays(frame: pd.DataFrame, name: str, kind) -> np.ndarray:
 
 
 def _store(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
-    write_file(path, keys.tobytes() + b"".join(v.astype(np.uint32).tobytes() for v in values))
+    """Keys and fields of a shard. A field is 32 bits wide, or 64 if one of its values needs that; the head says which."""
+    wide = [bool(len(v)) and int(v.max()) > 0xFFFFFFFF for v in values]
+    head = np.array([len(keys), *wide], np.uint64)
+    write_file(path, head.tobytes() + keys.tobytes() + b"".join(v.astype(np.uint64 if w else np.uint32).tobytes() for v, w in zip(values, wide)))
+
+
+def _read(raw: np.ndarray, fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and fields that ``_store`` wrote."""
+    n, *wide = (int(x) for x in raw[: 8 * (1 + fields)].view(np.uint64))
+    at = 8 * (1 + fields)
+    keys, at = raw[at : at + 8 * n].view(np.uint64), at + 8 * n
+    values = []
+    for w in wide:
+        size = n * (8 if w else 4)
+        values.append(raw[at : at + size].view(np.uint64 if w else np.uint32))
+        at += size
+    return keys, values
 
 
 def fit(docs: DataFrame) -> Model:
@@ -189,12 +220,17 @@ def fit(docs: DataFrame) -> Model:
         for texts in _portions(batches):
             before, _, _ = _tokens(texts)
             words, n = np.unique(before, return_counts=True)
-            keep = n * (2 * most) >= heavy_from * len(before)
+            keep = n >= heavy_from * len(before) / (2.0 * most)  # in floating point: the products pass 64 bits in a large corpus
             yield pd.DataFrame({"h": words[keep].view(np.int64), "n": n[keep]})
 
-    # Every word that begins heavy_from bigrams is found. The list is shorter than 2 * tokens / heavy_from, some words for each shard.
-    heavy_rows = texts.mapInPandas(first_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(2 * F.col("n") >= heavy_from).select("h").orderBy("h").collect()
-    heavy = np.array([r["h"] for r in heavy_rows], np.int64).view(np.uint64)
+    def write_heavy(frame: pd.DataFrame) -> pd.DataFrame:
+        write_file(f"{path}/heavy-{int(frame['slot'].iloc[0])}", np.sort(frame["h"].to_numpy().view(np.uint64)).tobytes())
+        return frame[["slot"]].head(1)
+
+    # Every word that begins heavy_from bigrams is found. There are fewer than 2 * tokens / heavy_from of them, some words for each shard.
+    found = texts.mapInPandas(first_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(2 * F.col("n") >= heavy_from)
+    slot = F.pmod(F.col("h"), F.lit(-(-shards // HEAVY_SHARDS))).alias("slot")
+    materialize(found.select("h", slot).groupBy("slot").applyInPandas(write_heavy, "slot long"), "heavy")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for texts in _portions(batches):
@@ -202,12 +238,12 @@ def fit(docs: DataFrame) -> Model:
             _, x, y, c = _added(before, word, np.ones(len(word), np.uint32))
             order = np.argsort(x, kind="stable")  # runs of one first word compress well
             x, y, c = x[order], y[order], c[order].astype(np.uint32)  # sums come as 64 bits
-            yield _dealt(_shard(x, y, heavy, shards), shards, a=x, b=y, n=c)
+            yield _dealt(_shard(x, y, heavy_words(path, shards), shards), shards, a=x, b=y, n=c)
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         s = int(frame["shard"].iloc[0])
         key, a, b, c = _added(_arrays(frame, "a", np.uint64), _arrays(frame, "b", np.uint64), _arrays(frame, "n", np.uint32).astype(np.int64))
-        _store(f"{path}/pairs-{s}", key, np.minimum(c, 0xFFFFFFFF))
+        _store(f"{path}/pairs-{s}", key, c)
         seen = [int((c == k).sum()) for k in (1, 2, 3, 4)]
         words, i = np.unique(np.concatenate([a, b]), return_inverse=True)
         i, j = i[: len(a)], i[len(a) :]
@@ -228,7 +264,7 @@ def fit(docs: DataFrame) -> Model:
         s = int(frame["shard"].iloc[0])
         words, i = np.unique(_arrays(frame, "w", np.uint64), return_inverse=True)
         columns = [np.bincount(i, _arrays(frame, f, np.int64 if f in ("count", "total") else np.uint32), len(words)).astype(np.int64) for f in WORD_FIELDS]
-        _store(f"{path}/words-{s}", words, *[np.minimum(c, 0xFFFFFFFF) for c in columns])
+        _store(f"{path}/words-{s}", words, *columns)
         t = columns[1]
         return pd.DataFrame([{"tokens": int(columns[0].sum()), "words": int((t > 0).sum()), "pairs": int(t.sum()), **{f"n{k}": int((t == k).sum()) for k in (1, 2, 3, 4)}}])
 
@@ -236,7 +272,7 @@ def fit(docs: DataFrame) -> Model:
     t = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns]).first()
     d = discounts([t["n1"], t["n2"], t["n3"], t["n4"]])
     more = t["words"] - t["n1"] - t["n2"]
-    return Model(path, shards, heavy, t["tokens"], t["words"], t["pairs"], pair_discount, d, d[0] * t["n1"] + d[1] * t["n2"] + d[2] * more)
+    return Model(path, shards, t["tokens"], t["words"], t["pairs"], pair_discount, d, d[0] * t["n1"] + d[1] * t["n2"] + d[2] * more)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -245,7 +281,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Tokens are the words (A-Z lower-cased, parted by ASCII white space) and one
     end for each text; null text counts as empty. Rows whose crc32(doc_id as text)
     mod 7 is not 2 are learned from, a null doc_id as the empty string; rows that
-    repeat count each time. Without training rows every probability is 1.
+    repeat count each time. Without training rows every probability is 1. Texts are read
+    whole, a longer one than a portion by itself; other columns are not read; an
+    empty table gives an empty one.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
     docs = docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text")
