@@ -18,13 +18,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     Each round hangs every node's larger neighbours on its smallest one and then
     every node and its smaller neighbours on the smallest of them; components
     become stars in O(log^2 n) rounds. The rounds' tables stay distributed; the
-    driver sees a count and a checksum. Null ends and self links are ignored.
+    driver sees a count and two checksums. Nodes may be of any type that has an order. Null ends and self links are ignored.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("x"), F.col(b).alias("y"))
     edges = edges.where("x IS NOT NULL AND y IS NOT NULL AND u <> v").select("u", "v").distinct()
     edges, before = materialize(edges, "links"), None
     for _ in range(max_rounds):
-        stamp = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(u - v as decimal(38,0)))")).first()
+        stamp = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(u, v, 1L))")).first()
         if stamp == before or stamp[0] == 0:
             break
         before = stamp

@@ -23,9 +23,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import as_bytes, chunks_by_bytes, materialize, mix64, word_hashes
+from .shared import NOT_SPACE, as_bytes, chunks_by_bytes, fresh, materialize, mix64, word_hashes
 
 SYMBOLS, CHUNKS = 32, 8
 PER_CHUNK = SYMBOLS // CHUNKS
@@ -80,7 +81,7 @@ def _signatures(k: int):
                     h1[full] = np.add.reduceat(mix64(s ^ _ADD[0]), begin)
                     h2[full] = np.add.reduceat(mix64(s ^ _ADD[1]), begin)
                 ids = batch["doc_id"].iloc[first : first + len(n)]
-                yield pd.DataFrame({"doc_id": ids.to_numpy(), "n_shingles": n, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "sig": [x.tobytes() for x in sig]})
+                yield pd.DataFrame({"doc_id": pd.Series(ids.to_numpy(), dtype=object), "n_shingles": n, "h1": h1.view(np.int64), "h2": h2.view(np.int64), "sig": [x.tobytes() for x in sig]})
 
     return run
 
@@ -96,7 +97,7 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for x in range(PER_CHUNK):
                         if x != out:
                             key = key * np.uint64(1 << 16) + sig[:, c, x]
-                    yield pd.DataFrame({"key": key.view(np.int64), "node": batch["node"].to_numpy()})
+                    yield pd.DataFrame({"key": key.view(np.int64), "node": pd.Series(batch["node"].to_numpy(), dtype=object)})
 
 
 def _sets(k: int):
@@ -106,7 +107,7 @@ def _sets(k: int):
             for first, s, at in shingle_sets(batch["text"].tolist(), k):
                 s = s.view(np.int64)
                 cut = [s[a:b] for a, b in zip(at, at[1:])]
-                yield pd.DataFrame({"node": ids[first : first + len(cut)], "shingles": cut})
+                yield pd.DataFrame({"node": pd.Series(ids[first : first + len(cut)], dtype=object), "shingles": cut})
 
     return run
 
@@ -178,7 +179,8 @@ def _links(percent: int):
                     x, y = np.repeat(some, len(right)), np.tile(right, len(some))
                     once = x < y if code[s, 1] == code[s, 2] else np.ones(len(x), bool)
                     got += checked(x[once], y[once])
-        return pd.DataFrame({"a": [min(g) for g in got], "b": [max(g) for g in got]}).drop_duplicates()
+        pairs = sorted({(min(g), max(g)) for g in got})
+        return pd.DataFrame({"a": pd.Series([a for a, _ in pairs], dtype=object), "b": pd.Series([b for _, b in pairs], dtype=object)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -206,6 +208,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component_id is the smallest doc_id reachable; kept is doc_id = component_id.
     Rows that share a doc_id are one document: the links of any of them count.
     Rows without doc_id get their shingle count, a null component and null kept.
+    doc_id is of any type that has an order. Texts are read whole, whatever their
+    length; other columns are not read; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -252,11 +256,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; rows without doc_id or words stay.
+    """One document of each group of near duplicates, the one with the smallest doc_id; rows without words stay.
 
-    Of several rows with the kept doc_id one stays.
+    Rows without doc_id come after all that have one, by a hash of their text: they
+    stay only if their group has no other row. Of several rows with the kept doc_id, or
+    the kept text of a group without ids, one stays. doc_id is of any integer type or a string.
     """
-    drop = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id").distinct()
-    out = docs.join(drop, "doc_id", "left_anti")
-    unnamed = out.where("doc_id IS NULL")
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(unnamed).select(*docs.columns)
+    stand_in, known = fresh(docs.columns, "_id", "_known")
+    text = F.coalesce("text", F.lit(""))
+    if isinstance(docs.schema["doc_id"].dataType, T.StringType):  # above all other strings
+        of_text = F.concat(F.lit(chr(0x10FFFF)), F.sha2(text.cast("binary"), 256))
+    else:
+        of_text = F.xxhash64(text).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
+    all_rows = docs.withColumn(stand_in, F.coalesce(F.col("doc_id").cast(_id_type(docs)), of_text))
+    drop = near_duplicates(all_rows.select(F.col(stand_in).alias("doc_id"), "text"), k, percent).where("NOT kept").select(F.col("doc_id").alias(known)).distinct()
+    out = all_rows.join(drop, F.col(stand_in) == F.col(known), "left_anti")
+    empty = out.where(F.col("doc_id").isNull() & ~text.rlike(NOT_SPACE))
+    rest = out.where(F.col("doc_id").isNotNull() | text.rlike(NOT_SPACE))
+    return rest.dropDuplicates([stand_in]).unionByName(empty).select(*docs.columns)
+
+
+def _id_type(docs: DataFrame) -> str:
+    return "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "long"
