@@ -2,8 +2,9 @@
 
 Of every WINDOW - GRAM + 1 consecutive GRAM-word hashes the smallest is kept, in
 documents and in benchmark items alike; a shared span of WINDOW words therefore
-shares a fingerprint. Documents that share one are hits, and only their windows
-are then extended to whole spans, by the windows' full 128-bit hashes. Items
+shares a fingerprint. Texts whose fingerprints join those of the benchmark, first by a
+bitmap inside the scan, are hits, and only their windows are then extended to whole
+spans, by the windows' full 128-bit hashes. Items
 shorter than a window are looked up by hashes of their own length.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .privacy import TermBits
 from .shared import fresh, let, materialize
 
 WINDOW, GRAM = 10, 5
@@ -85,6 +87,33 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[
     return windows, prints, short
 
 
+def _keys() -> list[Column]:
+    """128 bits of the text."""
+    return [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(29), "text").alias("_k2")]
+
+
+def _marked(docs: DataFrame, prints: DataFrame, short: list[int]) -> DataFrame:
+    """(doc_id, _k1, _k2, n_words, _text) of every row of ``docs``; _text only where fingerprints say that the text may hold a window.
+
+    The scan looks fingerprints up in a bitmap of bounded size, at two places for
+    each. It passes every text with a window, and a few others that the windows then
+    rule out; only the texts that pass leave the scan.
+    """
+    second = lambda f: F.xxhash64(F.lit(31), f)
+    bits = TermBits(prints.select(F.explode(F.array("_f", second(F.col("_f")))).alias("term")))
+    may = lambda f: bits.may_hold(f) & bits.may_hold(second(f))
+    both = let(_words(False), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.exists(_fingerprints(w, short), may).alias("hit")))
+    seen = bits.beside(docs.select("doc_id", "text")).select("doc_id", *_keys(), "text", both.alias("_s"))
+    return materialize(seen.select("doc_id", "_k1", "_k2", F.col("_s.n").alias("n_words"), F.when(F.col("_s.hit"), F.col("text")).alias("_text")), "marked")
+
+
+def _spans(marked: DataFrame, windows: DataFrame, short: list[int]) -> DataFrame:
+    """(_k1, _k2, _at, _len, _x, _y): the occurrences of windows in each distinct text."""
+    texts = marked.where("_text IS NOT NULL").groupBy("_k1", "_k2").agg(F.min("_text").alias("text"))
+    spans = _windows(texts.select("_k1", "_k2", _words(True).alias("_words")), [WINDOW, *short])
+    return materialize(spans.join(windows.select("_len", "_x", "_y").distinct(), ["_len", "_x", "_y"], "left_semi"), "spans")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs`` (doc_id, text).
 
@@ -93,41 +122,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one. A word inside an occurrence of a window is hit; an item counts if one of
     its windows occurs. Null and empty texts have no words; items without words
     or item_id take no part; rows of one item_id are one item. Equal texts get
-    equal results, so hits are found once for each distinct text.
+    equal results, so hits are found once for each distinct text; rows that repeat get
+    equal results. Texts are read whole, whatever their length; other columns
+    are not read; an empty table gives an empty one.
     """
     windows, prints, short = benchmark_windows(benchmark)
-    docs = docs.select("doc_id", "text")
-    key = [F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(29), "text").alias("_k2")]
-    both = let(_words(False), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(F.lit(None).cast("bigint")), _fingerprints(w, short)).alias("f")))
-    seen = docs.select("doc_id", *key, both.alias("_s")).select("doc_id", "_k1", "_k2", F.col("_s.n").alias("n_words"), F.col("_s.f").alias("_fs"))
-    seen = seen.select("doc_id", "_k1", "_k2", "n_words", F.explode("_fs").alias("_f"))
-    # The first row of each document has no fingerprint and stays, so one scan serves both; a join key of its own keeps those rows spread out.
-    seen = seen.withColumn("_row", F.col("_f").isNull()).withColumn("_f", F.coalesce("_f", "_k1"))
-    marked = seen.join(prints.withColumn("_hit", F.lit(True)), "_f", "left").where("_row OR _hit")
-    marked = materialize(marked.select("doc_id", "_k1", "_k2", "n_words", "_row"), "marked")
-
-    hits = marked.where("NOT _row").groupBy("_k1", "_k2").agg(F.min("doc_id").alias("_id")).select("_k1", "_k2", "_id")
-    named = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k1"))).dropDuplicates(["_k1", "_k2"])
-    spans = _windows(named.select("_k1", "_k2", _words(True).alias("_words")), [WINDOW, *short])
-    known = windows.select("_len", "_x", "_y").distinct()
-    spans = materialize(spans.join(known, ["_len", "_x", "_y"], "left_semi"), "spans")
+    marked = _marked(docs, prints, short)
+    spans = _spans(marked, windows, short)
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("_at"), F.col("_at") + F.col("_len") - 1)))))
     words = spans.groupBy("_k1", "_k2").agg(covered.cast("long").alias("n_hit"))
     items = spans.select("_k1", "_k2", "_len", "_x", "_y").distinct().join(windows, ["_len", "_x", "_y"]).select("_k1", "_k2", F.col("item_id").cast("string").alias("_item"))
     items = items.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
     found = words.join(items, ["_k1", "_k2"])
-    out = marked.where("_row").join(found, ["_k1", "_k2"], "left")
+    rows = marked.select("doc_id", "_k1", "_k2", "n_words", F.col("_text").isNotNull().alias("_may"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(
+    shown = lambda df: df.select(
         "doc_id", "n_words", n_hit.alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+    clear = rows.where("NOT _may").withColumns({"n_hit": F.lit(None).cast("long"), "_items": F.lit(None).cast("array<string>")})
+    return shown(clear).unionByName(shown(rows.where("_may").join(found, ["_k1", "_k2"], "left")))  # most rows meet no shuffle
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose text holds a window of ``benchmark``: all rows of their doc_id go; rows without doc_id stay."""
-    (gone,) = fresh(docs.columns, "_gone")
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
+    """``docs`` without the documents whose text holds a window of ``benchmark``: all rows of their doc_id go, and all rows without doc_id that have such a text."""
+    windows, prints, short = benchmark_windows(benchmark)
+    marked = _marked(docs, prints, short)
+    texts = _spans(marked, windows, short).select("_k1", "_k2").distinct()
+    bad = marked.where("_text IS NOT NULL").join(texts, ["_k1", "_k2"], "left_semi")
+    gone, a, b = fresh(docs.columns, "_gone", "_g1", "_g2")
+    named = bad.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(gone)).distinct()
+    nameless = bad.where("doc_id IS NULL").select(F.col("_k1").alias(a), F.col("_k2").alias(b)).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(named, F.col("doc_id") == F.col(gone), "left_anti")
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit(29), "text")
+    rest = docs.where("doc_id IS NULL").join(nameless, (one == F.col(a)) & (two == F.col(b)), "left_anti")
+    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
