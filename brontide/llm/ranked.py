@@ -100,18 +100,19 @@ def length_marks(n: np.ndarray, docs: int, terms: int) -> np.ndarray:
     return np.array([75 + (25 * int(x) * docs) // terms for x in values], np.int64)[of]
 
 
-def nra(lists: list[tuple[np.ndarray, np.ndarray, int]], ids: np.ndarray, k: int, bar: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+def nra(lists: list[tuple[np.ndarray, np.ndarray, int]], ids: np.ndarray, k: int, bar: np.ndarray | None = None, step: int = FIRST_READ) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, scores, entries read): the k best rows with a score above 0 that can still reach the bar, best first, ties by id.
 
     ``lists`` has, for each term, distinct rows by falling impact, their impacts, and how
     often the term counts. ``bar`` holds scores that the result will compete with.
+    ``step`` entries of each list are read first.
     """
     n, m = len(ids), len(lists)
     low = np.zeros(n, np.int64)
     at, size = np.zeros(m, np.int64), np.array([len(d) for d, _, _ in lists], np.int64)
     high = np.array([int(x[0]) * times if len(x) else 0 for _, x, times in lists], np.int64)
     alive = np.ones(n, bool)
-    step, read = FIRST_READ, 0
+    read = 0
     others = np.zeros(0, np.int64) if bar is None else bar
     while True:
         for t in np.flatnonzero(at < size):
@@ -151,15 +152,15 @@ class _Best:
         self.score, self.id = s[top], i[top]
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of batches, up to BLOCK_ENTRIES entries and BLOCK_DOCS documents together (or one document)."""
+def _blocks(batches: Iterator[pd.DataFrame], most: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """Rows of batches, up to so many entries and documents together (or one document)."""
     held, entries, docs = [], 0, 0
     for b in batches:
         sizes = b["terms"].map(len).to_numpy() // 4
         at = 0
         while at < len(b):
-            fits = int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK_ENTRIES - entries, side="right"))
-            take = max(min(fits, BLOCK_DOCS - docs, len(b) - at), 0 if held else 1)
+            fits = int(np.searchsorted(np.cumsum(sizes[at:]), most[0] - entries, side="right"))
+            take = max(min(fits, most[1] - docs, len(b) - at), 0 if held else 1)
             if take:
                 held.append(b.iloc[at : at + take])
                 entries, docs, at = entries + int(sizes[at : at + take].sum()), docs + take, at + take
@@ -170,14 +171,14 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _search(items_path: str, weights_path: str, item_ids: list, docs: int, terms: int, k: int):
+def _search(items_path: str, weights_path: str, item_ids: list, docs: int, terms: int, k: int, most: tuple[int, int], step: int):
     """(item_id, doc_id, score): a task's k best documents of each item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked, w = mapped(items_path).view(np.int64), mapped(weights_path).view(np.int64)
         edges, rest = asked[: len(item_ids) + 1], asked[len(item_ids) + 1 :].reshape(2, -1)
         best = [_Best() for _ in item_ids]
-        for b in _blocks(batches):
+        for b in _blocks(batches, most):
             count = b["terms"].map(len).to_numpy() // 4
             term = np.frombuffer(b"".join(b["terms"]), np.uint32).astype(np.int64)
             tf = np.frombuffer(b"".join(b["tf"]), np.uint32)
@@ -190,7 +191,7 @@ def _search(items_path: str, weights_path: str, item_ids: list, docs: int, terms
             for i, mine in enumerate(best):
                 lists = [(doc[start[t] : start[t + 1]], x[start[t] : start[t + 1]], int(n)) for t, n in rest[:, edges[i] : edges[i + 1]].T if start[t] < start[t + 1]]
                 if lists:
-                    rows, scores, _ = nra(lists, ids, k, mine.score)
+                    rows, scores, _ = nra(lists, ids, k, mine.score, step)
                     mine.add(ids[rows], scores, k)
         for item, mine in zip(item_ids, best):
             if len(mine.id):
@@ -249,7 +250,7 @@ def _block_search(texts: DataFrame, rows: list, kind: str, k: int) -> DataFrame:
         stats[r["at"]] = r["x"]
     n, length = int(stats[0]), int(stats[1])
     write_file(f"{path}/weights", np.floor(1000 * np.log((2 * n + 2) / (2 * stats[2:] + 1))).astype(np.int64).tobytes())
-    search = _search(f"{path}/items", f"{path}/weights", [r["item_id"] for r in rows], n, max(length, 1), k)
+    search = _search(f"{path}/items", f"{path}/weights", [r["item_id"] for r in rows], n, max(length, 1), k, (BLOCK_ENTRIES, BLOCK_DOCS), FIRST_READ)
     return materialize(held.where("stats IS NULL").select("doc_id", "n", "terms", "tf").mapInPandas(search, f"item_id {kind}, doc_id long, score long"), "ranked")
 
 

@@ -135,47 +135,50 @@ def _slot(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one home, SLICE_CHARS characters at a time (or one text)."""
+def _slices(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFrame]:
+    """Rows of one home, so many characters at a time (or one text)."""
     for b in batches:
         for _, of_home in b.groupby("home", sort=False):
-            for part in chunks_by_bytes([len(t) for t in of_home["text"]], SLICE_CHARS):
+            for part in chunks_by_bytes([len(t) for t in of_home["text"]], chars):
                 yield of_home.iloc[part].reset_index(drop=True)
 
 
-def _homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _homes(slice_chars: int, home_chars: int):
     """Texts with their home and their row in it, and the counts of the first pair round as a row of their own."""
-    base, chars, row, home = TaskContext.get().partitionId() << 24, 0, 0, -1  # type: ignore[union-attr]
-    counts, words = np.zeros(SIDES, np.int64), 0
-    for b in batches:
-        b["text"] = b["text"].fillna("")
-        n = b["text"].map(len).to_numpy()
-        homes, rows = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-        for i in range(len(b)):
-            if home != base + chars // HOME_CHARS:
-                home, row = base + chars // HOME_CHARS, 0
-            homes[i], rows[i] = home, row
-            row, chars = row + 1, chars + int(n[i])
-        b["home"], b["row"], b["counts"] = homes, rows, None
-        for part in _slices(iter([b])):
-            h, at = word_hashes(as_bytes(part["text"]))
-            s = renamed(h, at, [])
-            counts += [pairs_joined(s, _way(0, i)) for i in range(SIDES)]
-            words += len(h)
-        yield b[["home", "row", "doc_id", "key", "text", "counts"]]
-    yield pd.DataFrame({"home": [base], "row": [-1], "doc_id": [None], "key": [None], "text": [None], "counts": [counts]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, chars, row, home = TaskContext.get().partitionId() << 24, 0, 0, -1  # type: ignore[union-attr]
+        counts = np.zeros(SIDES, np.int64)
+        for b in batches:
+            b["text"] = b["text"].fillna("")
+            n = b["text"].map(len).to_numpy()
+            homes, rows = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            for i in range(len(b)):
+                if home != base + chars // home_chars:
+                    home, row = base + chars // home_chars, 0
+                homes[i], rows[i] = home, row
+                row, chars = row + 1, chars + int(n[i])
+            b["home"], b["row"], b["counts"] = homes, rows, None
+            for part in _slices(iter([b]), slice_chars):
+                h, at = word_hashes(as_bytes(part["text"]))
+                s = renamed(h, at, [])
+                counts += [pairs_joined(s, _way(0, i)) for i in range(SIDES)]
+            yield b[["home", "row", "doc_id", "key", "text", "counts"]]
+        yield pd.DataFrame({"home": [base], "row": [-1], "doc_id": [None], "key": [None], "text": [None], "counts": [counts]})
+
+    return run
 
 
 def _way(number: int, i: int) -> int:
     return (number + 1) * 1000 + i
 
 
-def _count_ways(ways: list[int]):
+def _count_ways(ways: list[int], chars: int):
     """The counts of the next pair round, one row for a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SIDES, np.int64)
-        for part in _slices(batches):
+        for part in _slices(batches, chars):
             h, at = word_hashes(as_bytes(part["text"]))
             s = renamed(h, at, ways)
             counts += [pairs_joined(s, _way(len(ways), i)) for i in range(SIDES)]
@@ -202,11 +205,11 @@ def _dealt(shard: np.ndarray, home: int, shards: int, **columns: np.ndarray) ->
     return pd.DataFrame(out)
 
 
-def _send_symbols(ways: list[int], window: int, shards: int):
+def _send_symbols(ways: list[int], window: int, shards: int, chars: int):
     """Distinct symbols of each slice, those that occur once in it and those that occur more often."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _slices(batches):
+        for part in _slices(batches, chars):
             h, at = word_hashes(as_bytes(part["text"]))
             name, n = np.unique(provable(renamed(h, at, ways), at, window)[0], return_counts=True)
             yield _dealt(_slot(name, shards), int(part["home"].iloc[0]), shards, name=name, more=n > 1)
@@ -258,11 +261,11 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _WINDOWS = "shard long, home long, hash binary, doc binary, key binary, row binary, start binary, runs binary"
 
 
-def _send_windows(path: str, ways: list[int], window: int, shards: int):
+def _send_windows(path: str, ways: list[int], window: int, shards: int, chars: int):
     """Candidate windows of each slice, the first of equal ones alone; the others repeat for certain, and their runs go along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _slices(batches):
+        for part in _slices(batches, chars):
             home = int(part["home"].iloc[0])
             h, at = word_hashes(as_bytes(part["text"]))
             name, first, last = provable(renamed(h, at, ways), at, window)
@@ -386,7 +389,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = Fal
         raise ValueError("a window holds at least one word")
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    held = materialize(slim.mapInPandas(_homes, "home long, row long, doc_id long, key long, text string, counts array<long>"), "homes")
+    held = materialize(slim.mapInPandas(_homes(SLICE_CHARS, HOME_CHARS), "home long, row long, doc_id long, key long, text string, counts array<long>"), "homes", "zstd")
     rows = held.where("counts IS NULL").drop("counts")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, path = max(1, size // SHARD_CHARS), shared_path(spark, "repeats")
@@ -394,12 +397,12 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, texts: bool = Fal
     ways = [_chosen(held.where("counts IS NOT NULL"), 0)]
     slim = rows.select("home", "text")
     while len(ways) < ROUNDS.count("p"):
-        ways.append(_chosen(slim.mapInPandas(_count_ways(ways), "counts array<long>"), len(ways)))
+        ways.append(_chosen(slim.mapInPandas(_count_ways(ways, SLICE_CHARS), "counts array<long>"), len(ways)))
 
-    sent = slim.mapInPandas(_send_symbols(ways, window, shards), "shard long, home long, name binary, more binary")
+    sent = slim.mapInPandas(_send_symbols(ways, window, shards, SLICE_CHARS), "shard long, home long, name binary, more binary")
     told = sent.groupBy("shard").applyInPandas(_shared_symbols, "home long, name binary")
     materialize(told.groupBy("home").applyInPandas(_write_shared(path), "home long"), "told")
-    sent = rows.mapInPandas(_send_windows(path, ways, window, shards), _WINDOWS)
+    sent = rows.mapInPandas(_send_windows(path, ways, window, shards, SLICE_CHARS), _WINDOWS)
     told = sent.groupBy("shard").applyInPandas(_repeated_windows, "home long, runs binary")
     materialize(told.groupBy("home").applyInPandas(_write_runs(path), "home long"), "told")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")

@@ -399,7 +399,29 @@ def test_without_near_duplicates_keeps_one_each(spark, docs):
     assert out.columns == docs.columns
     keep = {r[0] for r in components(documents(), 5, 80) if r[3]}
     assert sorted(r["doc_id"] for r in out.where("doc_id IS NOT NULL").collect()) == sorted(keep)
-    assert out.where("doc_id IS NULL").count() == 2
+    assert [r["text"] for r in out.where("doc_id IS NULL").collect()] == [None]  # the other one is a copy of document 0
+
+
+def test_near_duplicates_of_ids_that_are_strings(spark):
+    data = [(f"d{d:03d}" if d is not None else None, t, *rest) for d, t, *rest in documents()]
+    df = spark.createDataFrame(data, SCHEMA.replace("doc_id long", "doc_id string"))
+    got = rows(near_dups.near_duplicates(df, 4), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == components(data, 4, 80)
+    out = near_dups.without_near_duplicates(df, 5)
+    assert {r["doc_id"] for r in out.collect()} == {r[0] for r in components(data, 5, 80) if r[3]} | {None}
+
+
+def test_rows_without_id_are_judged_by_their_text(spark):
+    """They stay only where no row with an id and no equal row is kept, and never with a passage of the benchmark."""
+    base, other, leak = prose(71, 80), prose(72, 80), prose(73, 40)
+    data = [(5, base), (None, edited(base, 1, 80)), (None, other), (None, other), (None, edited(other, 2, 80)), (None, ""), (None, None), (None, "pre " + leak + " post"), (6, leak)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    out = near_dups.without_near_duplicates(df, 5)
+    assert sorted(repr(r["text"]) for r in out.where("doc_id IS NULL").collect() if r["text"] is None or not r["text"].strip()) == ["''", "None"]
+    kept = [r["text"] for r in out.where("doc_id IS NULL").collect() if r["text"]]
+    assert len([t for t in kept if components([(1, t), (2, other)], 5, 80)[1][3] is False]) == 1 and len(kept) == 1
+    clean = decontaminate.decontaminated(df, spark.createDataFrame([(1, leak)], SCHEMA_B))
+    assert [t for _, t in data[:7]] == [r["text"] for r in clean.collect()] or sorted(map(repr, (r["text"] for r in clean.collect()))) == sorted(repr(t) for _, t in data[:7])
 
 
 # --- 5 ---------------------------------------------------------------------------
@@ -713,6 +735,30 @@ def test_words_that_begin_many_bigrams_are_split(spark, monkeypatch):
     assert np.allclose(got["score"], ngram_lm.fit(df).score(texts)["score"])
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    """A field is as wide as its largest value asks; both widths of one shard are read back."""
+    keys = np.array([3, 8, 11], np.uint64)
+    fields = [np.array([1, 2**33, 5], np.int64), np.array([7, 8, 9], np.int64), np.array([2**40, 0, 2**32 - 1], np.int64)]
+    ngram_lm._store(f"{tmp_path}/words-0", keys, *fields)
+    model = ngram_lm.Model(str(tmp_path), 1, 2**41, 3, 3, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0)
+    got = model._rows("words", np.zeros(4, np.int64), np.array([11, 3, 5, 8], np.uint64), ("a", "b", "c"))
+    assert got.tolist() == [[5, 9, 2**32 - 1], [1, 7, 2**40], [0, 0, 0], [2**33, 8, 0]]
+
+
+def test_scores_of_frequent_words_use_whole_counts(spark, tmp_path, monkeypatch):
+    """A model whose files say that a word came ten thousand million times."""
+    data = [(i, "often rare often", None, None, None) for i in range(3)]
+    model = ngram_lm.fit(spark.createDataFrame(data, SCHEMA))
+    h = word_spans([b"often"])[0][0]
+    keys, fields = ngram_lm._read(ngram_lm.mapped(f"{model.path}/words-0"), len(ngram_lm.WORD_FIELDS))
+    fields = [f.astype(np.int64) for f in fields]
+    fields[0][keys == h] = 10**10
+    ngram_lm._store(f"{tmp_path}/words-0", keys, *fields)
+    other = ngram_lm.Model(str(tmp_path), 1, 10**10 + 6, model.words, model.pairs, model.pair_discount, model.word_discount, model.word_backoff)
+    got = other.score(["often"])["base_score"][0]
+    assert got == pytest.approx(math.log10((10**10 + 1) / (10**10 + 6 + model.words + 1)) + math.log10(4 / (10**10 + 6 + model.words + 1)))
+
+
 def test_lm_probabilities_add_up(spark):
     """After a word, all known words, the end and the unknown word have probability one together."""
     data = [(i, prose(i, 60, ["a", "b", "c", "d", "e"]), None, None, None) for i in range(30)]
