@@ -86,29 +86,49 @@ def fused_score(df: DataFrame) -> DataFrame:
 
 
 def comparable(df: DataFrame, variable: str = "want_variable", statistic: str = "want_statistic", window: str = "want_window_h") -> DataFrame:
-    """accepted and reject_reason of each row against a wanted variable, statistic and accumulation window; warnings always pass."""
+    """accepted and reject_reason of each row against a wanted variable, statistic and accumulation window.
+
+    A wanted statistic that is null is the row's own. Windows count only between
+    accumulations, and only if both are known. Warnings and advisories always pass.
+    """
+    both = (F.col("statistic") == "accumulation") & (F.coalesce(F.col(statistic), F.col("statistic")) == "accumulation")
     reason = (
-        F.when(F.col("evidence_class") == "warning", F.lit(None).cast("string"))
+        F.when(F.col("evidence_class").isin("warning", "advisory"), F.lit(None).cast("string"))
         .when(~F.col("variable").eqNullSafe(F.col(variable)), "different variable")
-        .when(~F.col("statistic").eqNullSafe(F.col(statistic)), "different statistic")
-        .when(~F.col("window_h").eqNullSafe(F.col(window)), "different accumulation window")
+        .when(~F.col("statistic").eqNullSafe(F.coalesce(F.col(statistic), F.col("statistic"))), "different statistic")
+        .when(both & (F.col("window_h") != F.col(window)), "different accumulation window")
     )
     return df.withColumns({"reject_reason": reason, "accepted": reason.isNull()})
 
 
+# Units in which a probability may stand.
+PROBABILITY_UNITS = ("%", "1", "probability")
+
+
 def validate(df: DataFrame, registry: DataFrame) -> DataFrame:
-    """accepted and reject_reason against a registry (variable, statistic, unit, classes array, windows array), one row for each variable."""
-    r = registry.select(F.col("variable"), *[F.col(c).alias(f"_r_{c}") for c in ("statistic", "unit", "classes", "windows")])
+    """accepted and reject_reason against a registry (variable, statistic, classes array, windows array), a row for each native name.
+
+    The rows of a variable count together: any of their statistics and classes will
+    do, and any of their windows. Rows without classes restrict nothing. An
+    accumulation needs a positive window, and one that is listed if any are; units
+    matter for probabilities alone.
+    """
+    r = registry.groupBy("variable").agg(
+        F.collect_set("statistic").alias("_statistics"), F.array_distinct(F.flatten(F.collect_list("classes"))).alias("_classes"),
+        F.array_distinct(F.flatten(F.collect_list("windows"))).alias("_windows"),
+    )
     out = df.join(F.broadcast(r), "variable", "left")  # the registry is a fixed list of variables
+    sums = F.col("statistic") == "accumulation"
     reason = (
-        F.when(F.col("_r_statistic").isNull(), "unknown variable")
-        .when(~F.array_contains("_r_classes", F.col("evidence_class")), "class not allowed")
-        .when(F.col("statistic") != F.col("_r_statistic"), "wrong statistic")
-        .when(F.col("unit") != F.col("_r_unit"), "wrong unit")
-        .when((F.size("_r_windows") > 0) & ~F.coalesce(F.array_contains("_r_windows", F.col("window_h")), F.lit(False)), "window not allowed")
+        F.when(F.col("_statistics").isNull(), "unknown variable")
+        .when(~F.coalesce(F.array_contains("_statistics", F.col("statistic")), F.lit(False)), "wrong statistic")
+        .when((F.size("_classes") > 0) & ~F.coalesce(F.array_contains("_classes", F.col("evidence_class")), F.lit(False)), "class not allowed")
+        .when(sums & ~F.coalesce(F.col("window_h") > 0, F.lit(False)), "window missing")
+        .when(sums & (F.size("_windows") > 0) & ~F.array_contains("_windows", F.col("window_h")), "window not allowed")
+        .when((F.col("statistic") == "probability") & ~F.coalesce(F.col("unit").isin(*PROBABILITY_UNITS), F.lit(True)), "wrong unit")
     )
     out = out.withColumns({"reject_reason": reason}).withColumn("accepted", F.col("reject_reason").isNull())
-    return out.drop("_r_statistic", "_r_unit", "_r_classes", "_r_windows")
+    return out.drop("_statistics", "_classes", "_windows")
 
 
 def best_per_variable(df: DataFrame, by: str = "score", key: str = "query_id") -> DataFrame:
@@ -117,13 +137,28 @@ def best_per_variable(df: DataFrame, by: str = "score", key: str = "query_id") -
     return df.where("evidence_class <> 'warning'").withColumn("_i", F.row_number().over(order)).where("_i = 1").drop("_i")
 
 
-def top_warning(df: DataFrame, key: str = "query_id") -> DataFrame:
-    """Highest-severity warning of each query and whether it is active; a cancelled one ranks lowest and is not."""
-    rank = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))]), F.lower(F.coalesce("severity", F.lit("yellow")))), F.lit(1))
+def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column that evidence need not have."""
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def top_warning(df: DataFrame, key: str = "query_id", cancelled: int = SEVERITY["cancelled"]) -> DataFrame:
+    """Highest-severity warning of each query, ties to the smaller evidence_id: its authority, severity, event, validity and area, and whether it is active.
+
+    Fused evidence ranks a cancelled warning below all others, and it is not active.
+    Summaries do not look at cancellation (``cancelled`` = 1): there it ranks as
+    yellow, and every query with a warning has an active one. An unknown severity is yellow.
+    """
+    ranks = SEVERITY | {"cancelled": cancelled}
+    rank = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))]), F.lower(F.coalesce("severity", F.lit("yellow")))), F.lit(ranks["yellow"]))
     w = df.where("evidence_class = 'warning'").withColumn("_r", rank)
     order = Window.partitionBy(key).orderBy(F.desc("_r"), "evidence_id")
     top = w.withColumn("_i", F.row_number().over(order)).where("_i = 1")
-    return top.select(key, F.col("evidence_id").alias("warning_id"), F.col("source").alias("warning_source"), F.coalesce("severity", F.lit("yellow")).alias("severity"), (F.col("_r") >= 0).alias("active"))
+    return top.select(
+        key, F.col("evidence_id").alias("warning_id"), F.col("source").alias("warning_source"), F.coalesce("severity", F.lit("yellow")).alias("severity"),
+        (F.col("_r") >= 0).alias("active"), F.coalesce(_optional(df, "raw_value"), F.col("variable")).alias("warning_event"),
+        _optional(df, "valid_from", "timestamp").alias("warning_from"), _optional(df, "valid_to", "timestamp").alias("warning_until"), _optional(df, "reference").alias("warning_area"),
+    )
 
 
 def disagreement(df: DataFrame, key: str = "query_id", limit: float = SPREAD_MM) -> DataFrame:
@@ -141,19 +176,53 @@ def claim_spread(claims: DataFrame, key: list[str], limit: float = SPREAD_CLAIM)
     return t.withColumn("disagree", (F.col("n") >= 2) & (F.col("spread") > limit))
 
 
+def claim_disagreements(claims: DataFrame, key: str = "query_id", limit: float = SPREAD_CLAIM) -> DataFrame:
+    """(key, claim, kind, spread, conflict): claims of the roles of a query (claim, number, text) that do not agree.
+
+    numeric: two or more numbers that lie more than ``limit`` apart; categorical: claims
+    of warnings that differ, with the different ones, a missing one as None.
+    """
+    shown = F.coalesce(F.col("text"), F.col("number").cast("string"), F.lit("None"))
+    t = claims.groupBy(key, "claim").agg(F.count(F.lit(1)).alias("_n"), F.count("number").alias("_k"), (F.max("number") - F.min("number")).alias("_spread"), F.array_sort(F.collect_set(shown)).alias("_texts"))
+    none = F.lit(None)
+    numeric = F.when((F.col("_k") >= 2) & (F.col("_spread") > limit), F.struct(F.lit("numeric").alias("kind"), F.col("_spread").alias("spread"), none.cast("array<string>").alias("conflict")))
+    differ = F.when((F.col("claim") == "warning") & (F.size("_texts") > 1), F.struct(F.lit("categorical").alias("kind"), none.cast("double").alias("spread"), F.col("_texts").alias("conflict")))
+    found = F.array_compact(F.array(numeric, differ))
+    return t.where("_n >= 2").select(key, "claim", F.explode(found).alias("_d")).select(key, "claim", "_d.*")
+
+
 def summaries(queries: DataFrame, scored: DataFrame, key: str = "query_id") -> DataFrame:
-    """One row for each query: rain, its probability and members, temperature, wind in km/h, warning, agreement, ranked evidence ids."""
+    """One row for each query: the best rain row with its unit, window, validity, probability, members and evidence, temperature, wind in km/h, the top warning, agreement, ranked evidence ids.
+
+    Rows rank by score, ties to the smaller evidence_id. A probability is that of the best
+    row of precipitation_probability, and stands only beside rain. Temperature is
+    temperature_2m, else temperature_max. Wind in m/s is turned into km/h with one
+    decimal; any other unit is taken as it is.
+    """
+    ok = scored.withColumn("_s", -F.round("score", 9))
     best = best_per_variable(scored, "score", key)
-    pick = lambda v, c: F.max(F.when(F.col("variable") == v, F.col(c)))
-    wide = best.groupBy(key).agg(
-        pick("precipitation_amount", "value").alias("rain_mm"), pick("precipitation_amount", "source").alias("rain_source"),
-        F.max(F.when(F.col("variable") == "precipitation_probability", F.coalesce("probability", F.col("value") / 100))).alias("rain_probability"),
-        pick("temperature_2m", "value").alias("temperature"), F.round(F.max(F.when(F.col("variable") == "wind_speed", F.when(F.col("unit") == "m/s", F.col("value") * 3.6).otherwise(F.col("value")))), 1).alias("wind_kmh"),
-    )
-    ranked = F.sort_array(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), F.col("evidence_id"))))
-    lists = scored.groupBy(key).agg(F.transform(ranked, lambda x: x["evidence_id"]).alias("evidence_ids"), F.array_sort(F.collect_list(F.when((F.col("variable") == "precipitation_amount") & F.col("member").isNotNull(), F.col("value")))).alias("member_values"))
-    out = queries.join(wide, key, "left").join(lists, key, "left").join(top_warning(scored, key), key, "left").join(disagreement(scored, key).drop("n"), key, "left")
-    return out.withColumns({"active": F.coalesce("active", F.lit(False)), "status": F.coalesce("status", F.lit("insufficient_evidence"))})
+    of = lambda v, *cs: F.max(F.when(F.col("variable") == v, F.struct(*cs)))  # noqa: E731  one row for each variable
+    rain = of("precipitation_amount", "value", F.coalesce("unit", F.lit("mm")).alias("unit"), _optional(scored, "window_h", "double").alias("hours"), "source", "valid_from", "valid_to", "evidence_id")
+    warmth = [of(v, "value", F.coalesce("unit", F.lit("C")).alias("unit"), "source") for v in ("temperature_2m", "temperature_max")]
+    wind = of("wind_speed", F.when(F.col("unit") == "m/s", F.round(F.col("value") * 3.6, 1)).otherwise(F.col("value")).alias("kmh"), "source")
+    wide = best.groupBy(key).agg(rain.alias("_r"), F.coalesce(*warmth).alias("_t"), wind.alias("_w"))
+    chance = F.coalesce(F.col("probability"), F.when(F.col("value") != 0, F.col("value") / 100))
+    inside = F.struct("_s", "evidence_id", chance.alias("p"))
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("_s", "evidence_id")))), lambda x: x["evidence_id"])
+    odds, amount = F.col("variable") == "precipitation_probability", F.col("variable") == "precipitation_amount"
+    members = F.array_sort(F.collect_list(F.when(amount & F.col("member").isNotNull() & F.col("value").isNotNull(), F.struct("_s", "evidence_id", "value"))))
+    lists = ok.groupBy(key).agg(ids(F.lit(True)).alias("evidence_ids"), ids(odds).alias("_odds"), F.min(F.when(odds, inside)).alias("_p"), F.transform(members, lambda x: x["value"]).alias("_m"))
+    out = queries.join(wide, key, "left").join(lists, key, "left").join(top_warning(scored, key, SEVERITY["yellow"]), key, "left").join(disagreement(scored, key).drop("n"), key, "left")
+    there = F.col("_r").isNotNull()
+    out = out.withColumns({
+        "rain_mm": F.col("_r.value"), "rain_unit": F.col("_r.unit"), "rain_hours": F.col("_r.hours"), "rain_source": F.col("_r.source"),
+        "rain_from": F.col("_r.valid_from"), "rain_to": F.col("_r.valid_to"), "rain_probability": F.when(there, F.col("_p.p")),
+        "rain_evidence_ids": F.when(there, F.concat(F.array("_r.evidence_id"), F.col("_odds"))), "member_values": F.when(there & (F.size("_m") > 0), F.col("_m")),
+        "temperature": F.col("_t.value"), "temperature_unit": F.col("_t.unit"), "temperature_source": F.col("_t.source"),
+        "wind_kmh": F.col("_w.kmh"), "wind_source": F.col("_w.source"),
+        "active": F.coalesce("active", F.lit(False)), "status": F.coalesce("status", F.lit("insufficient_evidence")),
+    })
+    return out.drop("_r", "_t", "_w", "_p", "_m", "_odds")
 
 
 def distributions(df: DataFrame, key: str = "query_id") -> DataFrame:
@@ -163,22 +232,40 @@ def distributions(df: DataFrame, key: str = "query_id") -> DataFrame:
     return t.select(key, "variable", "probability", F.col("_p")[0].alias("p10"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p90"), "mean", "spread", "evidence_ids")
 
 
-# Rows a role may claim, and its confidence.
-ROLES = (("forecast", ("forecast", "ensemble"), 3, 0.7), ("warning", ("warning",), None, 0.95), ("history", ("reanalysis", "climatology"), 2, 0.6), ("observation", ("observation",), 2, 0.8))
+# The classes a role looks at, the variables if only some, how many rows it claims, and its confidence.
+ROLES = (
+    ("forecast", ("forecast",), ("temperature_2m", "precipitation_amount"), 3, 0.85),
+    ("warning", ("warning",), None, None, 0.95),
+    ("historical", ("reanalysis", "climate", "observation"), None, 2, 0.7),
+    ("observation", ("observation",), None, 2, 0.8),
+)
+CONTEXT_FACTS, CONTEXT_CONFIDENCE = 5, 0.9
+
 
+def role_claims(evidence: DataFrame, key: str = "query_id", order: str = "evidence_id", facts: DataFrame | None = None) -> DataFrame:
+    """(key, role, claim, number, text, unit, evidence_id, confidence): what each role claims from the first rows, by ``order``, of the evidence it looks at.
 
-def role_claims(scored: DataFrame, key: str = "query_id") -> DataFrame:
-    """(key, role, evidence_id, confidence): each role's best rows of its evidence classes."""
-    parts = []
-    for role, classes, most, confidence in ROLES:
-        order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "evidence_id")
-        rows = scored.where(F.col("evidence_class").isin(*classes)).withColumn("_i", F.row_number().over(order))
-        rows = rows.where(F.col("_i") <= most) if most else rows
-        parts.append(rows.select(key, F.lit(role).alias("role"), "evidence_id", F.lit(confidence).alias("confidence")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    A claim is the row's variable with its value; of a warning it is ``warning`` with the
+    severity as text. ``facts`` (key, place, fact, value), if given, adds the claims of the context role: the
+    first facts of each query by place, without evidence.
+    """
+    rows = [F.when(F.col("evidence_class").isin(*classes) & (F.col("variable").isin(*only) if only else F.lit(True)), F.struct(F.lit(role).alias("role"), F.lit(most).cast("int").alias("most"), F.lit(sure).alias("confidence"))) for role, classes, only, most, sure in ROLES]
+    each = evidence.withColumn("_o", F.explode(F.array_compact(F.array(*rows))))
+    first = Window.partitionBy(key, "_o.role").orderBy(order, "evidence_id")
+    kept = each.withColumn("_i", F.row_number().over(first)).where("_o.most IS NULL OR _i <= _o.most")
+    warns = F.col("_o.role") == "warning"
+    out = kept.select(
+        key, F.col("_o.role").alias("role"), F.when(warns, "warning").otherwise(F.col("variable")).alias("claim"), F.when(~warns, F.col("value")).alias("number"),
+        F.when(warns, F.col("severity")).alias("text"), F.when(warns, "severity").otherwise(F.col("unit")).alias("unit"), "evidence_id", F.col("_o.confidence").alias("confidence"),
+    )
+    if facts is None:
+        return out
+    some = facts.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("place", "fact"))).where(F.col("_i") <= CONTEXT_FACTS)
+    none = F.lit(None)
+    return out.unionByName(some.select(
+        key, F.lit("context").alias("role"), F.concat(F.lit("context."), "fact").alias("claim"), none.cast("double").alias("number"), F.col("value").cast("string").alias("text"),
+        none.cast("string").alias("unit"), none.cast("string").alias("evidence_id"), F.lit(CONTEXT_CONFIDENCE).alias("confidence"),
+    ))
 
 
 def unsupported_claims(claims: DataFrame, evidence: DataFrame, cited: str = "evidence_ids") -> DataFrame:

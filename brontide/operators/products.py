@@ -100,27 +100,50 @@ def scenarios(summaries: DataFrame, key: str = "query_id", members="member_value
     return summaries.select(key, F.explode(chosen).alias("_s")).select(key, "_s.*")
 
 
+# Agreement that makes a decision sure, and confidence with it, without it, and without scenarios.
+SURE_STATUS, SURE, UNSURE, NO_BASIS = ("full_agreement", "single_source"), 0.8, 0.55, 0.0
+#: Variables whose evidence a decision rests on.
+DECISION_VARIABLES = ("precipitation_amount", "precipitation_probability", "wind_speed")
+
+
+def decision_evidence(evidence: DataFrame, key: str = "query_id", order: str = "evidence_id") -> DataFrame:
+    """(key, evidence_ids): the rows that scenarios of each query rest on."""
+    rows = evidence.where(F.col("variable").isin(*DECISION_VARIABLES))
+    ids = F.transform(F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), F.col("evidence_id").alias("e")))), lambda x: x["e"])
+    return rows.groupBy(key).agg(ids.alias("evidence_ids"))
+
+
 def decide(queries: DataFrame, scenario_rows: DataFrame, key: str = "query_id") -> DataFrame:
-    """Best action of each query: highest expected utility - weight x downside risk, ties to the action listed first.
+    """(key, action, expected_utility, risk, score, alternatives, rejected, confidence): best action of each query: highest expected utility - weight x downside risk, ties to the action listed first.
 
-    ``queries`` has domain, tolerance, wind_kmh, severity. An orange or red warning
-    raises the weight to 1. A query without scenarios defers.
+    ``queries`` has domain, tolerance, wind_kmh, severity, and may have active and status.
+    An active orange or red warning raises the weight to 1 (without the column every warning is
+    active). A query without scenarios defers, with all actions of its domain rejected and no confidence; else
+    the confidence tells whether sources agree (without the column they do).
     """
     spark = queries.sparkSession
     policy = spark.createDataFrame([(*r, i) for i, r in enumerate(POLICIES)], "domain string, action string, dry double, wet double, wind double, place int")
     weights = F.coalesce(*[F.when(F.lower("tolerance") == k, F.lit(v)) for k, v in RISK_WEIGHTS.items()], F.lit(RISK_WEIGHTS["medium"]))
-    weight = F.when(F.lower("severity").isin("orange", "red"), F.greatest(weights, F.lit(1.0))).otherwise(weights)
-    q = queries.withColumn("_weight", weight)
+    alert = F.col("severity").isin("orange", "red") & (F.coalesce("active", F.lit(False)) if "active" in queries.columns else F.lit(True))
+    q = queries.withColumn("_weight", F.when(alert, F.greatest(weights, F.lit(1.0))).otherwise(weights))
     rows = q.join(F.broadcast(policy), "domain").join(scenario_rows, key)  # the policy table is fixed
     u = F.when(F.col("mm") >= WET_DAY_MM, F.col("wet")).otherwise(F.col("dry")) + F.when(F.col("wind_kmh") > WINDY_KMH, F.col("wind")).otherwise(0.0)
     per = rows.groupBy(key, "action", "place", "_weight").agg(F.sum(F.col("probability") * u).alias("expected_utility"), F.sum(F.when(u < 0, F.col("probability") * -u).otherwise(0.0)).alias("risk"))
     per = per.withColumn("score", F.col("expected_utility") - F.col("_weight") * F.col("risk"))
-    best = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "place")
-    per = per.withColumn("_i", F.row_number().over(best))
-    top = per.where("_i = 1").select(key, "action", "expected_utility", "risk", "score")
-    rest = per.where("_i > 1").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "action"))).alias("_a")).select(key, F.array_join("_a.action", ",").alias("alternatives"))
-    out = queries.select(key).join(top, key, "left").join(rest, key, "left")
-    return out.withColumns({"action": F.coalesce("action", F.lit("defer_decision")), "expected_utility": F.coalesce("expected_utility", F.lit(0.0)), "risk": F.coalesce("risk", F.lit(1.0))})
+    # A query has the few actions of its domain: ranked as one array.
+    ranked = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("o"), "place", "action", "expected_utility", "risk", "score")))
+    got = per.groupBy(key).agg(ranked.alias("_a"))
+    actions = policy.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "action"))), lambda x: x["action"]).alias("_all"))
+    out = q.join(got, key, "left").join(F.broadcast(actions), "domain", "left")
+    best, rest = F.get("_a", F.lit(0)), F.transform(F.slice("_a", 2, 1 << 20), lambda x: x["action"])
+    sure = F.col("status").isin(*SURE_STATUS) if "status" in queries.columns else F.lit(True)
+    none = F.col("_a").isNull()
+    return out.select(
+        key, F.coalesce(best["action"], F.lit("defer_decision")).alias("action"), F.coalesce(best["expected_utility"], F.lit(0.0)).alias("expected_utility"),
+        F.coalesce(best["risk"], F.lit(1.0)).alias("risk"), best["score"].alias("score"), F.array_join(rest, ",").alias("alternatives"),
+        F.when(none, F.array_join("_all", ",")).otherwise(F.array_join(rest, ",")).alias("rejected"),
+        F.when(none, NO_BASIS).when(F.coalesce(sure, F.lit(False)), SURE).otherwise(UNSURE).alias("confidence"),
+    )
 
 
 def answer_rows(answers: DataFrame, targets: DataFrame) -> DataFrame:

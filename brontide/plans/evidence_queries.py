@@ -192,7 +192,7 @@ SEV = "CASE lower(coalesce(severity, 'yellow')) WHEN 'cancelled' THEN -1 WHEN 'g
 
 @add("w9_top_warning", f"WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {SEV} DESC, evidence_id) AS i FROM hits WHERE evidence_class = 'warning') SELECT query_id, evidence_id AS warning_id, source AS warning_source, coalesce(severity, 'yellow') AS severity, {SEV} >= 0 AS active FROM r WHERE i = 1")
 def _(s, d):
-    return E.top_warning(hits(s, d))
+    return E.top_warning(hits(s, d)).select("query_id", "warning_id", "warning_source", "severity", "active")
 
 
 @add("g6_disagreement", f"WITH {HITS}, g AS (SELECT query_id, count(*) AS n, max(CASE WHEN variable = 'precipitation_amount' THEN value END) - min(CASE WHEN variable = 'precipitation_amount' THEN value END) AS rain_spread, count(CASE WHEN variable = 'precipitation_amount' THEN value END) AS k, count(DISTINCT CASE WHEN evidence_class = 'warning' THEN severity END) AS warning_levels FROM hits GROUP BY 1) SELECT query_id, n, round(rain_spread, 4) AS rain_spread, warning_levels, CASE WHEN k >= 2 AND rain_spread > 10 THEN 'partial_agreement' WHEN n >= 2 THEN 'full_agreement' ELSE 'single_source' END AS status, warning_levels > 1 AS conflicting_warnings FROM g")
@@ -200,12 +200,34 @@ def _(s, d):
     return rounded(E.disagreement(hits(s, d)), 4)
 
 
-@add("g7_query_summaries", f"""WITH {SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id, variable ORDER BY round(score, 9) DESC, evidence_id) AS i FROM scored WHERE evidence_class <> 'warning'),
-    w AS (SELECT query_id, max(CASE WHEN variable = 'precipitation_amount' THEN value END) AS rain_mm, max(CASE WHEN variable = 'temperature_2m' THEN value END) AS temperature, round(max(CASE WHEN variable = 'wind_speed' THEN CASE WHEN unit = 'm/s' THEN value * 3.6 ELSE value END END), 1) AS wind_kmh FROM b WHERE i = 1 GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM scored GROUP BY 1)
-    SELECT q.query_id, rain_mm, temperature, wind_kmh, coalesce(n.n, 0) AS n_evidence FROM qs q LEFT JOIN w USING (query_id) LEFT JOIN n USING (query_id)""")
+@add("g7_query_summaries", f"""WITH {SCORED},
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id, variable ORDER BY round(score, 9) DESC, evidence_id) AS i FROM scored WHERE evidence_class <> 'warning'),
+    r AS (SELECT query_id, value AS rain_mm, unit AS rain_unit, window_h AS rain_hours, source AS rain_source, evidence_id AS rain_id FROM b WHERE i = 1 AND variable = 'precipitation_amount'),
+    w AS (
+      SELECT query_id, max(CASE WHEN variable = 'temperature_2m' THEN value END) AS temperature,
+        max(CASE WHEN variable = 'wind_speed' THEN CASE WHEN unit = 'm/s' THEN round(value * 3.6, 1) ELSE value END END) AS wind_kmh
+      FROM b WHERE i = 1 GROUP BY 1),
+    m AS (
+      SELECT query_id, count(*) AS n, arg_min(value, (-round(score, 9), evidence_id)) AS first_member
+      FROM scored WHERE variable = 'precipitation_amount' AND event_id % 4 = 0 GROUP BY 1),
+    a AS (
+      SELECT query_id, evidence_id AS warning_id, severity,
+        row_number() OVER (PARTITION BY query_id ORDER BY CASE severity WHEN 'green' THEN 0 WHEN 'orange' THEN 2 WHEN 'red' THEN 3 ELSE 1 END DESC, evidence_id) AS i
+      FROM scored WHERE evidence_class = 'warning'),
+    n AS (
+      SELECT query_id, count(*) AS n, max(CASE WHEN variable = 'precipitation_amount' THEN value END) - min(CASE WHEN variable = 'precipitation_amount' THEN value END) AS spread
+      FROM scored GROUP BY 1)
+    SELECT q.query_id, rain_mm, rain_unit, rain_hours, rain_source, rain_id, temperature, wind_kmh, coalesce(n.n, 0) AS n_evidence, coalesce(m.n, 0) AS n_members, first_member,
+      warning_id, severity, warning_id IS NOT NULL AS active,
+      CASE WHEN n.n IS NULL THEN 'insufficient_evidence' WHEN spread > 10 THEN 'partial_agreement' WHEN n.n >= 2 THEN 'full_agreement' ELSE 'single_source' END AS status
+    FROM qs q LEFT JOIN r USING (query_id) LEFT JOIN w USING (query_id) LEFT JOIN m USING (query_id) LEFT JOIN n USING (query_id) LEFT JOIN (SELECT * FROM a WHERE i = 1) a USING (query_id)""")
 def _(s, d):
     out = E.summaries(question_windows(s, d), scored(s, d))
-    return out.select("query_id", "rain_mm", "temperature", "wind_kmh", F.coalesce(F.size("evidence_ids"), F.lit(0)).cast("long").alias("n_evidence"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return out.select(
+        "query_id", "rain_mm", "rain_unit", "rain_hours", "rain_source", F.get("rain_evidence_ids", F.lit(0)).alias("rain_id"), "temperature", "wind_kmh",
+        size("evidence_ids").alias("n_evidence"), size("member_values").alias("n_members"), F.get("member_values", F.lit(0)).alias("first_member"), "warning_id", "severity", "active", "status",
+    )
 
 
 @add("g14_distributions", f"WITH {HITS} SELECT query_id, variable, round(quantile_cont(value, 0.1), 4) AS p10, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS spread FROM hits WHERE evidence_class <> 'warning' GROUP BY ALL")
@@ -213,22 +235,60 @@ def _(s, d):
     return rounded(E.distributions(hits(s, d)).select("query_id", "variable", "p10", "p50", "p90", "mean", "spread"), 4)
 
 
-@add("g13_role_claims", f"""WITH {SCORED}, r AS (SELECT query_id, evidence_id, CASE WHEN evidence_class = 'forecast' THEN 'forecast' WHEN evidence_class = 'warning' THEN 'warning' WHEN evidence_class = 'reanalysis' THEN 'history' ELSE 'observation' END AS role, score FROM scored), i AS (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY round(score, 9) DESC, evidence_id) AS i FROM r)
-    SELECT query_id, role, evidence_id, CASE role WHEN 'forecast' THEN 0.7 WHEN 'warning' THEN 0.95 WHEN 'history' THEN 0.6 ELSE 0.8 END AS confidence FROM i WHERE role = 'warning' OR i <= CASE role WHEN 'forecast' THEN 3 ELSE 2 END""")
+CLAIMS = HITS + """, e AS (
+      SELECT *, 'forecast' AS role, 3 AS most, 0.85 AS confidence FROM hits WHERE evidence_class = 'forecast' AND variable IN ('temperature_2m', 'precipitation_amount')
+      UNION ALL SELECT *, 'warning', NULL, 0.95 FROM hits WHERE evidence_class = 'warning'
+      UNION ALL SELECT *, 'historical', 2, 0.7 FROM hits WHERE evidence_class IN ('reanalysis', 'climate', 'observation')
+      UNION ALL SELECT *, 'observation', 2, 0.8 FROM hits WHERE evidence_class = 'observation'),
+    i AS (SELECT *, row_number() OVER (PARTITION BY query_id, role ORDER BY evidence_id) AS i FROM e),
+    claims AS (
+      SELECT query_id, role, CASE role WHEN 'warning' THEN 'warning' ELSE variable END AS claim, CASE WHEN role <> 'warning' THEN value END AS number, CASE WHEN role = 'warning' THEN severity END AS text,
+        CASE role WHEN 'warning' THEN 'severity' ELSE unit END AS unit, evidence_id, CAST(confidence AS DOUBLE) AS confidence
+      FROM i WHERE most IS NULL OR i <= most
+      UNION ALL SELECT query_id, 'context', 'context.' || n_name, NULL, CAST(n_regionkey AS VARCHAR), NULL, NULL, 0.9 FROM qs JOIN nation ON n_nationkey % 20 = place)"""
+
+
+def claims(s, d):
+    facts = table(s, d, "nation").select((F.col("n_nationkey") % 20).alias("place_of"), F.col("n_nationkey").alias("place"), F.col("n_name").alias("fact"), F.col("n_regionkey").alias("value"))
+    q = question_windows(s, d).select("query_id", F.col("place").alias("place_of"))
+    return E.role_claims(hits(s, d), facts=q.join(facts, "place_of").drop("place_of"))
+
+
+@add("g13_role_claims", f"WITH {CLAIMS} SELECT * FROM claims")
 def _(s, d):
-    return E.role_claims(scored(s, d))
+    return claims(s, d)
 
 
-@add("j20_comparable", f"WITH {EV}, r AS (SELECT evidence_id, CASE WHEN evidence_class = 'warning' THEN NULL WHEN variable <> 'precipitation_amount' THEN 'different variable' WHEN statistic <> 'accumulation' THEN 'different statistic' WHEN window_h IS DISTINCT FROM 6.0 THEN 'different accumulation window' END AS reject_reason FROM evd) SELECT *, reject_reason IS NULL AS accepted FROM r")
+@add("g6_claim_conflicts", f"""WITH {CLAIMS}, g AS (
+      SELECT query_id, claim, count(number) AS k, max(number) - min(number) AS spread, count(DISTINCT text) AS kinds, string_agg(DISTINCT text, ',' ORDER BY text) AS texts
+      FROM claims GROUP BY ALL HAVING count(*) >= 2)
+    SELECT query_id, claim, 'numeric' AS kind, round(spread, 4) AS spread, NULL AS conflict FROM g WHERE k >= 2 AND spread > 5
+    UNION ALL SELECT query_id, claim, 'categorical', NULL, texts FROM g WHERE claim = 'warning' AND kinds > 1""")
 def _(s, d):
-    e = evidence(s, d).withColumns({"want_variable": F.lit("precipitation_amount"), "want_statistic": F.lit("accumulation"), "want_window_h": F.lit(6.0)})
-    return E.comparable(e).select("evidence_id", "reject_reason", "accepted")
+    return rounded(E.claim_disagreements(claims(s, d)).withColumn("conflict", F.array_join("conflict", ",")), 4)
+
+
+@add("j20_comparable", f"""WITH {EV}, r AS (
+      SELECT evidence_id, CASE WHEN evidence_class IN ('warning', 'advisory') THEN NULL WHEN variable <> 'precipitation_amount' THEN 'different variable'
+        WHEN event_id % 2 = 0 AND statistic <> 'accumulation' THEN 'different statistic'
+        WHEN statistic = 'accumulation' AND event_id % 4 <> 1 AND window_h <> 6.0 THEN 'different accumulation window' END AS reject_reason FROM evd)
+    SELECT *, reject_reason IS NULL AS accepted FROM r""")
+def _(s, d):
+    i = F.col("event_id")
+    want = {"want_variable": F.lit("precipitation_amount"), "want_statistic": F.when(i % 2 == 0, "accumulation"), "want_window_h": F.when(i % 4 != 1, 6.0)}
+    return E.comparable(evidence(s, d).withColumns(want)).select("evidence_id", "reject_reason", "accepted")
 
 
-@add("j21_registry_validation", f"""WITH {EV}, r AS (SELECT evidence_id, CASE WHEN variable NOT IN ('precipitation_amount', 'temperature_2m', 'heavy_rain_warning') THEN 'unknown variable' WHEN NOT list_contains(CASE variable WHEN 'heavy_rain_warning' THEN ['warning'] ELSE ['forecast', 'observation'] END, evidence_class) THEN 'class not allowed'
-    WHEN statistic <> CASE variable WHEN 'precipitation_amount' THEN 'accumulation' ELSE 'instant' END THEN 'wrong statistic' WHEN unit <> CASE variable WHEN 'precipitation_amount' THEN 'mm' WHEN 'temperature_2m' THEN 'C' ELSE 'm/s' END THEN 'wrong unit' WHEN variable = 'precipitation_amount' AND window_h IS DISTINCT FROM 6.0 THEN 'window not allowed' END AS reject_reason FROM evd) SELECT *, reject_reason IS NULL AS accepted FROM r""")
+@add("j21_registry_validation", f"""WITH {EV}, r AS (
+      SELECT evidence_id, CASE WHEN variable NOT IN ('precipitation_amount', 'temperature_2m', 'heavy_rain_warning') THEN 'unknown variable'
+        WHEN statistic <> CASE variable WHEN 'precipitation_amount' THEN 'accumulation' ELSE 'instant' END THEN 'wrong statistic'
+        WHEN variable = 'precipitation_amount' AND evidence_class NOT IN ('forecast', 'observation') THEN 'class not allowed'
+        WHEN variable = 'precipitation_amount' AND window_h IS NULL THEN 'window missing'
+        WHEN variable = 'precipitation_amount' AND window_h NOT IN (3.0, 6.0) THEN 'window not allowed' END AS reject_reason FROM evd)
+    SELECT *, reject_reason IS NULL AS accepted FROM r""")
 def _(s, d):
-    reg = s.createDataFrame([("precipitation_amount", "accumulation", "mm", ["forecast", "observation"], [6.0]), ("temperature_2m", "instant", "C", ["forecast", "observation"], []), ("heavy_rain_warning", "instant", "m/s", ["warning"], [])], "variable string, statistic string, unit string, classes array<string>, windows array<double>")
+    rows = [("precipitation_amount", "accumulation", ["forecast"], [3.0]), ("precipitation_amount", "accumulation", ["observation", "forecast"], [6.0]), ("temperature_2m", "instant", None, None), ("heavy_rain_warning", "instant", ["warning"], None)]
+    reg = s.createDataFrame(rows, "variable string, statistic string, classes array<string>, windows array<double>")
     return E.validate(evidence(s, d), reg).select("evidence_id", "reject_reason", "accepted")
 
 
@@ -247,6 +307,7 @@ def _(s, d):
 
 # --- decisions ------------------------------------------------------------------------
 SUM = """sm AS (SELECT o_orderkey AS query_id, ['spray', 'irrigate', 'harvest', 'marine', 'travel'][1 + o_orderkey % 5] AS domain, ['low', 'medium', 'high'][1 + o_orderkey % 3] AS tolerance, CAST(o_custkey % 50 AS DOUBLE) AS wind_kmh, CASE WHEN o_orderkey % 4 = 0 THEN 'orange' END AS severity,
+    o_orderkey % 8 <> 0 AS active, ['full_agreement', 'partial_agreement', 'single_source'][1 + o_custkey % 3] AS status,
     CASE WHEN o_orderkey % 6 <> 0 THEN (o_custkey % 100) / 100.0 END AS rain_probability, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 50000 END AS rain_mm FROM orders),
   sc AS (SELECT query_id, 'dry' AS scenario, 1 - rain_probability AS probability, 0.0 AS mm FROM sm WHERE rain_probability IS NOT NULL AND rain_mm IS NOT NULL UNION ALL SELECT query_id, 'measurable_rain', rain_probability, rain_mm FROM sm WHERE rain_probability IS NOT NULL AND rain_mm IS NOT NULL)"""
 
@@ -256,6 +317,7 @@ def decision_inputs(s, d):
     pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (1 + k % n).cast("int"))
     return table(s, d, "orders").select(
         k.alias("query_id"), pick(("spray", "irrigate", "harvest", "marine", "travel"), 5).alias("domain"), pick(("low", "medium", "high"), 3).alias("tolerance"), (F.col("o_custkey") % 50).cast("double").alias("wind_kmh"), F.when(k % 4 == 0, "orange").alias("severity"),
+        (k % 8 != 0).alias("active"), F.element_at(F.array(*[F.lit(x) for x in ("full_agreement", "partial_agreement", "single_source")]), (1 + F.col("o_custkey") % 3).cast("int")).alias("status"),
         F.when(k % 6 != 0, (F.col("o_custkey") % 100) / 100.0).alias("rain_probability"), F.when(k % 7 != 0, F.col("o_totalprice") / 50000).alias("rain_mm"), F.lit(None).cast("array<double>").alias("member_values"),
     )
 
@@ -274,9 +336,19 @@ def _(s, d):
 POLICY = "(VALUES " + ", ".join(f"('{a}', '{b}', {c}, {e}, {f}, {i})" for i, (a, b, c, e, f) in enumerate(P.POLICIES)) + ") p(domain, action, dry, wet, wind, place)"
 
 
-@add("r5_decisions", f"""WITH {SUM}, u AS (SELECT sm.query_id, action, place, CASE WHEN severity = 'orange' THEN greatest(1.0, CASE tolerance WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.25 END) ELSE CASE tolerance WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.25 END END AS wt, probability, CASE WHEN mm >= 0.5 THEN wet ELSE dry END + CASE WHEN wind_kmh > 25 THEN wind ELSE 0 END AS u FROM sm JOIN {POLICY} USING (domain) JOIN sc USING (query_id)),
-    a AS (SELECT query_id, action, place, sum(probability * u) AS eu, sum(CASE WHEN u < 0 THEN probability * -u ELSE 0 END) AS risk, sum(probability * u) - max(wt) * sum(CASE WHEN u < 0 THEN probability * -u ELSE 0 END) AS score FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS i FROM a)
-    SELECT sm.query_id, coalesce(action, 'defer_decision') AS action, round(coalesce(eu, 0), 5) AS expected_utility, round(coalesce(risk, 1), 5) AS risk, round(score, 5) AS score FROM sm LEFT JOIN (SELECT * FROM r WHERE i = 1) x USING (query_id)""")
+@add("r5_decisions", f"""WITH {SUM}, u AS (
+      SELECT sm.query_id, action, place, probability, CASE WHEN mm >= 0.5 THEN wet ELSE dry END + CASE WHEN wind_kmh > 25 THEN wind ELSE 0 END AS u,
+        greatest(CASE WHEN severity = 'orange' AND active THEN 1.0 ELSE 0 END, CASE tolerance WHEN 'low' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.25 END) AS wt
+      FROM sm JOIN {POLICY} USING (domain) JOIN sc USING (query_id)),
+    a AS (
+      SELECT query_id, action, place, sum(probability * u) AS eu, sum(CASE WHEN u < 0 THEN probability * -u ELSE 0 END) AS risk,
+        sum(probability * u) - max(wt) * sum(CASE WHEN u < 0 THEN probability * -u ELSE 0 END) AS score FROM u GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS i FROM a),
+    o AS (SELECT query_id, string_agg(action, ',' ORDER BY i) AS rejected FROM r WHERE i > 1 GROUP BY 1),
+    p AS (SELECT domain, string_agg(action, ',' ORDER BY place) AS every FROM {POLICY} GROUP BY 1)
+    SELECT sm.query_id, coalesce(action, 'defer_decision') AS action, round(coalesce(eu, 0), 5) AS expected_utility, round(coalesce(risk, 1), 5) AS risk, round(score, 5) AS score,
+      coalesce(rejected, every) AS rejected, CASE WHEN action IS NULL THEN 0.0 WHEN status IN ('full_agreement', 'single_source') THEN 0.8 ELSE 0.55 END AS confidence
+    FROM sm JOIN p USING (domain) LEFT JOIN (SELECT * FROM r WHERE i = 1) x USING (query_id) LEFT JOIN o USING (query_id)""")
 def _(s, d):
     q = decision_inputs(s, d)
     return rounded(P.decide(q, P.scenarios(q)).drop("alternatives"), 5)
