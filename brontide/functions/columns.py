@@ -211,7 +211,7 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
-def in_domain(lat, lon, land, box=(6.0, 38.0, 67.0, 98.0), least_land: float = 0.1) -> tuple[Column, Column]:
+def in_domain(lat, lon, land, box=(6.0, 38.0, 67.0, 98.0), least_land: float = 0.5) -> tuple[Column, Column]:
     """(inside, reason): within the box and with enough land around."""
     lat, lon, land = col(lat), col(lon), col(land)
     boxed = lat.between(box[0], box[1]) & lon.between(box[2], box[3])

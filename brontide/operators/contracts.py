@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import quantiles
+from .metrics import correlation, quantiles
 
 # Margins of the gates.
 COVERAGE_BAND, AUC_TOLERANCE, LEAST_BSS, LEAST_AUC, LEAST_MAE_GAIN, LEAST_N = (0.70, 0.90), 0.01, 0.005, 0.55, 0.01, 500
@@ -23,29 +23,56 @@ def enforce(checks: DataFrame) -> None:
         raise ValueError(f"failed checks: {bad}")
 
 
-def forecast_truth(df: DataFrame, forecast: str, truth: str, min_rows: int = 1000) -> DataFrame:
-    """Enough rows, truth mostly there, at least 100 rows with both, and a forecast that is not the truth itself."""
-    both = F.col(forecast).isNotNull() & F.col(truth).isNotNull()
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(truth).isNotNull().cast("double")).alias("t"), F.count_if(both).alias("b"), F.max(F.abs(F.col(forecast) - F.col(truth))).alias("d"))
-    return _checks(row, enough_rows=(F.col("n") >= min_rows, F.col("n")), truth_present=(F.col("t") > 0.5, F.col("t")), overlap=(F.col("b") >= 100, F.col("b")), not_identical=(F.col("d") > 1e-3, F.col("d")))
+def forecast_truth(df: DataFrame, pairs: list[tuple[str, str]], min_rows: int = 10_000) -> DataFrame:
+    """Checks of (forecast, truth) column pairs in one pass: enough rows; for each pair its columns, its truth mostly there, 100 rows with both, and a forecast that is not the truth itself.
 
-
-def skill_by_lead(df: DataFrame, lead: str, forecast: str, truth: str, least: int = 500) -> DataFrame:
-    """Correlation falls with lead: negative slope over at least three leads of ``least`` rows."""
-    t = df.where(F.col(forecast).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(lead).alias("_l")).agg(F.count(F.lit(1)).alias("n"), F.corr(forecast, truth).alias("r")).where(F.col("n") >= least)
-    row = t.agg(F.count(F.lit(1)).alias("leads"), F.regr_slope("r", F.col("_l").cast("double")).alias("slope"))
-    return _checks(row, enough_leads=(F.col("leads") >= 3, F.col("leads")), skill_decays=(F.col("slope") < 0, F.col("slope")))
+    A pair without its columns fails that check alone, one with too little overlap is not compared.
+    """
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    aggs, checks, seen = [F.count(F.lit(1)).alias("n")], [("non_empty", F.col("n") >= min_rows, F.col("n"))], set()
+    for i, (f, t) in enumerate(pairs):
+        if f not in df.columns or t not in df.columns:
+            checks.append((f"columns_present::{f}", F.lit(False), F.lit(None)))
+            continue
+        aggs += [F.avg(number(t).isNotNull().cast("double")).alias(f"t{i}"), F.count(number(f) - number(t)).alias(f"b{i}"), F.max(F.abs(number(f) - number(t))).alias(f"d{i}")]
+        if t not in seen:
+            seen.add(t)
+            checks.append((f"truth_present::{t}", F.col(f"t{i}") > 0.5, F.col(f"t{i}")))
+        enough = F.col(f"b{i}") >= 100
+        name = F.when(enough, f"non_degenerate::{f}").otherwise(f"pair_overlap::{f}")
+        checks.append((name, enough & (F.col(f"d{i}") > 1e-3), F.when(enough, F.col(f"d{i}")).otherwise(F.col(f"b{i}"))))
+    each = F.array(*[F.struct((n if isinstance(n, Column) else F.lit(n)).alias("check"), F.coalesce(ok, F.lit(False)).alias("passed"), d.cast("double").alias("detail")) for n, ok, d in checks])
+    return df.agg(*aggs).select(F.explode(each).alias("_c")).select("_c.*")
+
+
+def skill_by_lead(df: DataFrame, lead: str, forecast: str, truth: str, least: int = 500, min_pairs: int = 1000) -> DataFrame:
+    """One check: correlation falls with lead (negative slope). It fails as lead_signal with fewer than ``min_pairs`` pairs or three leads of ``least`` rows; leads where either side is constant do not count."""
+    both = df.where(F.col(lead).isNotNull() & F.col(forecast).isNotNull() & F.col(truth).isNotNull())
+    t = both.groupBy(F.col(lead).alias("_l")).agg(F.count(F.lit(1)).alias("n"), correlation(forecast, truth).alias("r"), F.least(F.stddev_pop(forecast), F.stddev_pop(truth)).alias("_s"))
+    usable = F.when((F.col("n") >= least) & (F.col("_s") >= 1e-9), F.col("_l").cast("double"))
+    row = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.count(usable).alias("leads"), F.regr_slope(F.when(usable.isNotNull(), F.col("r")), usable).alias("slope"))
+    few, short = F.col("pairs") < min_pairs, F.col("leads") < 3
+    return row.select(
+        F.when(few | short, "lead_signal").otherwise("lead_skill_decays_with_lead").alias("check"),
+        F.coalesce(~few & ~short & (F.col("slope") < 0), F.lit(False)).alias("passed"),
+        F.when(few, F.col("pairs").cast("double")).when(short, F.col("leads").cast("double")).otherwise(F.col("slope")).alias("detail"),
+    )
 
 
-def label_corpus(df: DataFrame, label: str, split: str, key: str) -> DataFrame:
-    """Little duplication, splits there and disjoint by key, more than one class, none with nearly all rows."""
-    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(split).alias("s"))
-    a = keys.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("keys"), F.count_if(F.col("s") > 1).alias("shared"))
-    b = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("top"))
-    c = df.agg(F.countDistinct(split).alias("splits"))
-    row = a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
-    dup, major = 1 - F.col("keys") / F.col("rows"), F.col("top") / F.col("rows")
-    return _checks(row, duplication=(dup <= 0.05, dup), splits_present=(F.col("splits") >= 2, F.col("splits")), splits_disjoint=(F.col("shared") == 0, F.col("shared")), several_classes=(F.col("classes") > 1, F.col("classes")), majority=(major < 0.98, major))
+def label_corpus(df: DataFrame, label: str, split: str, key: str, min_rows: int = 1000, max_duplicates: float = 0.05) -> DataFrame:
+    """Enough rows, few that repeat key and label, train and val there, no key in two splits, more than one class, none with nearly all rows."""
+    pairs = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
+    a = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("pairs"))
+    shared = df.groupBy(key).agg(F.countDistinct(split).alias("s")).agg(F.count_if(F.col("s") > 1).alias("shared"))
+    b = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("top"))
+    c = df.agg(F.count_if(F.col(split) == "train").alias("_t"), F.count_if(F.col(split) == "val").alias("_v"))
+    row = a.join(F.broadcast(shared)).join(F.broadcast(b)).join(F.broadcast(c))  # one row each
+    dup, major = F.try_divide(F.col("rows") - F.col("pairs"), F.col("rows")), F.try_divide("top", "rows")
+    return _checks(
+        row, non_empty=(F.col("rows") >= min_rows, F.col("rows")), low_duplication=(dup <= max_duplicates, dup),
+        has_splits=((F.col("_t") > 0) & (F.col("_v") > 0), (F.col("_t") > 0).cast("int") + (F.col("_v") > 0).cast("int")), split_disjoint=(F.col("shared") == 0, F.col("shared")),
+        more_than_one_class=(F.col("classes") > 1, F.col("classes")), majority_not_total=(major < 0.98, major),
+    )
 
 
 def no_contradiction(df: DataFrame, label: str, family: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -188,7 +215,7 @@ def majority_and_duplicates(df: DataFrame, label: str, key: str) -> DataFrame:
 def audit(df: DataFrame, forecast: str, truth: str, lead: str, order: str, label: str, key: str) -> DataFrame:
     """Verdicts on a corpus: values off by a unit's factor, a lead that is the row's number, a forecast that is the truth, one class, many repeats."""
     base = df.agg(
-        F.corr(forecast, truth).alias("r"), F.try_divide(F.avg(forecast), F.avg(truth)).alias("ratio"), F.corr(F.col(lead).cast("double"), F.col(order).cast("double")).alias("lead_r"),
+        correlation(forecast, truth).alias("r"), F.try_divide(F.avg(forecast), F.avg(truth)).alias("ratio"), correlation(lead, order).alias("lead_r"),
         F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("k"), F.countDistinct(label).alias("classes"),
     )
     verdicts = F.array_compact(F.array(

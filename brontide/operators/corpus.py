@@ -64,24 +64,6 @@ def unit_family(unit: Column | str) -> Column:
     return F.when(col(unit).isNull(), "categorical").otherwise(F.coalesce(exact, loose, F.lit("unknown")))
 
 
-def classify(df: DataFrame, text: str, unit: str, specs: Sequence[tuple[str, str, str, str | None, int]], key: str) -> DataFrame:
-    """(key, canonical, matched_on, family): the best of the specs (canonical, families joined by |, pattern, anti-pattern, priority) for each row, or nulls.
-
-    A spec whose anti-pattern occurs or whose families exclude the unit's is out;
-    priority decides, then the longer pattern, then the earlier spec. Specs are a
-    fixed short list, so each row looks at an array of them.
-    """
-    family = unit_family(unit)
-    hits = []
-    for i, (canonical, families, pattern, anti, priority) in enumerate(specs):
-        fits = F.lower(text).rlike(pattern) & (F.col("_family").isin(*families.split("|")) | (F.col("_family") == "unknown"))
-        if anti:
-            fits = fits & ~F.lower(text).rlike(anti)
-        hits.append(F.when(fits, F.struct(F.lit(priority).alias("p"), F.lit(len(pattern)).alias("l"), F.lit(-i).alias("i"), F.lit(canonical).alias("canonical"), F.lit(pattern).alias("matched_on"))))
-    best = F.array_max(F.array(*hits))
-    return df.withColumn("_family", family).withColumn("_best", best).select(key, "_best.canonical", "_best.matched_on", F.col("_family").alias("family"))
-
-
 def accumulation_hours(text: Column | str) -> Column:
     """Hours of an accumulation window named in a text; the first form that holds."""
     t = F.lower(col(text))
@@ -264,14 +246,14 @@ def bio_tags(tokens: DataFrame, spans: DataFrame, key: str, strict: bool = False
 
 
 def bio_spans(df: DataFrame, key: str, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
-    """(key, slot, first, last, text): runs of tags as slots, by gaps and islands; edge punctuation is trimmed."""
+    """(key, slot, first, last, text): runs of tags as slots, by gaps and islands; edge punctuation is trimmed. An I- tag that no B- of its slot leads to opens nothing."""
     rows = df.select(key, F.posexplode(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t"))).alias("i", "_x")).select(key, "i", F.col("_x.w").alias("w"), F.col("_x.t").alias("t"))
     rows = rows.withColumns({"slot": F.nullif(F.substring("t", 3, 100), F.lit("")), "_k": F.substring("t", 1, 1)})
     order = Window.partitionBy(key).orderBy("i")
     fresh = (F.col("_k") == "B") | ~F.col("slot").eqNullSafe(F.lag("slot").over(order))
     rows = rows.withColumn("_run", F.sum(fresh.cast("int")).over(order)).where("slot IS NOT NULL")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ")
-    out = rows.groupBy(key, "_run", "slot").agg(F.min("i").alias("first"), F.max("i").alias("last"), text.alias("text"))
+    out = rows.groupBy(key, "_run", "slot").agg(F.min("i").alias("first"), F.max("i").alias("last"), text.alias("text"), F.min_by("_k", "i").alias("_k")).where("_k = 'B'")
     return out.select(key, "slot", "first", "last", F.regexp_replace("text", r"^\p{Punct}+|\p{Punct}+$", "").alias("text"))
 
 

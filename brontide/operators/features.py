@@ -147,14 +147,15 @@ def step_day(steps: DataFrame, lead="lead_h") -> DataFrame:
 
 
 def fit_climatology(train: DataFrame, keys: list[str], fields: list[str], bin_of=None, bins: int | None = None) -> DataFrame:
-    """Mean of each field by keys over training rows; with ``bin_of`` (a column) and ``bins``, smoothed over three bins around the circle."""
+    """Mean of each field by keys over training rows; with ``bin_of`` (a column) and ``bins``, smoothed over three bins around the circle, a row for every bin 0 .. bins - 1 of each key."""
+    from .labels import circular_ring
+
     if bin_of is None:
         return train.groupBy(*keys).agg(*[F.avg(f).alias(f"{f}_clim") for f in fields])
     by = train.groupBy(*keys, bin_of.alias("bin")).agg(*[F.avg(f).alias(f) for f in fields])
-    ring = by.withColumn("_b", F.explode(F.array(F.col("bin") - bins, F.col("bin"), F.col("bin") + bins)))
-    near = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, 1)
-    smooth = ring.withColumns({f"{f}_clim": F.avg(f).over(near) for f in fields})
-    return smooth.where("_b = bin").select(*keys, "bin", *[f"{f}_clim" for f in fields])
+    near = Window.partitionBy(*keys).orderBy("_slot").rangeBetween(-1, 1)
+    smooth = circular_ring(by, keys, "bin", 0, bins, 1).withColumns({f"{f}_clim": F.avg(f).over(near) for f in fields})
+    return smooth.where("_slot = bin").select(*keys, "bin", *[f"{f}_clim" for f in fields])
 
 
 def anomalies(df: DataFrame, clim: DataFrame, on: list[str], fields: list[str], reference: DataFrame | None = None, key="point_id") -> DataFrame:

@@ -36,7 +36,7 @@ def clean_observations(raw: DataFrame) -> DataFrame:
 
 def with_events(obs: DataFrame, vis="vis_km", wind="peak_kt") -> DataFrame:
     return obs.withColumns({
-        "fog": F.coalesce(F.col(vis) < FOG_KM, F.lit(False)) | F.col("fog_code"),
+        "fog": F.coalesce(F.col(vis) < FOG_KM, F.lit(False)),
         "dense_fog": F.coalesce(F.col(vis) < DENSE_FOG_KM, F.lit(False)),
         "strong_wind": F.coalesce(F.col(wind) >= STRONG_KT, F.lit(False)),
         "gale": F.coalesce(F.col(wind) >= GALE_KT, F.lit(False)),
@@ -53,6 +53,29 @@ def hourly_labels(obs: DataFrame, flags: list[str], means: list[str] = (), lows:
     )
 
 
+#: m/s in a knot.
+KNOT_MS = 0.514444
+
+
+def hourly_weather(obs: DataFrame, key="point_id", time="valid") -> DataFrame:
+    """Roll-up of clean observations to (key, hour_utc): means of temperature, humidity and wind, least visibility, strongest wind, OR of flags, and the event labels of the hour.
+
+    ``obs`` has temp_c, rh, sknt, vis_km, peak_kt and the flags of ``weather_flags``. An hour without
+    visibility has no fog, one without wind no strong wind.
+    """
+    flags = ["ts_at", "ts_any", "rain_any", "rain_heavy", "dust", "squall"]
+    hour = F.date_trunc("hour", F.col(time).cast("timestamp")).alias("hour_utc")
+    out = obs.groupBy(key, hour).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.avg("temp_c").alias("temp_c"), F.avg("rh").alias("rh"), (F.avg("sknt") * KNOT_MS).alias("wind_ms"),
+        (F.max("peak_kt") * KNOT_MS).alias("peak_wind_ms"), F.min("vis_km").alias("vis_km"), F.max("peak_kt").alias("peak_kt"), *[F.bool_or(f).alias(f) for f in flags],
+    )
+    is_so = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumns({
+        "fog": is_so(F.col("vis_km") < FOG_KM), "dense_fog": is_so(F.col("vis_km") < DENSE_FOG_KM),
+        "strong_wind": is_so(F.col("peak_kt") >= STRONG_KT), "gale": is_so(F.col("peak_kt") >= GALE_KT),
+    })
+
+
 def daily_extremes(obs: DataFrame, value: str, min_obs: int = 8, key="point_id", time="valid", hot=HOT_C, severe=SEVERE_C, cold=COLD_C) -> DataFrame:
     """Largest and smallest value of each local day with at least ``min_obs`` of them, with hot, severe and cold flags."""
     days = obs.where(F.col(value).isNotNull()).groupBy(key, local_day(time).alias("local_day"))
@@ -74,20 +97,26 @@ def window_labels(hourly: DataFrame, flags: list[str], half_hours: int = 1, key=
     return seen.select(key, time, *[F.max(F.col(f).cast("int")).over(near).alias(f) for f in flags], F.count("_seen").over(near).alias("cover"))
 
 
-def circular_normals(daily: DataFrame, keys: list[str], slot: str, values: list[str], slots: int, half: int, min_filled: int = 3, min_years: float = 1.0, share: float = 0.7) -> DataFrame:
-    """Mean of each value by (keys, slot), smoothed over ``half`` slots to either side around the circle.
+def circular_ring(df: DataFrame, keys: list[str], slot: str, first: int, slots: int, half: int) -> DataFrame:
+    """``df`` with every slot of each key (columns null where it has none), as _slot around the circle: the ends come again beyond the other end."""
+    every = df.select(*keys).distinct().withColumn(slot, F.explode(F.sequence(F.lit(first), F.lit(first + slots - 1))))
+    whole = every.join(df.withColumn(slot, F.col(slot).cast("int")), [*keys, slot], "left")
+    turns = F.filter(F.array(F.col(slot) - slots, F.col(slot), F.col(slot) + slots), lambda i: i.between(first - half, first + slots - 1 + half))
+    return whole.withColumn("_slot", F.explode(turns))
+
+
+def circular_normals(daily: DataFrame, keys: list[str], slot: str, values: list[str], slots: int, half: int, min_filled: int = 3, min_years: float = 1.0, share: float = 0.7, first: int = 1) -> DataFrame:
+    """Mean of each value by (keys, slot), smoothed over ``half`` slots to either side around the circle; a row for every slot first .. first + slots - 1 of each key.
 
-    Null unless the window has ``min_filled`` slots and ``share * min_years * (2 * half + 1)`` observations.
+    A slot without reports gets the mean of those around it. Null unless the window has
+    ``min_filled`` slots of the value and, of the first value, ``share * min_years * (2 * half + 1)`` observations.
     """
-    by = daily.groupBy(*keys, slot).agg(*[x for v in values for x in (F.avg(v).alias(v), F.count(v).alias(f"_n_{v}"))])
-    ring = by.withColumn("_slot", F.explode(F.array(F.col(slot) - slots, F.col(slot), F.col(slot) + slots)))
+    by = daily.groupBy(*keys, slot).agg(*[F.avg(v).alias(v) for v in values], F.count(values[0]).alias("_n"))
+    ring = circular_ring(by, keys, slot, first, slots, half)
     near = Window.partitionBy(*keys).orderBy("_slot").rangeBetween(-half, half)
-    need = share * min_years * (2 * half + 1)
-    out = {}
-    for v in values:
-        enough = (F.count(v).over(near) >= min_filled) & (F.sum(f"_n_{v}").over(near) >= need)
-        out[f"{v}_norm"] = F.when(enough, F.avg(v).over(near))
-    return ring.withColumns(out).where(F.col("_slot") == F.col(slot)).select(*keys, slot, *[f"{v}_norm" for v in values])
+    enough = F.coalesce(F.sum("_n").over(near), F.lit(0)) >= share * min_years * (2 * half + 1)
+    out = {f"{v}_norm": F.when(enough & (F.count(v).over(near) >= min_filled), F.avg(v).over(near)) for v in values}
+    return ring.withColumns(out).where(F.col("_slot") == F.col(slot)).select(*keys, slot, *out)
 
 
 def wave_labels(daily: DataFrame, normals: DataFrame, elevation: DataFrame, key="point_id", slot="doy", tmax="tmax_c", tmin="tmin_c", at=None) -> DataFrame:

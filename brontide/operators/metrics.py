@@ -11,6 +11,13 @@ from ..functions.columns import col
 from ..session import materialize
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null where either side is constant."""
+    both = col(a).isNotNull() & col(b).isNotNull()
+    x, y = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _grouped(df: DataFrame, by: list[str], **out: Column) -> DataFrame:
     aggs = [c.alias(n) for n, c in out.items()]
     return df.groupBy(*by).agg(*aggs)
@@ -174,21 +181,37 @@ def point_errors(df: DataFrame, y: str, f: str, by: list[str] = ()) -> DataFrame
     """n, RMSE, MAE, bias and correlation."""
     d = F.col(f) - F.col(y)
     df = df.where(d.isNotNull())
-    return _grouped(df, by, n=F.count(F.lit(1)), rmse=F.sqrt(F.avg(d * d)), mae=F.avg(F.abs(d)), bias=F.avg(d), corr=F.corr(f, y))
+    return _grouped(df, by, n=F.count(F.lit(1)), rmse=F.sqrt(F.avg(d * d)), mae=F.avg(F.abs(d)), bias=F.avg(d), corr=correlation(f, y))
+
+
+def _by_dimension(df: DataFrame, dims: list[str], *columns: str) -> DataFrame:
+    """A row for each dimension of a row: dim, value and the columns; rows without the dimension's value go."""
+    each = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])
+    return df.select(F.explode(each).alias("_d"), *columns).where("_d.value IS NOT NULL").select("_d.*", *columns)
 
 
-def breakdown(df: DataFrame, p: str, y: str, dims: list[str], ref: str, min_n: int = 500, min_pos: int = 10) -> DataFrame:
-    """(dim, value, n, positives, base_rate, brier, bss) of each value of each dimension, from one pass over grouping sets; small groups go."""
-    err, rerr = (F.col(p) - F.col(y)) * (F.col(p) - F.col(y)), (F.col(ref) - F.col(y)) * (F.col(ref) - F.col(y))
-    cols = [F.col(d) for d in dims]
-    t = df.groupingSets([[c] for c in cols], *cols).agg(
-        *[F.grouping(d).alias(f"_g_{d}") for d in dims],
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("positives"), F.avg(F.col(y).cast("double")).alias("base_rate"), F.avg(err).alias("brier"), F.avg(rerr).alias("_r"),
+def breakdown(df: DataFrame, p: str, y: str, dims: list[str], min_n: int = 500, min_pos: int = 10) -> DataFrame:
+    """(dim, value, n, positives, rate, brier, auc, bss_local) of each value of each dimension; small groups go.
+
+    Truth may be a share: one of 0.5 or more is a positive. bss_local is the skill over
+    the group's own rate.
+    """
+    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*dims, F.col(p).cast("double").alias("_p"), F.col(y).cast("double").alias("_y"))
+    long = _by_dimension(rows, dims, "_p", "_y").withColumn("_o", (F.col("_y") >= 0.5).cast("double"))
+    err = (F.col("_p") - F.col("_y")) * (F.col("_p") - F.col("_y"))
+    t = long.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("_o").cast("long").alias("positives"), F.avg("_y").alias("rate"), F.avg(err).alias("brier"), F.var_pop("_y").alias("_v"))
+    t = t.where((F.col("n") >= min_n) & (F.col("positives") >= min_pos)).join(auc(long, "_p", "_o", ["dim", "value"]).drop("n"), ["dim", "value"])
+    return t.select("dim", "value", "n", "positives", "rate", "brier", "auc", F.when(F.col("_v") > 0, 1 - F.col("brier") / F.col("_v")).alias("bss_local"))
+
+
+def error_breakdown(df: DataFrame, y: str, quantiles: str, levels: list[float], raw: str, dims: list[str], min_n: int = 500) -> DataFrame:
+    """(dim, value, n, rmse_model, rmse_raw, crps_model) of each value of each dimension with ``min_n`` rows: the median's and the raw forecast's error, and the CRPS of the quantiles."""
+    middle = min(range(len(levels)), key=lambda i: abs(levels[i] - 0.5))
+    rows = df.where(F.col(y).isNotNull()).select(*dims, (F.get(quantiles, F.lit(middle)) - F.col(y)).alias("_m"), (F.col(raw) - F.col(y)).alias("_r"), crps_quantiles(y, quantiles, levels).alias("_c"))
+    t = _by_dimension(rows, dims, "_m", "_r", "_c").groupBy("dim", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("_m") * F.col("_m"))).alias("rmse_model"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("rmse_raw"), F.avg("_c").alias("crps_model"),
     )
-    dim = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.lit(d)) for d in dims])
-    value = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")) for d in dims])
-    t = t.where((F.col("n") >= min_n) & (F.col("positives") >= min_pos))
-    return t.select(dim.alias("dim"), value.alias("value"), "n", "positives", "base_rate", "brier", F.when(F.col("_r") > 0, 1 - F.col("brier") / F.col("_r")).alias("bss"))
+    return t.where(F.col("n") >= min_n)
 
 
 def crps_quantiles(y: Column | str, quantiles: Column | str, levels: list[float]) -> Column:
@@ -305,13 +328,17 @@ def slot_f1(gold: DataFrame, found: DataFrame, key: str, by: list[str] = ()) ->
     return both.groupBy(*by).agg(g.alias("gold"), f.alias("found"), tp.alias("right"), F.try_divide(tp, f).alias("precision"), F.try_divide(tp, g).alias("recall"), F.try_divide(2.0 * tp, g + f).alias("f1"))
 
 
-def amount_errors(df: DataFrame, y: str, median: str, raw: str, least: float = 0.1, by: list[str] = ()) -> DataFrame:
-    """Log10 MAE and bias of an amount, share within a factor of 2, and the raw forecast's, where the truth reaches ``least``."""
-    floor = lambda c: F.log10(F.greatest(F.col(c), F.lit(least)))
-    df = df.where((F.col(y) >= least) & F.col(median).isNotNull())
-    d, r = floor(median) - floor(y), floor(raw) - floor(y)
-    two = math.log10(2)
-    return _grouped(df, by, n=F.count(F.lit(1)), log_mae=F.avg(F.abs(d)), log_bias=F.avg(d), within_factor_2=F.avg((F.abs(d) <= two).cast("double")), raw_log_mae=F.avg(F.abs(r)))
+def amount_errors(df: DataFrame, truth: str, median: str, p_wet: str, raw: str, wet: float = 0.1, least_rows: int = 200, by: list[str] = ()) -> DataFrame:
+    """Errors of "if it rains, how much" where it clearly rained: (by, n, log_mae, log_bias, within_factor_2, raw_log_mae, raw_within_factor_2), for groups of more than ``least_rows`` rows.
+
+    Rows count whose share of wet ground ``p_wet`` is 0.2 or more and that have both
+    amounts. The raw forecast is raised to ``wet``.
+    """
+    rows = df.where((F.col(p_wet) >= 0.2) & F.col(truth).isNotNull() & F.col(median).isNotNull())
+    d, r = F.log10(F.col(median) / F.col(truth)), F.log10(F.greatest(F.col(raw), F.lit(float(wet))) / F.col(truth))
+    near = lambda e: F.avg((F.abs(e) <= math.log10(2)).cast("double"))
+    t = _grouped(rows, by, n=F.count(F.lit(1)), log_mae=F.avg(F.abs(d)), log_bias=F.avg(d), within_factor_2=near(d), raw_log_mae=F.avg(F.abs(r)), raw_within_factor_2=near(r))
+    return t.where(F.col("n") > least_rows)
 
 
 def agreement(df: DataFrame, a: Column, b: Column, by: list[str] = ()) -> DataFrame:
@@ -319,12 +346,87 @@ def agreement(df: DataFrame, a: Column, b: Column, by: list[str] = ()) -> DataFr
     return _grouped(df, by, n=F.count(F.lit(1)), rate_a=F.avg(a.cast("double")), rate_b=F.avg(b.cast("double")), agree=F.avg((a == b).cast("double")), b_given_a=F.avg(F.when(a, b.cast("double"))), a_given_b=F.avg(F.when(b, a.cast("double"))))
 
 
-def curve_report(df: DataFrame, curve: str, y: str, thresholds: list[float], by: list[str] = ()) -> DataFrame:
-    """For each threshold of an array of exceedance probabilities: base rate, Brier, skill over the base rate, and monotone violations of the curve."""
+def curve_rows(df: DataFrame, curve: str, shares: str, thresholds: list[float], *columns: str, raw: str | None = None) -> DataFrame:
+    """(columns, threshold, p, y, raw) for each threshold of arrays of exceedance probabilities and of shares of ground that reached it."""
     ts = F.array(*[F.lit(float(t)) for t in thresholds])
-    rows = df.withColumn("_bad", F.exists(F.sequence(F.lit(1), F.size(curve) - 1), lambda i: F.get(F.col(curve), i) > F.get(F.col(curve), i - 1) + 1e-9).cast("int"))
-    rows = rows.select(*by, y, "_bad", F.explode(F.arrays_zip(ts.alias("t"), F.col(curve).alias("p"))).alias("_x")).select(*by, "_bad", F.col("_x.t").alias("threshold"), F.col("_x.p").alias("p"), (F.col(y) >= F.col("_x.t")).cast("double").alias("o"))
-    t = rows.groupBy(*by, "threshold").agg(F.count(F.lit(1)).alias("n"), F.avg("o").alias("base_rate"), F.avg((F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))).alias("brier"), F.sum("_bad").alias("violations"))
+    zipped = F.arrays_zip(ts.alias("threshold"), F.col(curve).alias("p"), F.col(shares).alias("y"))
+    out = df.select(*columns, *([F.col(raw).alias("raw")] if raw else []), F.explode(zipped).alias("_x"))
+    return out.select(*columns, *(["raw"] if raw else []), "_x.threshold", F.col("_x.p").cast("double").alias("p"), F.col("_x.y").cast("double").alias("y")).where("p IS NOT NULL AND y IS NOT NULL")
+
+
+def shares_of_amount(y: str, thresholds: list[float]) -> Column:
+    """An amount at one point as shares: 1 where it reaches the threshold, else 0."""
+    return F.array(*[(F.col(y) >= float(t)).cast("double") for t in thresholds])
+
+
+def with_curve_references(rows: DataFrame, train: DataFrame, zone: str, month: str, point: str) -> DataFrame:
+    """``rows`` of ``curve_rows`` with rate_global, rate_zone_month and rate_point_month: mean shares of training rows at the same threshold.
+
+    Zone-month falls back to the overall rate; point-month stays null for unseen points.
+    """
+    rate = F.avg("y")
+    whole = train.groupBy("threshold").agg(rate.alias("rate_global"))
+    zones = train.groupBy("threshold", zone, month).agg(rate.alias("rate_zone_month"))
+    points = train.groupBy("threshold", point, month).agg(rate.alias("rate_point_month"))
+    out = rows.join(F.broadcast(whole), "threshold", "left")  # a row for each threshold
+    out = out.join(zones, ["threshold", zone, month], "left").join(points, ["threshold", point, month], "left")
+    return out.withColumn("rate_zone_month", F.coalesce("rate_zone_month", "rate_global"))
+
+
+#: Events that an area under the curve needs, and rows that a detail needs.
+LEAST_EVENTS, LEAST_DETAIL = 50, 2000
+
+
+def _skill(ref: str, min_coverage: float = 0.95) -> Column:
+    """Brier skill of p over a column, over the rows that have it; null if it covers too few."""
+    both = F.col(ref).isNotNull()
+    own, other = (F.avg(F.when(both, (F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))) for c in ("p", ref))
+    return F.when((F.count(ref) >= min_coverage * F.count(F.lit(1))) & (other > 0), 1 - own / other)
+
+
+def curve_scores(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """For each threshold of ``curve_rows``: n, base_rate, brier, skill over each reference column that is there, events and areas under the ROC curve.
+
+    References: rate_global, rate_zone_month, rate_point_month, calibrated (give
+    bss_global ...). An event is half of the ground or more (events_half, auc) or any of it
+    (events_any, auc_any); areas need LEAST_EVENTS events. With a column ``raw`` its areas come too.
+    """
+    on = [*by, "threshold"]
+    refs = {c.removeprefix("rate_"): c for c in ("rate_global", "rate_zone_month", "rate_point_month", "calibrated") if c in rows.columns}
+    rows = rows.withColumns({"_half": (F.col("y") >= 0.5).cast("double"), "_any": (F.col("y") > 0).cast("double")})
+    err = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
+    out = rows.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("base_rate"), F.avg(err).alias("brier"), *[_skill(c).alias(f"bss_{n}") for n, c in refs.items()],
+        F.sum("_half").cast("long").alias("events_half"), F.sum("_any").cast("long").alias("events_any"),
+    )
+    for event, name in (("_half", "auc"), ("_any", "auc_any")):
+        for score, suffix in (("p", ""), ("raw", "_raw")):
+            if score in rows.columns:
+                out = out.join(auc(rows, score, event, on).select(*on, F.col("auc").alias(name + suffix)), on, "left")
+                enough = F.col("events_half" if event == "_half" else "events_any") >= LEAST_EVENTS
+                out = out.withColumn(name + suffix, F.when(enough, F.col(name + suffix)))
+    return out
+
+
+def curve_detail(rows: DataFrame, dims: list[str], thresholds: list[float], least: int = LEAST_DETAIL) -> DataFrame:
+    """(threshold, dim, value, n, bss_zone_month) at key thresholds, for each value of each dimension with ``least`` rows."""
+    key = rows.where(F.col("threshold").isin(*[float(t) for t in thresholds]))
+    long = _by_dimension(key, dims, "threshold", "p", "y", "rate_zone_month")
+    return long.groupBy("threshold", "dim", "value").agg(F.count(F.lit(1)).alias("n"), _skill("rate_zone_month").alias("bss_zone_month")).where(F.col("n") >= least)
+
+
+def curve_violations(df: DataFrame, curve: str, slack: float = 1e-9) -> DataFrame:
+    """(n, violations): the share of curves that rise somewhere by more than ``slack``."""
+    rises = F.exists(F.sequence(F.lit(1), F.size(curve) - 1), lambda i: F.get(F.col(curve), i) > F.get(F.col(curve), i - 1) + slack)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.size(curve) > 1, rises).otherwise(F.lit(False)).cast("double")).alias("violations"))
+
+
+def curve_report(df: DataFrame, curve: str, y: str, thresholds: list[float], by: list[str] = ()) -> DataFrame:
+    """For each threshold, of an amount at points: n, base rate, Brier, skill over the base rate, and how many curves rise somewhere."""
+    rises = F.exists(F.sequence(F.lit(1), F.size(curve) - 1), lambda i: F.get(F.col(curve), i) > F.get(F.col(curve), i - 1) + 1e-9)
+    rows = df.withColumns({"_bad": F.when(F.size(curve) > 1, rises).otherwise(F.lit(False)).cast("int"), "_shares": shares_of_amount(y, thresholds)})
+    t = curve_rows(rows, curve, "_shares", thresholds, *by, "_bad").groupBy(*by, "threshold").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("base_rate"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), F.sum("_bad").alias("violations"))
     clim = F.col("base_rate") * (1 - F.col("base_rate"))
     return t.withColumn("bss", F.when(clim > 0, 1 - F.col("brier") / clim))
 

@@ -56,12 +56,20 @@ def hash_split(key: Column | str, train: int = 80, val: int = 10, force_test: Co
 
 
 def quantile_split(df: DataFrame, time: str, key: str, share: float = 0.7, fraction: float = 0.2) -> DataFrame:
-    """split: places held out by hash are test_space; else train before the time quantile and test_time after it."""
+    """split by time and place: train before the time quantile at seen places, val after it at seen places, test after it at held-out places.
+
+    The past of held-out places is in no split (null), so that nothing of them is learned
+    or tested on known dates. max(1, fraction of all) places are held out, those whose md5 comes first.
+    """
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1_000_000
     cut = quantiles(df, seconds, [share]).select(F.col("quantiles")[0].alias("_cut"))
-    held = is_holdout(F.col(key).cast("string"), fraction)
-    out = df.join(F.broadcast(cut))  # one row
-    return out.withColumn("split", F.when(held, "test_space").when(seconds <= F.col("_cut"), "train").otherwise("test_time")).drop("_cut")
+    places = df.select(key).where(F.col(key).isNotNull()).distinct()
+    n = max(1, int(places.count() * fraction))
+    held = places.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).withColumn("_held", F.lit(True))
+    out = df.join(F.broadcast(cut)).join(held, key, "left")  # one row of cuts
+    late, unseen = seconds > F.col("_cut"), F.coalesce("_held", F.lit(False))
+    split = F.when(~late & ~unseen, "train").when(late & ~unseen, "val").when(late & unseen, "test")
+    return out.withColumn("split", split).select(*df.columns, "split")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.85) -> DataFrame:

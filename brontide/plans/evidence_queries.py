@@ -369,20 +369,30 @@ def _(s, d):
 
 
 # --- contracts and gates --------------------------------------------------------------
-@add("c1_forecast_truth", f"WITH {FC}, a AS (SELECT count(*) AS n, avg(CASE WHEN truth IS NOT NULL THEN 1.0 ELSE 0 END) AS t, count(*) FILTER (a IS NOT NULL AND truth IS NOT NULL) AS b, max(abs(a - truth)) AS d FROM fc) SELECT unnest(['enough_rows', 'truth_present', 'overlap', 'not_identical']) AS check, unnest([n >= 1000, t > 0.5, b >= 100, d > 1e-3]) AS passed, round(unnest([n, t, b, d]), 3) AS detail FROM a")
+@add("c1_forecast_truth", f"""WITH {FC}, x AS (
+      SELECT count(*) AS n, avg(CASE WHEN truth IS NOT NULL THEN 1.0 ELSE 0 END) AS t, max(abs(a - truth)) AS d, max(abs(truth - truth)) AS e, count(CASE WHEN l_linenumber = 99 THEN a END) AS k FROM fc)
+    SELECT unnest(['non_empty', 'truth_present::truth', 'non_degenerate::a', 'columns_present::gone', 'non_degenerate::same', 'pair_overlap::rare']) AS check,
+      unnest([n >= 10000, t > 0.5, d > 1e-3, FALSE, e > 1e-3, FALSE]) AS passed, round(unnest([n, t, d, NULL, e, k]), 3) AS detail FROM x""")
 def _(s, d):
-    return rounded(Q.forecast_truth(forecasts(s, d), "a", "truth"), 3)
+    f = forecasts(s, d).withColumns({"same": F.col("truth"), "rare": F.when(F.col("l_linenumber") == 99, F.col("a"))})
+    return rounded(Q.forecast_truth(f, [("a", "truth"), ("gone", "truth"), ("same", "truth"), ("rare", "truth")]), 3)
 
 
-@add("c2_skill_by_lead", f"WITH {FC}, t AS (SELECT lead_h, corr(a, truth) AS r FROM fc GROUP BY 1 HAVING count(*) >= 500), a AS (SELECT count(*) AS k, regr_slope(r, CAST(lead_h AS DOUBLE)) AS s FROM t) SELECT unnest(['enough_leads', 'skill_decays']) AS check, unnest([coalesce(k >= 3, FALSE), coalesce(s < 0, FALSE)]) AS passed, round(unnest([CAST(k AS DOUBLE), s]), 8) AS detail FROM a")
+@add("c2_skill_by_lead", f"""WITH {FC}, t AS (SELECT lead_h, count(*) AS n, corr(a, truth) AS r FROM fc GROUP BY 1),
+    x AS (SELECT sum(n) AS pairs, count(*) FILTER (n >= 500) AS k, regr_slope(r, CAST(lead_h AS DOUBLE)) FILTER (n >= 500) AS s FROM t)
+    SELECT CASE WHEN pairs < 1000 OR k < 3 THEN 'lead_signal' ELSE 'lead_skill_decays_with_lead' END AS check, coalesce(pairs >= 1000 AND k >= 3 AND s < 0, FALSE) AS passed,
+      round(CASE WHEN pairs < 1000 THEN CAST(pairs AS DOUBLE) WHEN k < 3 THEN CAST(k AS DOUBLE) ELSE s END, 8) AS detail FROM x""")
 def _(s, d):
     return rounded(Q.skill_by_lead(forecasts(s, d), "lead_h", "a", "truth"), 8)
 
 
-@add("c3_label_corpus", """WITH t AS (SELECT d.doc_id, quality, lower(trim(text)) AS k, CASE WHEN d.doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents d JOIN labels l ON l.doc_id = d.doc_id), g AS (SELECT k, count(*) AS n, count(DISTINCT split) AS s FROM t GROUP BY 1), a AS (SELECT sum(n) AS r, count(*) AS k, count(*) FILTER (s > 1) AS shared FROM g), b AS (SELECT count(*) AS classes, max(n) AS top FROM (SELECT quality, count(*) AS n FROM t GROUP BY 1))
-    SELECT unnest(['duplication', 'splits_present', 'splits_disjoint', 'several_classes', 'majority']) AS check, unnest([1 - a.k / r <= 0.05, TRUE, shared = 0, classes > 1, top / r < 0.98]) AS passed, round(unnest([1 - a.k / r, 2.0, shared, classes, top / r]), 6) AS detail FROM a, b""")
+@add("c3_label_corpus", """WITH t AS (SELECT quality, lower(trim(text)) AS k, CASE d.doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+    a AS (SELECT sum(n) AS r, count(*) AS p FROM (SELECT k, quality, count(*) AS n FROM t GROUP BY ALL)), g AS (SELECT count(*) FILTER (s > 1) AS shared FROM (SELECT k, count(DISTINCT split) AS s FROM t GROUP BY 1)),
+    b AS (SELECT count(*) AS classes, max(n) AS top FROM (SELECT quality, count(*) AS n FROM t GROUP BY 1))
+    SELECT unnest(['non_empty', 'low_duplication', 'has_splits', 'split_disjoint', 'more_than_one_class', 'majority_not_total']) AS check,
+      unnest([r >= 1000, (r - p) / r <= 0.05, TRUE, shared = 0, classes > 1, top / r < 0.98]) AS passed, round(unnest([r, (r - p) / r, 2.0, shared, classes, top / r]), 6) AS detail FROM a, g, b""")
 def _(s, d):
-    t = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("quality", F.lower(F.trim("text")).alias("k"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    t = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("quality", F.lower(F.trim("text")).alias("k"), F.when(F.col("doc_id") % 5 == 0, "test").when(F.col("doc_id") % 5 == 1, "val").otherwise("train").alias("split"))
     return rounded(Q.label_corpus(t, "quality", "split", "k"))
 
 
@@ -578,13 +588,20 @@ def _(s, d):
     return out.select("payload_id", "variable", F.round("value", 6).alias("value"), "evidence_class", "valid_from", "observed_at", "issued_at", "severity", "raw_value")
 
 
-@add("s14_cap_alerts", "SELECT event_id AS payload_id, CASE WHEN event_id % 3 = 0 THEN 'cancelled' ELSE ['green', 'yellow', 'orange', 'red'][1 + event_id % 4] END AS severity, CASE WHEN event_id % 2 = 0 THEN 'cyclone_warning' ELSE 'flood_warning' END AS variable, 'P, Q' AS reference FROM events WHERE event_type = 'signup'")
+@add("s14_cap_alerts", """SELECT event_id AS payload_id, CASE WHEN event_id % 3 = 0 THEN 'cancelled' ELSE ['green', 'yellow', 'orange', 'red'][1 + event_id % 4] END AS severity, 'heavy_rain_warning' AS variable, event_type AS raw_value,
+    'P, Q' AS reference, 'a' || event_id AS source_record_id, 'office' AS original_source, CASE WHEN event_id % 3 = 0 THEN 'Cancel' ELSE 'Alert' END AS message_type, 'Q' AS second_area FROM events""")
 def _(s, d):
     i = F.col("event_id")
     sev = F.element_at(F.array(*[F.lit(x) for x in ("Minor", "Moderate", "Severe", "Extreme")]), (1 + i % 4).cast("int"))
-    xml = F.format_string("<alert><identifier>a%d</identifier><sent>2024-01-01T00:00:00+05:30</sent><status>Actual</status><msgType>%s</msgType><info><event>%s</event><severity>%s</severity><area><areaDesc>P</areaDesc></area><area><areaDesc>Q</areaDesc></area></info></alert>", i, F.when(i % 3 == 0, "Cancel").otherwise("Alert"), F.when(i % 2 == 0, "Cyclonic storm").otherwise("Flash flood"), sev)
-    p = table(s, d, "events").where("event_type = 'signup'").select(i.alias("payload_id"), xml.alias("xml"))
-    return V.cap_alerts(p, "xml").select("payload_id", "severity", "variable", "reference")
+    form = (
+        "<alert><identifier>a%d</identifier><sender>office</sender><sent>2024-01-01T00:00:00+05:30</sent><status>Actual</status><msgType>%s</msgType>"
+        "<info><event>%s</event><severity>%s</severity><area><areaDesc>P</areaDesc></area><area><areaDesc>Q</areaDesc></area></info></alert>"
+    )
+    xml = F.format_string(form, i, F.when(i % 3 == 0, "Cancel").otherwise("Alert"), F.col("event_type"), sev)
+    out = V.cap_alerts(table(s, d, "events").select(i.alias("payload_id"), xml.alias("xml")), "xml")
+    part = lambda path: F.variant_get("extra", path, "string")
+    return out.select("payload_id", "severity", "variable", "raw_value", "reference", "source_record_id", "original_source", part("$.cap_msgType").alias("message_type"), part("$.areas[1]").alias("second_area"))
+
 
 
 @add("s15_inventory_lines", "SELECT CAST(l_linenumber AS INTEGER) AS n, l_orderkey AS byte_from, 'PRICE' AS abbreviation, l_partkey || ' m above ground' AS level, '0-6 hour acc fcst' AS time_range FROM lineitem")

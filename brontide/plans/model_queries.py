@@ -152,16 +152,16 @@ def _(s, d):
 
 @add("s7_s8_monthly_and_missing")
 def _(s, d):
-    """Monthly files, then only the keys that they lack are appended; rows of each month in the result."""
-    from ..sources.tables import append_missing, write_monthly
+    """Monthly files, then a versioned table of them to which only missing keys are appended, twice; rows of each month in the result."""
+    from ..sources.tables import append_missing, read_versions, write_monthly
 
     place = _place(s)
     o = table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("run_date"))
     write_monthly(o.where("o_orderkey % 3 <> 0"), f"{place}/monthly", "run_date")
-    flat = s.read.parquet(f"{place}/monthly").drop("yyyymm")
-    flat.write.parquet(f"{place}/flat")
-    append_missing(o.select("o_orderkey", "run_date"), f"{place}/flat", ["o_orderkey"])
-    return s.read.parquet(f"{place}/flat").groupBy(F.date_format("run_date", "yyyyMM").alias("yyyymm")).agg(F.count(F.lit(1)).alias("n"))
+    append_missing(s.read.parquet(f"{place}/monthly").drop("yyyymm"), f"{place}/flat", ["o_orderkey"])
+    for _ in range(2):
+        append_missing(o, f"{place}/flat", ["o_orderkey"])
+    return read_versions(s, f"{place}/flat").groupBy(F.date_format("run_date", "yyyyMM").alias("yyyymm")).agg(F.count(F.lit(1)).alias("n"))
 
 
 R.sql["s7_s8_monthly_and_missing"] = "SELECT strftime(o_orderdate, '%Y%m') AS yyyymm, count(*) AS n FROM orders GROUP BY 1"

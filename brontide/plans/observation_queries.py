@@ -121,7 +121,7 @@ def _(s, d):
     return observations(s, d).select("point_id", "valid", C.peak(F.when(F.col("kind") != "view", F.col("value")), "k").alias("peak"))
 
 
-@add("p9_event_thresholds", """SELECT event_id, value / 50 < 1 OR event_type = 'purchase' AS fog, value / 50 < 0.2 AS dense_fog, value >= 25 AS strong_wind, value >= 34 AS gale FROM events""")
+@add("p9_event_thresholds", """SELECT event_id, value / 50 < 1 AS fog, value / 50 < 0.2 AS dense_fog, value >= 25 AS strong_wind, value >= 34 AS gale FROM events""")
 def _(s, d):
     e = table(s, d, "events").withColumns({"vis_km": F.col("value") / 50, "peak_kt": F.col("value"), "fog_code": F.col("event_type") == "purchase", "ts_at": F.lit(False), "ts_vc": F.lit(False)})
     return L.with_events(e).select("event_id", "fog", "dense_fog", "strong_wind", "gale")
@@ -200,6 +200,19 @@ def _(s, d):
     return hourly(s, d).withColumn("value", F.round("value", 6))
 
 
+@add("a1_hourly_weather", f"""WITH {OBS}, g AS (
+      SELECT point_id, CAST(date_trunc('hour', valid) AS TIMESTAMP) AS hour_utc, count(*) AS n_obs, avg(value) AS temp_c, avg(k) AS wind, min(value / 50) AS vis_km, max(k) AS peak_kt,
+        bool_or(kind = 'error') AS ts_any FROM obs GROUP BY ALL)
+    SELECT point_id, hour_utc, n_obs, round(temp_c, 6) AS temp_c, round(wind * 0.514444, 6) AS wind_ms, round(peak_kt * 0.514444, 6) AS peak_wind_ms, round(vis_km, 6) AS vis_km, ts_any,
+      coalesce(vis_km < 1, FALSE) AS fog, coalesce(vis_km < 0.2, FALSE) AS dense_fog, coalesce(peak_kt >= 25, FALSE) AS strong_wind, coalesce(peak_kt >= 34, FALSE) AS gale FROM g""")
+def _(s, d):
+    o = observations(s, d)
+    no = {f: F.lit(False) for f in ("ts_at", "rain_any", "rain_heavy", "dust", "squall")}
+    o = o.withColumns({"temp_c": F.col("value"), "rh": F.lit(None).cast("double"), "sknt": F.col("k"), "peak_kt": F.col("k"), "vis_km": F.col("value") / 50, "ts_any": F.col("kind") == "error", **no})
+    out = L.hourly_weather(o).select("point_id", "hour_utc", "n_obs", "temp_c", "wind_ms", "peak_wind_ms", "vis_km", "ts_any", "fog", "dense_fog", "strong_wind", "gale")
+    return out.withColumns({c: F.round(c, 6) for c in ("temp_c", "wind_ms", "peak_wind_ms", "vis_km")})
+
+
 DAILY = OBS + """, daily AS (SELECT point_id, CAST(valid + INTERVAL 330 MINUTE AS DATE) AS local_day, max(value) AS vmax, min(value) AS vmin, count(value) AS n FROM obs GROUP BY ALL HAVING count(value) >= 3)"""
 
 
@@ -370,7 +383,9 @@ def _(s, d):
 
 
 NORMALS = OBS + """, day AS (SELECT point_id, CAST(day(valid) AS INTEGER) AS slot, CAST(valid AS DATE) AS dt, avg(value) AS v FROM obs GROUP BY ALL),
-  b AS (SELECT point_id, slot, avg(v) AS v, count(v) AS n FROM day GROUP BY ALL), r AS (SELECT *, slot + s AS p FROM b, (VALUES (-31), (0), (31)) t(s)),
+  a AS (SELECT point_id, slot, avg(v) AS v, count(v) AS n FROM day GROUP BY ALL),
+  b AS (SELECT p.point_id, CAST(g.slot AS INTEGER) AS slot, v, n FROM (SELECT DISTINCT point_id FROM day) p CROSS JOIN range(1, 32) g(slot) LEFT JOIN a ON a.point_id = p.point_id AND a.slot = g.slot),
+  r AS (SELECT *, slot + s AS p FROM b, (VALUES (-31), (0), (31)) t(s)),
   w AS (SELECT point_id, slot, p, avg(v) OVER o AS m, count(v) OVER o AS c, sum(n) OVER o AS t FROM r WINDOW o AS (PARTITION BY point_id ORDER BY p RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
   normals AS (SELECT point_id, slot, CASE WHEN c >= 3 AND t >= 0.4 * 7 THEN m END AS v_norm FROM w WHERE p = slot)"""
 
@@ -383,9 +398,9 @@ def normals(s, d):
     return L.circular_normals(day_values(s, d), ["point_id"], "slot", ["v"], 31, 3, share=0.4)
 
 
-@add("a12_w4_circular_normals", f"WITH {NORMALS} SELECT point_id, slot, round(v_norm, 3) AS v_norm FROM normals")
+@add("a12_w4_circular_normals", f"WITH {NORMALS} SELECT point_id, slot, round(v_norm, 6) AS v_norm FROM normals")
 def _(s, d):
-    return normals(s, d).withColumn("v_norm", F.round("v_norm", 3))
+    return normals(s, d).withColumn("v_norm", F.round("v_norm", 6))
 
 
 @add("p30_j10_wave_labels", f"""WITH {NORMALS}, x AS (SELECT d.point_id, d.dt, d.v, n.v_norm, CAST(d.point_id AS INTEGER) * 300.0 % 2000 >= 1000 AS hill FROM day d LEFT JOIN normals n USING (point_id, slot))
@@ -399,7 +414,9 @@ def _(s, d):
     return out.select("point_id", "dt", "heatwave", "severe_heatwave")
 
 
-@add("a13_w3_climatology", f"""WITH {OBS}, b AS (SELECT kind, CAST(floor((day(valid) - 1) / 3) AS INTEGER) AS bin, avg(value) AS v FROM obs WHERE valid < TIMESTAMP '2024-01-25' GROUP BY ALL), r AS (SELECT *, bin + s AS p FROM b, (VALUES (-10), (0), (10)) t(s)),
+@add("a13_w3_climatology", f"""WITH {OBS}, a AS (SELECT kind, CAST(floor((day(valid) - 1) / 3) AS INTEGER) AS bin, avg(value) AS v FROM obs WHERE valid < TIMESTAMP '2024-01-25' GROUP BY ALL),
+    b AS (SELECT k.kind, CAST(g.bin AS INTEGER) AS bin, v FROM (SELECT DISTINCT kind FROM a) k CROSS JOIN range(10) g(bin) LEFT JOIN a ON a.kind = k.kind AND a.bin = g.bin),
+    r AS (SELECT *, bin + s AS p FROM b, (VALUES (-10), (0), (10)) t(s)),
     w AS (SELECT kind, bin, p, avg(v) OVER (PARTITION BY kind ORDER BY p RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM r) SELECT kind, bin, round(m, 5) AS value_clim FROM w WHERE p = bin""")
 def _(s, d):
     train = observations(s, d).where("valid < timestamp'2024-01-25'")

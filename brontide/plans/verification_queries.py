@@ -92,13 +92,26 @@ def _(s, d):
     return m.withColumns({"raw_mae": F.round("raw_mae", 1), "raw_bias": F.round("raw_bias", 1)})
 
 
-@add("m10_breakdown_grouping_sets", f"""WITH {EVENT}, j AS (SELECT *, 0.47 AS ref, CAST(month AS VARCHAR) AS m FROM ev), g AS (
-    SELECT 'zone' AS dim, zone AS value, count(*) AS n, sum(y) AS positives, avg(y) AS base_rate, avg((p - y) * (p - y)) AS brier, avg((ref - y) * (ref - y)) AS r FROM j GROUP BY zone
-    UNION ALL SELECT 'lead_bucket', lead_bucket, count(*), sum(y), avg(y), avg((p - y) * (p - y)), avg((ref - y) * (ref - y)) FROM j GROUP BY lead_bucket
-    UNION ALL SELECT 'month', m, count(*), sum(y), avg(y), avg((p - y) * (p - y)), avg((ref - y) * (ref - y)) FROM j GROUP BY m)
-    SELECT dim, value, n, CAST(positives AS BIGINT) AS positives, round(base_rate, 6) AS base_rate, round(brier, 6) AS brier, round(1 - brier / r, 6) AS bss FROM g WHERE n >= 500 AND positives >= 10""")
+@add("m10_breakdown_grouping_sets", f"""WITH {EVENT}, l AS (
+      SELECT unnest(['zone', 'lead_bucket', 'month']) AS dim, unnest([zone, lead_bucket, CAST(month AS VARCHAR)]) AS value, p, 0.6 * y + 0.2 AS y, y AS o FROM ev),
+    g AS (
+      SELECT dim, value, count(*) AS n, sum(o) AS positives, avg(y) AS rate, avg((p - y) * (p - y)) AS brier, var_pop(y) AS v FROM l WHERE value IS NOT NULL GROUP BY dim, value),
+    u AS (SELECT dim, value, (sum(CASE WHEN o = 1 THEN r END) - sum(o) * (sum(o) + 1) / 2.0) / (sum(o) * (count(*) - sum(o))) AS auc
+      FROM (SELECT *, rank() OVER (PARTITION BY dim, value ORDER BY p) + (count(*) OVER (PARTITION BY dim, value, p) - 1) / 2.0 AS r FROM l) GROUP BY dim, value)
+    SELECT dim, value, n, CAST(positives AS BIGINT) AS positives, round(rate, 6) AS rate, round(brier, 6) AS brier, round(auc, 6) AS auc, round(1 - brier / nullif(v, 0), 6) AS bss_local
+    FROM g JOIN u USING (dim, value) WHERE n >= 500 AND positives >= 10""")
 def _(s, d):
-    return rounded(M.breakdown(events_of(s, d).withColumn("ref", F.lit(0.47)), "p", "y", ["zone", "lead_bucket", "month"], "ref"))
+    e = events_of(s, d).withColumn("share", 0.6 * F.col("y") + 0.2)  # shares: 0.8 counts as an event
+    return rounded(M.breakdown(e, "p", "share", ["zone", "lead_bucket", "month"]))
+
+
+@add("m10_error_breakdown", f"""WITH {FC}, l AS (
+      SELECT unnest(['zone', 'lead_h']) AS dim, unnest([zone, CAST(lead_h AS VARCHAR)]) AS value, a - truth AS m, d - truth AS r,
+        2 * (greatest(0.1 * (truth - 0.9 * a), -0.9 * (truth - 0.9 * a)) + greatest(0.5 * (truth - a), -0.5 * (truth - a)) + greatest(0.9 * (truth - 1.1 * a), -0.1 * (truth - 1.1 * a))) / 3 AS c FROM fc)
+    SELECT dim, value, count(*) AS n, round(sqrt(avg(m * m)), 4) AS rmse_model, round(sqrt(avg(r * r)), 4) AS rmse_raw, round(avg(c), 4) AS crps_model FROM l GROUP BY dim, value HAVING count(*) >= 500""")
+def _(s, d):
+    f = forecasts(s, d).withColumn("q", F.array(0.9 * F.col("a"), F.col("a"), 1.1 * F.col("a")))
+    return rounded(M.error_breakdown(f, "truth", "q", [0.1, 0.5, 0.9], "d", ["zone", "lead_h"]), 4)
 
 
 @add("m12_errors_by_lead", f"WITH {FC} SELECT lead_h, count(*) AS n, round(sqrt(avg((a - truth) * (a - truth))), 4) AS rmse, round(avg(abs(a - truth)), 4) AS mae, round(avg(a - truth), 4) AS bias, round(corr(a, truth), 6) AS corr FROM fc GROUP BY 1")
@@ -310,7 +323,9 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", S.hash_split(F.col("doc_id").cast("string"), force_test=F.col("lang") == "es").alias("split"))
 
 
-@add("g12_quantile_split", f"""WITH c AS (SELECT quantile_cont(epoch(o_orderdate), 0.7) AS cut FROM orders) SELECT o_orderkey, CASE WHEN {MD5.format(x='CAST(o_custkey AS VARCHAR)', m=10000)} < 2000 THEN 'test_space' WHEN epoch(o_orderdate) <= cut THEN 'train' ELSE 'test_time' END AS split FROM orders, c""")
+@add("g12_quantile_split", """WITH c AS (SELECT quantile_cont(epoch(o_orderdate), 0.7) AS cut FROM orders),
+    k AS (SELECT DISTINCT o_custkey FROM orders), h AS (SELECT o_custkey, row_number() OVER (ORDER BY md5(CAST(o_custkey AS VARCHAR)), o_custkey) <= greatest(1, CAST(floor(0.2 * (SELECT count(*) FROM k)) AS BIGINT)) AS held FROM k)
+    SELECT o_orderkey, CASE WHEN epoch(o_orderdate) <= cut THEN CASE WHEN held THEN NULL ELSE 'train' END WHEN held THEN 'test' ELSE 'val' END AS split FROM orders JOIN h USING (o_custkey), c""")
 def _(s, d):
     return S.quantile_split(table(s, d, "orders"), "o_orderdate", "o_custkey").select("o_orderkey", "split")
 
@@ -444,9 +459,59 @@ def _(s, d):
     return rounded(M.curve_report(c, "c", "top", list(THR))).withColumn("bss", F.round("bss", 4))
 
 
-@add("m20_amount_errors", f"WITH {FC} SELECT zone, count(*) AS n, round(avg(abs(log10(greatest(c, 0.1)) - log10(greatest(truth, 0.1)))), 6) AS log_mae, round(avg(log10(greatest(c, 0.1)) - log10(greatest(truth, 0.1))), 6) AS log_bias, round(avg(CASE WHEN abs(log10(greatest(c, 0.1)) - log10(greatest(truth, 0.1))) <= log10(2) THEN 1.0 ELSE 0.0 END), 6) AS within_factor_2, round(avg(abs(log10(greatest(d, 0.1)) - log10(greatest(truth, 0.1)))), 6) AS raw_log_mae FROM fc WHERE truth >= 0.1 GROUP BY 1")
+# Of each order: the share of lines at or above each threshold, a forecast curve of it, and a raw score; earlier years are training rows.
+CURVE = FC + """, q AS (
+      SELECT l_orderkey, min(zone) AS zone, min(loc) AS loc, min(month) AS month, min(lead_h) AS lead_h, min(run_date) AS run_date, avg(truth) AS raw,
+        avg(CASE WHEN quantity >= 20 THEN 1.0 ELSE 0.0 END) AS y1, avg(CASE WHEN quantity >= 40 THEN 1.0 ELSE 0.0 END) AS y2 FROM fc GROUP BY 1),
+    x AS (SELECT *, unnest([20.0, 40.0]) AS threshold, unnest([y1, y2]) AS y, unnest([least(1.0, raw / 60000), least(1.0, raw / 120000)]) AS p FROM q),
+    tr AS (SELECT * FROM x WHERE run_date < DATE '1998-01-01'),
+    t AS (
+      SELECT x.*, g.r AS rg, coalesce(z.r, g.r) AS rz, pm.r AS rp FROM x JOIN (SELECT threshold, avg(y) AS r FROM tr GROUP BY 1) g USING (threshold)
+      LEFT JOIN (SELECT threshold, zone, month, avg(y) AS r FROM tr GROUP BY ALL) z USING (threshold, zone, month) LEFT JOIN (SELECT threshold, loc, month, avg(y) AS r FROM tr GROUP BY ALL) pm USING (threshold, loc, month)
+      WHERE run_date >= DATE '1998-01-01')"""
+
+
+def curve_table(s, d):
+    q = forecasts(s, d).groupBy("l_orderkey").agg(
+        F.min("zone").alias("zone"), F.min("loc").alias("loc"), F.min("month").alias("month"), F.min("lead_h").alias("lead_h"), F.min("run_date").alias("run_date"), F.avg("truth").alias("score"),
+        F.array(*[T.share_at_least("quantity", t) for t in (20.0, 40.0)]).alias("shares"))
+    q = q.withColumn("curve", F.array(F.least(F.lit(1.0), F.col("score") / 60000), F.least(F.lit(1.0), F.col("score") / 120000)))
+    rows = M.curve_rows(q, "curve", "shares", [20.0, 40.0], "zone", "loc", "month", "lead_h", "run_date", raw="score")
+    late = F.col("run_date") >= F.lit("1998-01-01").cast("date")
+    return M.with_curve_references(rows.where(late), rows.where(~late), "zone", "month", "loc")
+
+
+def _curve_auc(event: str, score: str) -> str:
+    return f"""(SELECT threshold, (sum(CASE WHEN o THEN r END) - count_if(o) * (count_if(o) + 1) / 2.0) / (count_if(o) * count_if(NOT o)) AS a
+      FROM (SELECT threshold, {event} AS o, rank() OVER (PARTITION BY threshold ORDER BY {score}) + (count(*) OVER (PARTITION BY threshold, {score}) - 1) / 2.0 AS r FROM t) GROUP BY 1)"""
+
+
+_SKILL = "CASE WHEN count({r}) >= 0.95 * count(*) THEN round(1 - avg(CASE WHEN {r} IS NOT NULL THEN (p - y) * (p - y) END) / avg(({r} - y) * ({r} - y)), 5) END AS {n}"
+
+
+@add("m11_curve_scores", f"""WITH {CURVE}, g AS (
+      SELECT threshold, count(*) AS n, round(avg(y), 6) AS base_rate, round(avg((p - y) * (p - y)), 6) AS brier, {_SKILL.format(r='rg', n='bss_global')}, {_SKILL.format(r='rz', n='bss_zone_month')}, {_SKILL.format(r='rp', n='bss_point_month')},
+        count_if(y >= 0.5) AS events_half, count_if(y > 0) AS events_any FROM t GROUP BY 1)
+    SELECT g.*, CASE WHEN events_half >= 50 THEN round(a.a, 5) END AS auc, CASE WHEN events_half >= 50 THEN round(b.a, 5) END AS auc_raw,
+      CASE WHEN events_any >= 50 THEN round(c.a, 5) END AS auc_any, CASE WHEN events_any >= 50 THEN round(e.a, 5) END AS auc_any_raw
+    FROM g JOIN {_curve_auc('y >= 0.5', 'p')} a USING (threshold) JOIN {_curve_auc('y >= 0.5', 'raw')} b USING (threshold) JOIN {_curve_auc('y > 0', 'p')} c USING (threshold) JOIN {_curve_auc('y > 0', 'raw')} e USING (threshold)""")
+def _(s, d):
+    out = M.curve_scores(curve_table(s, d))
+    return out.withColumns({**{c: F.round(c, 6) for c in ("base_rate", "brier")}, **{c: F.round(c, 5) for c in out.columns if c.startswith(("bss", "auc"))}})
+
+
+@add("m11_curve_detail", f"""WITH {CURVE}, l AS (SELECT threshold, p, y, rz, unnest(['zone', 'lead_h']) AS dim, unnest([zone, CAST(lead_h AS VARCHAR)]) AS value FROM t WHERE threshold = 20)
+    SELECT threshold, dim, value, count(*) AS n, {_SKILL.format(r='rz', n='bss_zone_month')} FROM l GROUP BY ALL HAVING count(*) >= 100""")
+def _(s, d):
+    return M.curve_detail(curve_table(s, d), ["zone", "lead_h"], [20.0], 100).withColumn("bss_zone_month", F.round("bss_zone_month", 5))
+
+
+@add("m20_amount_errors", f"""WITH {FC}, r AS (SELECT zone, c AS m, truth AS t, greatest(d, 5000.0) AS raw FROM fc WHERE quantity / 50.0 >= 0.2)
+    SELECT zone, count(*) AS n, round(avg(abs(log10(m / t))), 6) AS log_mae, round(avg(log10(m / t)), 6) AS log_bias, round(avg(CASE WHEN abs(log10(m / t)) <= log10(2) THEN 1.0 ELSE 0.0 END), 6) AS within_factor_2,
+      round(avg(abs(log10(raw / t))), 6) AS raw_log_mae, round(avg(CASE WHEN abs(log10(raw / t)) <= log10(2) THEN 1.0 ELSE 0.0 END), 6) AS raw_within_factor_2 FROM r GROUP BY 1 HAVING count(*) > 200""")
 def _(s, d):
-    return rounded(M.amount_errors(forecasts(s, d), "truth", "c", "d", by=["zone"]))
+    f = forecasts(s, d).withColumn("wet", F.col("quantity") / 50.0)
+    return rounded(M.amount_errors(f, "truth", "c", "wet", "d", 5000.0, by=["zone"]))
 
 
 @add("m22_comparison_table", f"WITH {FC}, x AS (SELECT zone, round(avg(abs(a - truth)), 3) AS m FROM fc GROUP BY 1), y AS (SELECT zone, round(avg(abs(b - truth)), 3) AS m FROM fc GROUP BY 1) SELECT zone, x.m AS base, y.m AS extended, round(y.m - x.m, 3) AS gain, CAST(row_number() OVER (ORDER BY round(y.m - x.m, 9) DESC, zone) AS INTEGER) AS rank FROM x JOIN y USING (zone)")

@@ -11,8 +11,9 @@ _TYPES = {"value": "double", "window_h": "double", "member": "int", "probability
 HOURLY = (("precipitation", "precipitation_amount", "mm", "accumulation", 1.0, 1.0), ("precipitation_probability", "precipitation_probability", "probability", "probability", None, 0.01), ("temperature_2m", "temperature_2m", "C", "instant", None, 1.0), ("wind_speed_10m", "wind_speed", "km/h", "instant", None, 1.0))
 
 
-def _shaped(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) if c != "payload_id" else F.col(c) for c in EVIDENCE])
+def _shaped(df: DataFrame, *more: str) -> DataFrame:
+    """The columns of evidence, null where ``df`` lacks them, and ``more`` of its own."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) if c != "payload_id" else F.col(c) for c in EVIDENCE], *more)
 
 
 def any_time(x: Column, zone_minutes: int = 330) -> Column:
@@ -104,12 +105,13 @@ def national_record(df: DataFrame, payload: str, product: str = "product") -> Da
     return _shaped(r.select("payload_id", F.explode(rows).alias("_e")).select("payload_id", "_e.*", F.lit("IMD").alias("source")))
 
 
-# Words of an alert's event and the warning they mean, first match wins.
-EVENTS = (("cyclone_warning", "cyclon"), ("thunderstorm_warning", "thunder|lightning|squall"), ("heat_warning", "heat"), ("flood_warning", "flood"), ("marine_warning", "marine|sea|fisher"), ("heavy_rain_warning", "rain|shower"))
+def cap_alerts(df: DataFrame, xml: str, variable: str = "heavy_rain_warning") -> DataFrame:
+    """CAP alerts to warning rows, one for each info block: severity as colour, cancelled if the alert is a Cancel, areas joined.
 
-
-def cap_alerts(df: DataFrame, xml: str) -> DataFrame:
-    """CAP alerts to warning rows, one for each info block: severity as colour, cancelled if the alert is a Cancel, areas joined, the event classified."""
+    Every alert is filed as ``variable``; its event is the raw value. Beside the columns of evidence stand
+    source_record_id (identifier), original_source (sender) and extra, a VARIANT of the alert's own severity, status,
+    message type and areas, which ``variant_get`` reads by path.
+    """
     info = "array<struct<event:string,severity:string,effective:string,expires:string,area:array<struct<areaDesc:string>>>>"
     a = df.select("payload_id", F.from_xml(F.regexp_replace(xml, r"(</?)cap:", "$1"), f"identifier string, sender string, sent string, status string, msgType string, info {info}").alias("a"))
     rows = a.select("payload_id", "a.*").withColumn("_i", F.explode("info"))
@@ -117,12 +119,10 @@ def cap_alerts(df: DataFrame, xml: str) -> DataFrame:
     s = F.lower(F.coalesce("_i.severity", F.lit("moderate")))
     colour = F.when(F.coalesce(cancelled, F.lit(False)), "cancelled").when(s == "minor", "green").when(s == "severe", "orange").when(s == "extreme", "red").otherwise("yellow")
     issued = any_time(F.col("sent"), 0)
-    variable = None
-    for name, words in EVENTS:
-        hit = F.lower("_i.event").rlike(words)
-        variable = F.when(hit, name) if variable is None else variable.when(hit, name)
     return _shaped(rows.select(
-        "payload_id", F.lit("CAP").alias("source"), F.lit("warning").alias("evidence_class"), variable.otherwise("weather_warning").alias("variable"), F.coalesce("_i.event", F.lit("weather")).alias("raw_value"), F.lit("categorical").alias("statistic"),
+        "payload_id", F.lit("CAP").alias("source"), F.lit("warning").alias("evidence_class"), F.lit(variable).alias("variable"), F.coalesce("_i.event", F.lit("weather")).alias("raw_value"), F.lit("categorical").alias("statistic"),
         issued.alias("issued_at"), F.coalesce(any_time(F.col("_i.effective"), 0), issued).alias("valid_from"), any_time(F.col("_i.expires"), 0).alias("valid_to"), colour.alias("severity"),
         F.coalesce(F.nullif(F.array_join("_i.area.areaDesc", ", "), F.lit("")), F.lit("unknown")).alias("reference"),
-    ))
+        F.coalesce("identifier", F.lit("cap-unknown")).alias("source_record_id"), F.coalesce("sender", F.lit("CAP")).alias("original_source"),
+        F.to_variant_object(F.struct(s.alias("cap_severity"), F.coalesce("status", F.lit("Actual")).alias("cap_status"), F.coalesce("msgType", F.lit("Alert")).alias("cap_msgType"), F.col("_i.area.areaDesc").alias("areas"))).alias("extra"),
+    ), "source_record_id", "original_source", "extra")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +47,80 @@ def write_monthly(df: DataFrame, path: str, date: str, mode: str = "append") ->
     month.repartition("yyyymm", F.pmod(F.xxhash64(date), F.lit(8))).write.mode(mode).partitionBy("yyyymm").parquet(path)
 
 
-def append_missing(df: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Append the keys that the table does not hold yet; how many rows that were."""
-    spark = df.sparkSession
+def append_missing(df: DataFrame, path: str, keys: Sequence[str], attempts: int = 20) -> int:
+    """Append the rows whose keys the table does not hold yet, as one version; how many rows that were.
+
+    Only ``read_versions`` reads such a table: rows that no version names do not count. Each key
+    is in the table once, also if ``df`` repeats it (its smallest row stays), if the call is
+    repeated, if a task or the driver dies half-way, and if several writers append at once:
+    the new rows are staged in a folder of their own, and the version that names it is a
+    file that only one writer can create. A writer that comes second looks for missing keys again.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*").select(*df.columns) if rest else df.dropDuplicates(keys)
+    for _ in range(attempts):
+        folders, version = _versions(spark, path)
+        held = spark.read.schema(df.schema).parquet(*folders).select(*keys) if folders else None
+        new = once.join(held.distinct(), keys, "left_anti") if held is not None else once
+        stage = f"{path}/data/{uuid.uuid4().hex}"
+        new.write.parquet(stage)
+        n = spark.read.schema(df.schema).parquet(stage).count()
+        if not n or _commit(spark, path, version + 1, [*folders, stage]):
+            return n
+    raise RuntimeError(f"other writers were first {attempts} times")
+
+
+def read_versions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The table that ``append_missing`` wrote, as of its newest version or of an earlier one."""
+    folders, found = _versions(spark, path, version)
+    if not folders:
+        raise FileNotFoundError(f"no version of {path}")
+    return spark.read.parquet(*folders)
+
+
+def _file_system(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str, version: int | None = None) -> tuple[list[str], int]:
+    """Folders of the newest version (or of ``version``), and its number; none and 0 for a table that is not there."""
+    root, fs = _file_system(spark, f"{path}/versions")
+    if not fs.exists(root):
+        return [], 0
+    found = sorted(int(f.getPath().getName()) for f in fs.listStatus(root) if f.getPath().getName().isdigit())
+    found = [v for v in found if version is None or v <= version]
+    if not found:
+        return [], 0
+    with_lines = spark.read.text(f"{path}/versions/{found[-1]:020d}").orderBy("value").collect()  # a line for each append
+    return [f"{path}/data/{r['value']}" for r in with_lines], found[-1]
+
+
+def _commit(spark: SparkSession, path: str, version: int, folders: list[str]) -> bool:
+    """Name the folders of a version; false if another writer has named one. The list is written aside and renamed without overwriting, so readers see all of it or nothing."""
+    target, fs = _file_system(spark, f"{path}/versions/{version:020d}")
+    aside, _ = _file_system(spark, f"{path}/staged/{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
     try:
-        held = spark.read.parquet(path).select(*keys).distinct()
-        new = df.join(held, list(keys), "left_anti")
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        new = df
-    before = spark.read.parquet(path).count() if new is not df else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+        out.write("\n".join(f.rpartition("/")[2] for f in folders).encode())
+    finally:
+        out.close()
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        fs.delete(aside, False)
+        return False
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    none[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(context.makeQualified(aside), context.makeQualified(target), none)
+    except Exception as e:  # noqa: BLE001  the other writer's file is there now
+        if not fs.exists(target):
+            raise RuntimeError(f"version {version} of {path} could not be written") from e
+        fs.delete(aside, False)
+        return False
+    return True
 
 
 def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from brontide.functions import columns as C
 from brontide.operators import calibrate as K
 from brontide.operators import contracts as Q
+from brontide.operators import corpus as O
 from brontide.operators import features as X
 from brontide.operators import fusion as E
+from brontide.operators import labels as L
 from brontide.operators import metrics as M
 from brontide.operators import spatial as G
 from brontide.operators import splits as S
@@ -181,3 +183,85 @@ def test_climatology_through_reference_nodes(spark):
     rows = spark.createDataFrame([("S1", 1, 16.0), ("N2", 1, 41.0), ("S2", 2, 5.0)], "point_id string, month int, t double")
     got = {r["point_id"]: r["t_anom"] for r in X.anomalies(rows, X.fit_climatology(train, ["point_id", "month"], ["t"]), ["point_id", "month"], ["t"], ref).collect()}
     assert got == {"S1": 1.0, "N2": 1.0, "S2": None}
+
+
+def test_fog_is_visibility_alone(spark):
+    df = spark.createDataFrame([(1, 0.5, False), (2, 3.0, True), (3, None, True), (4, 0.1, False)], "id int, vis_km double, fog_code boolean").withColumns({"peak_kt": F.lit(25.0), "ts_at": F.lit(False), "ts_vc": F.lit(True)})
+    got = {r["id"]: (r["fog"], r["dense_fog"], r["strong_wind"], r["ts"]) for r in L.with_events(df).collect()}
+    assert got == {1: (True, False, True, True), 2: (False, False, True, True), 3: (False, False, True, True), 4: (True, True, True, True)}
+
+
+def test_hourly_weather(spark):
+    t = lambda m: dt.datetime(2024, 6, 1, 6, m)
+    no = (False,) * 5
+    rows = [("a", t(5), 30.0, 50.0, 10.0, 5.0, 10.0, False, *no), ("a", t(35), 32.0, None, 20.0, 0.3, 27.0, True, *no), ("b", t(0), None, None, None, None, None, False, *no)]
+    df = spark.createDataFrame(rows, "point_id string, valid timestamp, temp_c double, rh double, sknt double, vis_km double, peak_kt double, ts_any boolean, ts_at boolean, rain_any boolean, rain_heavy boolean, dust boolean, squall boolean")
+    got = {r["point_id"]: r for r in L.hourly_weather(df).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["n_obs"], a["temp_c"], a["rh"], a["vis_km"], a["peak_kt"], a["ts_any"], a["fog"], a["dense_fog"], a["strong_wind"], a["gale"]) == (2, 31.0, 50.0, 0.3, 27.0, True, True, False, True, False)
+    assert a["wind_ms"] == pytest.approx(15 * 0.514444) and a["peak_wind_ms"] == pytest.approx(27 * 0.514444)
+    assert (b["n_obs"], b["fog"], b["strong_wind"], b["wind_ms"]) == (1, False, False, None)
+
+
+def test_normals_of_days_without_reports(spark):
+    """Every slot has a row; one without reports gets its neighbours' mean; the first value's reports count for both."""
+    rows = [("p", d, float(d), 1.0 if d < 4 else None) for d in range(1, 11) if d != 5 for _ in range(2)]
+    got = {r["doy"]: (r["a_norm"], r["b_norm"]) for r in L.circular_normals(spark.createDataFrame(rows, "p string, doy int, a double, b double"), ["p"], "doy", ["a", "b"], 10, 1, min_filled=2, share=0.7).collect()}
+    assert len(got) == 10 and got[5] == (5.0, None) and got[2] == (2.0, 1.0)
+    assert got[1][0] == pytest.approx((10 + 1 + 2) / 3) and got[3] == (3.0, 1.0) and got[4] == (3.5, None) and got[10][0] == pytest.approx(20 / 3)
+    few = L.circular_normals(spark.createDataFrame(rows, "p string, doy int, a double, b double"), ["p"], "doy", ["a"], 10, 1, min_filled=2, min_years=2.5, share=0.7)
+    assert {r["doy"] for r in few.where("a_norm IS NULL").collect()} == {4, 5, 6}
+
+
+def test_climatology_fills_bins_from_their_neighbours(spark):
+    df = spark.createDataFrame([("p", 0, 1.0), ("p", 0, 3.0), ("p", 3, 9.0), ("q", 2, 4.0)], "p string, b int, x double")
+    got = {(r["p"], r["bin"]): r["x_clim"] for r in X.fit_climatology(df, ["p"], ["x"], F.col("b"), 6).collect()}
+    assert got == {("p", 0): 2.0, ("p", 1): 2.0, ("p", 2): 9.0, ("p", 3): 9.0, ("p", 4): 9.0, ("p", 5): 2.0, ("q", 0): None, ("q", 1): 4.0, ("q", 2): 4.0, ("q", 3): 4.0, ("q", 4): None, ("q", 5): None}
+
+
+def test_held_out_places_are_tested_on_the_future_alone(spark):
+    rows = [(f"p{p}", dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for p in range(10) for d in range(11)]
+    out = S.quantile_split(spark.createDataFrame(rows, "place string, t timestamp"), "t", "place").collect()
+    held = sorted((f"p{p}" for p in range(10)), key=lambda x: hashlib.md5(x.encode()).hexdigest())[:2]
+    cut = dt.datetime(2024, 1, 8)  # the quantile of 0.7
+    want = lambda r: ("test" if r["t"] > cut else None) if r["place"] in held else "val" if r["t"] > cut else "train"
+    assert all(r["split"] == want(r) for r in out)
+
+
+def test_tags_that_no_beginning_leads_to_are_dropped(spark):
+    df = spark.createDataFrame([(1, list("abcdefgh"), ["I-x", "B-x", "I-x", "I-y", "B-y", "B-y", "O", "I-y"])], "id int, tokens array<string>, tags array<string>")
+    assert sorted((r["slot"], r["first"], r["last"]) for r in O.bio_spans(df, "id").collect()) == [("x", 1, 2), ("y", 4, 4), ("y", 5, 5)]
+
+
+def test_contracts_on_small_tables(spark):
+    checks = lambda df: {r["check"]: r["passed"] for r in df.collect()}
+    f = spark.range(300).select(F.col("id").cast("double").alias("a"), (F.col("id") + 1.0).alias("t"), F.when(F.col("id") < 99, 1.0).alias("few"), F.when(F.col("id") < 150, float("nan")).otherwise(1.0).alias("half"))
+    got = checks(Q.forecast_truth(f, [("a", "t"), ("t", "t"), ("few", "t"), ("a", "half"), ("no", "t")], 300))
+    assert got == {"non_empty": True, "truth_present::t": True, "non_degenerate::t": False, "pair_overlap::few": False, "truth_present::half": False, "non_degenerate::a": True, "columns_present::no": False}
+    lead = spark.range(3000).select((F.col("id") % 4).cast("int").alias("lead"), F.col("id").cast("double").alias("t")).withColumn("f", F.when(F.col("lead") == 3, 1.0).otherwise(F.col("t") + F.col("lead") * 400 * (F.rand(1) - 0.5)))
+    assert checks(Q.skill_by_lead(lead, "lead", "f", "t")) == {"lead_skill_decays_with_lead": True}
+    assert checks(Q.skill_by_lead(lead.limit(900), "lead", "f", "t")) == {"lead_signal": False} and checks(Q.skill_by_lead(lead.where("lead > 1"), "lead", "f", "t", min_pairs=10)) == {"lead_signal": False}
+    rows = [(f"k{i}", i % 2, "train" if i < 600 else "val") for i in range(1100)] + [("k1", 0, "train"), ("k2", 0, "val")]
+    got = checks(Q.label_corpus(spark.createDataFrame(rows, "k string, y int, split string"), "y", "split", "k"))
+    assert got == {"non_empty": True, "low_duplication": True, "has_splits": True, "split_disjoint": False, "more_than_one_class": True, "majority_not_total": True}
+    assert not checks(Q.label_corpus(spark.createDataFrame(rows, "k string, y int, split string").where("split = 'train'"), "y", "split", "k"))["has_splits"]
+
+
+def test_shares_as_truth_in_reports(spark):
+    """A share of 0.5 or more is an event; skill over references; areas from 50 events on."""
+    r = np.random.default_rng(1)
+    y = np.round(r.random(400), 1)
+    rows = [("z", 7, f"p{i % 3}" if i < 390 else "new", [float(np.clip(v + e, 0, 1))], [float(v)], float(-v)) for i, (v, e) in enumerate(zip(y, r.normal(size=400) * 0.1))]
+    df = spark.createDataFrame(rows, "zone string, month int, point string, curve array<double>, shares array<double>, raw double")
+    long = M.curve_rows(df, "curve", "shares", [5.0], "zone", "month", "point", raw="raw")
+    got = M.curve_scores(M.with_curve_references(long, long.where("point <> 'new'"), "zone", "month", "point")).first()
+    p = np.array([x[3][0] for x in rows])
+    mean = y[:390].mean()
+    assert got["events_half"] == (y >= 0.5).sum() and got["events_any"] == (y > 0).sum() and got["brier"] == pytest.approx(((p - y) ** 2).mean())
+    assert got["bss_global"] == pytest.approx(1 - ((p - y) ** 2).mean() / ((mean - y) ** 2).mean()) == got["bss_zone_month"]
+    assert got["bss_point_month"] is not None and got["auc"] > 0.97 and got["auc_raw"] == pytest.approx(0.0) and got["auc_any_raw"] == pytest.approx(0.0)
+    b = M.breakdown(df.select("zone", F.get("curve", F.lit(0)).alias("p"), F.get("shares", F.lit(0)).alias("y")), "p", "y", ["zone"], 100, 10).first()
+    assert b["positives"] == (y >= 0.5).sum() and b["bss_local"] == pytest.approx(1 - ((p - y) ** 2).mean() / y.var()) and b["auc"] == pytest.approx(got["auc"])
+    assert M.curve_detail(M.with_curve_references(long, long, "zone", "month", "point"), ["zone", "point"], [5.0], 100).count() == 4
+    few = M.curve_scores(long.limit(60)).first()
+    assert few["auc"] is None
