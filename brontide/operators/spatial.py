@@ -7,58 +7,24 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .nearest import k_nearest
 
 
-#: Slices of the nodes for places that no ring of cells settles.
-NODE_SLICES = 64
-
-
-def nearest_node(places: DataFrame, nodes: DataFrame, degrees: float = 1.0, key="point_id", node="node_id") -> DataFrame:
+def nearest_node(places: DataFrame, nodes: DataFrame, key="point_id", node="node_id", wrap: float | None = None) -> DataFrame:
     """(key, node, dist2): the nearest node of each place by equirectangular squared distance, ties to the smaller id.
 
-    Places look in their own and the eight neighbouring cells of a lat-lon grid.
-    Those whose best hit there is farther than the cells reach, or that have
-    none, go on to a round with cells four times as wide; every round starts from
-    a written table. Places that are still left when cells are wider than the
-    map (near a pole, where longitudes crowd) are compared with all nodes, slice
-    by slice of the nodes, keeping the nearest of each. Longitudes do not wrap.
+    Longitudes do not go around, unless ``wrap`` = 360 says so. A place is one key; of several rows the smallest counts.
     """
-    lat, lon = F.col("lat"), F.col("lon")
-    cos = F.cos(F.radians("_plat"))
-    d2 = F.pow(F.col("_nlat") - F.col("_plat"), F.lit(2.0)) + F.pow((F.col("_nlon") - F.col("_plon")) * cos, F.lit(2.0))
-    all_nodes = nodes.where(lat.isNotNull() & lon.isNotNull()).select(F.col(node), lat.alias("_nlat"), lon.alias("_nlon"))
-    left = places.where(lat.isNotNull() & lon.isNotNull()).select(key, lat.alias("_plat"), lon.alias("_plon"))
-    best_of = F.min(F.struct(d2.alias("dist2"), F.col(node)))
-    found: list[DataFrame] = []
-    while degrees < 360:
-        cell = lambda x, d=degrees: F.floor(x / d).cast("long")
-        near = F.sequence(F.lit(-1), F.lit(1))
-        p = left.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
-        p = p.withColumns({"_cy": cell(F.col("_plat")) + F.col("_dy"), "_cx": cell(F.col("_plon")) + F.col("_dx")})
-        n = all_nodes.withColumns({"_cy": cell(F.col("_nlat")), "_cx": cell(F.col("_nlon"))})
-        best = p.join(n, ["_cy", "_cx"]).groupBy(key).agg(best_of.alias("_b"))
-        sure = F.sqrt("_b.dist2") <= degrees * F.least(F.lit(1.0), cos)
-        tried = materialize(left.join(best, key, "left").withColumn("_sure", F.coalesce(sure, F.lit(False))), "nearest")
-        found.append(tried.where("_sure").select(key, f"_b.{node}", "_b.dist2"))
-        left = tried.where("NOT _sure").select(key, "_plat", "_plon")
-        if left.isEmpty():
-            break
-        degrees *= 4
-    else:
-        slices = F.sequence(F.lit(0), F.lit(NODE_SLICES - 1))
-        p = left.withColumn("_s", F.explode(slices)).join(all_nodes.withColumn("_s", F.pmod(F.xxhash64(node), F.lit(NODE_SLICES)).cast("int")), "_s")
-        found.append(p.groupBy(key).agg(best_of.alias("_b")).select(key, f"_b.{node}", "_b.dist2"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def reference_nodes(points: DataFrame, is_node: str, degrees: float = 1.0, key="point_id") -> DataFrame:
+    p = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.struct("lat", "lon")).alias("_p"))
+    p = p.select("key", F.col("_p.lon").alias("x"), F.col("_p.lat").alias("y"), F.cos(F.radians("_p.lat")).alias("w"))
+    n = nodes.select(F.col(node).alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return k_nearest(p, n, 1, wrap).select(F.col("key").alias(key), F.col("id").alias(node), "dist2")
+
+
+def reference_nodes(points: DataFrame, is_node: str, key="point_id") -> DataFrame:
     """(key, ref_id): the node whose climatology a point uses: its own for a node, the nearest one's for any other point."""
     nodes = points.where(is_node).select(F.col(key).alias("ref_id"), "lat", "lon")
-    nearest = nearest_node(points.where(f"NOT {is_node}"), nodes, degrees, key, "ref_id").select(key, "ref_id")
+    nearest = nearest_node(points.where(f"NOT {is_node}"), nodes, key, "ref_id").select(key, "ref_id")
     return nearest.unionByName(points.where(is_node).select(key, F.col(key).alias("ref_id")))
 
 
@@ -155,32 +121,28 @@ def kinematics(grid: DataFrame, keys: list[str], u: str, v: str, step: float, to
     return g.withColumns(out).select(*grid.columns, *out).drop("_qu", "_qv")
 
 
+def edge_cells(cells: DataFrame) -> DataFrame:
+    """Cells (row, col) that lack one of their four neighbours."""
+    steps = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
+    closed = cells.select(steps.alias("_s")).select("_s.*").groupBy("row", "col").agg(F.count(F.lit(1)).alias("_n")).where("_n = 4").drop("_n")
+    return cells.join(closed, ["row", "col"], "left_anti")
+
+
 def coast_distance(cells: DataFrame, land: str = "land") -> DataFrame:
     """Distance of every cell, in cells, to the nearest cell of the other kind, however far; null only if there is none.
 
-    An exact transform in two passes: along each row the distance to the nearest
-    cell of either kind, by windows over all columns that the grid has; then along
-    each column the least sum of squares.
+    The nearest cell of a kind is one of its edge cells: the neighbour on the way to it
+    would be nearer. So each kind looks for its nearest among the edges of the other, by blocks of
+    them; the grid may be ragged or sparse. A cell that is given as both kinds counts as both.
     """
-    known = cells.where(F.col("row").isNotNull() & F.col("col").isNotNull() & F.col(land).isNotNull())
-    lines = known.select("row").distinct().crossJoin(F.broadcast(known.agg(F.collect_set("col").alias("_cs"))))  # one row
-    kinds = known.groupBy("row", "col").agg(F.max(F.col(land)).alias("_l"), F.max(~F.col(land)).alias("_s"))
-    full = lines.select("row", F.explode("_cs").alias("col")).join(kinds, ["row", "col"], "left")
-    along = Window.partitionBy("row").orderBy("col")
-    before, after = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
-
-    def square(kind: str):
-        at = F.when(F.col(kind), F.col("col"))
-        d = F.least(F.col("col") - F.last(at, True).over(before), F.first(at, True).over(after) - F.col("col")).cast("long")
-        return d * d
-
-    line = full.select("row", "col", square("_l").alias("l"), square("_s").alias("s")).groupBy("col").agg(F.collect_list(F.struct("row", "l", "s")).alias("_q"))
-
-    def least(x, kind: str):
-        return F.array_min(F.transform("_q", lambda y: (x["row"] - y["row"]).cast("long") * (x["row"] - y["row"]).cast("long") + y[kind]))
-
-    both = F.transform("_q", lambda x: F.struct(x["row"].alias("row"), least(x, "l").alias("_dl"), least(x, "s").alias("_ds")))
-    got = line.select("col", F.explode(both).alias("_x")).select("col", "_x.*")
-    out = cells.join(got, (cells["row"] == got["row"]) & (cells["col"] == got["col"]), "left")
-    d2 = F.when(cells[land], F.col("_ds")).when(~cells[land], F.col("_dl"))
-    return out.select(*[cells[c] for c in cells.columns], F.sqrt(d2).alias("coast_cells"))
+    known = cells.where(F.col("row").isNotNull() & F.col("col").isNotNull() & F.col(land).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(land).alias("_land")).distinct()
+    found = None
+    for kind in (True, False):
+        mine, other = (known.where(F.col("_land") == k).select("row", "col") for k in (kind, not kind))
+        nodes = edge_cells(other).select(F.struct("row", "col").alias("_c")).select(F.shiftleft(F.col("_c.row"), 32).bitwiseXOR(F.col("_c.col").bitwiseAND(F.lit(0xFFFFFFFF))).alias("id"), F.col("_c.col").alias("x"), F.col("_c.row").alias("y"))
+        place = F.shiftleft(F.col("row"), 32).bitwiseXOR(F.col("col").bitwiseAND(F.lit(0xFFFFFFFF)))
+        got = k_nearest(mine.select(place.alias("key"), F.col("col").alias("x"), F.col("row").alias("y"), F.lit(1.0).alias("w")), nodes).select("key", F.lit(kind).alias("_kind"), "dist2")
+        found = got if found is None else found.unionByName(got)
+    key = F.shiftleft(cells["row"].cast("long"), 32).bitwiseXOR(cells["col"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    out = cells.join(found, (key == found["key"]) & (cells[land] == found["_kind"]), "left")
+    return out.select(*[cells[c] for c in cells.columns], F.sqrt("dist2").alias("coast_cells"))

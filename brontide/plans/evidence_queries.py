@@ -51,7 +51,7 @@ def _(s, d):
 def _(s, d):
     k = F.col("s_suppkey")
     n = table(s, d, "supplier").select(k.cast("string").alias("node_id"), (6 + (k * 41 % 3200) / 100.0).alias("lat"), (67 + (k * 59 % 3100) / 100.0).alias("lon"))
-    return rounded(G.nearest_node(points(s, d), n, 2.0))
+    return rounded(G.nearest_node(points(s, d), n))
 
 
 @add("j6_attach_static", f"WITH {POINTS} SELECT o_orderkey, o_custkey AS id, elevation_m, {ZONE_SQL} AS zone FROM orders LEFT JOIN points ON points.id = o_custkey")

@@ -441,7 +441,7 @@ def _(s, d):
 def _(s, d):
     o = observations(s, d)
     p = points(s, d).join(o.select("point_id").distinct(), "point_id", "left_semi").withColumns({"node": F.col("id") % 4 == 0, "lat": F.col("lat") + F.col("id") * F.col("id") / 1000000.0})
-    ref = G.reference_nodes(p, "node", 4.0)
+    ref = G.reference_nodes(p, "node")
     clim = X.fit_climatology(o.where("valid < timestamp'2024-01-20'"), ["point_id", "kind"], ["value"])
     out = X.anomalies(o.join(ref.withColumnRenamed("ref_id", "_r"), "point_id", "left"), clim, ["point_id", "kind"], ["value"], ref)
     return out.select("point_id", F.col("_r").alias("ref_id"), "valid", F.round("value_anom", 8).alias("value_anom"))

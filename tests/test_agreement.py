@@ -170,7 +170,7 @@ def test_nearest_nodes_wherever_places_are(spark):
     for p, a, b in places:
         want[p] = min(((x - a) ** 2 + ((y - b) * math.cos(math.radians(a))) ** 2, n) for n, x, y in nodes)
     df = spark.createDataFrame(places + [("unknown", None, 1.0)], "point_id string, lat double, lon double")
-    got = {r["point_id"]: (r["dist2"], r["node_id"]) for r in G.nearest_node(df, spark.createDataFrame(nodes, "node_id string, lat double, lon double"), 1.0).collect()}
+    got = {r["point_id"]: (r["dist2"], r["node_id"]) for r in G.nearest_node(df, spark.createDataFrame(nodes, "node_id string, lat double, lon double")).collect()}
     assert {p: n for p, (_, n) in got.items()} == {p: n for p, (_, n) in want.items()} and got["tie"][1] == "a"
     assert G.nearest_node(df, spark.createDataFrame([], "node_id string, lat double, lon double")).collect() == []
 
