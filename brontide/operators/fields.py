@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sha1_percent
+from ..functions.patterns import PatternSet
 from .corpus import accumulation_hours, unit_family, vertical_level
 from .labels import first_per
 
@@ -92,6 +94,43 @@ def _joined(*names: str) -> Column:
     return F.concat_ws(" ", *[F.nullif(F.col(n), F.lit("")) for n in names])
 
 
+#: What a row's text says: the number of the best spec (-1: none), the keyword that matched, and how many specs of that priority fit.
+_FIT = "spec int, matched string, fits int"
+
+
+def spec_fits(specs: tuple[FieldSpec, ...]):
+    """A column function (text, unit family, class hint) -> _FIT by Arrow batches; each text runs the expressions that the automaton leaves possible."""
+    found = PatternSet([p for s in specs for p in (*s.keywords, *s.anti)])
+
+    @F.pandas_udf(_FIT)
+    def fit(text: pd.Series, family: pd.Series, hint: pd.Series) -> pd.DataFrame:
+        matcher = found.matcher()
+        rows = []
+        for t, f, h in zip(text, family, hint):
+            may = matcher(t or "")
+            best, key, fits = -1, (), 0
+            for i in sorted({i for p in may for i in users.get(p, ())}):
+                s = specs[i]
+                only_warning = s.classes == ("warning",)
+                if not (f in s.families or f == "unknown") or (only_warning and h != "warning") or ("warning" not in s.classes and h == "warning"):
+                    continue
+                matched = next((k for k in s.keywords if may(k)), None)
+                if matched is None or any(may(a) for a in s.anti):
+                    continue
+                mine = (s.priority, len(matched), -i)
+                fits = fits + 1 if best >= 0 and s.priority == key[0] else 1 if best < 0 or s.priority > key[0] else fits
+                if best < 0 or mine > key:
+                    best, key, word = i, mine, matched
+            rows.append((best, word if best >= 0 else None, fits))
+        return pd.DataFrame(rows, columns=["spec", "matched", "fits"])
+
+    users: dict[str, list[int]] = {}
+    for i, s in enumerate(specs):
+        for k in s.keywords:
+            users.setdefault(k, []).append(i)
+    return fit
+
+
 def classify_fields(raw: DataFrame, specs: tuple[FieldSpec, ...] = FIELD_SPECS) -> DataFrame:
     """``raw`` (columns of RAW_FIELD) with canonical_variable, statistic, accumulation_hours, vertical_level, evidence_class, unit_family, label_confidence, matched_on and is_abstain.
 
@@ -101,42 +140,28 @@ def classify_fields(raw: DataFrame, specs: tuple[FieldSpec, ...] = FIELD_SPECS)
     keyword, then the earlier spec; confidence falls with the fits of that
     priority. A row that no spec fits abstains: variable other, confidence 1.
     """
-    text = F.col("_text")
-    family, hint = F.col("unit_family"), F.col("evidence_class_hint")
-    found = lambda p: text.rlike("(?i)" + p)
-    hits = []
-    for i, s in enumerate(specs):
-        only_warning = s.classes == ("warning",)
-        fits = (family.isin(*s.families) | (family == "unknown")) & (F.lit("warning" in s.classes) if only_warning else F.lit(True))
-        if "warning" not in s.classes:
-            fits = fits & (F.coalesce(hint, F.lit("")) != "warning")
-        if only_warning:
-            fits = fits & (hint == "warning")
-        for a in s.anti:
-            fits = fits & ~found(a)
-        matched = F.coalesce(*[F.when(found(k), F.lit(k)) for k in s.keywords])
-        one = F.struct(F.lit(s.priority).alias("p"), F.length(matched).alias("l"), F.lit(-i).alias("i"), F.lit(s.variable).alias("variable"), F.lit(s.statistic).alias("statistic"), F.lit(s.level).alias("level"), F.lit(only_warning).alias("warning"), matched.alias("matched"))
-        hits.append(F.when(fits & matched.isNotNull(), one))
+    hint = F.col("evidence_class_hint")
     df = raw.withColumns({"_text": _joined("description", "raw_field", "level_text", "time_range_text"), "unit_family": unit_family("unit")})
-    df = df.withColumn("_hits", F.array_compact(F.array(*hits))).withColumn("_best", F.array_max("_hits"))
-    best = F.col("_best")
+    df = df.withColumn("_fit", spec_fits(specs)("_text", "unit_family", hint)).withColumn("_no", F.col("_fit.spec") < 0)
+    none = F.col("_no")
+    of_spec = lambda values: F.when(~none, F.get(F.array(*[F.lit(v) for v in values]), F.col("_fit.spec")))
     mapped = F.coalesce(*[F.when(F.col("grib_statistical_processing") == k, F.lit(v)) for k, v in PROCESSING.items()])
-    statistic = F.when(best["statistic"].isin("probability", "categorical"), best["statistic"]).otherwise(F.coalesce(mapped, best["statistic"]))
-    rivals = F.size(F.filter("_hits", lambda h: h["p"] == best["p"]))
+    own, rivals = of_spec([s.statistic for s in specs]), F.col("_fit.fits")
+    statistic = F.when(own.isin("probability", "categorical"), own).otherwise(F.coalesce(mapped, own))
+    df = df.withColumns({"statistic": F.when(none, "instant").otherwise(statistic), "_level": of_spec([s.level for s in specs])})
     level = None
     for name in sorted({s.level for s in specs}):
         value = vertical_level(_joined("level_text", "raw_field", "description"), name)
-        level = F.when(best["level"] == name, value) if level is None else level.when(best["level"] == name, value)
-    df = df.withColumn("statistic", F.when(best.isNull(), "instant").otherwise(statistic))
+        level = F.when(F.col("_level") == name, value) if level is None else level.when(F.col("_level") == name, value)
     out = df.withColumns({
-        "canonical_variable": F.coalesce(best["variable"], F.lit("other")),
-        "accumulation_hours": F.when(best.isNotNull() & (F.col("statistic") == "accumulation"), accumulation_hours(_joined("time_range_text", "raw_field", "description"))),
-        "vertical_level": F.when(best.isNull(), "surface").otherwise(level),
-        "evidence_class": F.coalesce(hint, F.when(best["warning"], "warning").otherwise("forecast"), F.lit("forecast")),
-        "label_confidence": F.when(best.isNull() | (rivals == 1), 1.0).otherwise(F.greatest(F.lit(0.55), F.round(1.0 - 0.15 * (rivals - 1), 3))),
-        "matched_on": F.coalesce(best["matched"], F.lit("")), "is_abstain": best.isNull(), "unit_family": F.when(best.isNotNull(), F.col("unit_family")),
+        "canonical_variable": F.coalesce(of_spec([s.variable for s in specs]), F.lit("other")),
+        "accumulation_hours": F.when(~none & (F.col("statistic") == "accumulation"), accumulation_hours(_joined("time_range_text", "raw_field", "description"))),
+        "vertical_level": F.when(none, "surface").otherwise(level),
+        "evidence_class": F.coalesce(hint, F.when(of_spec([s.classes == ("warning",) for s in specs]), "warning").otherwise("forecast"), F.lit("forecast")),
+        "label_confidence": F.when(none | (rivals == 1), 1.0).otherwise(F.greatest(F.lit(0.55), F.round(1.0 - 0.15 * (rivals - 1), 3))),
+        "matched_on": F.coalesce("_fit.matched", F.lit("")), "is_abstain": none, "unit_family": F.when(~none, F.col("unit_family")),
     })
-    return out.drop("_text", "_hits", "_best")
+    return out.drop("_text", "_fit", "_no", "_level")
 
 
 def field_corpus(raw: DataFrame) -> DataFrame:

@@ -490,3 +490,22 @@ def _(s, d):
     t = daily(s, d)
     m = M.agreement(t, F.col("vmax") >= 30, F.col("vmin") >= 3)
     return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns if c != "n"])
+
+
+@add("a17_sketch_profile", f"""WITH {OBS}, l AS (SELECT unnest(['value', 'k']) AS "column", unnest([value, k]) AS x FROM obs)
+    SELECT "column", count(*) AS rows, round(count_if(x IS NULL) / count(*), 6) AS null_rate, min(x) AS least, round(avg(x), 4) AS mean, max(x) AS largest, TRUE AS within FROM l GROUP BY 1""")
+def _(s, d):
+    """Daily states kept in a table, merged for the whole; within: the ranks of its quantiles in all rows are as near as the sketch says."""
+    from ..operators import sketches as K
+    from ..session import materialize
+
+    o = observations(s, d)
+    daily_states = materialize(K.column_states(o.withColumn("day", F.to_date("valid")), ["value", "k"], ["day"]), "states")
+    levels = [0.1, 0.5, 0.9]
+    got = K.state_profile(K.merge_states(daily_states), levels)
+    long = o.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in ("value", "k")])).alias("_p")).select("_p.*").where("x IS NOT NULL")
+    q = long.join(F.broadcast(got.select("column", "quantiles")), "column")  # a row for each column
+    q = q.groupBy("column").agg(*[F.avg((F.col("x") < F.get("quantiles", F.lit(i))).cast("double")).alias(f"lo{i}") for i in range(3)], *[F.avg((F.col("x") <= F.get("quantiles", F.lit(i))).cast("double")).alias(f"hi{i}") for i in range(3)])
+    near = [(F.col(f"lo{i}") - K.rank_error() <= x) & (F.col(f"hi{i}") + K.rank_error() >= x) for i, x in enumerate(levels)]
+    out = got.join(q.select("column", (near[0] & near[1] & near[2]).alias("within")), "column")
+    return out.select("column", "rows", F.round("null_rate", 6).alias("null_rate"), "least", F.round("mean", 4).alias("mean"), "largest", "within")
