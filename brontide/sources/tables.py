@@ -47,6 +47,35 @@ def write_monthly(df: DataFrame, path: str, date: str, mode: str = "append") ->
     month.repartition("yyyymm", F.pmod(F.xxhash64(date), F.lit(8))).write.mode(mode).partitionBy("yyyymm").parquet(path)
 
 
+def write_by_point(df: DataFrame, name: str, path: str, key: str = "point_id", buckets: int = 64, order: Sequence[str] = ()) -> DataFrame:
+    """Write a table in buckets of ``key``, sorted by it and ``order``, and return it as the session's table ``name``.
+
+    Tables written this way join on the key and any further columns, group and open windows by it
+    without an exchange, once ``join_by_point`` has told the session so. A bucket is one task's
+    part: choose as many as keep it in memory, and as many for all tables of a job. Of two tables with other
+    numbers only the one with fewer buckets is moved; joined on the key alone, neither is if the numbers divide each other.
+    """
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    by_bucket = df.repartition(buckets, key)  # so that each bucket is one file
+    by_bucket.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_by_point(spark: SparkSession, name: str, path: str, schema: T.StructType, key: str = "point_id", buckets: int = 64, order: Sequence[str] = ()) -> DataFrame:
+    """A table that another session wrote with ``write_by_point``, under the same key, buckets and order."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    sorted_by = ", ".join(f"`{c}`" for c in (key, *order))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY ({sorted_by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def join_by_point(spark: SparkSession) -> None:
+    """Let the session join, on a key and further columns, tables that are in buckets of the key alone, and read buckets together where numbers differ."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.bucketing.coalesceBucketsInJoin.enabled", "true")
+
+
 def append_missing(df: DataFrame, path: str, keys: Sequence[str], attempts: int = 20) -> int:
     """Append the rows whose keys the table does not hold yet, as one version; how many rows that were.
 
