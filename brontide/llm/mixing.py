@@ -192,7 +192,10 @@ def taken_words(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words:
     """doc_id, size, source_size, target, taken of every row of ``docs``.
 
     A document without words takes none. Each source takes its target rounded
-    to whole words; no document is taken more than ``most`` times over.
+    to whole words; no document is taken more than ``most`` times over. Texts of any
+    length are read whole and lie in as many blocks as they need; rows that repeat are each a
+    document; null sources are one source, null doc_ids stay null; other columns are not
+    read, whatever their names; an empty table gives an empty one.
     """
     placed, slots, pieces = mix_plan(docs, weights, most, block_words, seed)
     got = slots.join(pieces, ["source_key", "block"]).withColumn("_got", F.greatest(F.least(F.col("n"), F.col("words") - F.col("at")), F.lit(0)))

@@ -177,7 +177,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
     Scores depend on the text alone. held_out rows' labels are never learned from.
     Null and empty texts are scored by zero statistics; a null doc_id falls in the
-    fold of the empty string; without usable labels every score is 0.5.
+    fold of the empty string; without usable labels every score is 0.5. Texts are read
+    whole, whatever their length; rows that repeat get equal scores; other columns
+    are not read; an empty table gives an empty one.
     """
     model = train(docs, labels, max_labelled)
 

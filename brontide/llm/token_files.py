@@ -287,6 +287,8 @@ def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of ``docs``, read back from the token files.
 
     Null and empty texts have the end id alone. start counts the ids of all
-    documents before. An empty table gives an empty result.
+    documents before. Texts are encoded whole, whatever their length; rows that repeat follow each other,
+    each with its own ids; other columns are not read, whatever their names.
+    An empty table gives an empty result.
     """
     return read_tokens(*write_tokens(docs, tokenizer))
