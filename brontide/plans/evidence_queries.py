@@ -10,8 +10,10 @@ from ..operators import fusion as E
 from ..operators import products as P
 from ..operators import spatial as G
 from ..operators import splits as S
+from ..session import shared_path
 from ..sources import evidence as V
 from ..sources import tables as T
+from ..sources.runs import register_runs
 from .registry import EVENT, FC, GRID, OBS, POINTS, ZONE_SQL, Registry, events_of, forecasts, grid, observations, points, table
 from .verification_queries import rounded
 
@@ -628,10 +630,56 @@ def _(s, d):
     return T.first_definition(table(s, d, "part"), "p_name", "p_partkey").select("p_name", "p_partkey")
 
 
-@add("p22_pick_fields", "WITH t AS (SELECT p_name, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS w FROM part) SELECT p_name AS field, CAST(min(w) AS INTEGER) AS window_h FROM t GROUP BY 1")
-def _(s, d):
-    p = table(s, d, "part").select(F.col("p_name").alias("field"), F.when(F.col("p_size") % 3 == 0, "instant").otherwise(F.format_string("0-%d hour acc", "p_size")).alias("description"))
-    return T.pick_fields(p).select("field", "window_h")
+@add(
+    "p22_pick_fields",
+    """WITH i AS (
+      SELECT p_brand, p_partkey AS n, p_type, p_name, p_size % 4 AS kind, p_size FROM part),
+    c AS (SELECT *, p_type IN ('SMALL', 'LARGE') AS windowed, CASE WHEN kind = 0 OR p_size = 0 THEN NULL WHEN kind < 3 THEN p_size END AS w FROM i),
+    o AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, p_name
+        ORDER BY CASE WHEN windowed THEN coalesce(w, 10000) WHEN kind = 0 THEN 0 ELSE 1 END, n) AS turn FROM c)
+    SELECT p_brand, p_type || ' ' || p_name AS name, n, CAST(w AS INTEGER) AS window_h FROM o WHERE turn = 1""",
+)
+def _(s, d):
+    kind, span = F.col("p_size") % 4, F.format_string("6-%d hour acc fcst", F.col("p_size") + 6)
+    text = F.when(kind == 0, F.format_string("%d hour fcst", "p_size")).when(kind == 3, "anl").otherwise(span)
+    field = [F.col("p_type").alias("abbreviation"), F.col("p_name").alias("level")]
+    p = table(s, d, "part")
+    i = p.select("p_brand", F.col("p_partkey").alias("n"), *field, text.alias("time_range"))
+    wanted = p.select(F.concat_ws(" ", "p_type", "p_name").alias("name"), *field, F.col("p_type").isin("SMALL", "LARGE").alias("windowed")).distinct()
+    return T.pick_fields(i, wanted, ["p_brand"]).select("p_brand", "name", "n", "window_h")
+
+
+@add(
+    "s15_run_folders",
+    """WITH l AS (
+      SELECT l_orderkey, l_linenumber, min({'q': CAST(l_quantity AS INTEGER), 'a': l_returnflag, 'l': l_linestatus}) AS x FROM lineitem GROUP BY ALL),
+    i AS (
+      SELECT o_orderstatus AS feed, date_trunc('year', o_orderdate) AS run, 40 * l_linenumber AS lead, l_orderkey AS n, x.a AS abbreviation,
+        x.l AS level, x.q AS h FROM l JOIN orders ON l_orderkey = o_orderkey),
+    f AS (SELECT *, lead(n) OVER (PARTITION BY feed, run, lead ORDER BY n) * 1000 - 1 AS byte_to FROM i),
+    whole AS (SELECT run FROM i WHERE lead = 240 GROUP BY 1 HAVING count(DISTINCT feed) = 3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY feed, run, lead, abbreviation, level ORDER BY h, n) AS turn
+      FROM f WHERE run IN (SELECT run FROM whole) AND run >= TIMESTAMP '1993-06-01' AND abbreviation IN ('A', 'R'))
+    SELECT feed, CAST(run AS TIMESTAMP) AS run, CAST(lead AS INTEGER) AS lead, abbreviation || ' ' || level AS name, n * 1000 AS byte_from, byte_to, h AS window_h
+    FROM o WHERE turn = 1""",
+)
+def _(s, d):
+    """Inventories are written as run folders, and read back pruned: complete runs, later years, two fields."""
+    first = F.min(F.struct(F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus")).alias("x")
+    i = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    key = F.col("l_orderkey")
+    line = F.format_string("%d:%d:d=2024010100:%s:%s:6-%d hour acc fcst:", key, key * 1000, "x.l_returnflag", "x.l_linestatus", F.col("x.q") + 6)
+    run, lead = F.date_format(F.date_trunc("year", "o_orderdate"), "yyyyMMddHH"), F.format_string("%03d", F.col("l_linenumber") * 40)
+    lines = i.select(F.col("o_orderstatus").alias("feed"), run.alias("run"), lead.alias("lead"), "l_orderkey", line.alias("line"))
+    path = shared_path(s, "runs")
+    lines.repartition("feed", "run", "lead").sortWithinPartitions("feed", "run", "lead", "l_orderkey").drop("l_orderkey").write.partitionBy("feed", "run", "lead").text(path)
+    register_runs(s)
+    source = s.read.format("forecast_runs").option("pattern", r"feed=(?P<feed>\w+)/run=(?P<run>\d{10})/lead=(?P<lead>\d{3})/part")
+    rows = source.option("feeds", "F,O,P").option("complete", True).load(path)
+    rows = rows.where("run >= '1993-06-01' AND abbreviation IN ('A', 'R')")
+    wanted = [(f"{a} {v}", a, v, True) for a in "AR" for v in "FO"]
+    fields = T.pick_fields(rows, s.createDataFrame(wanted, "name string, abbreviation string, level string, windowed boolean"), ["feed", "run", "lead"])
+    return fields.select("feed", "run", "lead", "name", "byte_from", "byte_to", "window_h")
 
 
 @add("k8_largest_place", "WITH h AS (SELECT c_mktsegment || (c_custkey % 200) AS name, c_acctbal AS pop, c_custkey, round((c_custkey * 37 % 3200) / 100.0, 2) AS lat, round((c_custkey * 53 % 3100) / 100.0, 2) AS lon FROM customer), o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pop DESC, c_custkey) AS i FROM h), u AS (SELECT *, row_number() OVER (PARTITION BY round(lat, 2), round(lon, 2) ORDER BY pop DESC, name) AS j FROM o WHERE i = 1) SELECT name, c_custkey FROM u WHERE j = 1")

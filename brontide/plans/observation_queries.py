@@ -10,6 +10,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import spatial as G
 from ..sources import tables as S
+from ..sources.runs import complete_runs
 from .registry import FC, FLAGS, HOURLY, OBS, POINTS, Registry, flagged, forecasts, hourly, observations, points, table
 
 R = Registry()
@@ -185,9 +186,8 @@ def _(s, d):
 
 @add("p19_complete_runs", """WITH f AS (SELECT o_orderdate, count(DISTINCT o_orderstatus) AS feeds FROM orders GROUP BY 1) SELECT o_orderdate FROM f WHERE feeds = 3""")
 def _(s, d):
-    feeds = ("O", "F", "P")
-    t = table(s, d, "orders").groupBy("o_orderdate").agg(*[F.max(F.when(F.col("o_orderstatus") == f, 1).otherwise(0)).alias(f) for f in feeds])
-    return t.where(F.col("O") + F.col("F") + F.col("P") == 3).select("o_orderdate")
+    files = table(s, d, "orders").select(F.col("o_orderstatus").alias("feed"), F.col("o_orderdate").alias("run"), F.lit(240).alias("lead"))
+    return complete_runs(files, ["O", "F", "P"]).select(F.col("run").alias("o_orderdate"))
 
 
 @add("p21_coverage_filters", f"WITH {HOURLY} SELECT point_id, hour_utc, n_obs FROM hourly WHERE n_obs >= 2")

@@ -159,15 +159,20 @@ def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     return files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sha2(lines.cast("binary"), 256).alias("sha256"))
 
 
-def pick_fields(rows: DataFrame, name: str = "field", description: str = "description") -> DataFrame:
-    """One row for each field name: an instantaneous one if there is one, else the narrowest accumulation window."""
+def pick_fields(rows: DataFrame, wanted: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One inventory row of each wanted field in each file (``keys``), with its ``window_h`` (null: not a window).
+
+    ``rows`` are (*keys, n, abbreviation, level, time_range, ...), ``wanted`` (name, abbreviation, level, windowed).
+    A windowed field takes its narrowest window, any other the first instantaneous row; where there is none, the first row.
+    """
     from ..operators.labels import first_per
 
-    width = F.col("_b") - F.col("_a")
-    span = r"(\d+)-(\d+) hour"
-    d = rows.withColumns({"_a": F.regexp_extract(description, span, 1).try_cast("int"), "_b": F.regexp_extract(description, span, 2).try_cast("int")})
-    d = d.withColumn("window_h", F.coalesce(width, F.lit(0)))
-    return first_per(d, [name], ["window_h", description]).drop("_a", "_b")
+    form = r"^(\d+)-(\d+) hour (acc|max|min)"
+    width = F.regexp_extract("time_range", form, 2).try_cast("int") - F.regexp_extract("time_range", form, 1).try_cast("int")
+    other = F.when(F.col("time_range").rlike(r"^\d+ hour fcst$"), 0).otherwise(1)
+    found = rows.join(wanted, ["abbreviation", "level"]).withColumn("window_h", F.nullif(width, F.lit(0)))
+    turn = F.when(F.col("windowed"), F.coalesce("window_h", F.lit(10_000))).otherwise(other)
+    return first_per(found.withColumn("_w", turn), [*keys, "name"], ["_w", "n"]).drop("_w", "windowed")
 
 
 def inventory(lines: DataFrame, line: str = "value") -> DataFrame:
