@@ -91,9 +91,9 @@ def wind_speed(u: Column | str, v: Column | str) -> Column:
 
 
 def wind_direction(u: Column | str, v: Column | str) -> tuple[Column, Column]:
-    """(sin, cos) of the direction the wind blows from; null when it is calm."""
+    """(sin, cos) of the direction the wind blows from; a calm counts as due south, (0, -1)."""
     speed = wind_speed(u, v)
-    return F.when(speed > 0, -col(u) / speed), F.when(speed > 0, -col(v) / speed)
+    return F.when(speed == 0, 0.0).otherwise(-col(u) / speed), F.when(speed == 0, -1.0).otherwise(-col(v) / speed)
 
 
 def wind_shear(u1, v1, u2, v2) -> Column:
@@ -109,8 +109,8 @@ def total_totals(t850, t500, td850) -> Column:
 
 
 def lapse_rate(t_low, t_high, thickness_km) -> Column:
-    """Kelvin a kilometre; null for a layer that is not thick."""
-    return F.when(col(thickness_km) > 0, (col(t_low) - col(t_high)) / col(thickness_km))
+    """Kelvin a kilometre; a layer counts as at least a metre thick."""
+    return F.when(col(thickness_km).isNotNull(), (col(t_low) - col(t_high)) / F.greatest(col(thickness_km), F.lit(1e-3)))
 
 
 def storm_features(df: DataFrame, temp="t2m_c", dew="dpt2m_c", wind="wind10", gust="gust", cape="cape", cape_ml="cape_ml", pwat="pwat", lifted="lftx") -> DataFrame:

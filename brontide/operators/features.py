@@ -64,10 +64,17 @@ def complete_days(days: DataFrame, early: int = 7, late: int = 3) -> DataFrame:
     return days.where(F.col("day_k").between(1, 9) & (F.col("n_steps") >= F.when(F.col("day_k") <= 2, early).otherwise(late)))
 
 
-def window_extremes(steps: DataFrame, keys: list[str], high: str, low: str, width="width_h", lead="lead_h", hours: int = 6) -> DataFrame:
-    """Largest and smallest over windows of exactly ``hours`` that end on a multiple of it."""
-    whole = (F.col(width) == hours) & (F.col(lead) % hours == 0)
-    return steps.groupBy(*keys).agg(F.max(F.when(whole, F.col(high))).alias("window_max"), F.min(F.when(whole, F.col(low))).alias("window_min"))
+def window_extremes(steps: DataFrame, keys: list[str], high: str, low: str, width="width_h", lead="lead_h", hours: int = 6, low_width: str | None = None, spreads: tuple[str, str] | None = None) -> DataFrame:
+    """Largest and smallest over windows of exactly ``hours`` that end on a multiple of it.
+
+    ``low`` may have a width column of its own, ``low_width``. ``spreads`` (of high, of low) gives the mean spread over the same windows.
+    """
+    whole = lambda w, c: F.when((F.col(w) == hours) & (F.col(lead) % hours == 0), F.col(c))
+    at_high, at_low = width, low_width or width
+    out = [F.max(whole(at_high, high)).alias("window_max"), F.min(whole(at_low, low)).alias("window_min")]
+    if spreads:
+        out += [F.avg(whole(at_high, spreads[0])).alias("window_max_spread"), F.avg(whole(at_low, spreads[1])).alias("window_min_spread")]
+    return steps.groupBy(*keys).agg(*out)
 
 
 def bucket_rain(steps: DataFrame, keys: list[str], mm: str, width="width_h", hours: int = 6, least: int = 0) -> DataFrame:
@@ -107,6 +114,36 @@ def day_windows(days: DataFrame, width: int, fields: list[str], key="point_id",
     return out.select(*cols)
 
 
+# Daily columns that a window of days shows for each of its days, and those of the extension where they are there.
+WINDOW_DAY_FIELDS = ["rain_cell_mean_mm", "rain_cell_max_mm", "rain_mm", "pwat_mean", "cape_max", "refc_max", "tcc_mean", "wind_mean", "t2m_max"]
+WINDOW_DAY_EXTENSION = ["gefs_rain_mean_mm", "gefs_rain_spread_mm", "rain_nb9_mean_mm", "rain_frac1_nb9", "mfc850_e7_max", "w700_min", "avg_pwat_mean", "avg_crain_max", "k_index_max"]
+
+
+def rain_windows(days: DataFrame, width: int = 7, fields: list[str] | None = None, least_buckets: int = 4, key="point_id", run="run_date") -> DataFrame:
+    """Windows of ``width`` forecast days whose rain is complete on every day, one row for each first day (``day_k``), with its valid_date.
+
+    A day is complete with ``least_buckets`` rain_buckets. Columns are d<j>_<field> for each day of the window
+    (``fields``: by default those of WINDOW_DAY_FIELDS, and of WINDOW_DAY_EXTENSION that ``days`` has) and d<j>_rain_buckets, the sum of
+    rain_cell_mean_mm (null if a day's is), the largest rain_cell_max_mm and the fewest buckets. Days that do not reach far enough give no row.
+    """
+    fields = fields or WINDOW_DAY_FIELDS + [c for c in WINDOW_DAY_EXTENSION if c in days.columns]
+    shown = list(dict.fromkeys([*fields, "rain_buckets", "rain_cell_mean_mm", "rain_cell_max_mm"]))
+    complete = days.where(F.col("rain_buckets") >= least_buckets).select(key, run, "day_k", *shown)
+    order = Window.partitionBy(key, run).orderBy("day_k")
+    at = {(c, j): F.lead(c, j).over(order) if j else F.col(c) for c in shown for j in range(width)}
+    out = complete.select(key, run, "day_k", F.lead("day_k", width - 1).over(order).alias("_last"), *[v.alias(f"d{j}_{c}") for (c, j), v in at.items()])
+    out = out.where(F.col("_last") == F.col("day_k") + width - 1)
+    each = lambda c: [F.col(f"d{j}_{c}") for j in range(width)]
+    most, fewest = each("rain_cell_max_mm"), each("rain_buckets")
+    return out.select(
+        key, run, "day_k", F.date_add(F.col(run).cast("date"), F.col("day_k").cast("int")).alias("valid_date"),
+        *[f"d{j}_{c}" for j in range(width) for c in dict.fromkeys([*fields, "rain_buckets"])],
+        sum(each("rain_cell_mean_mm")[1:], F.col("d0_rain_cell_mean_mm")).alias(f"sum{width}_rain_cell_mean_mm"),
+        (F.greatest(*most) if width > 1 else most[0]).alias(f"max{width}_rain_cell_max_mm"),
+        (F.least(*fewest) if width > 1 else fewest[0]).alias(f"min{width}_rain_buckets"),
+    )
+
+
 def refuse_clash(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
     """Both sides naming a column that is no key is an error, not a rename."""
     clash = sorted((set(left.columns) & set(right.columns)) - set(keys))

@@ -83,18 +83,21 @@ def daily_extremes(obs: DataFrame, value: str, min_obs: int = 8, key="point_id",
     return days.withColumns({"hot": F.col("vmax") >= hot, "severe_hot": F.col("vmax") >= severe, "cold": F.col("vmin") <= cold})
 
 
-def window_labels(hourly: DataFrame, flags: list[str], half_hours: int = 1, key="point_id", time="hour_utc") -> DataFrame:
-    """Label of every hour: any event within ``half_hours`` of it, and in how many of those hours something was observed.
+def window_labels(hourly: DataFrame, flags: list[str], half_hours: int = 1, key="point_id", time="hour_utc", values: list[str] = (), n_obs: str | None = None) -> DataFrame:
+    """Label of every hour: 1 for an event within ``half_hours`` of it, else 0, and in how many of those hours something was observed (``cover``).
 
-    The grid between a key's first and last hour is dense, so an hour that only
-    its neighbours cover has a row; a window without observations has null
-    labels. The frame is on seconds, not rows.
+    The grid between a key's first and last hour is dense, so an hour that only its neighbours cover has a row; a
+    window without observations has label 0 and cover 0. ``values`` are the hour's own measurements, as obs_<name> and null
+    where the hour has none; ``n_obs`` names its number of reports, which becomes n_obs_hour. The frame is on seconds, not rows.
     """
     span = hourly.groupBy(key).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
     grid = span.select(key, F.explode(F.expr("sequence(_a, _b, interval 1 hour)")).alias(time))
-    seen = grid.join(hourly.select(key, time, *flags).withColumn("_seen", F.lit(1)), [key, time], "left")
+    own = [F.col(v).alias(f"obs_{v}") for v in values] + ([F.col(n_obs).alias("n_obs_hour")] if n_obs else [])
+    seen = grid.join(hourly.select(key, time, *flags, *own).withColumn("_seen", F.lit(1)), [key, time], "left")
     near = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(time))).rangeBetween(-half_hours * 3600, half_hours * 3600)
-    return seen.select(key, time, *[F.max(F.col(f).cast("int")).over(near).alias(f) for f in flags], F.count("_seen").over(near).alias("cover"))
+    label = [F.coalesce(F.max(F.col(f).cast("int")).over(near), F.lit(0)).alias(f) for f in flags]
+    own = [f"obs_{v}" for v in values] + ([F.coalesce("n_obs_hour", F.lit(0)).alias("n_obs_hour")] if n_obs else [])
+    return seen.select(key, time, *label, F.count("_seen").over(near).alias("cover"), *own)
 
 
 def circular_ring(df: DataFrame, keys: list[str], slot: str, first: int, slots: int, half: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +38,19 @@ def cells_of_points(points: DataFrame, pixels: DataFrame, step: float, top: floa
     return box_pixels(points, step, top, west, half).join(pixels, ["row", "col"])
 
 
-def bilinear(points: DataFrame, grid: DataFrame, fields: list[str], keys: list[str], step: float, top: float, west: float, lat="lat", lon="lon", key="point_id") -> DataFrame:
-    """Fields at points from the four grid neighbours; null neighbours drop out and the weights are scaled up; null if all are."""
+def bilinear(points: DataFrame, grid: DataFrame, fields: list[str], keys: list[str], step: float, top: float, west: float, lat="lat", lon="lon", key="point_id", shape: tuple[int, int] | None = None) -> DataFrame:
+    """Fields at points from the four grid neighbours; null neighbours drop out and the weights are scaled up; null if all are.
+
+    With ``shape`` (rows, columns) a point beyond the grid takes the values of its edge; without, only one less than a cell beyond it does.
+    """
     y, x = (F.lit(top) - F.col(lat)) / step, (F.col(lon) - F.lit(west)) / step
     p = points.withColumns({"_y": y, "_x": x}).withColumns({"_r0": F.floor("_y").cast("int"), "_c0": F.floor("_x").cast("int")})
+    if shape:
+        inside = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(n - 2))
+        p = p.withColumns({"_r0": inside("_r0", shape[0]), "_c0": inside("_c0", shape[1])})
     fy, fx = F.col("_y") - F.col("_r0"), F.col("_x") - F.col("_c0")
+    if shape:
+        fy, fx = (F.least(F.greatest(f, F.lit(0.0)), F.lit(1.0)) for f in (fy, fx))
     corners = [(r, c) for r in (0, 1) for c in (0, 1)]
     weight = lambda r, c: (fy if r else 1 - fy) * (fx if c else 1 - fx)
     four = F.array(*[F.struct((F.col("_r0") + r).alias("row"), (F.col("_c0") + c).alias("col"), weight(r, c).alias("w")) for r, c in corners])
@@ -67,13 +73,15 @@ def _edges(df: DataFrame, keys: list[str], axis: str, half: int) -> DataFrame:
     return df.withColumn("_real", F.col("_pad") == F.col(axis)).withColumn(axis, F.col("_pad")).drop("_pad", "_lo", "_hi")
 
 
-def neighbourhood(grid: DataFrame, keys: list[str], field: str, size: int, at_least: float | None = None) -> DataFrame:
+def neighbourhood(grid: DataFrame, keys: list[str], field: str, size: int, at_least: float | None = None, missing: float | None = 0.0) -> DataFrame:
     """Mean, max, min, sd and (with ``at_least``) share over size x size cells, edges repeated.
 
+    A cell without a value counts as ``missing``; with None it counts for nothing.
     Rows first, then columns: 2 * size cells are read for each, not size ** 2.
     """
     half = size // 2
-    value = F.col(field)
+    known = F.when(~F.isnan(F.col(field).cast("double")), F.col(field))
+    value = known if missing is None else F.coalesce(known, F.lit(missing))
     base = grid.select(*keys, "row", "col", value.alias("_v"), (value * value).alias("_v2"), F.when(value.isNotNull(), 1.0).alias("_k"), (F.when(value >= at_least, 1.0).when(value.isNotNull(), 0.0) if at_least is not None else F.lit(None).cast("double")).alias("_e"))
     a = _edges(base, [*keys, "row"], "col", half)
     w = Window.partitionBy(*keys, "row").orderBy("col").rangeBetween(-half, half)
@@ -86,9 +94,13 @@ def neighbourhood(grid: DataFrame, keys: list[str], field: str, size: int, at_le
     return out.where("_real").drop("_real")
 
 
+# Fixed value: metres in a degree of latitude.
+DEGREE_M = 111_320.0
+
+
 def gradient(grid: DataFrame, keys: list[str], fields: list[str], step: float, top: float) -> DataFrame:
     """d<field>_dx and d<field>_dy per metre, centred, one-sided at edges; east-west spacing shrinks with latitude and rows run southward."""
-    metre = 6371000.0 * math.pi / 180 * step
+    metre = DEGREE_M * step
     lat = F.lit(top) - F.col("row") * step
     dx = metre * F.cos(F.radians(lat))
     along, down = Window.partitionBy(*keys, "row").orderBy("col"), Window.partitionBy(*keys, "col").orderBy("row")
@@ -121,6 +133,25 @@ def kinematics(grid: DataFrame, keys: list[str], u: str, v: str, step: float, to
     return g.withColumns(out).select(*grid.columns, *out).drop("_qu", "_qv")
 
 
+def pressure_gradient(grid: DataFrame, keys: list[str], pressure: str, step: float, top: float) -> DataFrame:
+    """pgrad_hpa100km: how steeply a pressure in Pa changes, in hPa over 100 km."""
+    g = gradient(grid, keys, [pressure], step, top)
+    return g.select(*grid.columns, (F.hypot(f"d{pressure}_dx", f"d{pressure}_dy") * 1e3).alias("pgrad_hpa100km"))
+
+
+def terrain(grid: DataFrame, height: str, step: float, top: float, keys: list[str] = ()) -> DataFrame:
+    """Descriptors of each cell's ground in metres: height (0 where unknown), its slopes, roughness over 5 and 9 cells, relief, and height above its surroundings."""
+    keys = list(keys)
+    known = F.when(~F.isnan(F.col(height).cast("double")), F.col(height))
+    g = grid.select(*keys, "row", "col", F.coalesce(known, F.lit(0.0)).alias("hgt"))
+    at = [*keys, "row", "col"]
+    near, far = (neighbourhood(g, keys, "hgt", size) for size in (5, 9))
+    near = near.select(*at, F.col("nb_sd").alias("elev_std_5"))
+    far = far.select(*at, F.col("nb_sd").alias("elev_std_9"), (F.col("nb_max") - F.col("nb_min")).alias("relief_9"), F.col("nb_mean").alias("_mean9"))
+    out = gradient(g, keys, ["hgt"], step, top).withColumnsRenamed({"dhgt_dx": "dzdx", "dhgt_dy": "dzdy"}).join(near, at).join(far, at)
+    return out.withColumns({"slope": F.hypot("dzdx", "dzdy"), "elev_minus_nb9": F.col("hgt") - F.col("_mean9")}).drop("_mean9")
+
+
 def edge_cells(cells: DataFrame) -> DataFrame:
     """Cells (row, col) that lack one of their four neighbours."""
     steps = F.explode(F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in ((0, 1), (0, -1), (1, 0), (-1, 0))]))

@@ -96,7 +96,7 @@ def _(s, d):
     return rounded(G.neighbourhood(whole, [], "v", 3, 30.0), 5).withColumn("nb_sd", F.round("nb_sd", 2))
 
 
-@add("j14_kinematics", f"""WITH {GRID}, g AS (SELECT row, col, u, v, lead(v) OVER h AS ve, lag(v) OVER h AS vw, lead(u) OVER h AS ue, lag(u) OVER h AS uw, lead(v) OVER k AS vs, lag(v) OVER k AS vn, lead(u) OVER k AS us, lag(u) OVER k AS un, 6371000.0 * pi() / 180 * 0.25 AS m, 6371000.0 * pi() / 180 * 0.25 * cos(radians(38 - row * 0.25)) AS dx FROM grid WINDOW h AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row)),
+@add("j14_kinematics", f"""WITH {GRID}, g AS (SELECT row, col, u, v, lead(v) OVER h AS ve, lag(v) OVER h AS vw, lead(u) OVER h AS ue, lag(u) OVER h AS uw, lead(v) OVER k AS vs, lag(v) OVER k AS vn, lead(u) OVER k AS us, lag(u) OVER k AS un, 111320.0 * 0.25 AS m, 111320.0 * 0.25 * cos(radians(38 - row * 0.25)) AS dx FROM grid WINDOW h AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row)),
     e AS (SELECT *, CASE WHEN ve IS NULL AND vw IS NULL THEN NULL WHEN vw IS NULL THEN (ve - v) / dx WHEN ve IS NULL THEN (v - vw) / dx ELSE (ve - vw) / (2 * dx) END AS vx, CASE WHEN ue IS NULL AND uw IS NULL THEN NULL WHEN uw IS NULL THEN (ue - u) / dx WHEN ue IS NULL THEN (u - uw) / dx ELSE (ue - uw) / (2 * dx) END AS ux,
       -CASE WHEN us IS NULL AND un IS NULL THEN NULL WHEN un IS NULL THEN (us - u) / m WHEN us IS NULL THEN (u - un) / m ELSE (us - un) / (2 * m) END AS uy, -CASE WHEN vs IS NULL AND vn IS NULL THEN NULL WHEN vn IS NULL THEN (vs - v) / m WHEN vs IS NULL THEN (v - vn) / m ELSE (vs - vn) / (2 * m) END AS vy FROM g)
     SELECT row, col, round((vx - uy) * 1e6, 4) AS vorticity, round((ux + vy) * 1e6, 4) AS divergence FROM e""")
@@ -105,6 +105,37 @@ def _(s, d):
     return k.select("row", "col", F.round(F.col("vorticity") * 1e6, 4).alias("vorticity"), F.round(F.col("divergence") * 1e6, 4).alias("divergence"))
 
 
+@add(
+    "j13_terrain",
+    f"""WITH {GRID}, b AS (SELECT max(row) - 1 AS mr FROM grid), i AS (SELECT g.row, g.col, CASE WHEN v < 3 THEN 0 ELSE v END AS v FROM grid g, b WHERE row <= mr),
+    n AS (SELECT i.row, i.col, least(greatest(i.row + dr, 0), mr) AS r, least(greatest(i.col + dc, 0), 39) AS c, abs(dr) <= 2 AND abs(dc) <= 2 AS near
+      FROM i, b, range(-4, 5) x(dr), range(-4, 5) y(dc)),
+    a AS (SELECT n.row, n.col, stddev_pop(i.v) FILTER (near) AS s5, stddev_pop(i.v) AS s9, max(i.v) - min(i.v) AS relief, avg(i.v) AS m9 FROM n JOIN i ON i.row = n.r AND i.col = n.c GROUP BY ALL),
+    s AS (SELECT row, col, v, v - lag(v) OVER h AS l, lead(v) OVER h - v AS r, v - lag(v) OVER k AS u, lead(v) OVER k - v AS d, 111320.0 * 0.25 AS m, 111320.0 * 0.25 * cos(radians(38 - row * 0.25)) AS dx
+      FROM i WINDOW h AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row)),
+    g AS (SELECT row, col, v, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l ELSE (l + r) / 2 END / dx AS zx, -CASE WHEN u IS NULL THEN d WHEN d IS NULL THEN u ELSE (u + d) / 2 END / m AS zy FROM s)
+    SELECT row, col, v AS hgt, round(zx * 1e6, 3) AS dzdx, round(zy * 1e6, 3) AS dzdy, round(sqrt(zx * zx + zy * zy) * 1e6, 3) AS slope, round(s5, 3) AS elev_std_5, round(s9, 3) AS elev_std_9,
+      round(relief, 4) AS relief_9, round(v - m9, 4) AS elev_minus_nb9 FROM g JOIN a USING (row, col)""",
+)
+def _(s, d):
+    g = grid(s, d).withColumn("v", F.when(F.col("v") >= 3, F.col("v")))
+    top = g.agg(F.max("row").alias("_m"))
+    t = G.terrain(g.join(F.broadcast(top)).where("row < _m").drop("_m"), "v", 0.25, 38.0)  # one row; the last line may be short
+    micro = {c: F.round(F.col(c) * 1e6, 3) for c in ("dzdx", "dzdy", "slope")}
+    return t.withColumns(micro | {c: F.round(c, n) for c, n in (("elev_std_5", 3), ("elev_std_9", 3), ("relief_9", 4), ("elev_minus_nb9", 4))})
+
+
+@add(
+    "j14_pressure_gradient",
+    f"""WITH {GRID}, s AS (SELECT row, col, v - lag(v) OVER h AS l, lead(v) OVER h - v AS r, v - lag(v) OVER k AS u, lead(v) OVER k - v AS d, 111320.0 * 0.25 AS m, 111320.0 * 0.25 * cos(radians(38 - row * 0.25)) AS dx
+      FROM grid WINDOW h AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row)),
+    g AS (SELECT row, col, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l ELSE (l + r) / 2 END / dx AS zx, CASE WHEN u IS NULL THEN d WHEN d IS NULL THEN u ELSE (u + d) / 2 END / m AS zy FROM s)
+    SELECT row, col, round(sqrt(zx * zx + zy * zy) * 1e3, 6) AS pgrad_hpa100km FROM g""",
+)
+def _(s, d):
+    return rounded(G.pressure_gradient(grid(s, d), [], "v", 0.25, 38.0).select("row", "col", "pgrad_hpa100km"), 6)
+
+
 @add("j15_coast_distance", f"WITH {GRID}, l AS (SELECT row, col, v >= 25 AS land FROM grid) SELECT a.row, a.col, a.land, round(sqrt(min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col))), 5) AS coast_cells FROM l a LEFT JOIN l b ON b.land <> a.land AND abs(a.row - b.row) <= 6 AND abs(a.col - b.col) <= 6 GROUP BY ALL")
 def _(s, d):
     return rounded(G.coast_distance(grid(s, d).select("row", "col", (F.col("v") >= 25).alias("land"))), 5)

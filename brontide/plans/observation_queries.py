@@ -129,7 +129,7 @@ def _(s, d):
 
 
 @add("p10_wind_vectors", """WITH w AS (SELECT event_id, value - 20 AS u, CAST(props->>'$.k' AS DOUBLE) - 50 AS v FROM events), s AS (SELECT *, sqrt(u * u + v * v) AS speed FROM w)
-    SELECT event_id, round(speed, 6) AS speed, round(-u / nullif(speed, 0), 6) AS dir_sin, round(-v / nullif(speed, 0), 6) AS dir_cos, round(sqrt(u * u + (v - 1) * (v - 1)), 6) AS shear FROM s""")
+    SELECT event_id, round(speed, 6) AS speed, CASE WHEN speed = 0 THEN 0 ELSE round(-u / speed, 6) END AS dir_sin, CASE WHEN speed = 0 THEN -1 ELSE round(-v / speed, 6) END AS dir_cos, round(sqrt(u * u + (v - 1) * (v - 1)), 6) AS shear FROM s""")
 def _(s, d):
     e = table(s, d, "events").select("event_id", (F.col("value") - 20).alias("u"), (F.get_json_object("props", "$.k").cast("double") - 50).alias("v"))
     sin, cos = C.wind_direction("u", "v")
@@ -227,16 +227,21 @@ def _(s, d):
 
 WINDOW = HOURLY + """, span AS (SELECT point_id, min(hour_utc) AS a, max(hour_utc) AS b FROM hourly GROUP BY 1), grid AS (SELECT point_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour_utc FROM span),
   seen AS (SELECT g.point_id, g.hour_utc, CAST(h.ts_any AS INT) AS ts_any, CAST(h.fog AS INT) AS fog, CASE WHEN h.n_obs IS NOT NULL THEN 1 END AS seen FROM grid g LEFT JOIN hourly h ON h.point_id = g.point_id AND h.hour_utc = g.hour_utc),
-  win AS (SELECT point_id, hour_utc, max(ts_any) OVER w AS ts_any, max(fog) OVER w AS fog, count(seen) OVER w AS cover FROM seen WINDOW w AS (PARTITION BY point_id ORDER BY hour_utc RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 HOUR FOLLOWING))"""
+  win AS (SELECT point_id, hour_utc, coalesce(max(ts_any) OVER w, 0) AS ts_any, coalesce(max(fog) OVER w, 0) AS fog, count(seen) OVER w AS cover FROM seen WINDOW w AS (PARTITION BY point_id ORDER BY hour_utc RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 HOUR FOLLOWING))"""
 
 
 def windows(s, d):
     return L.window_labels(hourly(s, d), ["ts_any", "fog"])
 
 
-@add("w1_window_labels", f"WITH {WINDOW} SELECT * FROM win")
+@add(
+    "w1_window_labels",
+    f"""WITH {WINDOW} SELECT win.*, round(h.value, 6) AS obs_value, h.k_min AS obs_k_min, coalesce(h.n_obs, 0) AS n_obs_hour
+    FROM win LEFT JOIN hourly h ON h.point_id = win.point_id AND h.hour_utc = win.hour_utc""",
+)
 def _(s, d):
-    return windows(s, d)
+    out = L.window_labels(hourly(s, d), ["ts_any", "fog"], values=["value", "k_min"], n_obs="n_obs")
+    return out.withColumn("obs_value", F.round("obs_value", 6))
 
 
 STEPS = OBS + """, steps AS (SELECT point_id, CAST(date_trunc('day', valid) AS DATE) AS run_date, CAST(6 * (1 + hour(valid) // 6) AS INTEGER) AS lead_h, round(avg(value), 6) AS t2m, round(max(k), 6) AS gust, round(sum(value) / 10, 6) AS rain FROM obs GROUP BY ALL)"""
@@ -306,9 +311,11 @@ def _(s, d):
     return X.complete_days(days(s, d, long_steps), 4, 2).select("point_id", "run_date", F.col("day_k").cast("long").alias("day_k"), "n_steps")
 
 
-@add("a4_window_extremes", f"WITH {STEPS} SELECT point_id, run_date, max(CASE WHEN lead_h % 12 = 0 THEN t2m END) AS window_max, min(CASE WHEN lead_h % 12 = 0 THEN t2m END) AS window_min FROM steps GROUP BY ALL")
+@add("a4_window_extremes", f"WITH {STEPS} SELECT point_id, run_date, max(CASE WHEN lead_h % 12 = 0 THEN t2m END) AS window_max, min(CASE WHEN lead_h % 12 = 0 AND rain > 2 THEN t2m END) AS window_min, round(avg(CASE WHEN lead_h % 12 = 0 THEN gust END), 6) AS window_max_spread, round(avg(CASE WHEN lead_h % 12 = 0 AND rain > 2 THEN rain END), 6) AS window_min_spread FROM steps GROUP BY ALL")
 def _(s, d):
-    return X.window_extremes(steps(s, d).withColumn("width_h", F.lit(12)), ["point_id", "run_date"], "t2m", "t2m", hours=12)
+    t = steps(s, d).withColumns({"width_h": F.lit(12), "low_h": F.when(F.col("rain") > 2, 12).otherwise(6)})
+    out = X.window_extremes(t, ["point_id", "run_date"], "t2m", "t2m", hours=12, low_width="low_h", spreads=("gust", "rain"))
+    return out.withColumns({c: F.round(c, 6) for c in ("window_max_spread", "window_min_spread")})
 
 
 @add("a5_utc_day_aggregates", f"""
@@ -372,6 +379,22 @@ def _(s, d):
     return X.day_windows(t, 3, ["rain"]).drop("run_date").withColumn("rain_sum", F.round("rain_sum", 4))
 
 
+@add(
+    "w6_rain_windows",
+    f"""WITH {OBS}, t AS (SELECT point_id, CAST(date_trunc('month', valid) AS DATE) AS run_date, day(valid) - 1 AS day_k, count(*) AS rain_buckets, round(avg(value), 4) AS m, max(value) AS x
+      FROM obs GROUP BY ALL HAVING count(*) >= 2),
+    w AS (SELECT a.point_id, a.run_date, a.day_k, a.run_date + CAST(a.day_k AS INTEGER) AS valid_date, a.m AS d0_rain_cell_mean_mm, b.m AS d1_rain_cell_mean_mm, a.x AS d0_rain_cell_max_mm, b.x AS d1_rain_cell_max_mm,
+        a.rain_buckets AS d0_rain_buckets, b.rain_buckets AS d1_rain_buckets FROM t a JOIN t b ON b.point_id = a.point_id AND b.run_date = a.run_date AND b.day_k = a.day_k + 1)
+    SELECT *, round(d0_rain_cell_mean_mm + d1_rain_cell_mean_mm, 4) AS sum2_rain_cell_mean_mm, greatest(d0_rain_cell_max_mm, d1_rain_cell_max_mm) AS max2_rain_cell_max_mm,
+      least(d0_rain_buckets, d1_rain_buckets) AS min2_rain_buckets FROM w""",
+)
+def _(s, d):
+    day = [F.trunc("valid", "month").alias("run_date"), (F.dayofmonth("valid") - 1).cast("long").alias("day_k")]
+    t = observations(s, d).groupBy("point_id", *day).agg(F.count(F.lit(1)).alias("rain_buckets"), F.round(F.avg("value"), 4).alias("rain_cell_mean_mm"), F.max("value").alias("rain_cell_max_mm"))
+    out = X.rain_windows(t, 2, ["rain_cell_mean_mm", "rain_cell_max_mm"], least_buckets=2)
+    return out.withColumn("sum2_rain_cell_mean_mm", F.round("sum2_rain_cell_mean_mm", 4))
+
+
 @add("j4_window_truth", f"""WITH {OBS}, t AS (SELECT point_id, CAST(valid AS DATE) AS day, round(sum(value), 4) AS rain FROM obs GROUP BY ALL),
     w AS (SELECT point_id, day AS d0, rain + lead(rain, 1) OVER o AS s, lead(day, 1) OVER o AS last FROM t WINDOW o AS (PARTITION BY point_id ORDER BY day)),
     x AS (SELECT point_id, d0 + 1 AS vd, round(s, 4) AS f FROM w WHERE last = d0 + 1) SELECT x.point_id, x.vd AS valid_date, x.f AS rain_sum, t.rain AS truth FROM x JOIN t ON t.point_id = x.point_id AND t.day = x.vd""")

@@ -24,10 +24,12 @@ def read_shards(spark: SparkSession, path: str | Sequence[str], keys: Sequence[s
     return df.dropDuplicates(list(keys)) if keys else df
 
 
-def read_thinned(spark: SparkSession, path: str | Sequence[str], dates: DataFrame, date: str, keys: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
-    """Only rows of the dates asked for, doubles as floats, one row for each key. A date partition prunes the scan."""
-    df = read_shards(spark, path, (), columns).join(dates.select(date).distinct(), date, "left_semi")
-    df = df.select(*[F.col(f.name).cast("float").alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
+def read_thinned(spark: SparkSession, path: str | Sequence[str], dates: DataFrame | None, date: str, keys: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
+    """Only rows of the dates asked for (all without ``dates``), doubles other than keys as floats, one row for each key. A date partition prunes the scan."""
+    df = read_shards(spark, path, (), columns)
+    df = df if dates is None else df.join(dates.select(date).distinct(), date, "left_semi")
+    narrow = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)} - set(keys)
+    df = df.select(*[F.col(c).cast("float").alias(c) if c in narrow else F.col(c) for c in df.columns])
     return df.dropDuplicates(list(keys)) if keys else df
 
 
