@@ -90,7 +90,8 @@ def time_window(df: DataFrame, text: str, now: str) -> DataFrame:
     """valid_from, valid_to, horizon and confidence of a question asked at ``now`` (local time).
 
     Explicit dates win, then relative days, then 'in N hours', which is the hour
-    itself; a part of the day narrows the window. Words count as whole words.
+    itself; a part of the day narrows the window. Words count as whole words. A day and month without year are the next such date
+    whose midnight is not past, so today's stands for next year's; a date that does not exist says nothing.
     """
     t, now_ = F.lower(F.coalesce(F.col(text), F.lit(""))), F.col(now).cast("timestamp")
     has = lambda p: t.rlike(rf"(?U)\b(?:{p})\b")
@@ -101,7 +102,7 @@ def time_window(df: DataFrame, text: str, now: str) -> DataFrame:
     month = F.array_position(F.array(*[F.lit(m) for m in months.split("|")]), F.regexp_extract(t, dm, 2)).cast("int")
     on = lambda year: F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, F.regexp_extract(t, dm, 1).try_cast("int")))
     this_year = on(F.year(now_))
-    named = F.when(this_year < day0, on(F.year(now_) + 1)).otherwise(this_year)
+    named = F.when(this_year.cast("timestamp") < now_, on(F.year(now_) + 1)).otherwise(this_year)
     week = F.weekday(now_)
     hours = F.regexp_extract(t, r"in (\d+) hours?", 1).try_cast("int")
     ahead = lambda n: F.date_add(day0, n)
@@ -114,7 +115,11 @@ def time_window(df: DataFrame, text: str, now: str) -> DataFrame:
     )
     named_day = (iso != "") | t.rlike(dm) | has("day after tomorrow|parso|परसों|tomorrow|kal|कल|today|tonight|next week|(?:coming|next) monday|weekend|next (?:3|three) days")
     in_hours = ~named_day & hours.isNotNull()
-    df = df.withColumns({"_t": t, "_d": day, "_in": F.coalesce(in_hours, F.lit(False)), "_h": hours, "_now": now_})
+    real, said = F.try_to_date(iso).isNotNull(), named.isNotNull()
+    next_week = has("next week") & ~has("parso|परसों|tomorrow|kal|कल|today|tonight")
+    sure = F.when(iso != "", F.when(real, 1.0).otherwise(0.5)).when(t.rlike(dm), F.when(said, 0.8).otherwise(0.9)).when(next_week, 0.7).otherwise(0.9)
+    dated = F.when(iso != "", real).otherwise(t.rlike(dm) & said)
+    df = df.withColumns({"_t": t, "_d": day, "_in": F.coalesce(in_hours, F.lit(False)), "_h": hours, "_now": now_, "_sure": sure, "_dated": dated})
     d = F.col("_d")
     at = lambda days, clock: F.to_timestamp(F.concat_ws(" ", F.date_add(d, days).cast("string"), F.lit(clock)))
     p = lambda w: F.col("_t").rlike(rf"\b{w}")
@@ -125,16 +130,14 @@ def time_window(df: DataFrame, text: str, now: str) -> DataFrame:
         .when(three, at(2, "23:59:59")).when(wk, at(6, "23:59:59")).otherwise(at(0, "23:59:59"))
     )
     some = p("morning") | p("afternoon") | p("evening") | F.col("_t").rlike("night")
-    confidence = (
-        F.when(F.col("_in"), 0.95).when(some & (iso != ""), 1.0).when(three & ~some, 0.8).when(wk, 0.7).when(iso != "", 1.0).when(F.col("_t").rlike(dm), 0.8)
-        .when(~some & (d == F.to_date("_now")) & ~F.col("_t").rlike(r"\b(?:tomorrow|today)\b"), 0.6).otherwise(0.9)
-    )
+    nothing = (d == F.to_date("_now")) & ~F.col("_dated") & ~F.col("_t").rlike(r"\b(?:tomorrow|today)\b")
+    confidence = F.when(F.col("_in"), 0.95).when(some, F.col("_sure")).when(three, 0.8).when(wk, 0.7).when(nothing, 0.6).otherwise(F.col("_sure"))
     hour_from = F.timestamp_add("HOUR", F.col("_h"), F.col("_now"))
     df = df.withColumns({"valid_from": F.when(F.col("_in"), hour_from).otherwise(start), "valid_to": F.when(F.col("_in"), F.timestamp_add("HOUR", F.lit(1), hour_from)).otherwise(end), "confidence": confidence})
     lead = F.datediff("valid_from", "_now")
     soon = F.unix_seconds("valid_to") - F.unix_seconds("_now") <= 6 * 3600
     horizon = F.when(F.col("_in") | ((lead == 0) & soon), "nowcast").when(lead <= 3, "short").when(lead <= 10, "medium").otherwise("climate")
-    return df.withColumn("horizon", horizon).drop("_t", "_d", "_in", "_h", "_now")
+    return df.withColumn("horizon", horizon).drop("_t", "_d", "_in", "_h", "_now", "_sure", "_dated")
 
 
 # Words that name a decision, a variable, a need.
@@ -205,15 +208,24 @@ def resolve_places(df: DataFrame, text: str, gazetteer: DataFrame, key: str) ->
 
 
 # --- spans --------------------------------------------------------------------------
-def slot_spans(df: DataFrame, text: str, values: dict[str, str]) -> DataFrame:
-    """spans (start, end, slot) of each value column found in the text by substring; reject_reason names the first that is not."""
-    spans, reasons = [], []
+def slot_spans(df: DataFrame, text: str, values: dict[str, str], optional: Sequence[str] = ()) -> DataFrame:
+    """spans (start, end, slot), in the order of ``values``, of each value column's first occurrence in the text; both are trimmed first.
+
+    reject_reason is missing_field without a text, slot_not_substring where a value is not in it or is not given; slots
+    that are ``optional`` may be left out. Rejected rows have no spans.
+    """
+    whole = F.trim(F.coalesce(F.col(text), F.lit("")))
+    spans, lost = [], F.lit(False)
     for slot, c in values.items():
-        at = F.expr(f"locate(lower(`{c}`), lower(`{text}`))")
-        given = F.col(c).isNotNull() & (F.length(c) > 0)
-        spans.append(F.when(given & (at > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(c)).alias("end"), F.lit(slot).alias("slot"))))
-        reasons.append(F.when(given & (at == 0), F.lit(f"{slot} not in text")))
-    return df.withColumns({"spans": F.array_sort(F.array_compact(F.array(*spans))), "reject_reason": F.coalesce(*reasons)})
+        value = F.trim(F.coalesce(F.col(c), F.lit("")))
+        at = F.position(value, whole)
+        given = (F.length(c) > 0) & F.col(c).isNotNull() if slot in optional else F.lit(True)
+        found = (value != "") & (at > 0)
+        spans.append(F.when(given & found, F.struct((at - 1).alias("start"), (at - 1 + F.length(value)).alias("end"), F.lit(slot).alias("slot"))))
+        lost = lost | (F.coalesce(given, F.lit(False)) & ~found)
+    reason = F.when(whole == "", "missing_field").when(lost, "slot_not_substring")
+    both = F.array_compact(F.array(*spans))
+    return df.withColumn("reject_reason", reason).withColumn("spans", F.when(F.col("reject_reason").isNull(), both).otherwise(F.slice(both, 1, 0)))
 
 
 def tokens_with_offsets(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -225,12 +237,14 @@ def tokens_with_offsets(df: DataFrame, text: str, key: str) -> DataFrame:
     return rows.select(key, "i", F.col("_x.w").alias("token"), (F.col("end") - F.length("_x.w")).alias("start"), "end")
 
 
-def bio_tags(tokens: DataFrame, spans: DataFrame, key: str, strict: bool = False) -> DataFrame:
+def bio_tags(tokens: DataFrame, spans: DataFrame, key: str, strict: bool = False, order: str | None = None) -> DataFrame:
     """(key, tokens, tags): B- on a span's first token and I- on the rest; a span inside a word tags the whole word.
 
+    Of two spans on one token that with the greater ``order`` (a column of ``spans``) tags it, without one the earlier.
     Rows with a span that touches no token go; with ``strict`` also those whose span does not begin and end with tokens.
     """
-    s = spans.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"), "slot").distinct()
+    rank = -F.col(order) if order else F.lit(0)
+    s = spans.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"), "slot", rank.alias("_rank")).groupBy(key, "_s", "_e", "slot").agg(F.min("_rank").alias("_rank"))
     meet = (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))
     touch = tokens.join(s, key).where(meet)
     first = Window.partitionBy(key, "_s", "_e", "slot")
@@ -239,7 +253,7 @@ def bio_tags(tokens: DataFrame, spans: DataFrame, key: str, strict: bool = False
     if strict:
         bad = bad.unionByName(touch.where("_a <> _s OR _z <> _e").select(key))
     tag = F.concat(F.when(F.col("i") == F.col("_first"), "B-").otherwise("I-"), F.col("slot"))
-    tags = touch.groupBy(key, "i").agg(F.min(F.struct("_s", "slot", tag.alias("t"))).alias("_t")).select(key, "i", "_t.t")
+    tags = touch.groupBy(key, "i").agg(F.min(F.struct("_rank", "_s", "slot", tag.alias("t"))).alias("_t")).select(key, "i", "_t.t")
     rows = tokens.join(tags, [key, "i"], "left").join(bad.distinct(), key, "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("i", "token", F.coalesce("t", F.lit("O")).alias("t"))))
     return rows.groupBy(key).agg(ordered.alias("_o")).select(key, F.col("_o.token").alias("tokens"), F.col("_o.t").alias("tags"))

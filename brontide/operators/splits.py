@@ -123,20 +123,22 @@ def tier_sample(df: DataFrame, tier_weight: Column, budget: float, *key: str) ->
     return rows.withColumns({"p_keep": p, "_u": uniform(*key)}).where("_u < p_keep").withColumn("weight", 1 / F.col("p_keep")).drop("_t", "_u")
 
 
-def cap_groups(df: DataFrame, split: str, group: str, most: int) -> DataFrame:
-    """Whole groups, at most ``most`` of each split, in hash order."""
+def cap_groups(df: DataFrame, split: str, group: str, most: int, others: int | None = None, main: str = "train") -> DataFrame:
+    """Whole groups, at most ``most`` of each split, in hash order; with ``others`` that many of the splits that are not ``main``. A sampling operator."""
     groups = df.select(split, group).distinct()
     order = Window.partitionBy(split).orderBy(F.md5(F.col(group).cast("string")), group)
-    kept = groups.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= most).drop("_i")
+    limit = F.lit(most) if others is None else F.when(F.col(split) == main, most).otherwise(others)
+    kept = groups.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= limit).drop("_i")
     return df.join(kept, [split, group], "left_semi")
 
 
-def largest_place(hits: DataFrame, name: str, population: str, lat: str, lon: str, *tie: str) -> DataFrame:
-    """The most populous hit of each name, then one for each pair of coordinates rounded to two digits."""
-    best = Window.partitionBy(name).orderBy(F.desc(population), *tie)
+def largest_place(hits: DataFrame, name: str, population: str, lat: str, lon: str, *tie: str, first: str | None = None) -> DataFrame:
+    """The most populous hit of each name (none given counts as 0), then one for each pair of coordinates rounded to two digits: of the name that comes ``first`` (a column of ranks), else the most populous."""
+    people = F.coalesce(F.col(population), F.lit(0)).desc()
+    best = Window.partitionBy(name).orderBy(people, *tie)
     one = hits.withColumn("_i", F.row_number().over(best)).where("_i = 1").drop("_i")
     one = one.withColumns({"_lat": F.round(lat, 2), "_lon": F.round(lon, 2)})
-    same = Window.partitionBy("_lat", "_lon").orderBy(F.desc(population), name)
+    same = Window.partitionBy("_lat", "_lon").orderBy(*([first] if first else [people]), name)
     return one.withColumn("_i", F.row_number().over(same)).where("_i = 1").drop("_i", "_lat", "_lon")
 
 

@@ -215,9 +215,18 @@ def slots(s, d):
     return c.withColumn("w", F.when(F.length("w") % 4 == 0, F.concat("w", F.lit("zz"))).otherwise(F.col("w")))
 
 
-@add("t1_slot_spans", f"WITH {SLOT}, x AS (SELECT conv_id || '/' || turn AS id, text, CASE WHEN length(w) % 4 = 0 THEN w || 'zz' ELSE w END AS w FROM sl), p AS (SELECT *, instr(lower(text), lower(w)) AS p FROM x) SELECT id, CASE WHEN p > 0 AND w <> '' THEN p - 1 END AS start, CASE WHEN w <> '' AND p = 0 THEN 'word not in text' END AS reject_reason FROM p")
+@add(
+    "t1_slot_spans",
+    f"""WITH {SLOT}, x AS (
+      SELECT conv_id || '/' || turn AS id, trim(text) AS text, trim(CASE WHEN length(w) % 4 = 0 THEN w || 'zz' ELSE w END) AS w, CASE WHEN length(w) % 3 = 0 THEN upper(w) END AS u FROM sl),
+    p AS (SELECT *, instr(text, w) AS p, instr(text, u) AS q FROM x),
+    r AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'missing_field' WHEN coalesce(w, '') = '' OR p = 0 OR (u <> '' AND q = 0) THEN 'slot_not_substring' END AS reject_reason FROM p)
+    SELECT id, CASE WHEN reject_reason IS NULL THEN p - 1 END AS start, reject_reason FROM r""",
+)
 def _(s, d):
-    o = O.slot_spans(slots(s, d), "text", {"word": "w"})
+    given = F.regexp_extract("text", r"\S+\s+(\S+)", 1)
+    t = slots(s, d).withColumn("u", F.when(F.length(given) % 3 == 0, F.upper(given)))
+    o = O.slot_spans(t, "text", {"word": "w", "loud": "u"}, ["loud"])
     return o.select("id", F.get("spans", 0)["start"].cast("long").alias("start"), "reject_reason")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import answers as A
 from ..operators import contracts as Q
 from ..operators import fusion as E
 from ..operators import products as P
@@ -401,6 +402,40 @@ def _(s, d):
     return P.answer_rows(o, targets).select("point_id", "statistic", "value", "unit", "conditional", "valid_from", "valid_to")
 
 
+@add(
+    "r6_answer_evidence",
+    """WITH a AS (
+      SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS point_id, CAST(o_orderdate AS TIMESTAMP) AS run, o_totalprice / 1e6 AS p, CASE WHEN o_orderkey % 4 < 3 THEN o_totalprice END AS mm,
+        CASE o_orderkey % 7 WHEN 0 THEN 'thunderstorm' WHEN 1 THEN 'tmax_range' WHEN 2 THEN 'rain_curve' WHEN 3 THEN 'rain_7day_total' WHEN 4 THEN 'heatwave_imd' WHEN 5 THEN 'other_model' ELSE 'rain_3day_any_15mm' END AS target
+      FROM orders WHERE o_orderstatus <> 'F'),
+    r AS (
+      SELECT a.*, 'thunderstorm_probability' AS variable, 'probability' AS statistic, NULL AS value, p AS probability FROM a WHERE target = 'thunderstorm'
+      UNION ALL SELECT a.*, 'other', 'probability', NULL, p FROM a WHERE target = 'heatwave_imd'
+      UNION ALL SELECT a.*, 'temperature_max', 'max', mm, NULL FROM a WHERE target = 'tmax_range'
+      UNION ALL SELECT a.*, 'precipitation_probability', 'probability', NULL, p FROM a WHERE target IN ('rain_curve', 'rain_3day_any_15mm')
+      UNION ALL SELECT a.*, 'rainfall_distribution', 'probability', NULL, NULL FROM a WHERE target IN ('rain_curve', 'rain_7day_total')
+      UNION ALL SELECT a.*, 'precipitation_amount', 'accumulation', mm, NULL FROM a WHERE target IN ('rain_curve', 'rain_7day_total') AND mm IS NOT NULL),
+    w AS (SELECT *, CASE WHEN target = 'thunderstorm' THEN INTERVAL '22 hours 30 minutes' WHEN target IN ('tmax_range', 'heatwave_imd') THEN INTERVAL '-5 hours -30 minutes' ELSE INTERVAL 0 HOUR END AS off,
+        CASE target WHEN 'thunderstorm' THEN 3 WHEN 'rain_7day_total' THEN 168 WHEN 'rain_3day_any_15mm' THEN 72 ELSE 24 END AS hours FROM r)
+    SELECT o_orderkey, point_id, variable, statistic, value, probability, run + off AS valid_from, run + off + to_hours(hours) AS valid_to, CASE WHEN target = 'thunderstorm' THEN 24.0 END AS lead_h,
+      CASE WHEN target NOT IN ('tmax_range', 'heatwave_imd') THEN CAST(hours AS DOUBLE) END AS accumulation_h, 'events:' || target AS model_name,
+      CASE WHEN variable = 'precipitation_amount' THEN CASE WHEN target = 'rain_curve' THEN 1.0 ELSE 2.5 END END AS wet_mm FROM w""",
+)
+def _(s, d):
+    names = ("thunderstorm", "tmax_range", "rain_curve", "rain_7day_total", "heatwave_imd", "other_model", "rain_3day_any_15mm")
+    target = F.get(F.array(*[F.lit(n) for n in names]), (F.col("o_orderkey") % 7).cast("int"))
+    mm, p, day = F.when(F.col("o_orderkey") % 4 < 3, F.col("o_totalprice")), F.col("o_totalprice") / 1e6, F.to_date("o_orderdate")
+    on = lambda *t: F.when(target.isin(*t), day)
+    a = table(s, d, "orders").select(
+        target.alias("target"), F.col("o_custkey").cast("string").alias("point_id"), day.alias("run"), F.lit(True).alias("available"), (F.col("o_orderstatus") != "F").alias("validated"), F.col("o_orderkey").cast("string").alias("zone"),
+        on("thunderstorm").cast("timestamp").alias("_v"), F.lit(24.0).alias("lead_h"), on("tmax_range", "heatwave_imd").alias("local_day"), on("rain_curve").alias("utc_day"), on("rain_7day_total", "rain_3day_any_15mm").alias("window_start"),
+        p.alias("probability"), p.alias("p_any_rain"), mm.alias("q50"), F.create_map(F.lit("p50"), mm).alias("amount"), F.create_map(F.lit("2.5"), p).alias("exceedance"), F.lit(2.5).alias("wet_mm"),
+    )
+    out = A.evidence_of_answers(a.withColumn("valid_time", F.timestamp_add("HOUR", F.lit(24), F.col("_v"))).drop("_v"))
+    key, wet = F.variant_get("extra", "$.zone", "string").cast("long"), F.variant_get("extra", "$.wet_threshold_mm", "double")
+    return out.select(key.alias("o_orderkey"), "point_id", "variable", "statistic", "value", "probability", "valid_from", "valid_to", "lead_h", "accumulation_h", "model_name", wet.alias("wet_mm"))
+
+
 # --- contracts and gates --------------------------------------------------------------
 @add("c1_forecast_truth", f"""WITH {FC}, x AS (
       SELECT count(*) AS n, avg(CASE WHEN truth IS NOT NULL THEN 1.0 ELSE 0 END) AS t, max(abs(a - truth)) AS d, max(abs(truth - truth)) AS e, count(CASE WHEN l_linenumber = 99 THEN a END) AS k FROM fc)
