@@ -16,13 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .license_texts import TEXTS
 from .shared import as_bytes, chunks_by_bytes, mix64, word_spans
 
 GRAM, WINNOW, BAND = 3, 2, 12
 #: Share of a template's words that a report needs.
 COVERAGE = 0.8
 
-# Public licence notices and texts.
+# Public licence notices and opening paragraphs; whole texts and file headers come after them.
 TEMPLATES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
@@ -42,7 +43,7 @@ TEMPLATES = {
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+} | TEXTS
 
 _PARTS = np.ones(256, bool)
 _PARTS[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = False
