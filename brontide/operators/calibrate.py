@@ -221,7 +221,7 @@ def _mixed(a: str, b: str, w: float) -> Column:
 
 
 def rank_features(long: DataFrame, group: Sequence[str], history: DataFrame, sources: Sequence[str], authority: dict[str, float], month: str) -> DataFrame:
-    """One-hot source, deviation from the group's mean, spread, range, historical error (place and lead, place, overall), prior and monsoon flag."""
+    """One-hot source, deviation from the group's mean, spread, range, prior, monsoon flag, and historical errors: by place and lead, by place, by source, each with the next as fallback."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group)
@@ -234,7 +234,7 @@ def rank_features(long: DataFrame, group: Sequence[str], history: DataFrame, sou
     return out.withColumns({
         **{f"is_{s}": (F.col("source") == s).cast("int") for s in sources},
         "deviation": F.col("value") - F.avg("value").over(w), "spread": F.stddev_pop("value").over(w), "range": F.max("value").over(w) - F.min("value").over(w),
-        "history_mae": F.coalesce("_h1", "_h2", "_h3"), "prior": prior, "monsoon": F.col(month).between(6, 9).cast("int"),
+        "history_mae": F.coalesce("_h1", "_h2", "_h3"), "history_mae_place": F.coalesce("_h2", "_h3"), "history_mae_source": F.col("_h3"), "prior": prior, "monsoon": F.col(month).between(6, 9).cast("int"),
     }).drop("_h1", "_h2", "_h3")
 
 

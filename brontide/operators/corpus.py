@@ -259,15 +259,19 @@ def bio_tags(tokens: DataFrame, spans: DataFrame, key: str, strict: bool = False
     return rows.groupBy(key).agg(ordered.alias("_o")).select(key, F.col("_o.token").alias("tokens"), F.col("_o.t").alias("tags"))
 
 
-def bio_spans(df: DataFrame, key: str, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
-    """(key, slot, first, last, text): runs of tags as slots, by gaps and islands; edge punctuation is trimmed. An I- tag that no B- of its slot leads to opens nothing."""
+def bio_spans(df: DataFrame, key: str, tokens: str = "tokens", tags: str = "tags", orphans: bool = False) -> DataFrame:
+    """(key, slot, first, last, text): runs of tags as slots, by gaps and islands; edge punctuation is trimmed.
+
+    An I- tag that no B- of its slot leads to opens nothing; with ``orphans``, as scores of spans count them, it opens a slot.
+    """
     rows = df.select(key, F.posexplode(F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t"))).alias("i", "_x")).select(key, "i", F.col("_x.w").alias("w"), F.col("_x.t").alias("t"))
     rows = rows.withColumns({"slot": F.nullif(F.substring("t", 3, 100), F.lit("")), "_k": F.substring("t", 1, 1)})
     order = Window.partitionBy(key).orderBy("i")
     fresh = (F.col("_k") == "B") | ~F.col("slot").eqNullSafe(F.lag("slot").over(order))
     rows = rows.withColumn("_run", F.sum(fresh.cast("int")).over(order)).where("slot IS NOT NULL")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ")
-    out = rows.groupBy(key, "_run", "slot").agg(F.min("i").alias("first"), F.max("i").alias("last"), text.alias("text"), F.min_by("_k", "i").alias("_k")).where("_k = 'B'")
+    out = rows.groupBy(key, "_run", "slot").agg(F.min("i").alias("first"), F.max("i").alias("last"), text.alias("text"), F.min_by("_k", "i").alias("_k"))
+    out = out if orphans else out.where("_k = 'B'")
     return out.select(key, "slot", "first", "last", F.regexp_replace("text", r"^\p{Punct}+|\p{Punct}+$", "").alias("text"))
 
 

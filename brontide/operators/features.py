@@ -229,6 +229,31 @@ def impute_members(df: DataFrame, members: list[str], least: int = 2) -> DataFra
     return df.withColumns({m: F.coalesce(F.col(m), F.col("_mean")) for m in members}).drop("_mean")
 
 
+def member_features(df: DataFrame, target: str, members: dict[str, list[str]], wet: dict[str, float], lead="lead_hours", age="lead_age_days", hour="hour_utc", doy="doy", elevation="elevation_m", least: int = 2) -> DataFrame:
+    """The rows with at least ``least`` live members of ``target`` and, beside their columns, what a corrector of several models learns from.
+
+    ``members`` names the columns of each variable's models. Columns made: the target's members with the row's mean where one
+    is missing (x_<member>) and flags (<member>_missing), its summary (target_n, _mean, _min, ...), mean and sd of every other
+    variable (<variable>_mean, <variable>_sd), cyclic hour and day, elevation in km. A number that is not finite is missing; other missing numbers are 0.
+    """
+    import math
+
+    finite = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double"))
+    whole = lambda v: F.array(*[finite(c) for c in members[v]])
+    out = ensemble_summary(df.withColumn("_m", whole(target)), "_m", wet.get(target)).where(F.col("ens_n") >= least)
+    made = {f"x_{c}": F.coalesce(finite(c), F.col("ens_mean"), F.lit(0.0)) for c in members[target]} | {f"{c}_missing": finite(c).isNull().cast("int") for c in members[target]}
+    out = out.withColumns(made).drop("_m")
+    out = out.withColumnsRenamed({c: c.replace("ens_", "target_", 1) for c in out.columns if c.startswith("ens_") and c not in df.columns})
+    for v in members:
+        if v != target:
+            other = ensemble_summary(out.withColumn("_m", whole(v)), "_m").withColumns({f"{v}_mean": F.coalesce("ens_mean", F.lit(0.0)), f"{v}_sd": F.coalesce("ens_sd", F.lit(0.0))})
+            out = other.select(*out.columns, f"{v}_mean", f"{v}_sd")
+    turn = lambda c, period: 2 * math.pi * F.col(c) / period
+    cyclic = {f"{name}_{f.__name__}": F.coalesce(f(turn(c, p)), F.lit(0.0)) for name, c, p in (("hour", hour, 24), ("doy", doy, 365.25)) for f in (F.sin, F.cos)}
+    plain = {c: F.coalesce(finite(c), F.lit(0.0)) for c in (lead, age)}
+    return out.withColumns(cyclic | plain | {"elevation_km": F.coalesce(finite(elevation) / 1000, F.lit(0.0))})
+
+
 def wide_to_long_lead(df: DataFrame, keys: list[str], pattern: str = r"^(.+)_previous_day(\d+)_(.+)$", hour="hour_utc") -> DataFrame:
     """(keys, variable, model, lead_days, lead_hours, value) from columns named by variable, lead age and model."""
     import re

@@ -282,42 +282,76 @@ def pairwise_accuracy(long: DataFrame, group: list[str], score: str, relevance:
 
 
 def following_errors(long: DataFrame, group: list[str], score: str, value: str, truth: str, order: list[str]) -> DataFrame:
-    """RMSE of following the top-scored source, a fixed order, the mean of all, and the best there is."""
+    """RMSE of following the top-scored source (ties: the first by name), a fixed order, the mean of all, and the best there is.
+
+    Also the skill of the pick over the fixed order, and the share of groups whose source of that order is the best one.
+    """
     e = F.col(value) - F.col(truth)
     fixed = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("source"))
     g = long.groupBy(*group).agg(
-        F.max(F.struct(F.col(score), F.col("source"), (e * e).alias("q"))).alias("_pick"), F.min(F.struct(fixed.alias("f"), (e * e).alias("q"))).alias("_fix"),
+        F.min(F.struct((-F.col(score)).alias("s"), F.col("source"), (e * e).alias("q"))).alias("_pick"), F.min(F.struct(fixed.alias("f"), (e * e).alias("q"))).alias("_fix"),
         F.avg(e).alias("_mean"), F.min(e * e).alias("_best"),
     )
     rmse = lambda x: F.sqrt(F.avg(x))
-    return g.agg(F.count(F.lit(1)).alias("groups"), rmse(F.col("_pick.q")).alias("rmse_pick"), rmse(F.col("_fix.q")).alias("rmse_fixed"), rmse(F.col("_mean") * F.col("_mean")).alias("rmse_mean"), rmse(F.col("_best")).alias("rmse_oracle"))
+    return g.agg(
+        F.count(F.lit(1)).alias("groups"), rmse(F.col("_pick.q")).alias("rmse_pick"), rmse(F.col("_fix.q")).alias("rmse_fixed"), rmse(F.col("_mean") * F.col("_mean")).alias("rmse_mean"), rmse(F.col("_best")).alias("rmse_oracle"),
+        (1 - F.try_divide(rmse(F.col("_pick.q")), rmse(F.col("_fix.q")))).alias("skill_vs_fixed"), F.avg((F.col("_fix.q") == F.col("_best")).cast("double")).alias("fixed_is_best"),
+    )
 
 
 def preference(long: DataFrame, group: list[str], score: str, by: list[str], least: int = 200) -> DataFrame:
-    """How often each source is the top pick, for each value of ``by`` with enough groups."""
-    g = long.groupBy(*group, *by).agg(F.max(F.struct(F.col(score), F.col("source"))).alias("_p"))
+    """How often each source is the top pick (ties: the first by name), for each value of ``by`` with enough groups."""
+    g = long.groupBy(*group, *by).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col("source"))).alias("_p"))
     t = g.groupBy(*by, F.col("_p.source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(*by))
     return t.withColumn("_t", total).where(F.col("_t") >= least).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
-def classification(df: DataFrame, truth: str, predicted: str, abstain: str = "unknown") -> DataFrame:
-    """Accuracy, macro- and micro-F1, accuracy on mapped rows, abstention precision and recall, rates of wrong and invented labels."""
+def classification(df: DataFrame, truth: str, predicted: str, abstain: str = "unknown", by: list[str] = ()) -> DataFrame:
+    """Accuracy, macro- and micro-F1, accuracy and coverage of rows that have a label, abstention precision and recall, rates of wrong and invented labels.
+
+    Rows whose truth is ``abstain`` have none. Shares of no rows are 0. The macro-F1 is over labels that are true or predicted somewhere.
+    """
+    by = list(by)
     t, p = F.col(truth), F.col(predicted)
-    cell = df.groupBy(t.alias("t"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    marks = cell.select(F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("tp")))).alias("m")).select("m.*")
-    per = marks.groupBy("c").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("tp").alias("tp"))
+    cell = df.groupBy(*by, t.alias("t"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    marks = cell.select(*by, F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("tp")))).alias("m")).select(*by, "m.*")
+    per = marks.groupBy(*by, "c").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("tp").alias("tp"))
     f1 = F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("said"))
-    macro = per.agg(F.avg(F.coalesce(f1, F.lit(0.0))).alias("macro_f1"))
+    macro = per.groupBy(*by).agg(F.avg(F.coalesce(f1, F.lit(0.0))).alias("macro_f1"))
     n, same = F.sum("n"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0))
-    mapped = F.sum(F.when(F.col("p") != abstain, F.col("n")).otherwise(0))
-    right = F.sum(F.when((F.col("p") != abstain) & (F.col("t") == F.col("p")), F.col("n")).otherwise(0))
+    has = F.col("t") != abstain
+    mapped, covered = F.sum(F.when(has, F.col("n")).otherwise(0)), F.sum(F.when(has & (F.col("p") != abstain), F.col("n")).otherwise(0))
+    right = F.sum(F.when(has & (F.col("t") == F.col("p")), F.col("n")).otherwise(0))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     both = F.sum(F.when((F.col("p") == abstain) & (F.col("t") == abstain), F.col("n")).otherwise(0))
     said, due = F.sum(F.when(F.col("p") == abstain, F.col("n")).otherwise(0)), F.sum(F.when(F.col("t") == abstain, F.col("n")).otherwise(0))
     wrong = F.sum(F.when((F.col("p") != abstain) & (F.col("t") != abstain) & (F.col("t") != F.col("p")), F.col("n")).otherwise(0))
     invented = F.sum(F.when((F.col("p") != abstain) & (F.col("t") == abstain), F.col("n")).otherwise(0))
-    whole = cell.agg(n.alias("n"), (same / n).alias("accuracy"), (same / n).alias("micro_f1"), F.try_divide(right, mapped).alias("mapped_accuracy"), F.try_divide(both, said).alias("abstain_precision"), F.try_divide(both, due).alias("abstain_recall"), (wrong / n).alias("misassigned"), (invented / n).alias("invented"))
-    return whole.join(F.broadcast(macro))  # one row
+    whole = cell.groupBy(*by).agg(
+        n.alias("n"), (same / n).alias("accuracy"), (same / n).alias("micro_f1"), share(right, mapped).alias("mapped_accuracy"), share(covered, mapped).alias("mapped_coverage"),
+        share(both, said).alias("abstain_precision"), share(both, due).alias("abstain_recall"), (wrong / n).alias("misassigned"), (invented / n).alias("invented"),
+    )
+    return whole.join(macro, by) if by else whole.join(F.broadcast(macro))  # one row
+
+
+def label_sets(df: DataFrame, truth: str, predicted: str, by: list[str] = (), least: int = 0) -> DataFrame:
+    """(by, n, micro_f1, macro_f1, exact_match) of arrays of labels, one pair of arrays a row, for groups of at least ``least`` rows.
+
+    Repeated labels count once, null arrays are empty. The macro-F1 is over labels that are true or predicted in the group.
+    """
+    by, none = list(by), F.array().cast("array<string>")
+    t = df.select(*by, F.array_distinct(F.coalesce(F.array_compact(truth), none)).alias("_t"), F.array_distinct(F.coalesce(F.array_compact(predicted), none)).alias("_p"))
+    exact = F.array_sort("_t") == F.array_sort("_p")
+    whole = t.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(exact.cast("double")).alias("exact_match"))
+    each = t.select(*by, F.explode(F.array_union("_t", "_p")).alias("_c"), "_t", "_p")
+    true, said = F.array_contains("_t", F.col("_c")).cast("long"), F.array_contains("_p", F.col("_c")).cast("long")
+    per = each.groupBy(*by, "_c").agg(F.sum(true).alias("g"), F.sum(said).alias("s"), F.sum(true * said).alias("b"))
+    f1 = lambda b, g, s: F.coalesce(F.try_divide(2.0 * b, g + s), F.lit(0.0))
+    scores = per.groupBy(*by).agg(f1(F.sum("b"), F.sum("g"), F.sum("s")).alias("micro_f1"), F.avg(f1(F.col("b"), F.col("g"), F.col("s"))).alias("macro_f1"))
+    out = whole.where(F.col("n") >= least)
+    out = out.join(scores, by, "left") if by else out.join(F.broadcast(scores))  # one row
+    return out.fillna(0.0, ["micro_f1", "macro_f1"])
 
 
 def slot_f1(gold: DataFrame, found: DataFrame, key: str, by: list[str] = ()) -> DataFrame:

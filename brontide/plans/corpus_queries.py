@@ -256,6 +256,21 @@ def _(s, d):
     return rounded(M.slot_f1(spans(gold), spans(said), "id"))
 
 
+@add(
+    "m19_label_sets",
+    r"""WITH w AS (SELECT conv_id % 5 AS language, list_distinct(list_transform(regexp_extract_all(text, '\S+'), lambda x: left(x, 1))) AS t, list_distinct(list_transform(regexp_extract_all(text, '\S+'), lambda x: right(x, 1))) AS p FROM conversations),
+    e AS (SELECT language, unnest(list_distinct(list_concat(t, p))) AS c, t, p FROM w),
+    k AS (SELECT language, c, sum(CAST(list_contains(t, c) AS INT)) AS g, sum(CAST(list_contains(p, c) AS INT)) AS s, sum(CAST(list_contains(t, c) AND list_contains(p, c) AS INT)) AS b FROM e GROUP BY ALL),
+    f AS (SELECT language, round(2 * sum(b) / (sum(g) + sum(s)), 6) AS micro_f1, round(avg(2 * b / (g + s)), 6) AS macro_f1 FROM k GROUP BY 1),
+    n AS (SELECT language, count(*) AS n, round(avg(CASE WHEN list_sort(t) = list_sort(p) THEN 1.0 ELSE 0 END), 6) AS exact_match FROM w GROUP BY 1 HAVING count(*) >= 25)
+    SELECT * FROM n JOIN f USING (language)""",
+)
+def _(s, d):
+    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
+    c = table(s, d, "conversations").select((F.col("conv_id") % 5).alias("language"), F.transform(words, lambda w: F.left(w, F.lit(1))).alias("t"), F.transform(words, lambda w: F.right(w, F.lit(1))).alias("p"))
+    return rounded(M.label_sets(c, "t", "p", ["language"], 25))
+
+
 @add("t4_templates")
 def _(s, d):
     t = s.createDataFrame([(i, x) for i, x in enumerate(("Will it rain in {place} {time}?", "Wind at {place} {time}", "{time} in {place}: spray or wait?"))], "template_id int, template string")
@@ -280,7 +295,7 @@ def _(s, d):
     return rounded(m.select("vec_id", "mapped", "nearest", "similarity"))
 
 
-@add("m18_mapping_scores", f"WITH {MAPPED}, t AS (SELECT CAST(label AS VARCHAR) AS t, CASE WHEN s >= 0.3 THEN l ELSE 'unknown' END AS p FROM r WHERE i = 1) SELECT count(*) AS n, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0 END), 6) AS accuracy, round(sum(CASE WHEN t = p AND p <> 'unknown' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN p <> 'unknown' THEN 1 ELSE 0 END), 0), 6) AS mapped_accuracy, round(avg(CASE WHEN p <> 'unknown' AND t <> p THEN 1.0 ELSE 0 END), 6) AS misassigned FROM t")
+@add("m18_mapping_scores", f"WITH {MAPPED}, t AS (SELECT CAST(label AS VARCHAR) AS t, CASE WHEN s >= 0.3 THEN l ELSE 'unknown' END AS p FROM r WHERE i = 1) SELECT count(*) AS n, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0 END), 6) AS accuracy, round(sum(CASE WHEN t = p AND t <> 'unknown' THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN t <> 'unknown' THEN 1 ELSE 0 END), 0), 6) AS mapped_accuracy, round(avg(CASE WHEN p <> 'unknown' AND t <> p THEN 1.0 ELSE 0 END), 6) AS misassigned FROM t")
 def _(s, d):
     e = table(s, d, "embeddings")
     m = K.map_by_vectors(e, centroids(s, d), "vec_id", "embedding", "label", 0.3).join(e.select("vec_id", F.col("label").cast("string").alias("t")), "vec_id")

@@ -193,7 +193,7 @@ def _(s, d):
 
 
 @add("m16_following_errors", f"""WITH {LONG}, g AS (SELECT max(CASE WHEN source = 'b' THEN (value - truth) * (value - truth) END) AS pick, max(CASE WHEN source = 'a' THEN (value - truth) * (value - truth) END) AS fix, avg(value - truth) AS m, min((value - truth) * (value - truth)) AS best FROM long GROUP BY l_orderkey, l_linenumber, l_partkey)
-    SELECT count(*) AS groups, round(sqrt(avg(pick)), 4) AS rmse_pick, round(sqrt(avg(fix)), 4) AS rmse_fixed, round(sqrt(avg(m * m)), 3) AS rmse_mean, round(sqrt(avg(best)), 4) AS rmse_oracle FROM g""")
+    SELECT count(*) AS groups, round(sqrt(avg(pick)), 4) AS rmse_pick, round(sqrt(avg(fix)), 4) AS rmse_fixed, round(sqrt(avg(m * m)), 3) AS rmse_mean, round(sqrt(avg(best)), 4) AS rmse_oracle, round(1 - sqrt(avg(pick)) / sqrt(avg(fix)), 4) AS skill_vs_fixed, round(avg(CASE WHEN fix = best THEN 1.0 ELSE 0 END), 4) AS fixed_is_best FROM g""")
 def _(s, d):
     m = rounded(M.following_errors(long_sources(s, d), GROUP, "authority", "value", "truth", ["a", "b", "c", "d"]), 4)
     return m.withColumn("rmse_mean", F.round("rmse_mean", 3))
@@ -268,6 +268,24 @@ def _(s, d):
     return X.impute_members(f, ["a", "b", "c"]).groupBy("loc").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a"), 3).alias("a"), F.round(F.avg("c"), 3).alias("c"), F.sum("a_missing").alias("a_missing"), F.sum("c_missing").alias("c_missing"))
 
 
+@add(
+    "f11_member_features",
+    f"""WITH {FC}, m AS (
+      SELECT zone, quantity, a, CASE WHEN quantity > 25 THEN NULL ELSE b END AS b, CASE WHEN quantity > 45 THEN NULL ELSE c END AS c, CASE WHEN lead_h % 2 = 0 THEN quantity END AS u, truth AS v, lead_h, month FROM fc),
+    n AS (SELECT *, list_filter([CASE WHEN quantity > 48 THEN NULL ELSE a END, b, c], lambda x: x IS NOT NULL) AS l, list_filter([u, v], lambda x: x IS NOT NULL) AS o FROM m)
+    SELECT zone, count(*) AS n, round(avg(coalesce(b, list_avg(l))), 3) AS x_b, sum(CAST(b IS NULL AS INT)) AS b_missing, round(avg(list_stddev_pop(l)), 3) AS target_sd,
+      round(avg(list_avg(o)), 3) AS other_mean, round(avg(sin(2 * pi() * month / 24)), 6) AS hour_sin, round(avg(cos(2 * pi() * month / 365.25)), 6) AS doy_cos
+    FROM n WHERE len(l) >= 2 GROUP BY 1""",
+)
+def _(s, d):
+    q = F.col("quantity")
+    f = forecasts(s, d).select("zone", F.when(q <= 48, F.col("a")).alias("a"), F.when(q <= 25, F.col("b")).alias("b"), F.when(q <= 45, F.col("c")).alias("c"), F.when(F.col("lead_h") % 2 == 0, q).alias("u"), F.col("truth").alias("v"), F.col("lead_h").alias("lead_hours"), "month")
+    f = f.withColumns({"lead_age_days": F.lit(1.0), "hour_utc": F.col("month"), "doy": F.col("month"), "elevation_m": F.lit(None).cast("double")})
+    m = X.member_features(f, "t", {"t": ["a", "b", "c"], "other": ["u", "v"]}, {})
+    mean = lambda c, n=3: F.round(F.avg(c), n).alias(c)
+    return m.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), mean("x_b"), F.sum("b_missing").alias("b_missing"), mean("target_sd"), mean("other_mean"), mean("hour_sin", 6), mean("doy_cos", 6))
+
+
 @add("a19_ensemble_summary", f"""WITH {FC}, m AS (SELECT zone, list_filter([a, b, CASE WHEN quantity > 40 THEN NULL ELSE c END, d], lambda x: x IS NOT NULL) AS m FROM fc) SELECT zone, count(*) AS n, round(avg(list_avg(m)), 3) AS mean, round(avg(list_stddev_pop(m)), 3) AS sd, round(avg(list_median(m)), 3) AS median, round(avg(list_min(m)), 3) AS low, round(avg(list_max(m)), 3) AS high, round(avg(len(list_filter(m, lambda x: x > 50000)) / len(m)), 6) AS wet, round(avg(list_stddev_pop(m) / (abs(list_avg(m)) + 1)), 6) AS spread_ratio FROM m GROUP BY 1""")
 def _(s, d):
     f = forecasts(s, d).withColumn("m", F.array("a", "b", F.when(F.col("quantity") <= 40, F.col("c")), "d"))
