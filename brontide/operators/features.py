@@ -26,12 +26,21 @@ DAILY_REDUCERS = {
     "refc_max": ("refc", "max"), "cwat_max": ("cwat", "max"),
 }
 # Fields of the extension whose daily mean, maximum and minimum are kept.
-EXTENSION_MEAN = """wind850 wind200 shear_850_200 shear_850_500 rh850 rh700 rh500 t850_c t500_c z500 lapse_850_500 thickness_850_500 k_index total_totals vort850_e5 div850_e5 mfc850_e7 q850_gkg upslope10
-    pgrad_hpa100km t2m_nb9_std tskin_c q2m_gkg soilw dswrf lcc mcc hcc absv500 wdir10_sin wdir10_cos wdir850_sin wdir850_cos dpt_depr_700 avg_t2m_c spr_t2m_c avg_rh2m spr_rh2m avg_pwat spr_pwat avg_tcc
-    spr_tcc avg_prmsl_hpa spr_prmsl_hpa avg_wind10 avg_dswrf avg_soilw lhtfl shtfl""".split()
-EXTENSION_MAX = """wind850 k_index total_totals mfc850_e7 vort850_e5 upslope10 pgrad_hpa100km cape255 cape90 hlcy prate_mmh tskin_c absv500 avg_cape spr_cape avg_cape_ml avg_crain avg_gust spr_gust avg_hlcy
-    spr_hlcy apcp_nb5_max apcp_nb9_max cape_nb5_max cape_nb9_max refc_nb5_max gust_nb5_max spr_apcp lftx4""".split()
-EXTENSION_MIN = "w850 w700 w500 rh700 cin180 lftx4 avg_cin div850_e5 lapse_850_500".split()
+EXTENSION_MEAN = [
+    "wind850", "wind200", "shear_850_200", "shear_850_500", "rh850", "rh700", "rh500", "t850_c", "t500_c", "z500", "lapse_850_500",
+    "thickness_850_500", "k_index", "total_totals", "vort850_e5", "div850_e5", "mfc850_e7", "q850_gkg", "upslope10", "pgrad_hpa100km", "t2m_nb9_std",
+    "tskin_c", "q2m_gkg", "soilw", "dswrf", "lcc", "mcc", "hcc", "absv500", "wdir10_sin", "wdir10_cos", "wdir850_sin", "wdir850_cos", "dpt_depr_700",
+    "avg_t2m_c", "spr_t2m_c", "avg_rh2m", "spr_rh2m", "avg_pwat", "spr_pwat", "avg_tcc", "spr_tcc", "avg_prmsl_hpa", "spr_prmsl_hpa", "avg_wind10",
+    "avg_dswrf", "avg_soilw", "lhtfl", "shtfl",
+]
+EXTENSION_MAX = [
+    "wind850", "k_index", "total_totals", "mfc850_e7", "vort850_e5", "upslope10", "pgrad_hpa100km", "cape255", "cape90", "hlcy", "prate_mmh",
+    "tskin_c", "absv500", "avg_cape", "spr_cape", "avg_cape_ml", "avg_crain", "avg_gust", "spr_gust", "avg_hlcy", "spr_hlcy", "apcp_nb5_max",
+    "apcp_nb9_max", "cape_nb5_max", "cape_nb9_max", "refc_nb5_max", "gust_nb5_max", "spr_apcp", "lftx4",
+]
+EXTENSION_MIN = [
+    "w850", "w700", "w500", "rh700", "cin180", "lftx4", "avg_cin", "div850_e5", "lapse_850_500",
+]
 
 
 def _with_fields(steps: DataFrame, spec: dict[str, tuple[str, str]]) -> DataFrame:

@@ -70,14 +70,18 @@ def reanalysis_payload(df: DataFrame, payload: str) -> DataFrame:
 _RECORD = "city string, station string, district string, forecast_date string, date string, issued_at string, issue_time string, valid_from string, valid_to string, observed_at string, time string, temp_max double, temp_min double, temperature double, rainfall double, actual double, wind_speed double, colour string, color string, severity string, hazard string, event string, category string, code string, condition string"
 
 
+_OTHER_PRODUCTS = ("current", "observation", "warning", "district_warning", "nowcast", "rainfall")
+
+
 def national_record(df: DataFrame, payload: str, product: str = "product") -> DataFrame:
-    """Records of five products (forecast, current, warning, nowcast, rainfall) to rows, fields that are there only. Times without zone are local."""
+    """Records of five products (forecast, current, warning, nowcast, rainfall) to rows, fields that are there only; any other product is read as a forecast. Times without zone are local."""
     r = df.select("payload_id", F.lower(product).alias("_p"), F.from_json(payload, _RECORD).alias("r"))
     g = lambda *names: F.coalesce(*[F.col(f"r.{n}") for n in names])
     t = lambda *names: any_time(g(*names))
 
     def row(product: str, cls: str, variable: str, value: Column, unit: str | None, stat: str, window: float | None, start: Column, end: Column, issued: Column, observed: Column, raw: Column = F.lit(None), severity: Column = F.lit(None), place: Column = F.lit(None), always: bool = False) -> Column:
         fits = F.col("_p").isin(*product.split("|"))
+        fits = ~F.coalesce(F.col("_p").isin(*_OTHER_PRODUCTS), F.lit(False)) if product == fc[0] else fits
         fits = fits if always else fits & value.isNotNull()
         s = F.struct(*[c.alias(n) for n, c in (("evidence_class", F.lit(cls)), ("variable", F.lit(variable)), ("value", value.cast("double")), ("unit", F.lit(unit).cast("string")), ("statistic", F.lit(stat)), ("window_h", F.lit(window).cast("double")), ("valid_from", start), ("valid_to", end), ("issued_at", issued), ("observed_at", observed), ("raw_value", raw.cast("string")), ("severity", severity.cast("string")), ("reference", place.cast("string")))])
         return F.when(fits, s)

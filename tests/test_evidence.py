@@ -134,3 +134,12 @@ def test_decisions_say_how_sure_they_are(spark):
     assert got["d"]["confidence"] == 0.55
     e = frame(spark, row("a2", "forecast", "wind_speed", 1.0), row("a1", "forecast", "precipitation_amount", 1.0), row("a3", "forecast", "rh", 1.0))
     assert [tuple(r) for r in P.decision_evidence(e).collect()] == [("q", ["a1", "a2"])]
+
+
+def test_unknown_national_products_are_read_as_forecasts(spark):
+    from brontide.sources import evidence as V
+
+    record = '{"city": "Pune", "temp_max": 31.0, "temperature": 28.0, "forecast_date": "2024-06-01"}'
+    df = spark.createDataFrame([("a", "outlook", record), ("b", None, record), ("c", "forecast", record), ("d", "current", record), ("e", "rainfall", record)], "payload_id string, product string, p string")
+    got = {(r["payload_id"], r["variable"], r["value"]) for r in V.national_record(df, "p").collect()}
+    assert got == {("a", "temperature_max", 31.0), ("b", "temperature_max", 31.0), ("c", "temperature_max", 31.0), ("d", "temperature_2m", 28.0)}
