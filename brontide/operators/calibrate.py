@@ -188,15 +188,20 @@ def fit_curve(train: DataFrame, val: DataFrame, features: Sequence[str], amount:
     return model, knots
 
 
-def predict_curve(model, knots, df: DataFrame, features: Sequence[str], key: str, thresholds: Sequence[float]) -> DataFrame:
-    """(key, curve): calibrated exceedance probabilities, falling along the thresholds."""
+def predict_curve(model, knots, df: DataFrame, features: Sequence[str], key: str | Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """(key columns, curve), one for each row of ``df``: calibrated exceedance probabilities, falling along the thresholds.
+
+    A row is scored once for each threshold where it is; nothing is shuffled.
+    """
     from .products import monotone
 
-    rows = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn("log_t", F.log("threshold"))
-    scored = score_event(model, None, rows, [*features, "log_t"])
-    p = F.coalesce(*[F.when(F.col("threshold") == t, apply_knots("p_raw", *k)) for t, k in knots.items()], F.col("p_raw")) if knots else F.col("p_raw")
-    curve = F.array_sort(F.collect_list(F.struct("threshold", p.alias("p"))))
-    return scored.groupBy(key).agg(curve.alias("_c")).select(key, monotone(F.col("_c.p")).alias("curve"))
+    keys = [key] if isinstance(key, str) else list(key)
+    out = df.select(*dict.fromkeys([*keys, *features]))
+    for i, t in enumerate(sorted(thresholds)):
+        scored = score_event(model, None, out.withColumn("log_t", F.log(F.lit(float(t)))), [*features, "log_t"])
+        p = apply_knots("p_raw", *knots[t]) if t in knots else F.col("p_raw")
+        out = scored.withColumn(f"_p{i}", p).drop("log_t", "p_raw")
+    return out.select(*keys, monotone(F.array(*[f"_p{i}" for i in range(len(thresholds))])).alias("curve"))
 
 
 def member_exceedance(members: Column | str, t: float) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boosting as B
 from ..operators import calibrate as K
 from ..operators import metrics as M
-from ..session import shared_path
+from ..session import materialize, shared_path
 from ..streaming import jobs as J
 from ..streaming import warnings as L
 from .registry import Registry, events_of, flagged, forecasts, observations, table
@@ -15,9 +15,16 @@ from .registry import Registry, events_of, flagged, forecasts, observations, tab
 R = Registry()
 add = R.add
 FEATURES = ["quantity", "lead_h", "month"]
+#: Columns that parts of the data are told apart by.
+RUN = "run_date"
 TRAIN, VAL, TEST = "run_date <= date'1999-03-31'", "run_date BETWEEN date'1999-04-06' AND date'1999-12-31'", "run_date >= date'2000-01-06'"
 
 
+def joined(df, *columns):
+    """These columns, written once: a fit passes over its rows many times, and each pass would join all tables anew."""
+    return materialize(df.select(*columns), "joined")
+
+
 @add("f1_event_model")
 def _(s, d):
     e = events_of(s, d)
@@ -51,11 +58,11 @@ def _(s, d):
 
 @add("f4_exceedance_curves")
 def _(s, d):
-    f = forecasts(s, d).withColumn("id", F.monotonically_increasing_id())
+    f = joined(forecasts(s, d), RUN, "truth", "lead_h", "quantity")
     thresholds = (10.0, 25.0, 40.0)
     model, knots = K.fit_curve(f.where(TRAIN), f.where(VAL), ["truth", "lead_h"], "quantity", thresholds, trees=4, depth=3)
-    curves = K.predict_curve(model, knots, f.where(TEST), ["truth", "lead_h"], "id", thresholds)
-    return M.curve_report(curves.join(f.select("id", "quantity"), "id"), "curve", "quantity", list(thresholds))
+    curves = K.predict_curve(model, knots, f.where(TEST), ["truth", "lead_h"], "quantity", thresholds)
+    return M.curve_report(curves, "curve", "quantity", list(thresholds))
 
 
 @add("f6_f10_one_variable_calibration")

@@ -2,9 +2,13 @@
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
+from brontide.operators import calibrate as K
 from brontide.operators import labels as L
+from brontide.plans import all_queries, model_queries, registry
+from brontide.session import materialize
 
 def test_means_at_a_limit_do_not_depend_on_the_order_of_sums(spark):
     values = [70.91, 99.53, 0.35, 69.21]  # their mean is 60, a limit
@@ -14,3 +18,33 @@ def test_means_at_a_limit_do_not_depend_on_the_order_of_sums(spark):
     normals = daily.select("point_id", "doy", F.lit(60 - 4.5).alias("v_norm"), F.lit(50.0).alias("w_norm"))
     out = L.wave_labels(daily, normals, daily.select("point_id", F.lit(0.0).alias("elevation_m")), tmax="v", tmin="w", at={"heat": (20, 30, 60, 80)})
     assert {(r["heatwave"], r["severe_heatwave"]) for r in out.collect()} == {(1, 0)}
+
+
+def test_a_curve_for_each_row_without_a_shuffle(spark):
+    rows = [(i, i % 2, float(i % 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, twin int, x double")
+    thresholds = (6.0, 3.0)
+    model, knots = K.fit_curve(df, df, ["x"], "x", thresholds, least_events=10, trees=3, depth=2)
+    curves = K.predict_curve(model, knots, df, ["x"], ["twin", "x"], thresholds)
+    assert "Exchange" not in curves._jdf.queryExecution().executedPlan().toString()
+    got = curves.collect()
+    assert len(got) == 400 and all(len(r["curve"]) == 2 and r["curve"][0] >= r["curve"][1] for r in got)
+    assert all((r["curve"][0] > 0.5, r["curve"][1] > 0.5) == (r["x"] >= 3, r["x"] >= 6) for r in got)
+
+
+@pytest.mark.parametrize("name", ["f1_event_model", "k3_top_features", "f2_fractional_model", "f3_quantile_ranges", "f4_exceedance_curves", "f6_f10_one_variable_calibration", "f18_bias_model", "f20_batch_scoring"])
+def test_fits_join_their_tables_once(spark, name, monkeypatch):
+    """Once the joined rows are written, nothing reads the tables again."""
+    written = []
+
+    def keep(df, what, *more):
+        out = materialize(df, what, *more)
+        written.append(what)
+        if what == "joined":
+            monkeypatch.setattr(registry, "table", None)
+        return out
+
+    monkeypatch.setattr(model_queries, "materialize", keep)
+    out = all_queries()[name](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+    assert written == ["joined"] and "lineitem" not in plan and out.count() > 0
