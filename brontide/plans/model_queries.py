@@ -84,7 +84,7 @@ def _(s, d):
 
 @add("f18_bias_model")
 def _(s, d):
-    f = forecasts(s, d).withColumn("t", F.col("run_date").cast("timestamp"))
+    f = joined(forecasts(s, d), RUN, *FEATURES, "truth", "d", "zone").withColumn("t", F.col(RUN).cast("timestamp"))
     scaler, model, cut = K.fit_bias(f, FEATURES, "truth", "d", "t")
     late = f.where(F.unix_seconds("t") > cut)
     return M.median_errors(K.correct_bias(scaler, model, late, FEATURES, "d"), "truth", "corrected", "d", ["zone"])
