@@ -27,7 +27,7 @@ def joined(df, *columns):
 
 @add("f1_event_model")
 def _(s, d):
-    e = events_of(s, d)
+    e = joined(events_of(s, d), RUN, *FEATURES, "y", "lead_bucket")
     model, knots = K.fit_event(e.where(TRAIN), e.where(VAL), FEATURES, "y", trees=5, depth=3)
     scored = K.score_event(model, knots, e.where(TEST), FEATURES)
     return M.brier(scored, "p", "y", ["lead_bucket"]).join(M.auc(scored, "p", "y", ["lead_bucket"]).drop("n"), "lead_bucket")
