@@ -92,7 +92,7 @@ def _(s, d):
 
 @add("f20_batch_scoring")
 def _(s, d):
-    e = events_of(s, d)
+    e = joined(events_of(s, d), RUN, "loc", *FEATURES, "y", "truth")
     model, knots = K.fit_event(e.where(TRAIN), e.where(VAL), FEATURES, "y", trees=3, depth=3)
     ranges = K.fit_ranges(e.where(TRAIN), FEATURES, "truth", (0.1, 0.5, 0.9), depth=5, trees=4)
     latest = e.join(e.groupBy("loc").agg(F.max("run_date").alias("run_date")), ["loc", "run_date"])
