@@ -35,7 +35,7 @@ def _(s, d):
 
 @add("k3_top_features")
 def _(s, d):
-    e = events_of(s, d)
+    e = joined(events_of(s, d), RUN, *FEATURES, "y")
     model, _ = K.fit_event(e.where(TRAIN), e.where(VAL), FEATURES, "y", trees=3, depth=3)
     return K.top_features(s, model, FEATURES, 2)
 
