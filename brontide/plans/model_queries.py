@@ -50,7 +50,7 @@ def _(s, d):
 
 @add("f3_quantile_ranges")
 def _(s, d):
-    f = forecasts(s, d)
+    f = joined(forecasts(s, d), RUN, *FEATURES, "truth", "zone")
     model = K.fit_ranges(f.where(TRAIN), FEATURES, "truth", (0.1, 0.5, 0.9), depth=5, trees=8)
     r = K.predict_ranges(model, f.where(TEST)).select("zone", "truth", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[2].alias("hi"))
     return M.interval(r, "truth", "lo", "hi", ["zone"])
