@@ -67,7 +67,7 @@ def _(s, d):
 
 @add("f6_f10_one_variable_calibration")
 def _(s, d):
-    e = events_of(s, d)
+    e = joined(events_of(s, d), RUN, "p", "y", "lead_bucket")
     xs, ys = K.isotonic_knots(e.where(VAL).withColumn("y", F.col("y").cast("double")), "p", "y")
     return M.ece(e.where(TEST).withColumn("p", K.apply_knots("p", xs, ys)), "p", "y", ["lead_bucket"])
 
