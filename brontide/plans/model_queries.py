@@ -43,6 +43,7 @@ def _(s, d):
 @add("f2_fractional_model")
 def _(s, d):
     f = forecasts(s, d).groupBy("l_orderkey", "run_date").agg(F.avg((F.col("quantity") >= 25).cast("double")).alias("share"), F.avg("truth").alias("price"), F.count(F.lit(1)).cast("double").alias("lines"))
+    f = joined(f, RUN, "share", "price", "lines")
     rows = K.fractional(f.where(TRAIN), "share")
     model, _ = K.fit_event(rows, rows, ["price", "lines"], "label", "weight", 5, 3)
     return K.score_event(model, None, f.where(TEST), ["price", "lines"]).agg(F.count(F.lit(1)).alias("n"), F.avg("p_raw").alias("p"), F.avg("share").alias("share"))
