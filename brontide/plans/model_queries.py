@@ -77,7 +77,7 @@ def _(s, d):
 def _(s, d):
     from .verification_queries import GROUP, ranked
 
-    r = ranked(s, d).withColumns({"is_a": (F.col("source") == "a").cast("int"), "is_b": (F.col("source") == "b").cast("int"), "is_d": (F.col("source") == "d").cast("int")})
+    r = ranked(s, d).select(*GROUP, "lead_h", F.inline("_c")).withColumns({"is_a": (F.col("source") == "a").cast("int"), "is_b": (F.col("source") == "b").cast("int"), "is_d": (F.col("source") == "d").cast("int")})
     features = ["is_a", "is_b", "is_d", "authority", "lead_h"]
     model = B.fit_lambda_ranker(r.where("l_orderkey % 2 = 0"), GROUP, features, trees=4, depth=3)
     return M.ndcg(B.rank_by_trees(model, r.where("l_orderkey % 2 = 1")), GROUP, "rank_score", "relevance", 3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brontide.operators import calibrate as K
 from brontide.operators import labels as L
+from brontide.operators import metrics as M
 from brontide.plans import all_queries, model_queries, registry
 from brontide.session import materialize
 
@@ -48,3 +49,13 @@ def test_fits_join_their_tables_once(spark, name, monkeypatch):
     out = all_queries()[name](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
     assert written == ["joined"] and "lineitem" not in plan and out.count() > 0
+
+
+def test_packed_groups_rank_without_windows(spark):
+    rows = [(1, "a", 1.0, 0.5), (1, "b", 1.0, None), (1, "c", 1.0, 0.7), (1, "d", None, 0.1), (2, "a", 2.0, 0.5), (2, "b", 1.0, 0.5)]
+    long = spark.createDataFrame(rows, "g int, source string, error double, authority double")
+    ranked = M.source_ranks(long, ["g"], "error", "authority")
+    assert {(r["g"], r["source"]): r["relevance"] for r in ranked.collect()} == {(1, "d"): 3, (1, "c"): 2, (1, "a"): 1, (1, "b"): 0, (2, "b"): 1, (2, "a"): 0}
+    for name in ("w7_source_ranks", "m16_ndcg", "m16_pairwise_accuracy", "m16_following_errors", "m17_preference"):
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan and "collect_list" not in plan, name
