@@ -11,7 +11,7 @@ from ..operators import fusion as E
 from ..operators import products as P
 from ..operators import spatial as G
 from ..operators import splits as S
-from ..session import shared_path
+from ..session import materialize, shared_path
 from ..sources import evidence as V
 from ..sources import tables as T
 from ..sources.runs import register_runs
@@ -479,9 +479,25 @@ def gate_events(s, d):
 
 
 def gate_inputs(s, d):
-    e = gate_events(s, d)
+    return zone_metrics(gate_sums(gate_events(s, d), "zone"))
+
+
+def gate_sums(e, *by):
+    """Sums of errors, events and hits by zone or finer; they add up to those of whole zones and leads."""
+    terms = {"brier": (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")), "y": F.col("y"), "mae": F.abs(F.col("a") - F.col("truth")), "raw": F.abs(F.col("b") - F.col("truth")), "cov": F.col("truth").between(F.col("a"), F.col("c"))}
+    return e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x.cast("double")).alias(k) for k, x in terms.items()])
+
+
+def added_up(sums, by):
+    """n, skill over the group's own rate, and means of the other sums."""
+    g = sums.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("n", "brier", "y", "mae", "raw", "cov")])
+    rate = F.col("y") / F.col("n")
+    return g.select(by, "n", (1 - F.col("brier") / F.col("n") / (rate * (1 - rate))).alias("bss"), *[(F.col(c) / F.col("n")).alias(c) for c in ("mae", "raw", "cov")])
+
+
+def zone_metrics(sums):
     k = F.col("zone").cast("int") % 4
-    m = e.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), (1 - F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))) / (F.avg("y") * (1 - F.avg("y")))).alias("bss"), F.avg(F.abs(F.col("a") - F.col("truth"))).alias("mae"), F.avg(F.abs(F.col("b") - F.col("truth"))).alias("raw"), F.avg(F.col("truth").between(F.col("a"), F.col("c")).cast("double")).alias("cov"))
+    m = added_up(sums, "zone")
     return m.select("zone", "n", "bss", F.when(k == 0, "binary").when(k == 1, "quantile").when(k == 2, "curve").otherwise("other").alias("kind"), F.lit(True).alias("provenance_ok"), F.col("bss").alias("bss_zone_month"), F.col("bss").alias("bss_global"), F.lit(0.7).alias("auc"), F.lit(0.6).alias("auc_rule"), F.col("mae").alias("median_mae"), F.col("raw").alias("raw_mae"), F.col("cov").alias("coverage"), F.lit(0).alias("violations"), F.array("bss").alias("key_bss"))
 
 
@@ -512,15 +528,15 @@ VALIDITY = GATES + """,
 
 def validity_inputs(s, d):
     """(answers, zones, leads, curves) for zone_lead_validity."""
-    e, g = gate_events(s, d), gate_inputs(s, d)
-    skill = 1 - F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))) / (F.avg("y") * (1 - F.avg("y")))
+    sums = materialize(gate_sums(gate_events(s, d), "zone", "lead_bucket"), "gates")  # a row for each zone and lead: all inputs come from one pass
+    g = zone_metrics(sums)
     kinds = F.explode(F.array(*[F.lit(k) for k in ("binary", "quantile", "curve")]))
     zones = g.select(kinds.alias("target"), "zone", F.col("n").alias("zone_n"), F.col("bss").alias("zone_bss"), F.col("coverage").alias("zone_coverage"))
-    leads = e.groupBy("lead_bucket").agg(F.count(F.lit(1)).alias("lead_n"), skill.alias("lead_bss")).withColumn("target", F.lit("binary"))
+    leads = added_up(sums, "lead_bucket").select("lead_bucket", F.col("n").alias("lead_n"), F.col("bss").alias("lead_bss")).withColumn("target", F.lit("binary"))
     each = g.select("zone", "n", "bss")
     curves = each.withColumn("threshold", F.lit(1)).unionByName(each.where(F.col("zone").cast("int") % 2 == 0).select("zone", "n", (F.col("bss") - 0.4).alias("bss"), F.lit(2).alias("threshold"))).withColumn("target", F.lit("curve"))
     more = s.range(1).select(F.lit("nowhere").alias("zone"), F.lit("h000-024").alias("lead_bucket"))
-    answers = e.select("zone", "lead_bucket").distinct().unionByName(more).withColumn("target", kinds).withColumns({"kind": F.col("target"), "value": F.lit(0.5)})
+    answers = sums.select("zone", "lead_bucket").unionByName(more).withColumn("target", kinds).withColumns({"kind": F.col("target"), "value": F.lit(0.5)})
     return answers, zones, leads, curves
 
 

@@ -59,3 +59,9 @@ def test_packed_groups_rank_without_windows(spark):
     for name in ("w7_source_ranks", "m16_ndcg", "m16_pairwise_accuracy", "m16_following_errors", "m17_preference"):
         plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "row_number" not in plan and "collect_list" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["c7_zone_lead_validity", "c11_catalogue"])
+def test_gates_pass_over_the_forecasts_once(spark, name):
+    files = all_queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)
