@@ -89,7 +89,9 @@ def _(s, d):
 def _(s, d):
     n = F.col("l_linenumber")
     text = F.when(n % 4 == 0, "6-12 hour acc fcst at 2 m").when(n % 4 == 1, F.format_string("rain past %d h, mean sea level", n * 3)).when(n % 4 == 2, "daily total at 850 hPa").otherwise("instant")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", O.accumulation_hours(text).alias("hours"), O.vertical_level(text).alias("level"))
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+    parsed = rows.select("text").distinct().select("text", O.accumulation_hours("text").alias("hours"), O.vertical_level("text").alias("level"))
+    return rows.join(F.broadcast(parsed), "text").drop("text")  # a row for each text, of which there are at most three and one for each line number
 
 
 QUESTIONS = ["Will it rain tomorrow afternoon?", "Can I spray pesticide in 3 hours?", "wind tonight near the boat", "What is normal temperature next week?", "heavy rain warning day after tomorrow", "should I harvest on 2024-02-10 in the morning", "chance of rain this weekend", "hot today?", "go fishing next 3 days", "weather in Kalimpong"]

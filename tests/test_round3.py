@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brontide.operators import calibrate as K
+from brontide.operators import contracts as Q
 from brontide.operators import labels as L
 from brontide.operators import metrics as M
 from brontide.plans import all_queries, model_queries, registry
@@ -65,3 +66,17 @@ def test_packed_groups_rank_without_windows(spark):
 def test_gates_pass_over_the_forecasts_once(spark, name):
     files = all_queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_profile_counts_values_once(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 5.0), (2.0, 7.0), (9.0, None)], "a double, b double")
+    out = Q.profile(df, ["a", "b"])
+    got = {r["column"]: (r["null_rate"], r["least"], r["median"], r["largest"]) for r in out.collect()}
+    assert got == {"a": (0.0, 1.0, 2.0, 9.0), "b": (0.5, 5.0, 6.0, 7.0)}
+    files = all_queries()["a17_column_profile"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
+
+def test_each_text_is_parsed_once(spark):
+    plan = all_queries()["p26_accumulation_and_level"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate [text") < plan.index("RLIKE")
