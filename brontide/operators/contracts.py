@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import correlation, quantiles
+from ..session import materialize
+from .metrics import correlation, count_quantiles
 
 # Margins of the gates.
 COVERAGE_BAND, AUC_TOLERANCE, LEAST_BSS, LEAST_AUC, LEAST_MAE_GAIN, LEAST_N = (0.70, 0.90), 0.01, 0.005, 0.55, 0.01, 500
@@ -83,10 +84,12 @@ def no_contradiction(df: DataFrame, label: str, family: str, allowed: dict[str,
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Null rate, least, median and largest of each numeric column: rows as (column, value), added up by value for the median."""
+    """Null rate, least, median and largest of each numeric column: rows as (column, value), added up by value in one pass that all figures come from."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_p")).select("_p.*")
-    base = long.groupBy("column").agg(F.avg(F.col("x").isNull().cast("double")).alias("null_rate"), F.min("x").alias("least"), F.max("x").alias("largest"))
-    middle = quantiles(long, "x", [0.5], ["column"]).select("column", F.col("quantiles")[0].alias("median"))
+    counts = materialize(long.groupBy("column", F.col("x").alias("score")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    missing = F.sum(F.when(F.col("score").isNull(), F.col("n")).otherwise(0))
+    base = counts.groupBy("column").agg((missing / F.sum("n")).alias("null_rate"), F.min("score").alias("least"), F.max("score").alias("largest"))
+    middle = count_quantiles(counts, [0.5], ["column"]).select("column", F.col("quantiles")[0].alias("median"))
     return base.join(middle, "column", "left").select("column", "null_rate", "least", "median", "largest")
 
 

@@ -45,11 +45,15 @@ def score_table(df: DataFrame, score: str, y: str, by: list[str] = (), buckets:
     """
     by = list(by)
     d = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score"))
-    d = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
+    return running_sums(d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("pos")), by, buckets)
+
+
+def running_sums(d: DataFrame, by: list[str] = (), buckets: int | None = None) -> DataFrame:
+    """``score_table`` of rows that are added up by score: (by, score, n, pos)."""
     if not by:
         d, by = d.withColumn("_all", F.lit(0)), ["_all"]
     # Cuts in steps: a score looks among every step-th cut and then among the few that follow it.
-    step = max(2, math.isqrt(min(buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096)))
+    step = max(2, math.isqrt(min(buckets or int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4096)))
     shares = [i / (step * step) for i in range(1, step * step)]
     cuts = d.groupBy(*by).agg(F.percentile_approx("score", shares, 10 * len(shares)).alias("_cuts"))
     cuts = cuts.withColumn("_every", F.filter("_cuts", lambda c, i: i % step == step - 1))
@@ -125,6 +129,12 @@ def quantiles(df: DataFrame, value: str | Column, levels: list[float], by: list[
     return _quantiles_of(score_table(df.select(*by, x.alias("_x"), F.lit(1).alias("_y")), "_x", "_y", by), levels, list(by))
 
 
+def count_quantiles(counts: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
+    """``quantiles`` of values that are counted: (by, score, n)."""
+    known = counts.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    return _quantiles_of(running_sums(known.select(*by, "score", "n", F.col("n").cast("double").alias("pos")), by), levels, list(by))
+
+
 def _quantiles_of(t: DataFrame, levels: list[float], by: list[str]) -> DataFrame:
     totals = t.groupBy(*by).agg(F.sum("n").alias("_n"))
     t = t.join(totals, by) if by else t.join(F.broadcast(totals))  # one row
