@@ -731,6 +731,9 @@ def _(s, d):
     return T.pick_fields(i, wanted, ["p_brand"]).select("p_brand", "name", "n", "window_h")
 
 
+LINES_A_PIECE = 250_000
+
+
 @add(
     "s15_run_folders",
     """WITH l AS (
@@ -746,21 +749,23 @@ def _(s, d):
     FROM o WHERE turn = 1""",
 )
 def _(s, d):
-    """Inventories are written as run folders, and read back pruned: complete runs, later years, two fields."""
+    """Inventories are written as run folders, in pieces of bounded size, and read back pruned: complete runs, later years, two fields."""
     first = F.min(F.struct(F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus")).alias("x")
     i = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(first).join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     key = F.col("l_orderkey")
     line = F.format_string("%d:%d:d=2024010100:%s:%s:6-%d hour acc fcst:", key, key * 1000, "x.l_returnflag", "x.l_linestatus", F.col("x.q") + 6)
     run, lead = F.date_format(F.date_trunc("year", "o_orderdate"), "yyyyMMddHH"), F.format_string("%03d", F.col("l_linenumber") * 40)
     lines = i.select(F.col("o_orderstatus").alias("feed"), run.alias("run"), lead.alias("lead"), "l_orderkey", line.alias("line"))
-    path = shared_path(s, "runs")
-    lines.repartition("feed", "run", "lead").sortWithinPartitions("feed", "run", "lead", "l_orderkey").drop("l_orderkey").write.partitionBy("feed", "run", "lead").text(path)
+    path, order = shared_path(s, "runs"), ["feed", "run", "lead", "l_orderkey"]
+    pieces = max(int(s.conf.get("spark.sql.shuffle.partitions")), -(-table(s, d, "lineitem").count() // LINES_A_PIECE))
+    lines.repartitionByRange(pieces, *order).sortWithinPartitions(*order).drop("l_orderkey").write.partitionBy("feed", "run", "lead").text(path)
     register_runs(s)
-    source = s.read.format("forecast_runs").option("pattern", r"feed=(?P<feed>\w+)/run=(?P<run>\d{10})/lead=(?P<lead>\d{3})/part")
+    source = s.read.format("forecast_runs").option("pattern", r"feed=(?P<feed>\w+)/run=(?P<run>\d{10})/lead=(?P<lead>\d{3})/part-(?P<piece>\d+)")
     rows = source.option("feeds", "F,O,P").option("complete", True).load(path)
     rows = rows.where("run >= '1993-06-01' AND abbreviation IN ('A', 'R')")
     wanted = [(f"{a} {v}", a, v, True) for a in "AR" for v in "FO"]
-    fields = T.pick_fields(rows, s.createDataFrame(wanted, "name string, abbreviation string, level string, windowed boolean"), ["feed", "run", "lead"])
+    named = s.createDataFrame(wanted, "name string, abbreviation string, level string, windowed boolean")
+    fields = T.pick_fields(rows, F.broadcast(named), ["feed", "run", "lead"])
     return fields.select("feed", "run", "lead", "name", "byte_from", "byte_to", "window_h")
 
 

@@ -9,7 +9,8 @@ Options: ``path``; ``pattern``, an expression with the groups feed, run (digits
 out) and lead that is looked for in each file's path below ``path``; ``rows``, ``fields`` (a row for each line of an
 inventory) or ``files`` (a row for each file, none is opened); ``feeds`` and ``last_lead``, which say when a run is
 complete: its file of the last lead is there for every feed; ``complete`` (true: a batch read leaves other runs out);
-``horizon_h``, how long after a newer run a stream still waits for an older one.
+``horizon_h``, how long after a newer run a stream still waits for an older one; ``split_mb``, how much of a run one task
+reads. A pattern with the group piece (digits) makes one inventory of the files that differ in it alone, in its order.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,13 +41,17 @@ class RunFile:
     lead: int
     path: str
     bytes: int
+    inventory: str = ""
 
 
 @dataclass
 class RunFolder(D.InputPartition):
-    """The files of one feed's run, one task's work."""
+    """Files of one feed's run, or the lines of one file that begin in a range of its bytes: one task's work."""
 
     files: list[RunFile]
+    start: int = 0
+    end: int | None = None
+    next: RunFile | None = None  # the piece of the last file's inventory that comes after it
 
 
 class Folders:
@@ -62,16 +68,20 @@ class Folders:
         self.feeds = [f.strip() for f in options.get("feeds", "").split(",") if f.strip()]
         self.last_lead = int(options.get("last_lead", 240))
         self.horizon = timedelta(hours=float(options.get("horizon_h", 96)))
+        self.split = max(1, int(float(options.get("split_mb", 8)) * 1e6))
 
     def files(self) -> list[RunFile]:
         system, root = _system(self.path)
         found = []
         for info in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
-            m = info.is_file and self.pattern.search(info.path[len(root) :])
+            path = info.path[len(root) :]
+            m = info.is_file and self.pattern.search(path)
             run = re.sub(r"\D", "", m["run"]) if m else ""
             if len(run) == 10:
-                found.append(RunFile(m["feed"], run, int(m["lead"]), info.path, info.size))
-        return sorted(found, key=lambda f: (f.run, f.feed, f.lead, f.path))
+                piece = m.groupdict().get("piece")
+                whole = path if piece is None else path[: m.start("piece")]
+                found.append((int(piece or 0), RunFile(m["feed"], run, int(m["lead"]), info.path, info.size, whole)))
+        return [f for _, f in sorted(found, key=lambda x: (x[1].run, x[1].feed, x[1].lead, x[1].inventory, x[0], x[1].path))]
 
     def complete(self, files: list[RunFile]) -> set[str]:
         """Runs whose last lead every feed has published."""
@@ -89,9 +99,11 @@ class Folders:
             return
         system, _ = _system(self.path)
         rows: list[tuple] = []
-        for f in folder.files:
-            head = (f.feed, _time(f.run), f.lead)
-            for line in _inventory(system, f.path):
+        for _, pieces in groupby(folder.files, lambda f: (f.lead, f.inventory)):
+            files = list(pieces)
+            head = (files[0].feed, _time(files[0].run), files[0].lead)
+            lines = (line for f in files for line in _lines(system, f.path, folder.start, folder.end))
+            for line in _inventory(lines, self._following(system, folder) if files[-1] is folder.files[-1] else iter(())):
                 if wanted and any(line[_AT[c]] not in v for c, v in wanted.items()):
                     continue
                 rows.append(head + line)
@@ -101,6 +113,17 @@ class Folders:
         if rows:
             yield _batch(FIELDS_SCHEMA, rows)
 
+    def _following(self, system: pafs.FileSystem, folder: RunFolder) -> Iterator[str]:
+        """Lines of the last inventory that come after the folder's; only what is asked for is read."""
+        if folder.end is not None:
+            yield from _lines(system, folder.files[-1].path, folder.end)
+        if folder.next:
+            yield from _lines(system, folder.next.path)
+            n = folder.next
+            later = [f.path for f in self.files() if (f.feed, f.run, f.lead, f.inventory) == (n.feed, n.run, n.lead, n.inventory)]
+            for path in later[later.index(n.path) + 1 :]:
+                yield from _lines(system, path)
+
 
 _STAMP = pa.timestamp("us", tz="UTC")
 FILES_SCHEMA = pa.schema([("feed", pa.string()), ("run", _STAMP), ("lead", pa.int32()), ("path", pa.string()), ("bytes", pa.int64())])
@@ -120,29 +143,35 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _inventory(system: pafs.FileSystem, path: str) -> Iterator[tuple]:
-    """(n, byte_from, byte_to, abbreviation, level, time_range) of each line; a field ends where the next one begins, the last has no end."""
+def _inventory(lines: Iterator[str], following: Iterator[str]) -> Iterator[tuple]:
+    """(n, byte_from, byte_to, abbreviation, level, time_range) of each line; a field ends where the next one begins, the last where the first of ``following`` does, else it has no end."""
     held = None
-    with system.open_input_stream(path) as stream:
-        for line in _lines(stream):
-            m = LINE.match(line)
-            if not m:
-                continue
-            if held:
-                yield (held[0], held[1], int(m[2]) - 1, *held[2:])
-            held = (int(m[1]), int(m[2]), m[3], m[4], m[5])
+    for m in filter(None, map(LINE.match, lines)):
+        if held:
+            yield (held[0], held[1], int(m[2]) - 1, *held[2:])
+        held = (int(m[1]), int(m[2]), m[3], m[4], m[5])
     if held:
-        yield (held[0], held[1], None, *held[2:])
-
-
-def _lines(stream) -> Iterator[str]:
-    rest = b""
-    while piece := stream.read(1 << 20):
-        *whole, rest = (rest + piece).split(b"\n")
-        for line in whole:
-            yield line.decode("utf-8", "replace")
-    if rest:
-        yield rest.decode("utf-8", "replace")
+        m = next(filter(None, map(LINE.match, following)), None)
+        yield (held[0], held[1], int(m[2]) - 1 if m else None, *held[2:])
+
+
+def _lines(system: pafs.FileSystem, path: str, start: int = 0, end: int | None = None) -> Iterator[str]:
+    """Lines whose first byte is at ``start`` or later and before ``end``."""
+    whole_file = not start and end is None
+    with system.open_input_stream(path) if whole_file else system.open_input_file(path) as stream:
+        at, rest, skip = max(start - 1, 0), b"", start > 0
+        if skip:
+            stream.seek(at)
+        while piece := stream.read(1 << 20):
+            *whole, rest = (rest + piece).split(b"\n")
+            for line in whole:
+                if not skip:
+                    if end is not None and at >= end:
+                        return
+                    yield line.decode("utf-8", "replace")
+                at, skip = at + len(line) + 1, False
+        if rest and not skip and (end is None or at < end):
+            yield rest.decode("utf-8", "replace")
 
 
 class ForecastRuns(D.DataSource):
@@ -187,7 +216,7 @@ class RunReader(D.DataSourceReader):
         if self.only_complete:
             complete = self.folders.complete(files)
             files = [f for f in files if f.run in complete]
-        return _by_folder([f for f in files if all(_holds(f, *t) for t in self.tests)])
+        return _by_folder([f for f in files if all(_holds(f, *t) for t in self.tests)], self.folders)
 
     def read(self, partition: RunFolder):
         return self.folders.read(partition, self.wanted)
@@ -213,11 +242,31 @@ def _utc(t: datetime) -> datetime:
     return t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC)
 
 
-def _by_folder(files: list[RunFile]) -> list[RunFolder]:
-    found: dict[tuple[str, str], list[RunFile]] = {}
-    for f in files:
-        found.setdefault((f.run, f.feed), []).append(f)
-    return [RunFolder(v) for _, v in sorted(found.items())] or [RunFolder([])]  # without any, Spark would still read one
+def _by_folder(files: list[RunFile], folders: Folders) -> list[RunFolder]:
+    """Each feed's run, in parts of about the split's size; a larger file is read in ranges. Rows of files are not parted."""
+    found: list[RunFolder] = []
+    for _, run in groupby(files, lambda f: (f.run, f.feed)):
+        run, size = list(run), None
+        for f, after in zip(run, [*run[1:], None]):
+            following = after if after and (after.lead, after.inventory) == (f.lead, f.inventory) else None
+            cut = folders.rows == "fields" and f.bytes > folders.split and not _compressed(f.path)
+            if cut:
+                ends = [*range(folders.split, f.bytes, folders.split), None]
+                found += [RunFolder([f], start, end, following) for start, end in zip([0, *ends], ends)]
+            elif size is None or folders.rows == "fields" and size + f.bytes > folders.split:
+                found.append(RunFolder([f], next=following))
+                size = f.bytes
+            else:
+                found[-1].files.append(f)
+                found[-1].next = following
+                size += f.bytes
+            size = None if cut else size
+    return found or [RunFolder([])]  # without any, Spark would still read one
+
+
+def _compressed(path: str) -> bool:
+    """Streams of such files are unpacked by their ending, so they have no ranges."""
+    return path.lower().endswith((".gz", ".bz2", ".lz4", ".zst"))
 
 
 class RunStream(D.DataSourceStreamReader):
@@ -247,7 +296,7 @@ class RunStream(D.DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[RunFolder]:
         new = {r for r in end["runs"] if r > start["floor"]} - set(start["runs"])
-        return _by_folder([f for f in self.folders.files() if f.run in new and f.feed in self.folders.feeds])
+        return _by_folder([f for f in self.folders.files() if f.run in new and f.feed in self.folders.feeds], self.folders)
 
     def read(self, partition: RunFolder):
         return self.folders.read(partition)

@@ -1,11 +1,14 @@
 """Run folders as a data source: pruning by filters, complete runs, and a stream that waits for what is incomplete."""
 
+import glob
 import os
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from brontide.plans import all_queries, evidence_queries
+from brontide.session import shared_root
 from brontide.sources import runs as R
 from brontide.sources import tables as T
 
@@ -76,6 +79,49 @@ def test_filters_give_the_rows_that_spark_would_keep(spark, tmp_path):
         assert sorted(map(str, df.where(test).collect())) == sorted(map(str, kept.collect())), test
 
 
+def test_large_runs_are_read_in_parts(spark, tmp_path):
+    lines = [f"{i}:{i * 100}:d=2024050100:TMP:{i} m é:{'x' * (i % 7)}:" if i % 5 else "no line" for i in range(1, 60)]
+    write(tmp_path, "gfs", "2024050100", 3, lines)
+    write(tmp_path, "gfs", "2024050100", 6)
+    write(tmp_path, "gfs", "2024050100", 9, lines[:20] + ["no line"] * 40)
+    rows = lambda **o: sorted(source(spark, **o).load(str(tmp_path)).collect(), key=lambda r: (r["lead"], r["n"]))
+    whole = rows()
+    for size in (1, 30, 31, 45, 300, 10_000):
+        reader = R.RunReader({"path": str(tmp_path), "split_mb": str(size / 1e6)})
+        parts = reader.partitions()
+        assert all(sum(f.bytes for f in p.files) <= size or len(p.files) == 1 and (p.end or p.files[0].bytes) - p.start <= size for p in parts)
+        got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted((g[2:] for g in got), key=lambda g: g[:2]) == [tuple(r)[2:] for r in whole], size
+    assert rows(split_mb=40 / 1e6) == whole
+
+
+def test_pieces_are_one_inventory(spark, tmp_path):
+    pieces = {2: [LINES[0]], 10: ["no line"], 9: [LINES[1], LINES[2]], 11: [], 100: [LINES[4]]}
+    for folder in ("atmos", "wave"):
+        for i, lines in pieces.items():
+            write(tmp_path, "gfs", "2024050100", 6, lines, f"{folder}/part-{i}.x")
+    pattern = r"(?P<feed>[^/.]+)\.(?P<run>\d{8}/\d{2})/\w+/part-(?P<piece>\d+).*\.f(?P<lead>\d{3})\.idx$"
+    for split in (16, 1e-6):
+        df = source(spark, pattern=pattern, split_mb=split).load(str(tmp_path))
+        assert sorted((r["n"], r["byte_from"], r["byte_to"]) for r in df.collect()) == sorted(2 * [(1, 0, 699), (2, 700, 1499), (3, 1500, 1899), (4, 1900, None)]), split
+
+
+def test_run_folders_are_written_in_pieces_and_their_rows_stay_where_they_are_read(spark, monkeypatch):
+    folders = lambda: set(glob.glob(shared_root(spark).removeprefix("file://") + "/runs-*"))
+    before = folders()
+    monkeypatch.setattr(evidence_queries, "LINES_A_PIECE", 250)
+    plan = all_queries()["s15_run_folders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan  # else all rows meet in four tasks, one for each field
+    (folder,) = folders() - before
+    pieces = glob.glob(f"{folder}/feed=*/run=*/lead=*/part-*")
+    lines = {}
+    for p in pieces:
+        task = os.path.basename(p).split("-")[1]
+        with open(p) as f:
+            lines[task] = lines.get(task, 0) + sum(1 for _ in f)
+    assert sum(lines.values()) > 4_000 and max(lines.values()) <= 750
+
+
 def test_picked_fields(spark, tmp_path):
     write(tmp_path, "gfs", "2024050100", 6)
     wanted = spark.createDataFrame([("t", "TMP", "2 m above ground", False), ("rain", "APCP", "surface", True), ("first", "APCP", "surface", False), ("none", "X", "surface", False)], "name string, abbreviation string, level string, windowed boolean")
