@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -230,23 +232,49 @@ def rank_features(long: DataFrame, group: Sequence[str], history: DataFrame, sou
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group)
+    out = long.withColumns({"deviation": F.col("value") - F.avg("value").over(w), "spread": F.stddev_pop("value").over(w), "range": F.max("value").over(w) - F.min("value").over(w)})
+    return _source_features(_with_places(out, place_history(history)), sources, authority, month)
+
+
+def packed_rank_features(groups: DataFrame, places: DataFrame, sources: Sequence[str], authority: dict[str, float], month: str) -> DataFrame:
+    """``rank_features`` of packed groups, whose sources share place, lead and month, with ``place_history``: a row for each group moves, not for each source."""
+    values = F.filter(F.transform("_c", lambda x: x["value"].cast("double")), lambda v: v.isNotNull())
+    out = _with_places(groups, places).withColumn("_v", values)
+    out = out.withColumn("_m", F.try_divide(F.aggregate("_v", F.lit(0.0), lambda t, v: t + v), F.size("_v")))
+    squares = F.aggregate("_v", F.lit(0.0), lambda t, v: t + (v - F.col("_m")) * (v - F.col("_m")))
+    out = out.withColumns({"spread": F.sqrt(F.try_divide(squares, F.size("_v"))), "range": F.array_max("_v") - F.array_min("_v")})
+    out = out.select(*[c for c in out.columns if c not in ("_c", "_v")], F.inline("_c"))
+    return _source_features(out.withColumn("deviation", F.col("value") - F.col("_m")).drop("_m"), sources, authority, month)
+
+
+def place_history(history: DataFrame) -> DataFrame:
+    """(loc, _h): ``source_history`` as one row for each place; the row without a place has the errors by source alone."""
+    return history.groupBy("loc").agg(F.collect_list(F.struct("level", "source", "lead_bucket", "mae")).alias("_h"))
+
+
+def _with_places(df: DataFrame, places: DataFrame) -> DataFrame:
+    anywhere = places.where("loc IS NULL").agg(F.flatten(F.collect_list("_h")).alias("_all"))  # one row
+    return df.join(places, "loc", "left").crossJoin(F.broadcast(anywhere))
+
+
+def _source_features(df: DataFrame, sources: Sequence[str], authority: dict[str, float], month: str) -> DataFrame:
+    def mae(entries: str, level: str, *same: str) -> Column:
+        fits = lambda x: reduce(and_, [x[c] == F.col(c) for c in same], x["level"] == level)
+        return F.get(F.filter(entries, fits), F.lit(0))["mae"]
+
     prior = F.coalesce(*[F.when(F.col("source") == s, F.lit(a)) for s, a in authority.items()], F.lit(0.5))
-    h = history.withColumnRenamed("mae", "_h")
-    fine = h.where("level = 'loc_lead'").select("loc", "source", "lead_bucket", F.col("_h").alias("_h1"))
-    mid = h.where("level = 'loc'").select("loc", "source", F.col("_h").alias("_h2"))
-    top = h.where("level = 'source'").select("source", F.col("_h").alias("_h3"))
-    out = long.join(fine, ["loc", "source", "lead_bucket"], "left").join(mid, ["loc", "source"], "left").join(top, "source", "left")
-    return out.withColumns({
+    fine, place, top = mae("_h", "loc_lead", "source", "lead_bucket"), mae("_h", "loc", "source"), mae("_all", "source", "source")
+    return df.withColumns({
         **{f"is_{s}": (F.col("source") == s).cast("int") for s in sources},
-        "deviation": F.col("value") - F.avg("value").over(w), "spread": F.stddev_pop("value").over(w), "range": F.max("value").over(w) - F.min("value").over(w),
-        "history_mae": F.coalesce("_h1", "_h2", "_h3"), "history_mae_place": F.coalesce("_h2", "_h3"), "history_mae_source": F.col("_h3"), "prior": prior, "monsoon": F.col(month).between(6, 9).cast("int"),
-    }).drop("_h1", "_h2", "_h3")
+        "history_mae": F.coalesce(fine, place, top), "history_mae_place": F.coalesce(place, top), "history_mae_source": top, "prior": prior, "monsoon": F.col(month).between(6, 9).cast("int"),
+    }).drop("_h", "_all")
 
 
 def source_history(long: DataFrame, error: str) -> DataFrame:
-    """MAE by place and source, place, source and lead, and source, from one pass over grouping sets, with the level."""
+    """MAE by place and source, place, source and lead, and source, with the level; the coarser levels add up the finest one's sums."""
     cols = [F.col("loc"), F.col("source"), F.col("lead_bucket")]
-    t = long.groupingSets([[cols[0], cols[1]], cols, [cols[1]]], *cols).agg(F.grouping("loc").alias("_a"), F.grouping("lead_bucket").alias("_b"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"))
+    fine = long.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.count(error).alias("_k"), F.sum(F.abs(error)).alias("_s"))
+    t = fine.groupingSets([[cols[0], cols[1]], cols, [cols[1]]], *cols).agg(F.grouping("loc").alias("_a"), F.grouping("lead_bucket").alias("_b"), F.sum("n").alias("n"), F.try_divide(F.sum("_s"), F.sum("_k")).alias("mae"))
     level = F.when(F.col("_a") == 1, "source").when(F.col("_b") == 1, "loc").otherwise("loc_lead")
     return t.select(level.alias("level"), "loc", "source", "lead_bucket", "n", "mae")
 
