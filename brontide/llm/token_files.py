@@ -30,6 +30,8 @@ RUN_CHARS = 8_000_000
 CACHE_WORDS = 1_200_000
 #: Words that the tokenizer gets in one line, and what parts them there.
 LINE_WORDS, _MARK = 512, "\x01"
+#: Bytes of text whose words are looked up at once, new words cut out of it at once; they bound what a worker takes.
+ENCODE_BYTES, ENCODE_WORDS = 1 << 20, 1 << 14
 MAGIC = b"BTOK0001"
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], 1).astype(np.uint8)
 
@@ -108,10 +110,11 @@ class _Known:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # Sorted hashes and their rows: arrays, as millions of small objects would keep a worker's memory torn after they are gone.
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +135,30 @@ class _Known:
         return np.concatenate(flat), np.concatenate(sizes)
 
     def rows(self, hashes: np.ndarray, text: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Rows of distinct hashes, whose words are text[begin:stop]."""
-        keys = hashes.tolist()
-        if len(self.place) + len(keys) > CACHE_WORDS:
+        """Rows of sorted distinct hashes, whose words are text[begin:stop]."""
+        if len(self.keys) + len(hashes) > CACHE_WORDS:
             self.clear()
-        got = [self.place.get(k, -1) for k in keys]
-        new = [i for i, g in enumerate(got) if g < 0]
-        if new:
-            ids, size = self.encode([text[b:e] for b, e in zip(begin[new].tolist(), stop[new].tolist())])
-            n, top = len(self.place), self.used
-            self.flat = _grown(self.flat, top + len(ids))
+        n = len(self.keys)
+        at = np.searchsorted(self.keys, hashes)
+        held = np.zeros(len(hashes), bool)
+        inside = np.flatnonzero(at < n)
+        held[inside] = self.keys[at[inside]] == hashes[inside]
+        got = np.zeros(len(hashes), np.int64)
+        got[held] = self.place[at[held]]
+        new = np.flatnonzero(~held)
+        if len(new):
+            got[new] = np.arange(n, n + len(new))
             self.size, self.begin = _grown(self.size, n + len(new)), _grown(self.begin, n + len(new))
-            self.flat[top : top + len(ids)] = ids
-            self.size[n : n + len(new)] = size
-            self.begin[n : n + len(new)] = top + np.cumsum(size) - size
-            self.used += len(ids)
-            for row, i in enumerate(new, n):
-                self.place[keys[i]] = got[i] = row
-        return np.array(got, np.int64)
+            for first in range(0, len(new), ENCODE_WORDS):
+                some = new[first : first + ENCODE_WORDS]
+                ids, size = self.encode([text[b:e] for b, e in zip(begin[some].tolist(), stop[some].tolist())])
+                self.flat = _grown(self.flat, self.used + len(ids))
+                self.flat[self.used : self.used + len(ids)] = ids
+                self.size[got[some]] = size
+                self.begin[got[some]] = self.used + np.cumsum(size) - size
+                self.used += len(ids)
+            self.keys, self.place = np.insert(self.keys, at[new], hashes[new]), np.insert(self.place, at[new], got[new])
+        return got
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -170,12 +179,17 @@ def encode_texts(texts: list[str | None], tokenizer: str) -> tuple[np.ndarray, n
     data = as_bytes(texts)
     if not data:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    known = _known(tokenizer)
+    ids, n = zip(*(_encoded(data[at], known) for at in chunks_by_bytes([len(t) for t in data], ENCODE_BYTES)))
+    return np.concatenate(ids), np.concatenate(n)
+
+
+def _encoded(data: list[bytes], known: _Known) -> tuple[np.ndarray, np.ndarray]:
     h, at, start, end = word_spans(data)
     n_words = np.diff(at)
     base = np.repeat(np.cumsum([0] + [len(t) + 1 for t in data])[:-1], n_words)
     whole = b" ".join(data)
     distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    known = _known(tokenizer)
     row = known.rows(distinct, whole, (start + base)[first], (end + base)[first])[inverse]
     # The end id is one more piece behind each text's words.
     ends = np.cumsum(n_words + 1) - 1
