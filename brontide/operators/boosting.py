@@ -85,15 +85,16 @@ def lambda_gradients(score: np.ndarray, label: np.ndarray, k: int) -> tuple[np.n
     return g, h
 
 
-def ndcg_sum(score: np.ndarray, label: np.ndarray, k: int) -> tuple[float, int]:
-    """Sum of NDCG@k over groups that have a gain, and how many these are."""
+def ndcg_sum(score: np.ndarray, label: np.ndarray, k: int, times: np.ndarray | None = None) -> tuple[float, float]:
+    """Sum of NDCG@k over groups that have a gain, and how many these are; ``times`` says how often each group came."""
     order = np.argsort(-score, axis=1, kind="stable")
     weight = 1 / np.log2(np.arange(2, score.shape[1] + 2))
     weight[k:] = 0
     best = (-np.sort(-label, axis=1) * weight).sum(1)
     got = (np.take_along_axis(label, order, axis=1) * weight).sum(1)
     some = best > 0
-    return float((got[some] / best[some]).sum()), int(some.sum())
+    times = np.ones(len(some)) if times is None else times
+    return float((got[some] / best[some] * times[some]).sum()), float(times[some].sum())
 
 
 def _by_size(n: np.ndarray) -> Iterator[np.ndarray]:
@@ -106,12 +107,13 @@ def _by_size(n: np.ndarray) -> Iterator[np.ndarray]:
             yield begin[i : i + step, None] + np.arange(m)
 
 
-def pack_groups(df: DataFrame, group: Sequence[str], model: RankTrees, relevance: str) -> DataFrame:
-    """(x, y, n): a row for each group, bins and labels of its members as bytes. Members of a group meet in one task."""
+def pack_groups(df: DataFrame, group: Sequence[str], model: RankTrees, relevance: str, times: str | None = None) -> DataFrame:
+    """(x, y, n, w): a row for each group, bins and labels of its members as bytes, their number, and how often the group came. Members of a group meet in one task."""
     names = [f"_f{j}" for j in range(len(model.features))]
     keys = [F.xxhash64(*group).alias("_g"), F.xxhash64(F.lit(7), *group).alias("_h")]
     values = [F.col(f).cast("double").alias(n) for f, n in zip(model.features, names)]
-    rows = df.where(F.col(relevance).isNotNull()).select(*keys, F.col(relevance).cast("double").alias("_y"), *values)
+    came = (F.col(times) if times else F.lit(1)).cast("double").alias("_w")
+    rows = df.where(F.col(relevance).isNotNull()).select(*keys, F.col(relevance).cast("double").alias("_y"), *values, came)
     rows = rows.repartition("_g", "_h").sortWithinPartitions("_g", "_h", "_y", *names)
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +122,7 @@ def pack_groups(df: DataFrame, group: Sequence[str], model: RankTrees, relevance
         x = model.bins([f[n].to_numpy(float) for n in names])
         y = f["_y"].to_numpy(float)
         cut = list(zip(first[:-1], first[1:]))
-        return pd.DataFrame({"x": [x[a:b].tobytes() for a, b in cut], "y": [y[a:b].tobytes() for a, b in cut], "n": np.diff(first)})
+        return pd.DataFrame({"x": [x[a:b].tobytes() for a, b in cut], "y": [y[a:b].tobytes() for a, b in cut], "n": np.diff(first), "w": f["_w"].to_numpy(float)[first[:-1]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -134,11 +136,11 @@ def pack_groups(df: DataFrame, group: Sequence[str], model: RankTrees, relevance
         if held is not None:
             yield pack(held)
 
-    return materialize(rows.mapInPandas(run, "x binary, y binary, n long"), "groups")
+    return materialize(rows.mapInPandas(run, "x binary, y binary, n long, w double"), "groups")
 
 
 def _sums(packed: DataFrame, size: int, of_batch) -> np.ndarray:
-    """What ``of_batch(x, y, n, out)`` adds to ``size`` numbers, over all groups."""
+    """What ``of_batch(x, y, n, w, out)`` adds to ``size`` numbers, over all groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros(size)
@@ -146,7 +148,7 @@ def _sums(packed: DataFrame, size: int, of_batch) -> np.ndarray:
             if len(b):
                 n = b["n"].to_numpy()
                 y = np.frombuffer(b"".join(b["y"]), float)
-                of_batch(np.frombuffer(b"".join(b["x"]), np.uint8).reshape(len(y), -1), y, n, out)
+                of_batch(np.frombuffer(b"".join(b["x"]), np.uint8).reshape(len(y), -1), y, n, b["w"].to_numpy(), out)
         yield pd.DataFrame({"s": [out]})
 
     parts = packed.mapInPandas(run, "s array<double>").select(F.posexplode("s").alias("at", "v"))
@@ -169,25 +171,54 @@ def _split(sums: np.ndarray, least: int, smooth: float) -> tuple[int, int]:
     return (f, b) if gain[f, b] > 1e-9 else (-1, 0)
 
 
+def _cuts(train: DataFrame, features: Sequence[str], bins: int, times: str | None) -> list[np.ndarray]:
+    """Quantiles that part each feature into ``bins`` bins. Rows that came several times weigh as often, by the weights between 100 times as many quantiles of the rows as they are."""
+    values = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
+    parts = 100 * bins if times else bins
+    row = train.agg(*[F.percentile_approx(v, [i / parts for i in range(1, parts + bool(times))], 100 * bins).alias(f"c{j}") for j, v in enumerate(values)]).first()
+    cuts = [np.unique(np.array(row[f"c{j}"] or [], float)) for j in range(len(features))]
+    if not times:
+        return cuts
+    ends = np.cumsum([len(c) for c in cuts])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(sum(map(len, cuts)))
+        for b in batches:
+            for j, c in enumerate(cuts):
+                x, w = b[f"_f{j}"].to_numpy(float), b["_w"].to_numpy(float)
+                known = ~np.isnan(x) & (len(c) > 0)
+                at = np.minimum(np.searchsorted(c, x[known], side="left"), len(c) - 1)  # the least cut that is not below the value
+                out[ends[j] - len(c) : ends[j]] += np.bincount(at, w[known], len(c))
+        yield pd.DataFrame({"at": np.arange(len(out)), "v": out})
+
+    total = np.zeros(sum(map(len, cuts)))
+    came = train.select(*[v.alias(f"_f{j}") for j, v in enumerate(values)], F.col(times).cast("double").alias("_w"))
+    for r in came.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # a row for each cut
+        total[r["at"]] = r["v"]
+    out = []
+    for c, e in zip(cuts, ends):
+        below = np.cumsum(total[e - len(c) : e])
+        wanted = np.arange(1, bins) / bins * (below[-1] if len(c) else 0)
+        out.append(np.unique(c[np.minimum(np.searchsorted(below, wanted, side="left"), len(c) - 1)]) if len(c) else c)
+    return out
+
+
 def fit_lambda_ranker(
     train: DataFrame, group: Sequence[str], features: Sequence[str], relevance: str = "relevance", k: int = 3, trees: int = 30,
-    depth: int = 4, rate: float = 0.1, bins: int = 32, least: int = 50, smooth: float = 1.0, val: DataFrame | None = None, patience: int = 5,
+    depth: int = 4, rate: float = 0.1, bins: int = 32, least: int = 50, smooth: float = 1.0, val: DataFrame | None = None, patience: int = 5, times: str | None = None,
 ) -> RankTrees:
     """LambdaMART: trees on the lambda gradients of NDCG@k, each node's split from histograms, each leaf a Newton step.
 
     Labels are their own gains. With ``val`` the rounds end when NDCG@k on it has not
     risen for ``patience`` rounds, and the trees up to its highest value stay. Missing features
     fall into the first bin; rows without a label take no part. A group is taken whole by one task; groups are the
-    candidates of one decision, so they are small.
+    candidates of one decision, so they are small. Groups that are alike may be given once: the column ``times``, the
+    same in all rows of a group, then says how often it came.
     """
     features, bins = tuple(features), min(bins, 255)
-    shares = [i / bins for i in range(1, bins)]
-    values = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
-    row = train.agg(*[F.percentile_approx(v, shares, 100 * bins).alias(f"c{j}") for j, v in enumerate(values)]).first()
-    cuts = [np.unique(np.array(row[f"c{j}"] or [], float)) for j in range(len(features))]
-    model = RankTrees(features, cuts, depth, rate)
-    packed = pack_groups(train, group, model, relevance)
-    checked = pack_groups(val, group, model, relevance) if val is not None else None
+    model = RankTrees(features, _cuts(train, features, bins, times), depth, rate)
+    packed = pack_groups(train, group, model, relevance, times)
+    checked = pack_groups(val, group, model, relevance, times) if val is not None else None
     best, best_at = -1.0, 0
     for _ in range(trees):
         model.trees.append(_grow(packed, model, k, bins, least, smooth))
@@ -207,16 +238,16 @@ def _grow(packed: DataFrame, model: RankTrees, k: int, bins: int, least: int, sm
     width = len(model.features)
 
     def at_level(level: int, f: np.ndarray, c: np.ndarray):
-        def add(x: np.ndarray, y: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-            score = model.score(x)
+        def add(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+            score, each = model.score(x), np.repeat(w, n)
             g, h = np.zeros(len(y)), np.zeros(len(y))
             for rows in _by_size(n):
                 g[rows], h[rows] = lambda_gradients(score[rows], y[rows], k)
             node = _walk(x, f, c, level)
             for j in range(width):
                 slot = (node * width + j) * bins + x[:, j]
-                for w, v in enumerate((g, h, np.ones(len(y)))):
-                    out[w::3] += np.bincount(slot, v, (width * bins) << level)
+                for i, v in enumerate((g * each, h * each, each)):
+                    out[i::3] += np.bincount(slot, v, (width * bins) << level)
 
         return add
 
@@ -237,10 +268,10 @@ def _grow(packed: DataFrame, model: RankTrees, k: int, bins: int, least: int, sm
 
 
 def _ndcg(packed: DataFrame, model: RankTrees, k: int) -> float:
-    def add(x: np.ndarray, y: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-        score = model.score(x)
+    def add(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+        score, each = model.score(x), np.repeat(w, n)
         for rows in _by_size(n):
-            s, c = ndcg_sum(score[rows], y[rows], k)
+            s, c = ndcg_sum(score[rows], y[rows], k, each[rows[:, 0]])
             out += [s, c]
 
     s, c = _sums(packed, 2, add)

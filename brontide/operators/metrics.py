@@ -292,20 +292,26 @@ def source_ranks(long: DataFrame, group: list[str], error: str, authority: str)
     return ranked.select(*group, F.inline("_c")).select(*long.columns, "relevance")
 
 
-def packed_ndcg(groups: DataFrame, score: str, relevance: str, k: int) -> DataFrame:
+def packed_ndcg(groups: DataFrame, score: str, relevance: str, k: int, times: str | None = None) -> DataFrame:
     """``ndcg`` of packed groups."""
     at = F.transform("_c", lambda x, i: F.struct(x["source"].alias("source"), x[score].alias("s"), x[relevance].alias("r"), i.alias("i")))
-    t = groups.select(at.alias("_c"))
+    t = groups.select(at.alias("_c"), (F.col(times) if times else F.lit(1)).cast("long").alias("_w"))
     best = lambda f: F.slice(_in_order(lambda x: [*_falling(x[f]), x["source"]]), 1, k)
-    t = t.select(best("s").alias("_s"), best("r").alias("_r"))
+    t = t.select(best("s").alias("_s"), best("r").alias("_r"), "_w")
     part = lambda a: F.aggregate(F.transform(a, lambda x, i: F.coalesce(x["r"] / F.log2(i + 2), F.lit(0.0))), F.lit(0.0), lambda z, v: z + v)
-    g = t.select(F.when(part("_r") > 0, part("_s") / part("_r")).otherwise(0.0).alias("ndcg"), (F.get("_s", F.lit(0))["i"] == F.get("_r", F.lit(0))["i"]).cast("int").alias("top"))
-    return g.agg(F.count(F.lit(1)).alias("groups"), F.avg("ndcg").alias("ndcg"), F.avg("top").alias("top1_best"))
+    g = t.select(F.when(part("_r") > 0, part("_s") / part("_r")).otherwise(0.0).alias("ndcg"), (F.get("_s", F.lit(0))["i"] == F.get("_r", F.lit(0))["i"]).cast("int").alias("top"), "_w")
+    if not times:
+        return g.agg(F.count(F.lit(1)).alias("groups"), F.avg("ndcg").alias("ndcg"), F.avg("top").alias("top1_best"))
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum(F.when(F.col(c).isNotNull(), F.col("_w"))))
+    return g.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("groups"), mean("ndcg").alias("ndcg"), mean("top").alias("top1_best"))
 
 
-def ndcg(long: DataFrame, group: list[str], score: str, relevance: str, k: int) -> DataFrame:
-    """Mean NDCG@k over groups, the gain being the relevance (0 for a group without any), and the share of groups whose top pick is the best."""
-    return packed_ndcg(packed(long, group, [score, relevance]), score, relevance, k)
+def ndcg(long: DataFrame, group: list[str], score: str, relevance: str, k: int, times: str | None = None) -> DataFrame:
+    """Mean NDCG@k over groups, the gain being the relevance (0 for a group without any), and the share of groups whose top pick is the best.
+
+    Groups that are alike may be given once; the column ``times`` then says how often each came.
+    """
+    return packed_ndcg(packed(long, group, [score, relevance], [times] if times else []), score, relevance, k, times)
 
 
 def packed_pairs(groups: DataFrame, score: str, relevance: str) -> DataFrame:

@@ -1,10 +1,17 @@
-"""Faults of round 4: labels of doubles just beside a limit."""
+"""Faults of round 4: labels of doubles just beside a limit, groups that are alike."""
 
 import datetime
+import random
 
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from brontide.plans import all_queries, all_sql
+from brontide.operators import boosting as B
+from brontide.operators import metrics as M
+from brontide.plans import all_queries, all_sql, model_queries, registry
+from brontide.session import materialize
 
 from .compare import difference
 
@@ -25,3 +32,46 @@ def test_departures_beside_a_limit_equal_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/*.parquet')")
     assert difference(spark, con, str(tmp_path), all_queries()["p30_j10_wave_labels"], all_sql()["p30_j10_wave_labels"]) == ""
+
+
+def test_groups_given_once_count_as_often_as_they_came(spark):
+    r = random.Random(5)
+    rows, often = [], []
+    for g in range(120):
+        xs, times = r.sample(range(40), 4), r.randint(1, 9) if g % 10 else 60
+        for i, x in enumerate(xs):
+            place = float(sum(y < x for y in xs)) if g % 4 else float(i)
+            rows.append((g, "abcd"[i], float(x), r.random() if i else None, place, times))
+    once = spark.createDataFrame(rows, "g int, source string, x double, noise double, relevance double, times long").cache()
+    often = once.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
+    fit = dict(features=["x", "noise"], trees=3, depth=3, rate=0.3, bins=16, least=20)
+    a, b = B.fit_lambda_ranker(once, ["g"], times="times", **fit), B.fit_lambda_ranker(often, ["g", "again"], **fit)
+    # At most one place of a value apart: percentile_approx may miss a rank, too.
+    assert len(a.cuts[0]) == len(b.cuts[0]) and np.abs(a.cuts[0] - b.cuts[0]).max() <= 1
+    unweighted = B.fit_lambda_ranker(once, ["g"], **fit)
+    b.cuts, b.trees = a.cuts, []
+    packed = [B.pack_groups(once, ["g"], a, "relevance", "times"), B.pack_groups(often, ["g", "again"], a, "relevance")]
+    for x, y in zip(*(B._grow(p, b, 3, 16, 20, 1.0) for p in packed)):
+        assert x == pytest.approx(y)
+    assert unweighted.trees[0][2] != pytest.approx(a.trees[0][2])
+    ndcg = [M.ndcg(B.rank_by_trees(a, df), by, "rank_score", "relevance", 3, t).first() for df, by, t in ((once, ["g"], "times"), (often, ["g", "again"], None))]
+    assert tuple(ndcg[0]) == pytest.approx(tuple(ndcg[1]))
+    assert B._ndcg(packed[0], a, 3) == pytest.approx(B._ndcg(packed[1], a, 3))
+
+
+def test_ranker_joins_its_tables_once_and_learns_from_kinds_of_groups(spark, monkeypatch):
+    kinds = []
+
+    def keep(df, what, *more):
+        out = materialize(df, what, *more)
+        kinds.append(out)
+        monkeypatch.setattr(registry, "table", None)  # nothing reads the tables again
+        return out
+
+    monkeypatch.setattr(model_queries, "materialize", keep)
+    out = all_queries()["f15_source_ranker"](spark, "/root/testdata/sf0.01")
+    assert not any("lineitem" in f for f in out.inputFiles())
+    got = out.first()
+    assert len(kinds) == 1 and kinds[0].count() <= 2 * 10 * 24  # parities, leads and orders of four sources
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    assert kinds[0].agg(F.sum("times")).first()[0] == lines.count() and got["groups"] == lines.where("l_orderkey % 2 = 1").count()
