@@ -316,12 +316,16 @@ def _(s, d):
 @add("j21_registry_validation", f"""WITH {EV}, r AS (
       SELECT evidence_id, CASE WHEN variable NOT IN ('precipitation_amount', 'temperature_2m', 'heavy_rain_warning') THEN 'unknown variable'
         WHEN statistic <> CASE variable WHEN 'precipitation_amount' THEN 'accumulation' ELSE 'instant' END THEN 'wrong statistic'
-        WHEN variable = 'precipitation_amount' AND evidence_class NOT IN ('forecast', 'observation') THEN 'class not allowed'
-        WHEN variable = 'precipitation_amount' AND window_h IS NULL THEN 'window missing'
-        WHEN variable = 'precipitation_amount' AND window_h NOT IN (3.0, 6.0) THEN 'window not allowed' END AS reject_reason FROM evd)
+        WHEN NOT list_contains(CASE variable WHEN 'heavy_rain_warning' THEN ['warning'] ELSE ['forecast', 'observation'] END, evidence_class) THEN 'class not allowed'
+        WHEN statistic = 'accumulation' AND NOT coalesce(window_h > 0, FALSE) THEN 'window missing'
+        WHEN statistic = 'accumulation' AND window_h NOT IN (3.0, 6.0) THEN 'window not allowed'
+        WHEN statistic = 'probability' AND unit NOT IN ('%', '1', 'probability') THEN 'wrong unit' END AS reject_reason FROM evd)
     SELECT *, reject_reason IS NULL AS accepted FROM r""")
 def _(s, d):
-    rows = [("precipitation_amount", "accumulation", ["forecast"], [3.0]), ("precipitation_amount", "accumulation", ["observation", "forecast"], [6.0]), ("temperature_2m", "instant", None, None), ("heavy_rain_warning", "instant", ["warning"], None)]
+    rows = [
+        ("precipitation_amount", "accumulation", ["forecast"], [3.0]), ("precipitation_amount", "accumulation", ["observation", "forecast"], [6.0]),
+        ("temperature_2m", "instant", ["forecast", "observation"], None), ("temperature_2m", "instant", None, None), ("heavy_rain_warning", "instant", ["warning"], None),
+    ]
     reg = s.createDataFrame(rows, "variable string, statistic string, classes array<string>, windows array<double>")
     return E.validate(evidence(s, d), reg).select("evidence_id", "reject_reason", "accepted")
 

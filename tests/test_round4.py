@@ -1,4 +1,4 @@
-"""Faults of round 4: labels of doubles just beside a limit, groups that are alike."""
+"""Faults of round 4: labels of doubles just beside a limit, groups that are alike, classes of all variables."""
 
 import datetime
 import random
@@ -75,3 +75,16 @@ def test_ranker_joins_its_tables_once_and_learns_from_kinds_of_groups(spark, mon
     assert len(kinds) == 1 and kinds[0].count() <= 2 * 10 * 24  # parities, leads and orders of four sources
     lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     assert kinds[0].agg(F.sum("times")).first()[0] == lines.count() and got["groups"] == lines.where("l_orderkey % 2 = 1").count()
+
+
+def test_the_class_of_every_variable_is_checked(spark):
+    sf = "/root/testdata/sf0.001"
+    df = all_queries()["j21_registry_validation"](spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    told = dict(con.execute("SELECT 'e' || event_id, event_type FROM events WHERE event_id % 3 = 1").fetchall())  # instant temperatures, and warnings
+    reasons = {"purchase": "class not allowed", "signup": None, "view": None, "click": None, "error": None}  # purchases are reanalyses, signups are warnings
+    want = {k: reasons[v] for k, v in told.items()}
+    assert "class not allowed" in want.values()
+    assert {r["evidence_id"]: r["reject_reason"] for r in df.collect() if r["evidence_id"] in told} == want
+    assert {r[0]: r[1] for r in con.execute(all_sql()["j21_registry_validation"]).fetchall() if r[0] in told} == want
