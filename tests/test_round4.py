@@ -1,6 +1,7 @@
 """Faults of round 4: labels of doubles just beside a limit, groups that are alike, classes of all variables."""
 
 import datetime
+import itertools
 import random
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brontide.operators import boosting as B
 from brontide.operators import metrics as M
-from brontide.plans import all_queries, all_sql, model_queries, registry
+from brontide.plans import all_queries, all_sql, model_queries, observation_queries, registry
 from brontide.session import materialize
 
 from .compare import difference
@@ -34,6 +35,23 @@ def test_departures_beside_a_limit_equal_their_sql(spark, tmp_path):
     assert difference(spark, con, str(tmp_path), all_queries()["p30_j10_wave_labels"], all_sql()["p30_j10_wave_labels"]) == ""
 
 
+def test_day_means_do_not_depend_on_where_readings_lie(spark, tmp_path):
+    """Readings of a day in several files add up in order of event_id, to the last digit."""
+    rows, want = [], {}
+    for user, order in enumerate(itertools.permutations([70.91, 99.53, 0.35, 69.21])):
+        readings = [order[0], None, *order[1:]]
+        want[str(user)] = (((order[0] + order[1]) + order[2]) + order[3]) / 4
+        rows += [(5 * user + i, datetime.datetime(2024, 1, 3, 23 - i), user, x) for i, x in enumerate(readings)]
+    rows.append((999, datetime.datetime(2024, 1, 3), 99, None))
+    want["99"] = None
+    assert len(set(want.values())) > 2
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+    df.repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["point_id"]: r["v"] for r in observation_queries.ordered_day_values(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_groups_given_once_count_as_often_as_they_came(spark):
     r = random.Random(5)
     rows, often = [], []
